@@ -28,17 +28,18 @@ PAYMENT_RULES = [
     ("google_pay", r"google\s+pay"),
 ]
 
-NON_ITEM_PATTERNS = [
-    r"total", r"subtotal", r"tax", r"tip", r"discount", r"cash",
-    r"credit", r"debit", r"change", r"thank you", r"receipt",
-    r"---+", r"===+", r"\*\*\*+", r"\.\.\.+",
-    r"date:", r"time:", r"cashier:", r"register:", r"order:",
-    r"payment", r"server", r"associate", r"phone:", r"address:",
-    r"sku:", r"transaction id:", r"approval code:",
+# A line holding any of these is not an item; every one is a literal, rulers included.
+NON_ITEM_WORDS = [
+    "total", "subtotal", "tax", "tip", "discount", "cash",
+    "credit", "debit", "change", "thank you", "receipt",
+    "---", "===", "***", "...",
+    "date:", "time:", "cashier:", "register:", "order:",
+    "payment", "server", "associate", "phone:", "address:",
+    "sku:", "transaction id:", "approval code:",
 ]
 
-# Wallet tender lines carry an amount and would otherwise read as items.
-TENDER_PATTERNS = [r"apple\s+pay", r"google\s+pay"]
+# Wallet tender lines and delivery charges carry an amount and would otherwise read as items.
+TENDER_WORDS = ["apple pay", "google pay", "delivery fee", "delivery charge"]
 
 STREET_WORDS = [
     "Street", r"St\.", "Avenue", r"Ave\.", "Road", r"Rd\.", "Boulevard", r"Blvd\.",
@@ -47,9 +48,7 @@ STREET_WORDS = [
 
 RETURN_WORDS = r"\b(?:refund|refunded|return|returned|credit memo|credit\s+transaction)\b"
 
-CARD_PATTERN = (
-    r"(?i)\b(visa|mastercard|amex|american express|discover)\b.*?(\*{2,}|\bending\b)[ \t]*(\d{4})\b"
-)
+CARD_PATTERN = r"\b(visa|mastercard|amex|american express|discover)\b.*?(\*{2,}|\bending\b)[ \t]*(\d{4})\b"
 
 # --- Fixed values: categories ------------------------------------------------------------
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from tillweave.functions import fixed
@@ -20,15 +22,46 @@ def quoted(words: list[str]) -> list[str]:
     return [rf"\Q{w}\E" for w in words]
 
 
-def body(raw: Column) -> Column:
-    """Text with every line stripped and empty lines removed; lines stay newline-separated."""
-    joined = F.regexp_replace(raw, r"(?<!\s)\s*\n\s*", "\n")
-    return F.regexp_replace(joined, r"^\s+|\s+$", "")
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Computes a value once and uses it many times.
+
+    Inside array lambdas Spark does not share repeated sub-expressions, so a repeated ``lower`` or
+    regular expression would run again at every mention.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def contains_any(text: Column, words: list[str]) -> Column:
+    """Whether any of the literal words occurs; cheaper than one alternation on short text."""
+    out = text.contains(words[0])
+    for word in words[1:]:
+        out = out | text.contains(word)
+    return out
+
+
+# --- Fixed values: characters stripped from both ends of a line ---
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2028\u2029\u3000"
+
+
+def lines(raw: Column) -> Column:
+    """Stripped, non-empty lines in order."""
+    stripped = F.transform(F.split(raw, "\n"), lambda l: F.btrim(l, F.lit(BLANKS)))
+    return F.filter(stripped, lambda l: l != "")
+
+
+def body(line_array: Column) -> Column:
+    """The lines as one text, which whole-text patterns with line anchors run on."""
+    return F.array_join(line_array, "\n")
 
 
-def lines(clean: Column) -> Column:
-    """The ordered line array of a cleaned text; empty text has no lines."""
-    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, "\n"))
+def rows(clean: Column) -> Column:
+    """Each line of a cleaned text beside its lower-cased form."""
+    both = F.zip_with(
+        F.split(clean, "\n"),
+        F.split(F.lower(clean), "\n"),
+        lambda line, low: F.struct(line.alias("line"), low.alias("low")),
+    )
+    return F.filter(both, lambda r: r["line"] != "")
 
 
 def first_match(text: Column, pattern: str, group: int = 1) -> Column:

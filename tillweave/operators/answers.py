@@ -61,7 +61,10 @@ def fact_keys(facts: DataFrame, fact_id: str) -> DataFrame:
     return facts.withColumn("_key", F.explode(F.array_compact(F.concat(single, labelled))))
 
 
-def match(params: DataFrame, facts: DataFrame, fact_id: str, amount: str, columns: list[str]) -> DataFrame:
+def match(
+    params: DataFrame, facts: DataFrame, fact_id: str, amount: str, columns: list[str],
+    question_columns: tuple[str, ...] = (),
+) -> DataFrame:
     """Every (question, fact) pair that satisfies all the question's filters, each pair once.
 
     Facts need merchant_name_norm, transaction_date, payment_method, categories and the flag columns.
@@ -96,7 +99,9 @@ def match(params: DataFrame, facts: DataFrame, fact_id: str, amount: str, column
         & optional(F.col(f"f.{amount}") < F.col("q.max_amount"), F.col("q.max_amount").isNotNull())
         & (~any_asked | any_held)
     )
-    return f.join(q, cond).select("q.question_id", *[F.col(f"f.{c}") for c in columns])
+    return f.join(q, cond).select(
+        "q.question_id", *[F.col(f"q.{c}") for c in question_columns], *[F.col(f"f.{c}") for c in columns]
+    )
 
 
 def flag_filter(flags: list[str]) -> Column:
@@ -134,8 +139,9 @@ def audit(params: DataFrame, receipts: DataFrame, items: DataFrame) -> DataFrame
     on_receipts = asked.filter(F.col("sum_basis") == "receipts")
     on_items = asked.filter(F.col("sum_basis") == "items")
     by_receipt = match(
-        on_receipts, receipts, "receipt_id", "total_amount", ["total_amount", "tax_amount", "tip_amount"]
-    ).join(on_receipts.select("question_id", "metric"), "question_id")
+        on_receipts, receipts, "receipt_id", "total_amount",
+        ["total_amount", "tax_amount", "tip_amount"], ("metric",),
+    )
     value = (
         F.when(F.col("metric") == "tax_amount", F.col("tax_amount"))
         .when(F.col("metric") == "tip_amount", F.col("tip_amount"))

@@ -22,24 +22,43 @@ def categories(
 
     Keywords are substrings by default; ``whole_words`` asks for word boundaries instead.
     """
+    implied = None if merchant is None else merchant_labels(merchant, merchant_rules, whole_words)
+    return _item_labels(name, implied, item_rules, merchant_rules, order, whole_words, fallback)
+
+
+def _hit(low: Column, words: list[str], whole_words: bool) -> Column:
+    """Whether a lower-cased text holds one of the keywords."""
+    found = low.rlike(tx.any_of(tx.quoted(words), True)) if whole_words else tx.contains_any(low, words)
+    return F.coalesce(found, F.lit(False))
+
+
+def merchant_labels(
+    merchant: Column, merchant_rules: Rules = fixed.MERCHANT_KEYWORDS, whole_words: bool = False
+) -> Column:
+    """Labels implied by the merchant alone."""
+    if not merchant_rules:
+        return F.array().cast("array<string>")
+    return tx.labels_for([(_hit(F.lower(merchant), words, whole_words), label) for label, words in merchant_rules])
+
+
+def _item_labels(
+    name: Column, implied: Column | None, item_rules: Rules, merchant_rules: Rules, order: list[str],
+    whole_words: bool, fallback: str,
+) -> Column:
     by_item, by_merchant = dict(item_rules), dict(merchant_rules)
 
-    def hit(column: Column, words: list[str]) -> Column:
-        return F.coalesce(F.lower(column).rlike(tx.any_of(tx.quoted(words), whole_words)), F.lit(False))
+    def tagged(low: Column) -> Column:
+        conditions = []
+        for label in order:
+            tests = [_hit(low, by_item[label], whole_words)] if label in by_item else []
+            if implied is not None and label in by_merchant:
+                tests.append(F.array_contains(implied, label))
+            if tests:
+                conditions.append((tests[0] if len(tests) == 1 else tests[0] | tests[1], label))
+        return tx.labels_for(conditions)
 
-    conditions = []
-    for label in order:
-        tests = []
-        if label in by_item:
-            tests.append(hit(name, by_item[label]))
-        if merchant is not None and label in by_merchant:
-            tests.append(hit(merchant, by_merchant[label]))
-        if tests:
-            cond = tests[0]
-            for other in tests[1:]:
-                cond = cond | other
-            conditions.append((cond, label))
-    return tx.labels_for(conditions, fallback)
+    found = tx.let(F.lower(name), tagged)
+    return tx.let(found, lambda t: F.when(F.size(t) == 0, F.array(F.lit(fallback))).otherwise(t))
 
 
 def categorise_by_table(
@@ -64,21 +83,39 @@ def categorise_by_table(
     return joined.withColumn("categories", F.coalesce("categories", F.array(F.lit(fallback))))
 
 
-def with_item_categories(df: DataFrame, merchant: str = "merchant_name", items: str = "items", **rules) -> DataFrame:
-    """Adds ``categories`` and the primary ``category`` to every element of the item array."""
+def with_item_categories(
+    df: DataFrame, merchant: str = "merchant_name", items: str = "items", item_rules: Rules = fixed.ITEM_KEYWORDS,
+    merchant_rules: Rules = fixed.MERCHANT_KEYWORDS, order: list[str] = fixed.CATEGORIES,
+    whole_words: bool = False, fallback: str = "other",
+) -> DataFrame:
+    """Adds ``categories`` and the primary ``category`` to every element of the item array.
 
-    def label(item: Column) -> Column:
-        return categories(item["name"], F.col(merchant), **rules)
+    The merchant is looked at once per receipt, not once per item.
+    """
+    df = df.withColumn("_implied", merchant_labels(F.col(merchant), merchant_rules, whole_words))
 
-    labelled = F.transform(F.col(items), lambda i: i.withField("categories", label(i)))
-    primary = F.transform(labelled, lambda i: i.withField("category", F.get(i["categories"], F.lit(0))))
-    return df.withColumn(items, primary)
+    def label(item: Column) -> Column:
+        return _item_labels(
+            item["name"], F.col("_implied"), item_rules, merchant_rules, order, whole_words, fallback
+        )
+
+    labelled = F.transform(F.col(items), lambda i: F.struct(i.alias("i"), label(i).alias("l")))
+    plain = ["name", "quantity", "unit_price", "total_price"]
+    flat = F.transform(
+        labelled,
+        lambda t: F.struct(
+            *[t["i"][c].alias(c) for c in plain],
+            t["l"].alias("categories"),
+            F.get(t["l"], F.lit(0)).alias("category"),
+        ),
+    )
+    return df.withColumn(items, flat).drop("_implied")
 
 
 def receipt_categories(items: Column, order: list[str] = fixed.CATEGORIES) -> Column:
     """Distinct labels over a receipt's items, in the declared order, other labels after them."""
     seen = F.array_distinct(F.flatten(F.transform(items, lambda i: i["categories"])))
-    known = F.array(*[F.lit(c) for c in order])
+    known = F.array(*[F.lit(c) for c in order if c != "other"], F.lit("other"))
     return F.concat(F.array_intersect(known, seen), F.array_sort(F.array_except(seen, known)))
 
 

@@ -6,24 +6,25 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tillweave.functions import fixed, text as tx
 
-_NON_ITEM = tx.any_of(fixed.NON_ITEM_PATTERNS + fixed.TENDER_PATTERNS)
+_NON_ITEM = fixed.NON_ITEM_WORDS + fixed.TENDER_WORDS
 _PRICE = r"\d[\d,]*\.\d{2}"
 _HEAD = rf"^(.*?)\s*\$\s*({_PRICE})"
+_AFTER_SIGN = rf"^\s*({_PRICE})"
 _NAME = r"[A-Za-z][\w\s().\-]+?"
 _COUNTED = rf"^(\d+)\s*[xX]\s+({_NAME})\s+\$\s*{_PRICE}\s*$"
 _AT_PRICE = rf"^({_NAME})\s+@\s+\$\s*{_PRICE}\s*$"
 _PRICE_ONLY = rf"^(?:\$\s*)?({_PRICE})$"
 
 
-def is_item_candidate(line: Column) -> Column:
-    """False for totals, tender lines, rulers and labels."""
-    return ~F.lower(line).rlike(_NON_ITEM)
+def is_item_candidate(low: Column) -> Column:
+    """False for totals, tender lines, rulers and labels; takes the lower-cased line."""
+    return ~tx.contains_any(low, _NON_ITEM)
 
 
 def clean_name(name: Column) -> Column:
     """Whitespace collapsed and a trailing pack size such as ``(4)`` removed."""
     flat = F.regexp_replace(F.trim(name), r"\s+", " ")
-    return F.regexp_replace(flat, r"\s*\(\d+\)\s*$", "")
+    return F.when(flat.contains("("), F.regexp_replace(flat, r"\s*\(\d+\)\s*$", "")).otherwise(flat)
 
 
 def parse_line(line: Column) -> Column:
@@ -32,20 +33,32 @@ def parse_line(line: Column) -> Column:
     A counted line ``N x name $p`` and a rated line ``name @ $p`` have their own layouts; every
     other layout names the item by the text before its first price.
     """
-    price = F.translate(F.regexp_extract(line, _HEAD, 2), ",", "").try_cast(tx.MONEY)
-    counted = line.rlike(_COUNTED)
+    starts_with_digit = (line >= "0") & (line < ":")
+    one_price = F.substring_index(line, "$", 2) == line
+    head = F.when(one_price, F.substring_index(line, "$", 1)).otherwise(F.regexp_extract(line, _HEAD, 1))
+    figure = F.when(one_price, F.regexp_extract(F.substring_index(line, "$", -1), _AFTER_SIGN, 1)).otherwise(
+        F.regexp_extract(line, _HEAD, 2)
+    )
+    counted = starts_with_digit & line.rlike(_COUNTED)
     name = clean_name(
         F.when(counted, F.regexp_extract(line, _COUNTED, 2))
-        .when(line.rlike(_AT_PRICE), F.regexp_extract(line, _AT_PRICE, 1))
-        .otherwise(F.regexp_extract(line, _HEAD, 1))
+        .when(line.contains("@") & line.rlike(_AT_PRICE), F.regexp_extract(line, _AT_PRICE, 1))
+        .otherwise(head)
     )
     quantity = F.coalesce(
-        F.when(counted, F.regexp_extract(line, _COUNTED, 1).try_cast("decimal(12,3)")),
+        F.when(starts_with_digit, F.regexp_extract(line, _COUNTED, 1).try_cast("decimal(12,3)")),
         F.lit(1).cast("decimal(12,3)"),
     )
-    unit = F.coalesce(F.try_divide(price, quantity), price).cast("decimal(18,6)")
-    return F.struct(
-        name.alias("name"), quantity.alias("quantity"), unit.alias("unit_price"), price.alias("total_price")
+    price = F.translate(figure, ",", "").try_cast(tx.MONEY)
+    read = F.struct(name.alias("name"), quantity.alias("quantity"), price.alias("price"))
+    return tx.let(
+        read,
+        lambda r: F.struct(
+            r["name"].alias("name"),
+            r["quantity"].alias("quantity"),
+            F.coalesce(F.try_divide(r["price"], r["quantity"]), r["price"]).cast("decimal(18,6)").alias("unit_price"),
+            r["price"].alias("total_price"),
+        ),
     )
 
 
@@ -53,43 +66,55 @@ def is_valid(item: Column) -> Column:
     return (F.length(item["name"]) > 1) & F.coalesce(item["total_price"] != 0, F.lit(False))
 
 
-def _event(line: Column) -> Column:
+def _read(line: Column) -> Column:
+    """A line with what it says: an item, or a lone price, or neither."""
+    priced = line.contains(".") & line.rlike(r"\d\.\d{2}")
+    may_be_lone = (line >= "$") & (line < ":")
+    lone = F.when(priced & may_be_lone, F.nullif(F.regexp_extract(line, _PRICE_ONLY, 1), F.lit("")))
+    item = F.when(priced & line.contains("$"), parse_line(line))
+    return F.struct(line.alias("line"), priced.alias("priced"), lone.alias("lone"), item.alias("item"))
+
+
+def _event(read: Column) -> Column:
     """Kind of a line: S an item by itself, P a price alone, C a name waiting for its price."""
-    priced = line.rlike(r"\d\.\d{2}")
-    lone_price = F.regexp_extract(line, _PRICE_ONLY, 1)
+    line, lone, item = read["line"], read["lone"], read["item"]
+    dated = line.contains("/") & line.rlike(r"\d{1,2}/\d{1,2}/\d{2,4}")
     kind = (
-        F.when(
-            priced,
-            F.when(lone_price != "", F.when(lone_price.rlike("[1-9]"), F.lit("P"))).when(
-                line.rlike(_HEAD) & is_valid(parse_line(line)), F.lit("S")
-            ),
-        )
-        .when((F.length(line) > 2) & ~line.rlike(r"\d{1,2}/\d{1,2}/\d{2,4}|ID:"), F.lit("C"))
+        F.when(lone.isNotNull(), F.when(lone.rlike("[1-9]"), F.lit("P")))
+        .when(read["priced"], F.when(is_valid(item), F.lit("S")))
+        .when((F.length(line) > 2) & ~line.contains("ID:") & ~dated, F.lit("C"))
+    )
+    return F.struct(kind.alias("kind"), F.coalesce(lone, line).alias("body"), item.alias("item"))
+
+
+_EVENT_TYPE = (
+    "struct<kind:string,body:string,item:struct<name:string,quantity:decimal(12,3),"
+    "unit_price:decimal(18,6),total_price:decimal(12,2)>>"
+)
+
+
+def _emitted(event: Column, before: Column) -> Column:
+    """The item an event completes, given the event before it."""
+    wrapped = (event["kind"] == "P") & (before["kind"] == "C")
+    return F.when(event["kind"] == "S", event["item"]).when(
+        wrapped, parse_line(F.concat(before["body"], F.lit(" $"), event["body"]))
     )
-    body = F.when(kind == "P", lone_price).otherwise(line)
-    return F.struct(kind.alias("kind"), body.alias("body"))
 
 
-def with_items(df: DataFrame, lines: str = "lines", out: str = "items") -> DataFrame:
+def with_items(df: DataFrame, rows: str = "rows", out: str = "items") -> DataFrame:
     """Adds the item array of each document; narrow, one pass over the lines per step.
 
     A price-only line becomes an item exactly when the event before it is a waiting name.
     """
-    kept = F.transform(F.filter(F.col(lines), is_item_candidate), _event)
-    events = F.filter(kept, lambda e: e["kind"].isNotNull())
+    kept = F.filter(F.col(rows), lambda r: is_item_candidate(r["low"]))
+    read = F.transform(kept, lambda r: _read(r["line"]))
+    events = F.filter(F.transform(read, _event), lambda e: e["kind"].isNotNull())
     # `_events` is read twice below, so it stays a column of its own and is computed once.
     df = df.withColumn("_events", events)
-    none = F.array(F.lit(None).cast("struct<kind:string,body:string>"))
+    none = F.array(F.lit(None).cast(_EVENT_TYPE))
     before = F.concat(none, F.slice(F.col("_events"), F.lit(1), F.greatest(F.size("_events") - 1, F.lit(0))))
-    full = F.zip_with(
-        F.col("_events"),
-        before,
-        lambda e, p: F.when(e["kind"] == "S", e["body"]).when(
-            (e["kind"] == "P") & (p["kind"] == "C"), F.concat(p["body"], F.lit(" $"), e["body"])
-        ),
-    )
-    parsed = F.transform(F.array_compact(full), parse_line)
-    return df.withColumn(out, F.filter(parsed, is_valid)).drop("_events")
+    emitted = F.array_compact(F.zip_with(F.col("_events"), before, _emitted))
+    return df.withColumn(out, F.filter(emitted, is_valid)).drop("_events")
 
 
 def items_from_line_rows(rows: DataFrame, doc: str, line_no: str, line: str) -> DataFrame:
@@ -100,18 +125,13 @@ def items_from_line_rows(rows: DataFrame, doc: str, line_no: str, line: str) ->
     from pyspark.sql import Window
 
     events = (
-        rows.filter(is_item_candidate(F.col(line)))
-        .withColumn("_e", _event(F.col(line)))
+        rows.filter(is_item_candidate(F.lower(line)))
+        .withColumn("_e", _event(_read(F.col(line))))
         .filter(F.col("_e.kind").isNotNull())
     )
     order = Window.partitionBy(doc).orderBy(line_no)
     events = events.withColumn("_p", F.lag("_e").over(order))
-    full = F.when(F.col("_e.kind") == "S", F.col("_e.body")).when(
-        (F.col("_e.kind") == "P") & (F.col("_p.kind") == "C"),
-        F.concat(F.col("_p.body"), F.lit(" $"), F.col("_e.body")),
-    )
-    parsed = events.withColumn("_full", full).filter(F.col("_full").isNotNull())
-    parsed = parsed.withColumn("_item", parse_line(F.col("_full"))).filter(is_valid(F.col("_item")))
+    parsed = events.withColumn("_item", _emitted(F.col("_e"), F.col("_p"))).filter(is_valid(F.col("_item")))
     return parsed.select(doc, line_no, "_item.*")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 from tillweave.functions import fixed, text as tx
 
@@ -94,7 +95,7 @@ def corpus_size(receipts: DataFrame, name: str = "merchant_name") -> DataFrame:
     return known_names(receipts, name).agg(F.count(F.lit(1)).alias("corpus_size"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def block_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-block similarity of two strings, 2 * matched / total length."""
     from difflib import SequenceMatcher

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tillweave.functions import text as tx
+from tillweave.functions import fixed, text as tx
 from tillweave.operators import categories as cat, headers, items as it, totals
 from tillweave.operators.merchants import normalise
 
@@ -20,8 +20,11 @@ RECEIPT_COLUMNS = [
 
 
 def with_lines(raw: DataFrame, text: str = "raw_text") -> DataFrame:
-    """Adds ``body`` (stripped lines joined by newlines) and ``lines`` (the same as an array)."""
-    return raw.withColumn("body", tx.body(F.col(text))).withColumn("lines", tx.lines(F.col("body")))
+    """Adds ``lines`` (stripped, no empty ones), ``body`` (joined by newlines) and ``rows`` (each
+    line with its lower-cased form)."""
+    df = raw.withColumn("lines", tx.lines(F.col(text)))
+    df = df.withColumn("body", tx.body(F.col("lines")))
+    return df.withColumn("rows", tx.rows(F.col("body")))
 
 
 def extract_receipts(raw: DataFrame, keep: tuple[str, ...] = (), **category_rules) -> DataFrame:
@@ -40,15 +43,14 @@ def extract_receipts(raw: DataFrame, keep: tuple[str, ...] = (), **category_rule
             "merchant_name": headers.merchant(body),
             "transaction_date": headers.transaction_day(body).cast("timestamp_ntz"),
             "payment_method": headers.payment_method(body),
-            "card_network": headers.card_network(body),
-            "card_last4": headers.card_last4(body),
+            "_card": headers.card(body),
             "merchant_phone": headers.phone(body),
             "merchant_address": headers.address(body),
             "cashier": headers.staff(body),
             "order_number": headers.order_number(body),
             "transaction_id": headers.transaction_id(body),
             "store_number": headers.store_number(body),
-            "warranty_text": headers.warranty_text(body),
+            "warranty_text": headers.warranty_text(F.col("rows")),
             "return_transaction": headers.is_return(body, F.col("total_amount")),
         }
     )
@@ -57,11 +59,11 @@ def extract_receipts(raw: DataFrame, keep: tuple[str, ...] = (), **category_rule
     df = df.withColumns(
         {
             "merchant_name_norm": normalise(F.col("merchant_name")),
-            "merchant_city": F.col("_place.city"),
-            "merchant_state": F.col("_place.state"),
-            "merchant_zip": F.col("_place.zip"),
+            "card_network": headers.card_network(F.col("_card")),
+            "card_last4": headers.card_last4(F.col("_card")),
+            **headers.place_parts(F.col("_place")),
             "has_warranty": F.col("warranty_text").isNotNull(),
-            "categories": cat.receipt_categories(F.col("items")),
+            "categories": cat.receipt_categories(F.col("items"), category_rules.get("order", fixed.CATEGORIES)),
             "item_count": F.size("items"),
             "parse_errors": parse_errors(),
         }

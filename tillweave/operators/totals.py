@@ -9,11 +9,10 @@ from tillweave.functions import text as tx
 FIELDS = ["subtotal", "tax_amount", "tip_amount", "delivery_fee", "total_amount", "discounts"]
 
 
-def label(line: Column) -> Column:
-    """Which amount a line states, by label priority; null for other lines."""
-    low = F.lower(line)
+def label(low: Column) -> Column:
+    """Which amount a lower-cased line states, by label priority; null for other lines."""
     delivery = low.contains("delivery fee") | (
-        low.rlike(r"\bdelivery\b") & (low.contains("fee") | low.contains("charge"))
+        low.contains("delivery") & (low.contains("fee") | low.contains("charge")) & low.rlike(r"\bdelivery\b")
     )
     return (
         F.when(low.contains("subtotal"), "subtotal")
@@ -25,12 +24,15 @@ def label(line: Column) -> Column:
     )
 
 
-def with_totals(df: DataFrame, clean: str = "body") -> DataFrame:
+def with_totals(df: DataFrame, rows: str = "rows") -> DataFrame:
     """Adds the six amounts: per label the last non-zero one, else zero if stated, else null."""
-    labelled = tx.all_matches(F.col(clean), r"(?im)^.*(?:total|tax|tip|delivery|discount).*$")
-    tagged = F.transform(labelled, lambda l: F.struct(label(l).alias("label"), tx.amount(l).alias("amount")))
+    labelled = F.filter(
+        F.transform(F.col(rows), lambda r: F.struct(label(r["low"]).alias("label"), r["line"].alias("line"))),
+        lambda r: r["label"].isNotNull(),
+    )
+    tagged = F.transform(labelled, lambda r: F.struct(r["label"].alias("label"), tx.amount(r["line"]).alias("amount")))
     # `_amounts` is read once per field, so it stays a column of its own.
-    df = df.withColumn("_amounts", F.filter(tagged, lambda t: t["label"].isNotNull() & t["amount"].isNotNull()))
+    df = df.withColumn("_amounts", F.filter(tagged, lambda t: t["amount"].isNotNull()))
 
     def field(name: str) -> Column:
         own = F.filter(F.col("_amounts"), lambda t: t["label"] == name)
@@ -43,7 +45,7 @@ def with_totals(df: DataFrame, clean: str = "body") -> DataFrame:
 def totals_from_line_rows(rows: DataFrame, doc: str, line_no: str, line: str) -> DataFrame:
     """The same amounts from one row per line: a mergeable ``max_by`` per label, no window."""
     tagged = rows.select(
-        doc, line_no, label(F.col(line)).alias("_label"), tx.amount(F.col(line)).alias("_amount")
+        doc, line_no, label(F.lower(line)).alias("_label"), tx.amount(F.col(line)).alias("_amount")
     ).filter(F.col("_label").isNotNull() & F.col("_amount").isNotNull())
 
     def field(name: str) -> Column:
