@@ -63,7 +63,7 @@ def _dedupe(names: Column) -> Column:
         F.zip_with(
             ordered,
             shifted,
-            lambda a, b: F.when(b.isNull() | (a["key"] != b["key"]), F.struct(a["pos"].alias("pos"), a["name"].alias("name"))),
+            lambda a, b: F.when(a.isNotNull() & (b.isNull() | (a["key"] != b["key"])), F.struct(a["pos"].alias("pos"), a["name"].alias("name"))),
         )
     )
     return F.transform(F.array_sort(firsts), lambda f: f["name"])

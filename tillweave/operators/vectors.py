@@ -63,7 +63,9 @@ def top_k(
 ) -> DataFrame:
     """The k best rows for one query vector; the predicate filters before anything is scored."""
     rows = vectors if predicate is None else vectors.filter(predicate)
-    scored = rows.withColumn("score", F.round(cosine(F.col(embedding), query), 6))
+    # The query is one value for the whole scan, usually a scalar subquery.
+    asked = rows.withColumn("_query", query)
+    scored = asked.withColumn("score", F.round(cosine(F.col(embedding), F.col("_query")), 6)).drop("_query")
     return scored.filter(F.col("score").isNotNull()).orderBy(F.desc("score"), F.asc(vector_id)).limit(k)
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillweave.operators import answers, questions
-from tillweave.plans import catalog_questions, catalog_text
+from tillweave.plans import catalog_answers, catalog_questions, catalog_text
 from tillweave.plans.catalog_text import receipts
 
-_PARTS = [catalog_text, catalog_questions]
+_PARTS = [catalog_text, catalog_questions, catalog_answers]
 
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
