@@ -13,6 +13,12 @@ OPEN_SALTS = 32
 FLAGS = ["has_warranty", "is_return", "has_discounts", "has_delivery_fee", "has_tip"]
 
 
+FILTER_COLUMNS = [
+    "start_ts", "end_ts", "month_of_year", "merchants", "categories", "payment_method", "card_network",
+    *FLAGS, "min_amount", "max_amount", "sum_basis", "metric",
+]
+
+
 # --- matching --------------------------------------------------------------------------------
 
 
@@ -24,6 +30,21 @@ def _months(start: Column, end: Column, month_of_year: Column) -> Column:
     return F.filter(spanned, lambda d: month_of_year.isNull() | (F.month(d) == month_of_year))
 
 
+def with_filter_id(params: DataFrame) -> DataFrame:
+    """Adds a key shared by all questions that ask for the same facts."""
+    return params.withColumn("filter_id", F.sha2(F.to_json(F.struct(*FILTER_COLUMNS)), 256))
+
+
+def unique_questions(params: DataFrame) -> DataFrame:
+    """One question, the lowest id, per distinct set of filters.
+
+    Many people ask the same thing; matching each distinct question once keeps the work with the
+    number of different questions, not with the number of askers.
+    """
+    first = [F.any_value(c).alias(c) for c in FILTER_COLUMNS]
+    return with_filter_id(params).groupBy("filter_id").agg(F.min("question_id").alias("question_id"), *first)
+
+
 def question_keys(params: DataFrame) -> DataFrame:
     """One row per question and join key.
 
@@ -135,32 +156,35 @@ def audit(params: DataFrame, receipts: DataFrame, items: DataFrame) -> DataFrame
     price. Nulls are skipped; a question without values has null results. Each question is matched
     against one fact table only, and values are summed per task before the shuffle.
     """
-    asked = params.filter(F.col("aggregation").isNotNull())
-    on_receipts = asked.filter(F.col("sum_basis") == "receipts")
-    on_items = asked.filter(F.col("sum_basis") == "items")
+    asked = with_filter_id(params.filter(F.col("aggregation").isNotNull()))
+    sums = filter_sums(asked, receipts, items).withColumnRenamed("question_id", "filter_id")
+    joined = asked.select("question_id", "filter_id", "aggregation").join(sums, "filter_id", "left")
+    return joined.select(
+        "question_id",
+        "aggregation",
+        F.coalesce("agg_count", F.lit(0)).alias("agg_count"),
+        F.when(F.col("agg_count") > 0, _answer_value(F.col("aggregation"))).cast("decimal(18,2)").alias("agg_value"),
+    )
+
+
+def filter_sums(params: DataFrame, receipts: DataFrame, items: DataFrame) -> DataFrame:
+    """Sum and count of the asked values, and the number of matches, per distinct filter."""
+    unique = unique_questions(params).withColumn("question_id", F.col("filter_id"))
     by_receipt = match(
-        on_receipts, receipts, "receipt_id", "total_amount",
+        unique.filter(F.col("sum_basis") == "receipts"), receipts, "receipt_id", "total_amount",
         ["total_amount", "tax_amount", "tip_amount"], ("metric",),
     )
+    by_item = match(unique.filter(F.col("sum_basis") == "items"), items, "item_id", "item_price", ["item_price"])
     value = (
         F.when(F.col("metric") == "tax_amount", F.col("tax_amount"))
         .when(F.col("metric") == "tip_amount", F.col("tip_amount"))
         .otherwise(F.col("total_amount"))
     )
     values = by_receipt.select("question_id", value.cast(tx.MONEY).alias("_value")).unionByName(
-        match(on_items, items, "item_id", "item_price", ["item_price"]).select(
-            "question_id", F.col("item_price").cast(tx.MONEY).alias("_value")
-        )
-    )
-    sums = values.groupBy("question_id").agg(
-        F.sum("_value").alias("agg_sum"), F.count("_value").alias("agg_count")
+        by_item.select("question_id", F.col("item_price").cast(tx.MONEY).alias("_value"))
     )
-    joined = asked.select("question_id", "aggregation").join(sums, "question_id", "left")
-    return joined.select(
-        "question_id",
-        "aggregation",
-        F.coalesce("agg_count", F.lit(0)).alias("agg_count"),
-        F.when(F.col("agg_count") > 0, _answer_value(F.col("aggregation"))).cast("decimal(18,2)").alias("agg_value"),
+    return values.groupBy("question_id").agg(
+        F.sum("_value").alias("agg_sum"), F.count("_value").alias("agg_count"), F.count(F.lit(1)).alias("n_matches")
     )
 
 
@@ -217,16 +241,17 @@ def evidence(hits: DataFrame, question: str, content: str, rank: str = "rank") -
 # --- result records --------------------------------------------------------------------------
 
 
-def results(params: DataFrame, audits: DataFrame, match_counts: DataFrame) -> DataFrame:
+def results(params: DataFrame, receipts: DataFrame, items: DataFrame) -> DataFrame:
     """One record per question, also for questions without a match.
 
-    ``match_counts`` has question_id and n_matches. A result counts as verified when an audit ran
-    over all its matches.
+    A result counts as verified when an audit ran over all its matches. Facts are read once: the
+    same sums give the audit and the number of matches.
     """
-    joined = (
-        params.select("question_id", "query_type", "aggregation")
-        .join(audits.select("question_id", "agg_count", "agg_value"), "question_id", "left")
-        .join(match_counts, "question_id", "left")
+    keyed = with_filter_id(params)
+    sums = filter_sums(keyed, receipts, items).withColumnRenamed("question_id", "filter_id")
+    joined = keyed.select("question_id", "filter_id", "query_type", "aggregation").join(sums, "filter_id", "left")
+    joined = joined.withColumn(
+        "agg_value", F.when(F.col("agg_count") > 0, _answer_value(F.col("aggregation"))).cast("decimal(18,2)")
     )
     found = F.coalesce(F.col("n_matches") > 0, F.lit(False))
     verified = found & F.col("agg_value").isNotNull()
@@ -245,7 +270,8 @@ def results(params: DataFrame, audits: DataFrame, match_counts: DataFrame) -> Da
         F.when(~found, F.lit(0.0)).when(verified, F.lit(fixed.CONFIDENCE_VERIFIED)).otherwise(F.lit(fixed.CONFIDENCE_DEFAULT))
     )
     return joined.select(
-        "question_id", answer.alias("answer"), confidence.alias("confidence"), "query_type", "agg_count", "agg_value"
+        "question_id", answer.alias("answer"), confidence.alias("confidence"), "query_type",
+        F.coalesce("agg_count", F.lit(0)).alias("agg_count"), "agg_value",
     )
 
 

@@ -32,7 +32,7 @@ _ITEM_CATEGORY = """CASE p_type WHEN 'STANDARD' THEN 'groceries' WHEN 'PROMO' TH
 # What each kind of customer question asks for, written out by hand.
 _ASKED = f"""
 WITH latest AS (SELECT max(o_orderdate) AS ref FROM orders),
-ask AS (
+ask AS MATERIALIZED (
   SELECT c_custkey AS qid, c_custkey % 8 AS kind,
     CASE WHEN c_custkey % 8 IN (0, 1, 2, 4, 5, 6) THEN c_custkey END AS who,
     CASE c_custkey % 8 WHEN 0 THEN make_date(2000, (c_custkey % 12 + 1)::INT, 1) WHEN 3 THEN make_date(2000, (c_custkey % 12 + 1)::INT, 1)
@@ -44,15 +44,16 @@ ask AS (
     c_custkey % 8 <> 7 AS figure, c_custkey % 8 IN (4, 6, 7) AS by_item
   FROM customer, latest
 ),
-rec AS (SELECT o_orderkey AS receipt_id, o_custkey AS cust, CAST(o_orderdate AS DATE) AS d, CAST(o_totalprice AS DECIMAL(12,2)) AS amount,
+reps AS MATERIALIZED (SELECT qid, CASE WHEN who IS NULL THEN min(qid) OVER (PARTITION BY who, kind, d0) ELSE qid END AS rep FROM ask),
+rec AS MATERIALIZED (SELECT o_orderkey AS receipt_id, o_custkey AS cust, CAST(o_orderdate AS DATE) AS d, CAST(o_totalprice AS DECIMAL(12,2)) AS amount,
         o_orderpriority = '3-MEDIUM' AS groceries, o_orderstatus = 'F' AS ret FROM orders),
-itm AS (SELECT receipt_id, cust, d, CAST(l_extendedprice AS DECIMAL(12,2)) AS amount, p_type = 'STANDARD' AS groceries, l_returnflag = 'R' AS ret, l_partkey AS pk
+itm AS MATERIALIZED (SELECT receipt_id, cust, d, CAST(l_extendedprice AS DECIMAL(12,2)) AS amount, p_type = 'STANDARD' AS groceries, l_returnflag = 'R' AS ret, l_partkey AS pk
         FROM lineitem JOIN part ON l_partkey = p_partkey JOIN rec ON receipt_id = l_orderkey),
-hit AS (
-  SELECT qid, kind, false AS by_item, receipt_id, amount, NULL AS pk FROM ask JOIN rec ON (who IS NULL OR who = cust) AND (d0 IS NULL OR (d >= d0 AND d < d1))
+hit AS MATERIALIZED (
+  SELECT qid, kind, false AS by_item, receipt_id, amount, NULL AS pk FROM ask JOIN reps USING (qid) JOIN rec ON rep = qid AND (who IS NULL OR who = cust) AND (d0 IS NULL OR (d >= d0 AND d < d1))
     AND (NOT ask.groceries OR rec.groceries) AND (min_amount IS NULL OR amount > min_amount) AND (NOT returned OR ret)
   UNION ALL
-  SELECT qid, kind, true, receipt_id, amount, pk FROM ask JOIN itm ON (who IS NULL OR who = cust) AND (d0 IS NULL OR (d >= d0 AND d < d1))
+  SELECT qid, kind, true, receipt_id, amount, pk FROM ask JOIN reps USING (qid) JOIN itm ON rep = qid AND (who IS NULL OR who = cust) AND (d0 IS NULL OR (d >= d0 AND d < d1))
     AND (NOT ask.groceries OR itm.groceries) AND (min_amount IS NULL OR amount > min_amount) AND (NOT returned OR ret)
 )
 """
@@ -60,25 +61,29 @@ _AGG = "CASE kind WHEN 1 THEN 'count' WHEN 2 THEN 'average' WHEN 6 THEN 'count'
 
 
 def params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return qp.parse_questions(customer_questions(spark, sf_dir))
+    """The parameter table of all customer questions, stored once and read by every later step."""
+    path = work_path(spark, "params")
+    qp.parse_questions(customer_questions(spark, sf_dir)).write.parquet(path)
+    return spark.read.parquet(path)
 
 
-def receipt_matches(spark, sf_dir) -> DataFrame:
+def receipt_matches(questions: DataFrame, spark, sf_dir) -> DataFrame:
     return qa.match(
-        params(spark, sf_dir), receipt_facts(spark, sf_dir), "receipt_id", "total_amount",
+        questions, receipt_facts(spark, sf_dir), "receipt_id", "total_amount",
         ["receipt_id", "merchant_name", "total_amount", "transaction_date", "filename"],
     )
 
 
-def item_matches(spark, sf_dir) -> DataFrame:
+def item_matches(questions: DataFrame, spark, sf_dir) -> DataFrame:
     return qa.match(
-        params(spark, sf_dir), item_facts(spark, sf_dir), "item_id", "item_price",
+        questions, item_facts(spark, sf_dir), "item_id", "item_price",
         ["receipt_id", "item_name", "item_price", "item_category", "merchant_name", "filename", "transaction_date", "total_amount"],
     )
 
 
 def qa1_filters(spark, sf_dir):
-    return receipt_matches(spark, sf_dir).select("question_id", "receipt_id")
+    unique = qa.unique_questions(params(spark, sf_dir))
+    return receipt_matches(unique, spark, sf_dir).select("question_id", "receipt_id")
 
 
 register("qa1_filters", qa1_filters, _ASKED + "SELECT qid AS question_id, receipt_id FROM hit WHERE NOT by_item")
@@ -123,7 +128,7 @@ def qa4_audit(spark, sf_dir):
 
 
 _AUDIT = _ASKED + """
-, agg AS (SELECT ask.qid, ask.kind, count(amount) AS n, sum(amount) AS s FROM ask LEFT JOIN hit ON hit.qid = ask.qid AND hit.by_item = ask.by_item
+, agg AS (SELECT ask.qid, ask.kind, count(amount) AS n, sum(amount) AS s FROM ask JOIN reps USING (qid) LEFT JOIN hit ON hit.qid = rep AND hit.by_item = ask.by_item
           WHERE figure GROUP BY 1, 2),
 res AS (SELECT qid, kind, n, CASE WHEN n > 0 THEN CASE WHEN kind IN (1, 6) THEN CAST(n AS DECIMAL(38,2)) WHEN kind <> 2 THEN CAST(s AS DECIMAL(38,2))
           ELSE CAST((2 * CAST(s * 100 AS HUGEINT) + n) // (2 * n) AS DECIMAL(36,0)) * CAST(0.01 AS DECIMAL(2,2)) END END AS v FROM agg)
@@ -132,7 +137,8 @@ register("qa4_audit", qa4_audit, _AUDIT + f"SELECT qid AS question_id, {_AGG} AS
 
 
 def qa5_distinct_receipts(spark, sf_dir):
-    hits = item_matches(spark, sf_dir).withColumn("score", F.col("item_price"))
+    unique = qa.unique_questions(params(spark, sf_dir))
+    hits = item_matches(unique, spark, sf_dir).withColumn("score", F.col("item_price"))
     return qa.distinct_receipts(hits).select(
         "question_id", "receipt_id", "merchant_name", "filename", F.date_format("transaction_date", "yyyy-MM-dd").alias("transaction_day"),
         F.col("total_amount").cast("double").alias("total_amount"), F.col("best_score").cast("double").alias("best_score"),
@@ -148,14 +154,13 @@ FROM hit JOIN rec ON rec.receipt_id = hit.receipt_id JOIN customer ON c_custkey
 
 def qa6_item_list(spark, sf_dir):
     """Items of the questions; questions about totals have no item hits and list receipts."""
-    items = item_matches(spark, sf_dir).join(
-        params(spark, sf_dir).filter(F.col("sum_basis") == "items").select("question_id"), "question_id", "left_semi"
-    )
+    unique = qa.unique_questions(params(spark, sf_dir))
+    items = item_matches(unique.filter(F.col("sum_basis") == "items"), spark, sf_dir)
     item_hits = items.select(
         "question_id", F.col("item_name").alias("name"), F.col("item_price").alias("price"),
         F.col("item_category").alias("category"), F.col("merchant_name").alias("merchant"), "filename",
     )
-    return qa.item_list(item_hits, receipt_matches(spark, sf_dir)).withColumn("price", F.col("price").cast("double"))
+    return qa.item_list(item_hits, receipt_matches(unique, spark, sf_dir)).withColumn("price", F.col("price").cast("double"))
 
 
 _WHO = "replace(c_name, '#', ' ') || CASE WHEN c_custkey % 3 = 0 THEN ' Store' ELSE '' END"
@@ -182,21 +187,13 @@ e AS (SELECT source, string_agg('--- Context ' || r || ' ---' || chr(10) || text
 SELECT source, md5(t) AS digest, CAST(length(t) AS INTEGER) AS length FROM e""")
 
 
-def _results(spark, sf_dir) -> DataFrame:
-    p, facts, items = params(spark, sf_dir), receipt_facts(spark, sf_dir), item_facts(spark, sf_dir)
-    counts = qa.match_counts(
-        qa.match(p.filter(F.col("sum_basis") == "receipts"), facts, "receipt_id", "total_amount", ["receipt_id"]).select("question_id")
-        .unionByName(qa.match(p.filter(F.col("sum_basis") == "items"), items, "item_id", "item_price", ["item_id"]).select("question_id"))
-    )
-    return qa.results(p, qa.audit(p, facts, items), counts)
-
-
 def qa8_results(spark, sf_dir):
-    return _results(spark, sf_dir).select("question_id", "answer", "confidence", "query_type")
+    out = qa.results(params(spark, sf_dir), receipt_facts(spark, sf_dir), item_facts(spark, sf_dir))
+    return out.select("question_id", "answer", "confidence", "query_type")
 
 
 _RESULT = _AUDIT + """
-, cnt AS (SELECT ask.qid, ask.kind, count(hit.receipt_id) AS m FROM ask LEFT JOIN hit ON hit.qid = ask.qid AND hit.by_item = ask.by_item GROUP BY 1, 2),
+, cnt AS (SELECT ask.qid, ask.kind, count(hit.receipt_id) AS m FROM ask JOIN reps USING (qid) LEFT JOIN hit ON hit.qid = rep AND hit.by_item = ask.by_item GROUP BY 1, 2),
 final AS (SELECT cnt.qid, m, cnt.kind, CASE WHEN m = 0 THEN 'I couldn''t find any receipts matching those criteria.'
   WHEN v IS NOT NULL THEN CASE WHEN cnt.kind IN (1, 6) THEN 'Count' WHEN cnt.kind = 2 THEN 'Average' ELSE 'Sum' END || ' over ' || n || ' values: ' || CAST(v AS DECIMAL(38,2))
   ELSE 'Found ' || m || ' matching rows.' END AS answer,
@@ -464,11 +461,14 @@ SELECT count(*) AS total_vector_count, CAST(max(len(embedding)) AS INTEGER) AS d
 
 def s8_history(spark, sf_dir):
     """Answers of all customer questions appended to the history with their first receipts, and read back."""
-    kept = history.first_per_question(
-        receipt_matches(spark, sf_dir).withColumn("receipt", F.col("receipt_id").cast("string")), "receipt", "receipt_id"
-    )
+    p = params(spark, sf_dir)
+    unique = qa.unique_questions(p).withColumn("question_id", F.col("filter_id"))
+    first = history.first_per_question(
+        receipt_matches(unique, spark, sf_dir).withColumn("receipt", F.col("receipt_id").cast("string")), "receipt", "receipt_id"
+    ).withColumnRenamed("question_id", "filter_id")
+    kept = qa.with_filter_id(p).select("question_id", "filter_id").join(first, "filter_id").drop("filter_id")
     entries = (
-        _results(spark, sf_dir)
+        qa.results(p, receipt_facts(spark, sf_dir), item_facts(spark, sf_dir))
         .join(kept, "question_id", "left")
         .join(customer_questions(spark, sf_dir), "question_id")
         .select("question_id", F.col("text").alias("question"), F.col("reference_ts").alias("asked_at"), "answer", "confidence",
@@ -485,18 +485,21 @@ def s8_history(spark, sf_dir):
 register("s8_history", s8_history, _RESULT + """
 , k AS (SELECT qid, receipt_id, row_number() OVER (PARTITION BY qid ORDER BY receipt_id) AS r FROM hit WHERE NOT by_item)
 SELECT final.qid AS question_id, answer, CAST(confidence AS DOUBLE) AS confidence, (SELECT strftime(ref, '%Y-%m-%d') FROM latest) AS asked_day,
-  coalesce((SELECT string_agg(receipt_id, ',' ORDER BY r) FROM k WHERE k.qid = final.qid AND r <= 5), '') AS receipts FROM final""")
+  coalesce((SELECT string_agg(receipt_id, ',' ORDER BY r) FROM k WHERE k.qid = (SELECT rep FROM reps WHERE reps.qid = final.qid) AND r <= 5), '') AS receipts FROM final""")
 
 
 def s9_score_batch(spark, sf_dir):
     """Questions that ask for no figure may stay empty; all others must match something."""
     p = params(spark, sf_dir)
-    scores = history.score_batch(p, qa.match_counts(receipt_matches(spark, sf_dir)), p.filter(F.col("aggregation").isNull()))
+    unique = qa.unique_questions(p).withColumn("question_id", F.col("filter_id"))
+    per_filter = qa.match_counts(receipt_matches(unique, spark, sf_dir)).withColumnRenamed("question_id", "filter_id")
+    counts = qa.with_filter_id(p).select("question_id", "filter_id").join(per_filter, "filter_id").drop("filter_id")
+    scores = history.score_batch(p, counts, p.filter(F.col("aggregation").isNull()))
     return history.score_totals(scores)
 
 
 register("s9_score_batch", s9_score_batch, _ASKED + """
-, s AS (SELECT ask.qid, count(receipt_id) AS m, bool_or(figure) AS figure FROM ask LEFT JOIN hit ON hit.qid = ask.qid AND NOT hit.by_item GROUP BY 1)
+, s AS (SELECT ask.qid, count(receipt_id) AS m, bool_or(figure) AS figure FROM ask JOIN reps USING (qid) LEFT JOIN hit ON hit.qid = rep AND NOT hit.by_item GROUP BY 1)
 SELECT count(*) AS questions, count(*) FILTER (m > 0 OR NOT figure) AS passed, count(*) FILTER (m = 0 AND figure) AS failed,
   count(*) FILTER (m = 0) AS empty FROM s""")
 
