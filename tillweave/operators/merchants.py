@@ -16,21 +16,20 @@ def normalise(name: Column) -> Column:
     return F.coalesce(F.trim(F.regexp_replace(plain, rf"\s+{tx.any_of(fixed.NAME_SUFFIXES)}$", "")), F.lit(""))
 
 
-# "spent at X" is already found by "at X", so only the shortest forms need a scan.
-_LEADS = [p for p in fixed.PREPOSITIONS if " " not in p or p.split()[-1] not in fixed.PREPOSITIONS]
 _CUT = rf"(?is)\s+{tx.any_of(fixed.NAME_CUT_WORDS)}\s+.*$"
 
 
 def by_preposition(question: Column) -> Column:
     """Capitalised runs after a preposition, cut at the first time or place word."""
-    found = F.flatten(
-        F.array(
-            *[
-                F.regexp_extract_all(question, F.lit(rf"\b{p}\s+([A-Z][A-Za-z0-9\s.&']+)"), F.lit(1))
-                for p in _LEADS
-            ]
-        )
-    )
+    none = F.array().cast("array<string>")
+    runs = [
+        F.when(
+            question.contains(p),
+            F.regexp_extract_all(question, F.lit(rf"\b{p}\s+([A-Z][A-Za-z0-9\s.&']+)"), F.lit(1)),
+        ).otherwise(none)
+        for p in fixed.PREPOSITIONS
+    ]
+    found = F.concat(*runs)
     cut = F.transform(
         found, lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), _CUT, ""), r"[.,;!?\s]+$", "")
     )

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tillweave.functions import text as tx
 from tillweave.plans.tables import month_name, table
+from tillweave.session import spread
 
 INTENT_TEMPLATES = [
     "How much did I spend in January 2000?",
@@ -85,7 +86,7 @@ def fill(template: Column) -> Column:
 
 def order_questions(spark: SparkSession, sf_dir: str, templates: list[str], reference_shift: int = 0) -> DataFrame:
     """One question per order; the reference time is the order date, moved by some days."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice"))
     pick = F.get(F.array(*[F.lit(t) for t in templates]), F.pmod("o_orderkey", F.lit(len(templates))).cast("int"))
     ref = F.date_add(F.col("o_orderdate").cast("date"), reference_shift).cast("timestamp_ntz")
     return orders.select(
@@ -95,7 +96,7 @@ def order_questions(spark: SparkSession, sf_dir: str, templates: list[str], refe
 
 def turn_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation turn as a question, for text volume."""
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"))
     key = F.lit(-1).cast("bigint") - (F.col("conv_id") * 100000 + F.col("turn"))
     return turns.select(key.alias("question_id"), "text")
 

@@ -238,7 +238,7 @@ def me2_after_prepositions(spark, sf_dir):
 
 _WHO = "replace(c_name, '#', ' ')"
 register("me2_after_prepositions", me2_after_prepositions, f"""
-SELECT c_custkey AS question_id, CASE c_custkey % 5 WHEN 0 THEN {_WHO} || '|Springfield' WHEN 1 THEN {_WHO} || '|Target and paid'
+SELECT c_custkey AS question_id, CASE c_custkey % 5 WHEN 0 THEN {_WHO} || '|Springfield|' || {_WHO} WHEN 1 THEN {_WHO} || '|Target and paid'
   WHEN 3 THEN 'Restaurant|December 2023 at Restaurant' ELSE '' END AS names FROM customer""")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tillweave.functions import text as tx
 from tillweave.operators.merchants import normalise
+from tillweave.session import spread
 
 # Category rules over the words of part names; `ring` carries two labels.
 PART_RULES = [
@@ -108,7 +109,7 @@ def month_name(number: Column) -> Column:
 
 def customer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One spending question per customer, eight kinds in turn; the reference is the latest order."""
-    customer = table(spark, sf_dir, "customer")
+    customer = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name"))
     key, who = F.col("c_custkey"), plain_merchant()
     month = F.concat(month_name((key % 12 + 1).cast("int")), F.lit(" 2000"))
     first = F.date_add(F.lit("2000-01-01").cast("date"), (key % 100).cast("int"))

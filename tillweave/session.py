@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "tillweave", master: str | None = None, **conf: str) -> SparkSession:
@@ -33,3 +33,13 @@ def work_path(spark: SparkSession, name: str) -> str:
     if not root:
         root = tempfile.mkdtemp(prefix="tillweave-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A table scan with at least one partition per core, ahead of steps that are heavy per row.
+
+    One small file is read by one task. Tables with enough splits pass through without a shuffle.
+    Only for plain scans: counting their partitions starts no job.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

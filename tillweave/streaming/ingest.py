@@ -13,7 +13,7 @@ from tillweave.sources.documents import FILE_GLOB
 
 def stream_text_files(spark: SparkSession, directory: str, glob: str = FILE_GLOB) -> DataFrame:
     """New files of a directory as ``(filename, raw_text)``."""
-    raw = spark.readStream.option("wholetext", "true").option("pathGlobFilter", glob).text(directory)
+    raw = spark.readStream.text(directory, wholetext=True, pathGlobFilter=glob)
     return raw.select(F.col("_metadata.file_name").alias("filename"), F.col("value").alias("raw_text"))
 
 
