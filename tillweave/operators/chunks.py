@@ -235,14 +235,13 @@ def chunk_statistics(chunks: DataFrame) -> DataFrame:
     Every receipt has exactly one summary, so receipts are counted without a distinct.
     """
     per_type = chunks.groupBy("chunk_type").agg(F.count(F.lit(1)).alias("chunks"))
-    totals = chunks.agg(
-        F.count_if(F.col("chunk_type") == "receipt_summary").alias("r"), F.count(F.lit(1)).alias("c")
-    ).select(F.struct("r", "c").alias("t"))
-    total = totals.scalar()
-    return per_type.withColumns(
-        {
-            "total_receipts": total["r"],
-            "total_chunks": total["c"],
-            "average_chunks_per_receipt": F.coalesce(F.try_divide(total["c"], total["r"]), F.lit(0.0)),
-        }
+    # One row per chunk type from here on, so the chunks themselves are built only once.
+    listed = per_type.agg(
+        F.collect_list(F.struct("chunk_type", "chunks")).alias("_types"),
+        F.coalesce(F.sum(F.when(F.col("chunk_type") == "receipt_summary", F.col("chunks"))), F.lit(0)).alias("total_receipts"),
+        F.sum("chunks").alias("total_chunks"),
+    )
+    mean = F.coalesce(F.try_divide("total_chunks", "total_receipts"), F.lit(0.0))
+    return listed.select(
+        F.inline("_types"), "total_receipts", "total_chunks", mean.alias("average_chunks_per_receipt")
     )
