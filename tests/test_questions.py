@@ -77,6 +77,13 @@ def test_fuzzy_names(spark):
     assert got == {1: ["Starbucks"], 2: ["Whole Foods Market"], 3: [], 4: ["Target"]}
 
 
+def test_short_names_resolve_to_known_ones(spark):
+    corpus = me.known_names(spark.createDataFrame([("Walmart Supercenter",), ("Target",)], "merchant_name string"))
+    df = spark.createDataFrame([(1, ["Walmart"]), (2, ["target store", "Elsewhere"]), (3, [])], "question_id bigint, merchants array<string>")
+    got = {r.question_id: r.merchants for r in me.resolve_names(df, corpus).collect()}
+    assert got == {1: ["Walmart Supercenter"], 2: ["Target", "Elsewhere"], 3: []}
+
+
 @pytest.mark.parametrize("measure", ["edit", "blocks"])
 def test_blocking_keys_lose_no_pair(spark, sf_dir, measure):
     """Best matches over blocking keys equal those over all pairs."""

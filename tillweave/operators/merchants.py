@@ -107,30 +107,8 @@ def edit_ratio(a: Column, b: Column) -> Column:
     return F.lit(1.0) - F.levenshtein(a, b) / longest
 
 
-def _name_keys(names: DataFrame, slack: float) -> DataFrame:
-    """Blocking keys of known names: position segments, every 3-gram, and the first 3-gram."""
-    size = F.length("name_norm")
-    parts = F.floor(size * slack).cast("int") + 1
-    segments = F.transform(
-        F.sequence(F.lit(0), parts - 1),
-        lambda s: F.concat_ws(
-            "|",
-            F.lit("s"),
-            size.cast("string"),
-            s.cast("string"),
-            F.substring(
-                F.col("name_norm"),
-                F.floor(size * s / parts).cast("int") + 1,
-                (F.floor(size * (s + 1) / parts) - F.floor(size * s / parts)).cast("int"),
-            ),
-        ),
-    )
-    grams = F.transform(_grams(F.col("name_norm")), lambda g: F.concat(F.lit("t|"), g))
-    lead = F.array(F.concat(F.lit("n|"), F.left(F.col("name_norm"), F.lit(3))))
-    return names.withColumn("_key", F.explode(F.array_distinct(F.concat(segments, grams, lead))))
-
-
 def _grams(column: Column) -> Column:
+    """Distinct 3-letter substrings."""
     return F.array_distinct(
         F.transform(
             F.sequence(F.lit(1), F.greatest(F.length(column) - 2, F.lit(1))),
@@ -139,43 +117,59 @@ def _grams(column: Column) -> Column:
     )
 
 
-def _token_keys(toks: DataFrame, slack: float, pair_slack: Column, shortest: float) -> DataFrame:
-    """Keys of typed tokens: for each name length within reach, the substrings a shared segment
-    could sit at; its first 3-gram (token inside name) and all its 3-grams (name inside token)."""
+def _segment_keys(names: DataFrame, slack: float) -> DataFrame:
+    """A name of length n is cut into floor(n * slack) + 1 segments; each is a key with its place."""
+    size = F.length("name_norm")
+    parts = F.floor(size * slack).cast("int") + 1
+
+    def key(s: Column) -> Column:
+        start = F.floor(size * s / parts).cast("int")
+        width = F.floor(size * (s + 1) / parts).cast("int") - start
+        return F.concat_ws("|", size, s, F.substring(F.col("name_norm"), start + 1, width))
+
+    return names.withColumn("_key", F.explode(F.transform(F.sequence(F.lit(0), parts - 1), key)))
+
+
+def _window_keys(toks: DataFrame, slack: float, pair_slack: Column, shortest: float) -> DataFrame:
+    """For each name length within reach of a token, the substrings a shared segment could be."""
     size = F.length("token_norm")
     reach = toks.withColumn(
         "_len",
-        F.explode(
-            F.sequence(F.ceil(size * shortest).cast("int"), F.floor(size / shortest).cast("int"))
-        ),
-    ).withColumn("_parts", F.floor(F.col("_len") * slack).cast("int") + 1)
-    reach = reach.withColumn("_max", F.floor(pair_slack).cast("int"))
+        F.explode(F.sequence(F.ceil(size * shortest).cast("int"), F.floor(size / shortest).cast("int"))),
+    )
+    reach = reach.withColumns(
+        {"_parts": F.floor(F.col("_len") * slack).cast("int") + 1, "_max": F.floor(pair_slack).cast("int")}
+    )
     reach = reach.withColumn("_seg", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     start = F.floor(F.col("_len") * F.col("_seg") / F.col("_parts")).cast("int")
-    width = (F.floor(F.col("_len") * (F.col("_seg") + 1) / F.col("_parts")) - start).cast("int")
-    reach = reach.withColumn("_start", start).withColumn("_width", width)
+    width = F.floor(F.col("_len") * (F.col("_seg") + 1) / F.col("_parts")).cast("int") - start
+    reach = reach.withColumns({"_start": start, "_width": width})
     low = F.greatest(F.col("_start") - F.col("_max"), F.lit(0))
     high = F.least(F.col("_start") + F.col("_max"), size - F.col("_width"))
-    texts = F.when(
-        low <= high,
-        F.array_distinct(
-            F.transform(
-                F.sequence(low, F.greatest(low, high)),
-                lambda p: F.concat_ws(
-                    "|",
-                    F.lit("s"),
-                    F.col("_len").cast("string"),
-                    F.col("_seg").cast("string"),
-                    F.substring(F.col("token_norm"), p + 1, F.col("_width")),
-                ),
-            )
-        ),
+    texts = F.transform(
+        F.sequence(low, F.greatest(low, high)),
+        lambda p: F.concat_ws("|", "_len", "_seg", F.substring(F.col("token_norm"), p + 1, F.col("_width"))),
     )
-    by_segment = reach.select("token_norm", F.explode(texts).alias("_key"))
-    grams = F.transform(_grams(F.col("token_norm")), lambda g: F.concat(F.lit("n|"), g))
-    lead = F.array(F.concat(F.lit("t|"), F.left(F.col("token_norm"), F.lit(3))))
-    by_gram = toks.select("token_norm", F.explode(F.concat(grams, lead)).alias("_key"))
-    return by_segment.unionByName(by_gram)
+    return reach.filter(low <= high).select("token_norm", F.explode(F.array_distinct(texts)).alias("_key"))
+
+
+def _contained(inner: DataFrame, inner_text: str, outer: DataFrame, outer_text: str) -> DataFrame:
+    """Pairs where the inner text occurs in the outer one.
+
+    They meet on the inner text's rarest 3-gram among the outer texts, so a gram that most texts
+    share is never a key; an inner text with a gram no outer text has meets nothing.
+    """
+    outer_grams = outer.select(outer_text, F.explode(_grams(F.col(outer_text))).alias("_g"))
+    counts = outer_grams.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = (
+        inner.select(inner_text, F.explode(_grams(F.col(inner_text))).alias("_g"))
+        .join(counts, "_g", "left")
+        .groupBy(inner_text)
+        .agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_g")).alias("_r"))
+        .filter(F.col("_r.n") > 0)
+        .select(inner_text, F.col("_r._g").alias("_g"))
+    )
+    return rarest.join(outer_grams, "_g").filter(F.col(outer_text).contains(F.col(inner_text))).drop("_g")
 
 
 def best_matches(
@@ -185,9 +179,9 @@ def best_matches(
     """Best known name of every distinct token: ``(token_norm, name, score)``.
 
     A token and a name score their similarity, raised to 0.9 when one contains the other. Only pairs
-    sharing a blocking key are scored. The keys lose no pair above the threshold: strings within
-    ``d`` edits share one of ``d + 1`` segments of the name within ``d`` places, and contained
-    strings share the first 3-gram of the shorter one. ``measure`` is ``edit`` (JVM only) or
+    sharing a key are scored. The keys lose no pair above the threshold: strings within ``d`` edits
+    share one of ``d + 1`` segments of the name within ``d`` places, and contained strings share
+    every 3-gram of the shorter one. ``measure`` is ``edit`` (JVM only) or
     ``blocks`` (matching blocks, Arrow batches over the candidate pairs alone).
     """
     miss = 1.0 - threshold
@@ -208,11 +202,15 @@ def best_matches(
     names = (
         corpus.groupBy("name_norm").agg(F.min("name").alias("name")).filter(F.length("name_norm") >= 3)
     )
+    near = _window_keys(typed, slack + 1e-9, pair + 1e-9, shortest - 1e-9).join(
+        _segment_keys(names.select("name_norm"), slack + 1e-9), "_key"
+    )
     pairs = (
-        _token_keys(typed, slack + 1e-9, pair + 1e-9, shortest - 1e-9)
-        .join(_name_keys(names, slack + 1e-9), "_key")
-        .select("token_norm", "name_norm", "name")
+        near.select("token_norm", "name_norm")
+        .unionByName(_contained(typed, "token_norm", names, "name_norm"))
+        .unionByName(_contained(names, "name_norm", typed, "token_norm"))
         .distinct()
+        .join(names, "name_norm")
     )
     a, b = F.col("token_norm"), F.col("name_norm")
     ratio = edit_ratio(a, b) if measure == "edit" else block_ratio(a, b)
@@ -257,3 +255,26 @@ def extract_merchants(
     return joined.withColumn(
         "merchants", F.when(F.size("merchants") > 0, F.col("merchants")).otherwise(fuzzy)
     ).drop("_found")
+
+
+def resolve_names(
+    params: DataFrame, corpus: DataFrame, question_id: str = "question_id", measure: str = "blocks"
+) -> DataFrame:
+    """Replaces merchants that equal no known name by their best known match.
+
+    Equality of normal forms comes first; the rest, such as a chain's short name, goes through the
+    fuzzy match with its containment rule. A name without any match stays as it is.
+    """
+    listed = params.select(question_id, F.posexplode("merchants").alias("_pos", "_name")).withColumn(
+        "token_norm", normalise(F.col("_name"))
+    )
+    known = corpus.groupBy("name_norm").agg(F.min("name").alias("_same"))
+    seen = listed.join(known, F.col("token_norm") == F.col("name_norm"), "left").drop("name_norm")
+    best = best_matches(seen.filter(F.col("_same").isNull()), corpus, "_name", measure)
+    named = seen.join(best.select("token_norm", F.col("name").alias("_near")), "token_norm", "left")
+    final = F.struct("_pos", F.coalesce("_same", "_near", "_name").alias("name"))
+    # One question names few merchants; the array is bounded by its own text.
+    merged = named.groupBy(question_id).agg(F.array_sort(F.collect_list(final)).alias("_m"))
+    joined = params.join(merged, question_id, "left")
+    resolved = F.transform("_m", lambda m: m["name"])
+    return joined.withColumn("merchants", F.coalesce(resolved, F.col("merchants"))).drop("_m").select(*params.columns)
