@@ -146,7 +146,9 @@ ASKED = [
 ]
 
 
-def test_matching_against_all_pairs(spark):
+@pytest.mark.parametrize("limit", [0, 200_000])
+def test_matching_against_all_pairs(spark, monkeypatch, limit):
+    monkeypatch.setattr(qa, "BROADCAST_ROWS", limit)
     facts = spark.createDataFrame(FACTS, "receipt_id bigint, merchant_name_norm string, transaction_date timestamp_ntz, payment_method string, card_network string, total_amount decimal(12,2), categories array<string>, is_return boolean, has_discounts boolean")
     facts = facts.withColumns({c: F.lit(False) for c in ("has_warranty", "has_delivery_fee", "has_tip")})
     params = spark.createDataFrame(

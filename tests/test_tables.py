@@ -87,9 +87,12 @@ def test_question_parameters_shuffle_nothing(spark):
     assert "Exchange" not in plan and "Python" not in plan
 
 
-def test_matching_never_multiplies_blindly(spark, sf_dir):
+def test_matching_never_multiplies_blindly(spark, sf_dir, monkeypatch):
+    from tillweave.operators import answers
     from tillweave.plans import catalog_answers as ca
 
+    assert "BroadcastHashJoin" in plan_of(ca.qa1_filters(spark, sf_dir))
+    monkeypatch.setattr(answers, "BROADCAST_ROWS", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         plan = plan_of(ca.qa1_filters(spark, sf_dir))
@@ -98,6 +101,14 @@ def test_matching_never_multiplies_blindly(spark, sf_dir):
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan and "SortMergeJoin" in plan
 
 
+@pytest.mark.parametrize("name", ["v4_top_k_many", "qa7_evidence"])
+def test_ranking_prunes_before_the_shuffle(spark, sf_dir, name):
+    import __spark_entry__ as registered
+
+    plan = plan_of(registered.queries()[name](spark, sf_dir))
+    assert "WindowGroupLimit" in plan and plan.index("Exchange") < plan.rindex("WindowGroupLimit")
+
+
 @pytest.mark.parametrize("name", ["da3_top_merchants", "v3_filtered_top_k"])
 def test_top_k_keeps_k_rows_per_task(spark, sf_dir, name):
     import __spark_entry__ as registered

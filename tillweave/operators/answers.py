@@ -10,6 +10,9 @@ from tillweave.operators.merchants import normalise
 # Facts under questions without any selective filter are dealt over this many join keys.
 OPEN_SALTS = 32
 
+# Most question keys that may be sent to every executor; each is a short row.
+BROADCAST_ROWS = 200_000
+
 FLAGS = ["has_warranty", "is_return", "has_discounts", "has_delivery_fee", "has_tip"]
 
 
@@ -69,17 +72,20 @@ def question_keys(params: DataFrame) -> DataFrame:
     return params.withColumn("_merchant_keys", named).withColumn("_key", F.explode(keys))
 
 
-def fact_keys(facts: DataFrame, fact_id: str) -> DataFrame:
-    """One row per fact and join key of each kind a question may use."""
+def fact_keys(facts: DataFrame, fact_id: str, kinds: list[str]) -> DataFrame:
+    """One row per fact and join key, for the kinds of key that the questions use."""
     salt = F.pmod(F.xxhash64(fact_id), F.lit(OPEN_SALTS))
-    single = F.array(
-        F.concat(F.lit("m:"), "merchant_name_norm"),
-        F.concat(F.lit("d:"), F.trunc(F.col("transaction_date").cast("date"), "month").cast("string")),
-        F.concat(F.lit("p:"), "payment_method"),
-        F.concat(F.lit("a:"), salt.cast("string")),
-    )
-    labelled = F.transform("categories", lambda c: F.concat(F.lit("c:"), c))
-    return facts.withColumn("_key", F.explode(F.array_compact(F.concat(single, labelled))))
+    month = F.trunc(F.col("transaction_date").cast("date"), "month")
+    single = {
+        "m": F.concat(F.lit("m:"), "merchant_name_norm"),
+        "d": F.concat(F.lit("d:"), month.cast("string")),
+        "p": F.concat(F.lit("p:"), "payment_method"),
+        "a": F.concat(F.lit("a:"), salt.cast("string")),
+    }
+    keys = F.array(*[single[k] for k in kinds if k in single]).cast("array<string>")
+    if "c" in kinds:
+        keys = F.concat(keys, F.transform("categories", lambda c: F.concat(F.lit("c:"), c)))
+    return facts.withColumn("_key", F.explode(F.array_compact(keys)))
 
 
 def match(
@@ -90,11 +96,15 @@ def match(
 
     Facts need merchant_name_norm, transaction_date, payment_method, categories and the flag columns.
     One equi-join on the keys above finds the candidates; the full predicate is checked on each.
-    Spark broadcasts the question side when its size allows and otherwise shuffles, splitting hot
-    keys at run time. A range of months or a list of names meets a fact once; of several shared
-    categories only the first produces the pair.
+    The question keys and their kinds are counted first: up to BROADCAST_ROWS they are broadcast and the facts are
+    not moved at all, beyond that both sides are shuffled and Spark splits hot keys at run time.
+    ``params`` should be a stored table. A range of months or a list of names meets a fact once; of
+    several shared categories only the first produces the pair.
     """
-    q, f = question_keys(params).alias("q"), fact_keys(facts, fact_id).alias("f")
+    keys = question_keys(params)
+    seen = keys.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.left("_key", F.lit(1))).alias("kinds")).first()
+    q = (F.broadcast(keys) if seen["n"] <= BROADCAST_ROWS else keys).alias("q")
+    f = fact_keys(facts, fact_id, sorted(seen["kinds"])).alias("f")
     ts = F.col("f.transaction_date")
     shared = F.array_intersect(F.col("f.categories"), F.col("q.categories"))
     first_shared = F.concat(F.lit("c:"), F.get(shared, F.lit(0)))
