@@ -98,7 +98,7 @@ def test_blocking_keys_lose_no_pair(spark, sf_dir, measure):
         return row[-1]
 
     names = [r.p_name for r in spark.read.parquet(f"{sf_dir}/part.parquet").select("p_name").distinct().collect()]
-    typed = sorted({n[:i] + n[i + 1:] for n in names[:12] for i in range(len(n))} | {n[::-1] for n in names[:10]} | {n[:5] for n in names} | {"rodhot", "blu ringg", "xyz"})
+    typed = sorted({n[:i] + n[i + 1:] for n in names[:12] for i in range(len(n))} | {n[::-1] for n in names[:10]} | {n[:5] for n in names} | {"rodhot", "blu ringg", "xyz"} | set(names[:6]))
     got = {
         r.token_norm: (r.name, round(r.score, 6))
         for r in me.best_matches(
@@ -190,3 +190,13 @@ def test_cosine_of_a_zero_vector_is_null(spark):
 
     df = spark.createDataFrame([([0.0, 0.0], [1.0, 0.0]), ([3.0, 4.0], [3.0, 4.0])], "a array<float>, b array<float>")
     assert [r[0] for r in df.select(ve.cosine(F.col("a"), F.col("b"))).collect()] == [None, 1.0]
+
+
+def test_hashed_neighbours_find_a_vector_itself(spark, sf_dir):
+    from tillweave.operators import vectors as ve
+
+    vecs = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    asked = vecs.select(F.col("vec_id").alias("q"), "embedding")
+    near = ve.similar_pairs_lsh(vecs, asked, "vec_id", "q", "embedding", 0.3)
+    own = near.filter("q = vec_id").collect()
+    assert len(own) == vecs.count() and all(abs(r.score - 1.0) < 1e-6 for r in own)

@@ -202,6 +202,10 @@ def best_matches(
     names = (
         corpus.groupBy("name_norm").agg(F.min("name").alias("name")).filter(F.length("name_norm") >= 3)
     )
+    # An equal name scores one, which nothing can beat, so such tokens need no candidates.
+    same = F.col("token_norm") == F.col("name_norm")
+    equal = typed.join(names, same).select("token_norm", "name", F.lit(1.0).alias("score"))
+    typed = typed.join(names.select("name_norm"), same, "left_anti")
     near = _window_keys(typed, slack + 1e-9, pair + 1e-9, shortest - 1e-9).join(
         _segment_keys(names.select("name_norm"), slack + 1e-9), "_key"
     )
@@ -223,7 +227,8 @@ def best_matches(
         .groupBy("token_norm")
         .agg(F.min(F.struct((-F.col("score")).alias("neg"), "name")).alias("_best"))
     )
-    return best.select("token_norm", F.col("_best.name").alias("name"), (-F.col("_best.neg")).alias("score"))
+    scored_best = best.select("token_norm", F.col("_best.name").alias("name"), (-F.col("_best.neg")).alias("score"))
+    return equal.unionByName(scored_best)
 
 
 def with_prepositions(questions: DataFrame, text: str = "text") -> DataFrame:
