@@ -61,7 +61,7 @@ def rows(clean: Column) -> Column:
         F.split(F.lower(clean), "\n"),
         lambda line, low: F.struct(line.alias("line"), low.alias("low")),
     )
-    return F.filter(both, lambda r: r["line"] != "")
+    return F.when(clean == "", F.array().cast("array<struct<line:string,low:string>>")).otherwise(both)
 
 
 def first_match(text: Column, pattern: str, group: int = 1) -> Column:

@@ -23,8 +23,15 @@ def is_item_candidate(low: Column) -> Column:
 
 def clean_name(name: Column) -> Column:
     """Whitespace collapsed and a trailing pack size such as ``(4)`` removed."""
-    flat = F.regexp_replace(F.trim(name), r"\s+", " ")
-    return F.when(flat.contains("("), F.regexp_replace(flat, r"\s*\(\d+\)\s*$", "")).otherwise(flat)
+
+    def collapse(n: Column) -> Column:
+        spaced = tx.contains_any(n, ["  ", "\t", "\n", "\r", "\x0b", "\x0c"])
+        return F.trim(F.when(spaced, F.regexp_replace(n, r"\s+", " ")).otherwise(n))
+
+    def without_pack(n: Column) -> Column:
+        return F.when(n.contains("("), F.regexp_replace(n, r"\s*\(\d+\)\s*$", "")).otherwise(n)
+
+    return tx.let(tx.let(name, collapse), without_pack)
 
 
 def parse_line(line: Column) -> Column:
