@@ -6,6 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # The white space and the letters that the contracts name.
@@ -44,14 +47,12 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def slices(texts: list, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Index ranges of consecutive texts with about ``most`` characters together; a longer text is a range of its own."""
-    begin, total = 0, 0
-    for i, text in enumerate(texts):
-        size = len(text) if text else 0
-        if i > begin and total + size > most:
-            yield begin, i
-            begin, total = i, 0
-        total += size
-    if begin < len(texts):
-        yield begin, len(texts)
+def slices_of(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts of an Arrow column with about ``most`` bytes together; a longer text is a range of
+    its own. What a worker holds beside its batch is bounded by that."""
+    ends, begin = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64)), 0
+    while begin < len(ends):
+        before = ends[begin - 1] if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield begin, stop
+        begin = stop

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillweave.llm import lines, mixing
+from tillweave.llm import lines, mixing, tokens
 from tillweave.llm.common import LOWER, SHARED_SQL_SPACES, UPPER, table
 
 
@@ -18,6 +18,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.token_files(docs, tokens.public_tokenizer())
+
+
 OP2_SQL = f"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS key,
@@ -62,5 +67,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-QUERIES = {"op2_mixing": op2_mixing, "op7_line_dedup": op7_line_dedup}
+QUERIES = {"op2_mixing": op2_mixing, "op7_line_dedup": op7_line_dedup, "op10_token_output": op10_token_output}
 ORACLES = {"op2_mixing": OP2_SQL, "op7_line_dedup": OP7_SQL}
