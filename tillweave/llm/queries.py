@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillweave.llm import lines, mixing, tokens
+from tillweave.llm import decontaminate, lines, mixing, tokens
 from tillweave.llm.common import LOWER, SHARED_SQL_SPACES, UPPER, table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix_plan(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -67,5 +72,5 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-QUERIES = {"op2_mixing": op2_mixing, "op7_line_dedup": op7_line_dedup, "op10_token_output": op10_token_output}
+QUERIES = {"op1_decontamination": op1_decontamination, "op2_mixing": op2_mixing, "op7_line_dedup": op7_line_dedup, "op10_token_output": op10_token_output}
 ORACLES = {"op2_mixing": OP2_SQL, "op7_line_dedup": OP7_SQL}
