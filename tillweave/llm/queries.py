@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillweave.llm import decontaminate, lines, mixing, tokens
+from tillweave.llm import decontaminate, licenses, lines, mixing, tokens, vafile
 from tillweave.llm.common import LOWER, SHARED_SQL_SPACES, UPPER, table
 
 
@@ -18,11 +18,21 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return licenses.scan_licenses(docs).drop("spans")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vafile.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.token_files(docs, tokens.public_tokenizer())
@@ -60,6 +70,15 @@ SELECT doc_id, size, source_size, target,
        + greatest(0, least(run_end, take % shard_size) - run_end + size) END::BIGINT AS taken FROM run
 """
 
+OP8_SQL = f"""
+WITH v AS (SELECT vec_id, [floor({vafile.SCALE} * x::DOUBLE)::BIGINT FOR x IN embedding] AS x FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum([a[1] * a[2] FOR a IN list_zip(q.x, c.x)])::BIGINT AS score
+          FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
 OP7_SQL = f"""
 WITH line AS (SELECT doc_id, unnest(str_split(coalesce(text, ''), chr(10))) AS line,
               generate_subscripts(str_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
@@ -72,5 +91,12 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op2_mixing": op2_mixing, "op7_line_dedup": op7_line_dedup, "op10_token_output": op10_token_output}
-ORACLES = {"op2_mixing": OP2_SQL, "op7_line_dedup": OP7_SQL}
+QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op2_mixing": op2_mixing,
+    "op5_license_scan": op5_license_scan,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_top_k": op8_top_k,
+    "op10_token_output": op10_token_output,
+}
+ORACLES = {"op2_mixing": OP2_SQL, "op7_line_dedup": OP7_SQL, "op8_top_k": OP8_SQL}
