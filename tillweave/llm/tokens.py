@@ -19,9 +19,11 @@ Only the counts of the vocabulary and one total per partition reach the driver.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
-import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,15 +38,16 @@ MAX_BITS = 20
 STRIDE = 256
 BLOCK_TOKENS = 1 << 18
 #: Distinct words whose ids a worker remembers before it starts anew; bounds memory, changes no result.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 800_000
 
 
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, remembered word by word.
 
-    The byte-level pre-tokenizer never joins a character that isn't white space to white space after it, so a text
-    can be cut before a blank that follows such a character, and the ids of the parts stand in a row. Each distinct
-    part is encoded once by the library.
+    The byte-level pre-tokenizer cuts wherever white space follows another character, after a line feed that another
+    character follows, and between a letter and a full stop or comma. A text is cut at such places only, so the ids of
+    its parts stand in a row; each distinct part is encoded once by the library. Texts with white space before a blank
+    or line feed are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -53,45 +56,65 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.kind = np.dtype("<u4" if self.wide else "<u2")
+        self.letter = "I" if self.wide else "H"
         self.memo: dict[str, bytes] = {}
-
-    def parts(self, text: str) -> list[str]:
-        """The first part, then parts whose leading blank is left out."""
-        words = text.split(" ")
-        if not _SPACE_BEFORE_BLANK.search(text):
-            return words
-        out = words[:1]
-        for word in words[1:]:
-            if out[-1][-1:].isspace() or (out[-1] == "" and len(out) > 1):
-                out[-1] += " " + word
-            else:
-                out.append(word)
-        return out
+        self.uncut: set[str] = set()  # parts that white space ends
+        self.marks = dict(zip(".,", self.looked_up([".", ","])))
 
     def looked_up(self, parts: list[str]) -> list[bytes]:
         out = []
         for begin in range(0, len(parts), 20_000):
-            got = self.tokenizer.encode_batch_fast(parts[begin : begin + 20_000], add_special_tokens=False)
-            out += [np.array(x.ids, self.kind).tobytes() for x in got]
+            for got in self.tokenizer.encode_batch_fast(parts[begin : begin + 20_000], add_special_tokens=False):
+                ids = array(self.letter, got.ids)
+                if sys.byteorder == "big":
+                    ids.byteswap()
+                out.append(ids.tobytes())
+        return out
+
+    def looked_up_words(self, words: list[str], at_once: int = 1000) -> list[bytes]:
+        """Words of letters only, a blank before each: many to a call, as each is one pre-token."""
+        out = []
+        for begin in range(0, len(words), at_once):
+            some = words[begin : begin + at_once]
+            got = self.tokenizer.encode_batch([" " + " ".join(some)], add_special_tokens=False)[0]
+            owner = np.array(got.word_ids)
+            ends = np.flatnonzero(np.diff(owner, append=owner[-1] + 1)) + 1
+            if len(ends) != len(some):  # a letter that the library takes for something else
+                out += self.looked_up([" " + w for w in some])
+                continue
+            size = 4 if self.wide else 2
+            blob = np.array(got.ids, "<u4" if self.wide else "<u2").tobytes()
+            ends = (ends * size).tolist()
+            out += [blob[a:b] for a, b in zip([0, *ends], ends)]
         return out
 
+    def learn(self, parts: set[str]) -> None:
+        """Remembers parts. One that doesn't begin with a line feed stands for a blank and itself."""
+        memo, marks = self.memo, self.marks
+        marked = [p for p in parts if p[-1:] in marks and p[-2:-1].isalpha()]
+        stems = (parts.difference(marked) | {p[:-1] for p in marked}).difference(memo)
+        plain = [p for p in stems if p.isalpha()]
+        other = list(stems.difference(plain))
+        memo.update(zip(plain, self.looked_up_words(plain)))
+        memo.update(zip(other, self.looked_up([p if p[:1] == "\n" else " " + p for p in other])))
+        for p in marked:
+            memo[p] = memo[p[:-1]] + marks[p[-1]]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
         if len(self.memo) > MEMO_WORDS:
             self.memo = {}
         memo = self.memo
-        cut = [self.parts(t) for t in texts]
-        first = self.looked_up([parts.pop(0) for parts in cut])
-        seen: set[str] = set()
-        for parts in cut:
-            seen.update(parts)
-        fresh = [p for p in seen if p not in memo]
-        memo.update(zip(fresh, self.looked_up([" " + p for p in fresh])))
-        return [a + b"".join(map(memo.__getitem__, parts)) for a, parts in zip(first, cut)]
-
-
-_SPACE_BEFORE_BLANK = re.compile(r"\s ")
+        cut = [t.replace("\n", " \n").split(" ") for t in texts]
+        heads = [parts.pop(0) for parts in cut]
+        fresh = set(itertools.filterfalse(memo.__contains__, itertools.chain.from_iterable(cut)))
+        self.uncut.update(p for p in fresh if p == "" or p[-1].isspace())
+        whole = [i for i, (a, parts) in enumerate(zip(heads, cut)) if a[-1:].isspace() or self.uncut and not self.uncut.isdisjoint(parts)]
+        for i in whole:
+            heads[i], cut[i] = texts[i], []
+        self.learn(fresh)
+        get = memo.__getitem__
+        return [a + b"".join(map(get, parts)) if parts else a for a, parts in zip(self.looked_up(heads), cut)]
 
 
 @functools.lru_cache(maxsize=1)
@@ -104,7 +127,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(tokenizer_path)
-        end = np.array([end_id], encoder.kind).tobytes()
+        end = np.array([end_id], "<u4" if encoder.wide else "<u2").tobytes()
         for batch in batches:
             for begin, stop in slices_of(batch.column(1)):
                 part = batch.slice(begin, stop - begin)
