@@ -56,3 +56,15 @@ def slices_of(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]
         stop = max(begin + 1, int(np.searchsorted(ends, before + most, "right")))
         yield begin, stop
         begin = stop
+
+
+def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All UTF-8 bytes under a string column and its offsets into them; a null is as long as an empty text."""
+    column = column.cast(pa.large_binary())
+    if column.null_count:
+        column = pc.fill_null(column, b"")
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    if data is None or not len(offsets):
+        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
