@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillweave.llm import decontaminate, langid, licenses, lines, mixing, tokens, toxicity, vafile
+from tillweave.llm import decontaminate, langid, licenses, lines, mixing, pages, tokens, toxicity, vafile
 from tillweave.llm.common import LOWER, SHARED_SQL_SPACES, UPPER, table
 
 
@@ -46,6 +46,10 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.top_k(vectors, vectors.where("vec_id % 20 = 0"), 20)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokens.token_files(docs, tokens.public_tokenizer())
@@ -112,6 +116,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_line_dedup": op7_line_dedup,
     "op8_top_k": op8_top_k,
+    "op9_html_extraction": op9_html_extraction,
     "op10_token_output": op10_token_output,
 }
 ORACLES = {"op2_mixing": OP2_SQL, "op7_line_dedup": OP7_SQL, "op8_top_k": OP8_SQL}
