@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillweave.llm import decontaminate, langid, licenses, lines, mixing, pages, tokens, toxicity, vafile
+from tillweave.llm import decontaminate, langid, licenses, lines, mixing, neardup, pages, tokens, toxicity, vafile
 from tillweave.llm.common import LOWER, SHARED_SQL_SPACES, UPPER, table
 
 
@@ -25,6 +25,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), words=2)
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return licenses.scan_licenses(docs).drop("spans")
@@ -112,6 +116,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
+    "op4_near_dedup": op4_near_dedup,
     "op5_license_scan": op5_license_scan,
     "op6_language_id": op6_language_id,
     "op7_line_dedup": op7_line_dedup,
