@@ -25,9 +25,9 @@ from tillweave.llm.common import slices_of, stored
 from tillweave.llm.langid import held_out
 
 #: Bounds of the labelled sample and of what is learnt from it.
-PER_LABEL = 4000
-TERMS = 4096
-LEAST_TEST = 12.0
+PER_LABEL = 1500
+TERMS = 1024
+LEAST_TEST = 24.0
 NEIGHBOURS = 25
 BLOCK = 64
 THRESHOLD = 0.3
@@ -75,12 +75,12 @@ class Model(NamedTuple):
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         found, score = np.zeros(0, np.int64), np.zeros(0)
-        done = 0
+        done, step = 0, 8
         while done < len(order):
             if len(score) >= k and bound[order[done]] < score[k - 1] - 1e-12:
                 break
-            blocks = order[done : done + 4]
-            done += 4
+            blocks = order[done : done + step]
+            done, step = done + step, 2 * step
             first, end = self.pointer[t][:, blocks], self.pointer[t][:, blocks + 1]
             n = (end - first).ravel()
             at = np.repeat(first.ravel() - (np.cumsum(n) - n), n) + np.arange(n.sum())
