@@ -9,10 +9,11 @@ exceeds the guarantee in every chunk with a probability below 3e-6, falling stee
 Work on Spark:
 
 1. Equal sets are one node from the start (their fingerprint), so copies never meet as pairs.
-2. Each bucket links its nodes to its smallest one. Of these candidates, filtered by size and signature, each node
-   verifies the most similar on full sets; verified links make components by distributed min-label contraction.
-3. Buckets that still hold nodes of several components list their pairs across components, which are filtered and all
-   verified. Pairs inside a component change nothing and are never listed.
+2. Each bucket proposes its smallest and its largest node to the others. Of these candidates, filtered by size and
+   signature, each node verifies the most similar on full sets; verified links make components by distributed
+   min-label contraction. Buckets that still hold several components propose another hub in one more round.
+3. Buckets that then hold nodes of several components list all their pairs across components, which are filtered and
+   all verified. Pairs inside a component change nothing and are never listed, so no link between components is lost.
 
 Hot buckets are pre-aggregated; tables between steps are written to the shared folder, so that later joins deal both
 sides anew, adaptive execution can split hot keys, and lost executors cost a task, not the chain.
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tillweave.llm.common import bytes_of, slices_of, stored
 
@@ -116,7 +117,14 @@ def signatures(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-SKETCH = "doc_id long, n long, node long, check long, signature binary"
+SKETCH = "doc_id long, n long, node long, check long, signature binary, x1 long, x2 long"
+#: Equal symbols that a candidate must show (0.8 falls short with a probability of 2e-5), and bits in which its two
+#: 64-bit extracts may differ together (each differing symbol flips a bit half of the time; 0.8 does so in 13 +- 4).
+LEAST_SAME = 44
+MOST_BITS = 34
+#: Candidates that a node verifies in a round of stars, and the rounds after the first, each with other hubs.
+VERIFY = 3
+MORE_ROUNDS = (17,)
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
@@ -124,7 +132,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, stop in slices_of(batch.column(1)):
+            for begin, stop in slices_of(batch.column(1), 1 << 18):
                 part = batch.slice(begin, stop - begin)
                 values, ends = shingle_sets(*bytes_of(part.column(1)), words)
                 n = np.diff(ends, prepend=0)
@@ -132,7 +140,10 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 check = reduced(np.bitwise_xor, mixed(values * _M3 + _M1), ends, 0)
                 rows = signatures(values, ends)
                 columns = [part.column(0), pa.array(n, pa.int64()), pa.array(node.view(np.int64)), pa.array(check.view(np.int64)), pa.array([r.tobytes() for r in rows], pa.binary())]
-                yield pa.record_batch(columns, names=["doc_id", "n", "node", "check", "signature"])
+                for low, bit in ((0, 0), (SYMBOLS - 64, 1)):
+                    packed = np.packbits(((rows[:, low : low + 64] >> bit) & 1).astype(bool), axis=1)
+                    columns.append(pa.array(np.ascontiguousarray(packed).view(np.int64).reshape(-1)))
+                yield pa.record_batch(columns, names=["doc_id", "n", "node", "check", "signature", "x1", "x2"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH)
 
@@ -151,17 +162,16 @@ def keys_of(sets: DataFrame, *more: str) -> DataFrame:
 
 
 def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of (a, b), those whose sizes can have the similarity and whose signatures lie within the guaranteed distance,
-    with the number of equal symbols."""
+    """Of (a, b), those whose sizes can have the similarity and whose signatures share ``LEAST_SAME`` symbols, with the
+    number of equal ones."""
     side = lambda s: sets.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("signature").alias(f"s_{s}"))
-    most = 2 * CHUNKS - 1
     both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = (np.frombuffer(bytes_of(batch.column(i))[0], np.uint16).reshape(-1, SYMBOLS) for i in (2, 3))
             same = (left == right).sum(1)
-            near = same >= SYMBOLS - most
+            near = same >= LEAST_SAME
             yield pa.record_batch([batch.column(0).filter(pa.array(near)), batch.column(1).filter(pa.array(near)), pa.array(same[near], pa.int32())], names=["a", "b", "same"])
 
     return both.select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long, same int")
@@ -173,7 +183,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, per
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, stop in slices_of(batch.column(1)):
+            for begin, stop in slices_of(batch.column(1), 1 << 18):
                 part = batch.slice(begin, stop - begin)
                 values, ends = shingle_sets(*bytes_of(part.column(1)), words)
                 node = reduced(np.add, mixed(values * _M2), ends, 0).view(np.int64)
@@ -229,28 +239,49 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     copies; rows without an id are never the smallest, and are kept where nothing else is. An empty table gives none.
     """
     base = stored(sketches(docs, words), "sketches")
-    sets = base.where("n > 0").groupBy("node", "check", "n").agg(F.min("doc_id").alias("rep"), F.max("signature").alias("signature"))
+    sets = base.where("n > 0").groupBy("node", "check", "n").agg(
+        F.min("doc_id").alias("rep"), F.max("x1").alias("x1"), F.max("x2").alias("x2"), F.max("signature").alias("signature")
+    )
     sets = stored(sets.where("rep IS NOT NULL"), "sets")
-    found = keys_of(sets).groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    found = stored(found, "buckets")
-    # Buckets of two are a pair as they stand; larger ones meet their nodes again.
-    meet = keys_of(sets).join(found.where("rows > 2").select("key", "hub"), "key").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    pairs = found.where("rows = 2").select(F.col("other").alias("a"), F.col("hub").alias("b")).unionByName(meet).distinct()
-    near = stored(alike(pairs, sets, percent), "near-pairs")
-    best = near.groupBy("a").agg(F.max_by("b", F.struct("same", "b")).alias("b"))
-    links = stored(verified(best, sets, docs, words, percent), "first-links")
-    labels = stored(components(links), "first-labels")
-
-    marked = sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rows = keys_of(marked, "label", "n")
-    mixed_keys = stored(
-        rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key"), "mixed-buckets"
+    found = keys_of(sets, "x1", "x2").groupBy("key").agg(
+        F.min("node").alias("hub"), F.max("node").alias("other"), F.count(F.lit(1)).alias("rows"), F.bit_xor("x1").alias("d1"), F.bit_xor("x2").alias("d2")
     )
-    members = stored(rows.join(mixed_keys, "key"), "mixed-rows")
-    right = members.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
+    # In a bucket of two, the xor of the extracts is the pair's own; chance meetings end here.
+    chance = f"rows = 2 AND bit_count(d1) + bit_count(d2) > {MOST_BITS}"
+    found = stored(found.where(f"rows > 1 AND NOT ({chance})").select("key", "hub", "other", "rows"), "buckets")
+    meet = keys_of(sets).join(found.where("rows > 2").select("key", "hub", "other"), "key")
+    meet = meet.select(F.col("node").alias("a"), F.explode(F.array("hub", "other")).alias("b")).where("a != b")
+    pairs = found.where("rows = 2").select(F.col("other").alias("a"), F.col("hub").alias("b")).unionByName(meet).distinct()
+
+    def star_links(pairs: DataFrame) -> DataFrame:
+        near = stored(alike(pairs, sets, percent), "near-pairs")
+        order = Window.partitionBy("a").orderBy(F.col("same").desc(), "b")  # at most a hub or two per key
+        best = near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= VERIFY)
+        return stored(verified(best, sets, docs, words, percent), "star-links")
+
+    def labelled(links: DataFrame) -> DataFrame:
+        return stored(components(links), "labels")
+
+    def with_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    def mixed_rows(rows: DataFrame) -> DataFrame:
+        """Rows of buckets that hold nodes of several components."""
+        several = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+        return stored(rows.join(stored(several, "mixed-buckets"), "key"), "mixed-rows")
+
+    links = star_links(pairs)
+    members = mixed_rows(keys_of(with_labels(sets, labelled(links)), "label", "n", "x1", "x2"))
+    for seed in MORE_ROUNDS:
+        chosen = F.xxhash64(F.lit(seed), F.col("node"))
+        hubs = stored(members.groupBy("key").agg(F.min_by("node", chosen).alias("b"), F.min_by("label", chosen).alias("label_b")), "hubs")
+        again = members.join(hubs, "key").where("label != label_b").select(F.col("node").alias("a"), "b").distinct()
+        links = links.unionByName(star_links(again))
+        members = mixed_rows(with_labels(members.drop("label"), labelled(links)))
+    right = members.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), F.col("x1").alias("y1"), F.col("x2").alias("y2"))
     across = (
-        members.select("key", F.col("node").alias("a"), "label", "n").join(right, "key")
-        .where(f"label < label_b AND 100 * least(n, n_b) >= {percent} * greatest(n, n_b)").select("a", "b").distinct()
+        members.select("key", F.col("node").alias("a"), "label", "n", "x1", "x2").join(right, "key")
+        .where(f"label < label_b AND bit_count(x1 ^ y1) + bit_count(x2 ^ y2) <= {MOST_BITS} AND 100 * least(n, n_b) >= {percent} * greatest(n, n_b)").select("a", "b").distinct()
     )
     more = verified(stored(alike(across, sets, percent), "across-pairs").select("a", "b"), sets, docs, words, percent)
     final = components(links.unionByName(more))
