@@ -127,7 +127,7 @@ def train(texts: list[str], labels: list[str], seed: int = 11, epochs: int = EPO
     return Network(languages, *values)
 
 
-def predict(net: Network, data: np.ndarray, offsets: np.ndarray, at_once: int = 256) -> np.ndarray:
+def predict(net: Network, data: np.ndarray, offsets: np.ndarray, at_once: int = 128) -> np.ndarray:
     """Log probabilities of each text, from all of its windows; texts without bytes get equal ones."""
     sizes = np.diff(offsets)
     code = folded(data[offsets[0] : offsets[-1]]) if len(sizes) else np.zeros(0, np.uint8)
@@ -187,7 +187,7 @@ def identify(docs: DataFrame, net: Network) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for batch in batches:
-            for begin, stop in slices_of(batch.column(place), 1 << 19):
+            for begin, stop in slices_of(batch.column(place), 1 << 18):
                 part = batch.slice(begin, stop - begin)
                 data, offsets = bytes_of(part.column(place))
                 if net.languages:
