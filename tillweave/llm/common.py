@@ -68,3 +68,11 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if data is None or not len(offsets):
         return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """Has the session hand texts to Python in batches of at most ``rows`` rows, which bounds what a worker holds."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return df

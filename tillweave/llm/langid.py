@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tillweave.llm.common import bytes_of, slices_of
+from tillweave.llm.common import bytes_of, slices_of, small_batches
 
 #: Bounds of the labelled sample.
 PER_LANGUAGE = 500
@@ -206,4 +206,4 @@ def identify(docs: DataFrame, net: Network) -> DataFrame:
                 yield pa.record_batch(columns, names=[*part.schema.names, "lang_pred", "score"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)

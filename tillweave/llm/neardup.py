@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tillweave.llm.common import bytes_of, slices_of, stored
+from tillweave.llm.common import bytes_of, slices_of, small_batches, stored
 
 CHUNKS = 12
 CHUNK = 6
@@ -145,7 +145,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                     columns.append(pa.array(np.ascontiguousarray(packed).view(np.int64).reshape(-1)))
                 yield pa.record_batch(columns, names=["doc_id", "n", "node", "check", "signature", "x1", "x2"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH)
 
 
 def keys_of(sets: DataFrame, *more: str) -> DataFrame:
