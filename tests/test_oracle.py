@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as registered
 from compare import compare, connect
+from tillweave.plans import catalog
 
 QUERIES, SQL = registered.queries(), registered.oracle_sql()
 
@@ -15,7 +16,7 @@ def test_every_sql_has_a_query():
 
 
 def test_only_the_text_features_go_without_sql():
-    assert set(QUERIES) - set(SQL) == {"v1_text_features"}
+    assert set(catalog.QUERIES) - set(SQL) == {"v1_text_features"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
