@@ -111,12 +111,33 @@ MONTH_WORDS = [
     "august|aug", "september|sept|sep", "october|oct", "november|nov", "december|dec",
 ]
 
-HOLIDAYS = [
-    "thanksgiving", "christmas", "new years", "new year", "black friday", "cyber monday",
-    "memorial day", "labor day", "fourth of july", "halloween",
+# Name, month and day counted from, weekday that follows it (None: the day itself), days after that.
+HOLIDAY_CALENDAR = [
+    ("thanksgiving", 10, 31, "Thu", 21),
+    ("christmas", 12, 25, None, 0),
+    ("new years", 1, 1, None, 0),
+    ("new year", 1, 1, None, 0),
+    ("black friday", 10, 31, "Thu", 22),
+    ("cyber monday", 10, 31, "Thu", 25),
+    ("memorial day", 5, 24, "Mon", 0),
+    ("labor day", 8, 31, "Mon", 0),
+    ("fourth of july", 7, 4, None, 0),
+    ("halloween", 10, 31, None, 0),
 ]
 
-MONTH_SPAN_YEARS = 5
+HOLIDAYS = [name for name, *_ in HOLIDAY_CALENDAR]
+
+# --- Fixed values: time phrases ----------------------------------------------------------
+
+ANY_MONTH = "(" + "|".join(MONTH_WORDS) + ")"
+STATED_YEAR = r"(20\d{2})"
+ISO_DAY = r"\b(20\d{2})-(\d{2})-(\d{2})\b"
+SLASH_DAY = r"\b(\d{1,2})/(\d{1,2})/(\d{2,4})\b"
+TEXTUAL_DAY = rf"\b{ANY_MONTH}\s+(\d{{1,2}})(?:st|nd|rd|th)?,?\s*(20\d{{2}})?\b"
+DAYS_BACK = r"(?:last|past)\s+(\d+)\s+days?"
+QUARTER = r"q([1-4])\s*(20\d{2})?"
+SINCE = r"(?s)since(.*)$"
+BETWEEN = r"(?s)between\s+(.+?)\s+and\s+(.+)$"
 
 # --- Fixed values: questions -------------------------------------------------------------
 
@@ -212,6 +233,14 @@ SEMANTIC_TERMS = [
     ("restaurants", ["restaurant", "burger", "pizza", "sandwich", "salad", "pasta", "steak"]),
 ]
 
+# Labels that a concept's items carry, for questions that name no category.
+CONCEPT_CATEGORIES = [
+    ("health related", ["pharmacy"]),
+    ("treats", ["treats"]),
+    ("coffee shops", ["coffee_shop", "fast_food"]),
+    ("restaurants", ["restaurant", "fast_food"]),
+]
+
 ITEM_BASIS_WORDS = ["items", "buy", "bought", "purchase"]
 
 # --- Fixed values: merchants in questions --------------------------------------------------

@@ -114,12 +114,10 @@ def day_of(year: Column, month: Column, day: Column) -> Column:
     ).cast("date")
 
 
-_MONTH_SPELLINGS = [w for words in fixed.MONTH_WORDS for w in words.split("|")]
-_MONTH_STARTS = "".join(m[:3] for m in fixed.MONTHS)
-
-
 def month_number(word: Column) -> Column:
     """Month number of an English month word in any case, null otherwise."""
     low = F.lower(word)
-    at = F.instr(F.lit(_MONTH_STARTS), F.left(low, F.lit(3)))
-    return F.when(low.isin(_MONTH_SPELLINGS), ((at + 2) / 3).cast("int"))
+    out = F.lit(None).cast("int")
+    for number, spellings in enumerate(fixed.MONTH_WORDS, 1):
+        out = F.when(low.isin(spellings.split("|")), number).otherwise(out)
+    return out

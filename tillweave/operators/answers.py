@@ -10,9 +10,6 @@ from tillweave.operators.merchants import normalise
 # Facts under questions without any selective filter are dealt over this many join keys.
 OPEN_SALTS = 32
 
-# Most question keys that may be sent to every executor; each is a short row.
-BROADCAST_ROWS = 200_000
-
 FLAGS = ["has_warranty", "is_return", "has_discounts", "has_delivery_fee", "has_tip"]
 
 
@@ -52,8 +49,8 @@ def question_keys(params: DataFrame) -> DataFrame:
     """One row per question and join key.
 
     A question uses its most selective filter: merchants, else the months of its date range, else
-    its categories, else its payment method, else salts that cover all facts. Names are compared in
-    their normal form.
+    its month of the year, else its categories, else its payment method, else salts that cover all
+    facts. Names are compared in their normal form.
     """
     named = F.array_distinct(F.transform("merchants", normalise))
     months = _months(F.col("start_ts"), F.col("end_ts"), F.col("month_of_year"))
@@ -65,6 +62,7 @@ def question_keys(params: DataFrame) -> DataFrame:
     keys = (
         F.when(F.size("merchants") > 0, tagged(named, "m"))
         .when(F.col("start_ts").isNotNull(), tagged(months, "d"))
+        .when(F.col("month_of_year").isNotNull(), F.array(F.concat(F.lit("y:"), F.col("month_of_year").cast("string"))))
         .when(F.size("categories") > 0, tagged(F.col("categories"), "c"))
         .when(F.col("payment_method").isNotNull(), F.array(F.concat(F.lit("p:"), "payment_method")))
         .otherwise(tagged(salts, "a"))
@@ -72,20 +70,22 @@ def question_keys(params: DataFrame) -> DataFrame:
     return params.withColumn("_merchant_keys", named).withColumn("_key", F.explode(keys))
 
 
-def fact_keys(facts: DataFrame, fact_id: str, kinds: list[str]) -> DataFrame:
-    """One row per fact and join key, for the kinds of key that the questions use."""
+def fact_keys(facts: DataFrame, fact_id: str, kinds: Column) -> DataFrame:
+    """One row per fact and join key, for the kinds of key in the array ``kinds`` that the questions use."""
     salt = F.pmod(F.xxhash64(fact_id), F.lit(OPEN_SALTS))
     month = F.trunc(F.col("transaction_date").cast("date"), "month")
     single = {
         "m": F.concat(F.lit("m:"), "merchant_name_norm"),
         "d": F.concat(F.lit("d:"), month.cast("string")),
+        "y": F.concat(F.lit("y:"), F.month("transaction_date").cast("string")),
         "p": F.concat(F.lit("p:"), "payment_method"),
         "a": F.concat(F.lit("a:"), salt.cast("string")),
     }
-    keys = F.array(*[single[k] for k in kinds if k in single]).cast("array<string>")
-    if "c" in kinds:
-        keys = F.concat(keys, F.transform("categories", lambda c: F.concat(F.lit("c:"), c)))
-    return facts.withColumn("_key", F.explode(F.array_compact(keys)))
+    used = lambda kind: F.array_contains("_kinds", kind)
+    keys = F.array(*[F.when(used(kind), key) for kind, key in single.items()])
+    labels = F.when(used("c"), F.transform("categories", lambda c: F.concat(F.lit("c:"), c)))
+    keys = F.concat(keys, F.coalesce(labels, F.array().cast("array<string>")))
+    return facts.withColumn("_kinds", kinds).withColumn("_key", F.explode(F.array_compact(keys))).drop("_kinds")
 
 
 def match(
@@ -96,15 +96,14 @@ def match(
 
     Facts need merchant_name_norm, transaction_date, payment_method, categories and the flag columns.
     One equi-join on the keys above finds the candidates; the full predicate is checked on each.
-    The question keys and their kinds are counted first: up to BROADCAST_ROWS they are broadcast and the facts are
-    not moved at all, beyond that both sides are shuffled and Spark splits hot keys at run time.
+    Nothing runs while the plan is built: the kinds of key in use are a scalar subquery, and Spark chooses by the size
+    of the question keys whether they are broadcast or both sides are shuffled and hot keys split at run time.
     ``params`` should be a stored table. A range of months or a list of names meets a fact once; of
     several shared categories only the first produces the pair.
     """
     keys = question_keys(params)
-    seen = keys.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.left("_key", F.lit(1))).alias("kinds")).first()
-    q = (F.broadcast(keys) if seen["n"] <= BROADCAST_ROWS else keys).alias("q")
-    f = fact_keys(facts, fact_id, sorted(seen["kinds"])).alias("f")
+    q = keys.alias("q")
+    f = fact_keys(facts, fact_id, keys.agg(F.collect_set(F.left("_key", F.lit(1)))).scalar()).alias("f")
     ts = F.col("f.transaction_date")
     shared = F.array_intersect(F.col("f.categories"), F.col("q.categories"))
     first_shared = F.concat(F.lit("c:"), F.get(shared, F.lit(0)))

@@ -238,7 +238,7 @@ def with_prepositions(questions: DataFrame, text: str = "text") -> DataFrame:
 
 def extract_merchants(
     questions: DataFrame, corpus: DataFrame | None = None, question_id: str = "question_id",
-    text: str = "text", measure: str = "blocks",
+    text: str = "text", measure: str = "edit",
 ) -> DataFrame:
     """Adds ``merchants``: names after prepositions, else fuzzy matches against the corpus."""
     direct = with_prepositions(questions, text)
@@ -263,7 +263,7 @@ def extract_merchants(
 
 
 def resolve_names(
-    params: DataFrame, corpus: DataFrame, question_id: str = "question_id", measure: str = "blocks"
+    params: DataFrame, corpus: DataFrame, question_id: str = "question_id", measure: str = "edit"
 ) -> DataFrame:
     """Replaces merchants that equal no known name by their best known match.
 

@@ -85,6 +85,21 @@ def semantic_terms(text: Column) -> Column:
     return F.array_distinct(F.flatten(F.array_compact(F.array(*mapped))))
 
 
+def concept_categories(text: Column) -> Column:
+    """Labels of every concept that the text names or hints at, distinct, in rule order."""
+    low, words = F.lower(text), dict(fixed.SEMANTIC_TERMS)
+    mapped = [
+        F.when(_found(low, [concept] + words[concept]), F.array(*[F.lit(label) for label in labels]))
+        for concept, labels in fixed.CONCEPT_CATEGORIES
+    ]
+    return F.array_distinct(F.flatten(F.array_compact(F.array(*mapped))))
+
+
+def filter_categories(text: Column) -> Column:
+    """The categories a question names, else those of its concepts, so that sums run over the items asked for."""
+    return tx.let(categories(text), lambda named: F.when(F.size(named) > 0, named).otherwise(concept_categories(text)))
+
+
 def aggregation(text: Column) -> Column:
     return tx.case_rules(F.lower(text), [(l, tx.any_of(p)) for l, p in fixed.AGGREGATION_RULES])
 
@@ -108,7 +123,7 @@ PARAM_COLUMNS = [
 
 def parse_questions(
     questions: DataFrame, corpus: DataFrame | None = None, question_id: str = "question_id",
-    text: str = "text", measure: str = "blocks",
+    text: str = "text", measure: str = "edit",
 ) -> DataFrame:
     """``(question_id, text, reference_ts)`` to one parameter row per question.
 
@@ -123,7 +138,7 @@ def parse_questions(
             "original_query": q,
             "query_type": intent(q),
             "metric": metric(q),
-            "categories": categories(q),
+            "categories": filter_categories(q),
             "payment_method": payment_method(q),
             "card_network": card_network(q),
             **flags(q),

@@ -43,7 +43,7 @@ MONTH_TEMPLATES = ["spending in {m} {y}", "show {m} receipts", "no month named"]
 RELATIVE_TEMPLATES = [
     "receipts of today", "what about yesterday", "what did I buy last week", "spending this week",
     "spent last month", "total this month", "over the last 10 days", "the past 3 days",
-    "all of last year", "so far this year", "some other time",
+    "all of last year", "so far this year", "some other time", "in the last 100000 days",
 ]
 QUARTER_TEMPLATES = ["totals for Q1 {y}", "q2 spending", "Q3 of this", "how was Q4 {y}", "no quarter... quiet"]
 HOLIDAY_NAMES = [

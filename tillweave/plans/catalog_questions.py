@@ -186,18 +186,20 @@ def qp10_parameters(spark, sf_dir):
     )
 
 
+# A question that names no category is filtered by that of its concept.
+_FILTER_CATS = [*_CATS[:16], "treats", *_CATS[17:]]
 _NAMED = [""] * 20
 _NAMED[3] = "Austin"
 _D = "CAST(o_orderdate AS DATE)"
 _START = ["NULL"] * 20
 _END = ["NULL"] * 20
 _START[0], _END[0] = "DATE '2000-01-01'", "DATE '2000-02-01'"
-_START[1], _END[1] = f"make_date(year({_D}) - 5, 12, 1)", f"make_date(year({_D}) + 1, 1, 1)"
+_END[1] = f"make_date(year({_D}) + 1, 1, 1)"
 _START[2], _END[2] = f"date_trunc('week', {_D})::DATE - 7", f"date_trunc('week', {_D})::DATE"
 register("qp10_parameters", qp10_parameters, "SELECT o_orderkey AS question_id, " + ", ".join(
     f"{_by_template([_q(x) for x in v])} AS {n}" for n, v in {
         "query_type": _INTENTS, "metric": _METRICS, "aggregation": _AGGS, "sum_basis": _BASES, "payment_method": _PAY,
-        "card_network": _NET, "categories": _CATS, "merchants": _NAMED,
+        "card_network": _NET, "categories": _FILTER_CATS, "merchants": _NAMED,
     }.items()
 ) + f", strftime(CAST({_by_template(_START)} AS DATE), '%Y-%m-%d') AS start_day, strftime(CAST({_by_template(_END)} AS DATE), '%Y-%m-%d') AS end_day, "
     "CAST(CASE WHEN o_orderkey % 20 = 1 THEN 12 END AS INTEGER) AS month_of_year FROM orders")
@@ -348,8 +350,8 @@ def _range_sql(ranges: list[tuple], shift: int = 0, month: list | None = None, c
 WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CAST(o_orderdate AS DATE) + {shift} AS ref FROM orders),
 r AS (SELECT o_orderkey AS question_id, CAST(CASE o_orderkey % {n} {start} END AS DATE) AS s, CAST(CASE o_orderkey % {n} {end} END AS DATE) AS e,
       CASE o_orderkey % {n} {at} END AS t, CAST(CASE o_orderkey % {n} {moy} END AS INTEGER) AS m FROM o)
-SELECT question_id, strftime(s, '%Y-%m-%d') AS start_day, strftime(e, '%Y-%m-%d') AS end_day, CASE WHEN s IS NOT NULL THEN t END AS end_time,
-  CASE WHEN s IS NOT NULL THEN m END AS month_of_year FROM r"""
+SELECT question_id, strftime(s, '%Y-%m-%d') AS start_day, strftime(e, '%Y-%m-%d') AS end_day, CASE WHEN e IS NOT NULL THEN t END AS end_time,
+  CASE WHEN e IS NOT NULL THEN m END AS month_of_year FROM r"""
 
 
 _IF2000 = "CASE WHEN year(d) >= 2000 THEN d END"
@@ -365,7 +367,7 @@ register("tr3_textual_day", _phrases(asked.TEXTUAL_TEMPLATES, tr.textual_day, 40
     (f"CASE WHEN year(d) >= 2000 THEN d ELSE {_YEARLESS} END", f"CASE WHEN year(d) >= 2000 THEN d + 1 ELSE {_YEARLESS} + 1 END"),
     (_YEARLESS, f"{_YEARLESS} + 1"), (_YEARLESS, f"{_YEARLESS} + 1"), _NEVER], 40))
 
-_SPAN = "make_date(year(ref) - 5, month(d), 1)", "CAST(make_date(year(ref), month(d), 1) + INTERVAL 1 MONTH AS DATE)"
+_SPAN = "NULL", "CAST(make_date(year(ref), month(d), 1) + INTERVAL 1 MONTH AS DATE)"
 _MONTH0 = (f"CASE WHEN year(d) >= 2000 THEN {_MON} ELSE {_SPAN[0]} END", f"CASE WHEN year(d) >= 2000 THEN CAST({_MON} + INTERVAL 1 MONTH AS DATE) ELSE {_SPAN[1]} END")
 register("tr4_named_month", _phrases(asked.MONTH_TEMPLATES, tr.named_month), _range_sql(
     [_MONTH0, _SPAN, _NEVER], month=["CASE WHEN year(d) < 2000 THEN month(d) END", "month(d)", "NULL"]))
@@ -376,7 +378,7 @@ _YEAR = "make_date(year(ref), 1, 1)"
 register("tr5_relative", _phrases(asked.RELATIVE_TEMPLATES, tr.relative), _range_sql([
     ("ref", "ref", _DAY6), ("ref - 1", "ref"), (f"{_MONDAY} - 7", _MONDAY), (_MONDAY, "ref", _DAY6),
     (f"CAST({_FIRST} - INTERVAL 1 MONTH AS DATE)", _FIRST), (_FIRST, "ref", _DAY6), ("ref - 10", "ref", _DAY6), ("ref - 3", "ref", _DAY6),
-    ("make_date(year(ref) - 1, 1, 1)", _YEAR), (_YEAR, "ref", _DAY6), _NEVER]))
+    ("make_date(year(ref) - 1, 1, 1)", _YEAR), (_YEAR, "ref", _DAY6), _NEVER, ("ref - 100000", "ref", _DAY6)]))
 
 
 def _quarter_sql(number: int, year: str) -> tuple:
