@@ -65,8 +65,9 @@ def top_k(
     rows = vectors if predicate is None else vectors.filter(predicate)
     # The query is one value for the whole scan, usually a scalar subquery.
     asked = rows.withColumn("_query", query)
-    scored = asked.withColumn("score", F.round(cosine(F.col(embedding), F.col("_query")), 6)).drop("_query")
-    return scored.filter(F.col("score").isNotNull()).orderBy(F.desc("score"), F.asc(vector_id)).limit(k)
+    scored = asked.withColumn("score", cosine(F.col(embedding), F.col("_query"))).drop("_query")
+    best = scored.filter(F.col("score").isNotNull()).orderBy(F.desc("score"), F.asc(vector_id)).limit(k)
+    return best.withColumn("score", F.round("score", 6))
 
 
 def top_k_many(
@@ -75,7 +76,7 @@ def top_k_many(
 ) -> DataFrame:
     """The k best rows for every query vector: ``(query_id, vector_id, score, rank)``, exact.
 
-    The number of queries is checked first. Up to QUERY_BLOCK of them ride along as one scalar
+    Rows are ranked on the full score, which is rounded for output only. The number of queries is checked first. Up to QUERY_BLOCK of them ride along as one scalar
     subquery value and the vectors are scanned once without a shuffle. More are dealt into blocks
     that meet the vectors by an equi-join on (block, salt), so neither side is held whole anywhere.
     Each task keeps its own best k per query before the last ranking.
@@ -99,10 +100,11 @@ def top_k_many(
         )
         paired = dealt.join(blocks, ["_b", "_s"]).withColumn("_p", F.explode("_ps"))
     scored = paired.select(
-        F.col("_p.q").alias(query_id), vector_id, F.round(dot(F.col("_u"), F.col("_p.u")), 6).alias("score")
+        F.col("_p.q").alias(query_id), vector_id, dot(F.col("_u"), F.col("_p.u")).alias("score")
     ).filter(F.col("score").isNotNull())
     order = Window.partitionBy(query_id).orderBy(F.desc("score"), F.asc(vector_id))
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.withColumn("score", F.round("score", 6))
 
 
 def similar_pairs_lsh(vectors: DataFrame, queries: DataFrame, vector_id: str, query_id: str, embedding: str, distance: float, bucket: float = 0.5, tables: int = 4) -> DataFrame:

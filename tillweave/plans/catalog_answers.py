@@ -320,7 +320,7 @@ _CENTROID_SQL = """
 WITH p AS (SELECT vec_id, label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
 cp AS (SELECT label AS q, i, avg(CAST(v AS DOUBLE)) AS m FROM p GROUP BY 1, 2),
 c AS (SELECT q, list(m ORDER BY i) AS u FROM cp GROUP BY 1),
-s AS (SELECT q, vec_id, label, round(list_cosine_similarity(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), u), 6) AS score FROM embeddings, c)
+s AS (SELECT q, vec_id, label, list_cosine_similarity(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), u) AS score FROM embeddings, c)
 """
 
 
@@ -329,7 +329,7 @@ def v2_cosine(spark, sf_dir):
     return vectors.join(means, "label").select("vec_id", F.round(ve.cosine(F.col("embedding"), F.col("mean")), 6).alias("score"))
 
 
-register("v2_cosine", v2_cosine, _CENTROID_SQL + "SELECT vec_id, score FROM s WHERE q = label")
+register("v2_cosine", v2_cosine, _CENTROID_SQL + "SELECT vec_id, round(score, 6) AS score FROM s WHERE q = label")
 
 
 def v3_filtered_top_k(spark, sf_dir):
@@ -341,8 +341,9 @@ def v3_filtered_top_k(spark, sf_dir):
 register("v3_filtered_top_k", v3_filtered_top_k, """
 WITH p AS (SELECT unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
 c AS (SELECT list(m ORDER BY i) AS u FROM (SELECT i, avg(CAST(v AS DOUBLE)) AS m FROM p GROUP BY 1))
-SELECT vec_id, label, round(list_cosine_similarity(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), u), 6) AS score FROM embeddings, c
-WHERE label IN (3, 5) ORDER BY score DESC, vec_id LIMIT 10""")
+SELECT vec_id, label, round(full_score, 6) AS score FROM (
+  SELECT vec_id, label, list_cosine_similarity(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), u) AS full_score FROM embeddings, c WHERE label IN (3, 5))
+ORDER BY full_score DESC, vec_id LIMIT 10""")
 
 
 def v4_top_k_many(spark, sf_dir):
@@ -351,7 +352,7 @@ def v4_top_k_many(spark, sf_dir):
 
 
 register("v4_top_k_many", v4_top_k_many, _CENTROID_SQL + """
-SELECT query_label, vec_id, score, CAST(r AS INTEGER) AS rank FROM (
+SELECT query_label, vec_id, round(score, 6) AS score, CAST(r AS INTEGER) AS rank FROM (
   SELECT q AS query_label, vec_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 5""")
 
 
@@ -400,7 +401,7 @@ register("s1_documents", s1_documents,
 
 def s2_only_new(spark, sf_dir):
     """Documents that carry no label yet."""
-    return src.only_new(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "lang")
+    return src.only_new(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ("doc_id",)).select("doc_id", "lang")
 
 
 register("s2_only_new", s2_only_new, "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -419,11 +420,13 @@ UNION ALL SELECT 'readable', CAST(count(*) AS VARCHAR) FROM base WHERE dmg < 0""
 
 
 def s4_upsert(spark, sf_dir):
-    """Purchases rewritten twice in one batch replace their old rows; the newest version wins."""
+    """Purchases rewritten twice in one batch replace their old rows; late older versions of the others change nothing."""
     events = table(spark, sf_dir, "events").select("event_id", "event_type", "value", F.lit(1).alias("version"))
     bought = events.filter(F.col("event_type") == "purchase")
     batch = bought.withColumns({"value": F.col("value") + 1, "version": F.lit(2)}).unionByName(
         bought.filter(F.col("value") > 20).withColumns({"value": F.col("value") + 2, "version": F.lit(3)})
+    ).unionByName(
+        events.filter(F.col("event_type") != "purchase").withColumns({"value": F.col("value") - 7, "version": F.lit(0)})
     )
     return tb.upsert(events, batch, ["event_id"], "version").withColumn("value", F.round("value", 2))
 

@@ -27,10 +27,13 @@ def build_session(app: str = "tillweave", master: str | None = None, **conf: str
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names no folder (local tests) is a temporary one made.
+    Where the session names none, a local one gets a temporary folder; a cluster is refused, as its executors
+    wouldn't share that.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tillweave-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -8,9 +8,18 @@ FILE_GLOB = "receipt_*.txt"
 
 
 def scan_text_files(spark: SparkSession, directory: str, glob: str = FILE_GLOB) -> DataFrame:
-    """One row per UTF-8 file: ``(filename, raw_text)``."""
-    raw = spark.read.text(directory, wholetext=True, pathGlobFilter=glob)
-    return raw.select(F.col("_metadata.file_name").alias("filename"), F.col("value").alias("raw_text"))
+    """One row per UTF-8 file: ``(filename, raw_text, path, content_sha256)``."""
+    return with_identity(spark.read.text(directory, wholetext=True, pathGlobFilter=glob))
+
+
+def with_identity(files: DataFrame) -> DataFrame:
+    """The columns of whole text files: the name to show, the text, and what tells a file apart: its full path and
+    the hash of its content."""
+    text = F.col("value")
+    return files.select(
+        F.col("_metadata.file_name").alias("filename"), text.alias("raw_text"),
+        F.col("_metadata.file_path").alias("path"), F.sha2(text, 256).alias("content_sha256"),
+    )
 
 
 def documents_from_table(table: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -24,9 +33,13 @@ def land(raw: DataFrame, path: str, mode: str = "append") -> None:
     raw.write.mode(mode).parquet(path)
 
 
-def only_new(incoming: DataFrame, loaded: DataFrame, key: str = "filename") -> DataFrame:
-    """Incoming rows whose key is not loaded yet."""
-    return incoming.join(loaded.select(key).distinct(), key, "left_anti")
+def only_new(incoming: DataFrame, loaded: DataFrame, keys: tuple[str, ...] = ("path", "content_sha256")) -> DataFrame:
+    """Incoming rows whose key isn't loaded yet.
+
+    By default a file is known by path and content: one of the same name in another folder is new, and so is one
+    that was rewritten.
+    """
+    return incoming.join(loaded.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def readable(receipts: DataFrame) -> DataFrame:

@@ -7,21 +7,30 @@ from pyspark.sql.types import StructType
 
 
 def newest(rows: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """The newest row per key. A mergeable maximum, so a key with very many versions is never gathered."""
+    """The newest row per key. A mergeable maximum, so a key with very many versions is never gathered.
+
+    Of rows with equal versions the one with the largest hash of all its columns wins, whatever their order, so
+    a retry gives the same row. A null version is refused with an error.
+    """
     rest = [c for c in rows.columns if c not in keys and c != version]
-    top = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(version)).alias("_r"), F.max(version).alias(version))
+    refused = F.raise_error(F.lit(f"{version} must not be null"))
+    stated = rows.withColumn(version, F.when(F.col(version).isNull(), refused).otherwise(F.col(version)))
+    order = F.struct(F.col(version), F.sha2(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}), 256))
+    top = stated.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r"), F.max(version).alias(version))
     return top.select(*[c if c in keys or c == version else F.col(f"_r.{c}") for c in rows.columns])
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """Existing rows without a newer version, plus the newest row of every incoming key.
+    """The row with the highest version of every key, stored or incoming; a late older version changes nothing.
 
-    ``existing`` has unique keys; only the incoming batch is aggregated, and the existing table is
-    passed over by one anti join, which Spark broadcasts for small batches.
+    Only keys of the incoming batch are aggregated; the other rows of ``existing`` pass an anti join, which Spark
+    broadcasts for small batches.
     """
-    batch = newest(new, keys, version)
-    kept = existing.join(batch.select(*keys), keys, "left_anti")
-    return kept.select(*existing.columns).unionByName(batch.select(*existing.columns))
+    columns = existing.columns
+    touched = new.select(*keys).distinct()
+    untouched = existing.join(touched, keys, "left_anti").select(*columns)
+    stored = existing.join(touched, keys, "left_semi").select(*columns)
+    return untouched.unionByName(newest(stored.unionByName(new.select(*columns)), keys, version).select(*columns))
 
 
 def delete_keys(table: DataFrame, gone: DataFrame, table_key: str, gone_key: str) -> DataFrame:
