@@ -15,6 +15,7 @@ Work on Spark:
 3. Buckets that then hold nodes of several components list all their pairs across components, which are filtered and
    all verified. Pairs inside a component change nothing and are never listed, so no link between components is lost.
 
+Keys of one node alone end in a first count, which is all that is shuffled for them; the buckets are made of the rest.
 Hot buckets are pre-aggregated; tables between steps are written to the shared folder, so that later joins deal both
 sides anew, adaptive execution can split hot keys, and lost executors cost a task, not the chain.
 """
@@ -122,6 +123,8 @@ SKETCH = "doc_id long, n long, node long, check long, signature binary, x1 long,
 #: 64-bit extracts may differ together (each differing symbol flips a bit half of the time; 0.8 does so in 13 +- 4).
 LEAST_SAME = 44
 MOST_BITS = 34
+#: The same for one extract (0.8 has 6 +- 2 and more than this with a probability below 1e-6; chance has 32 +- 4).
+MOST_BITS_OF_ONE = 20
 #: Candidates that a node verifies in a round of stars, and the rounds after the first, each with other hubs.
 VERIFY = 3
 MORE_ROUNDS = (17,)
@@ -243,13 +246,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         F.min("doc_id").alias("rep"), F.max("x1").alias("x1"), F.max("x2").alias("x2"), F.max("signature").alias("signature")
     )
     sets = stored(sets.where("rep IS NOT NULL"), "sets")
-    found = keys_of(sets, "x1", "x2").groupBy("key").agg(
-        F.min("node").alias("hub"), F.max("node").alias("other"), F.count(F.lit(1)).alias("rows"), F.bit_xor("x1").alias("d1"), F.bit_xor("x2").alias("d2")
-    )
+    # Most keys belong to one node alone. A first pass sends keys and counts only; all later ones see the shared keys.
+    shared = stored(keys_of(sets).groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key"), "shared-keys")
+    members = stored(keys_of(sets, "x1").join(shared, "key").select("key", "node", "x1"), "members")
     # In a bucket of two, the xor of the extracts is the pair's own; chance meetings end here.
-    chance = f"rows = 2 AND bit_count(d1) + bit_count(d2) > {MOST_BITS}"
-    found = stored(found.where(f"rows > 1 AND NOT ({chance})").select("key", "hub", "other", "rows"), "buckets")
-    meet = keys_of(sets).join(found.where("rows > 2").select("key", "hub", "other"), "key")
+    met = f"NOT (count(1) = 2 AND bit_count(bit_xor(x1)) > {MOST_BITS_OF_ONE})"
+    found = members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other"), F.count(F.lit(1)).alias("rows"), F.expr(met).alias("met"))
+    found = stored(found.where("met").select("key", "hub", "other", "rows"), "buckets")
+    meet = members.select("key", "node").join(found.where("rows > 2").select("key", "hub", "other"), "key")
     meet = meet.select(F.col("node").alias("a"), F.explode(F.array("hub", "other")).alias("b")).where("a != b")
     pairs = found.where("rows = 2").select(F.col("other").alias("a"), F.col("hub").alias("b")).unionByName(meet).distinct()
 
@@ -267,17 +271,18 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
 
     def mixed_rows(rows: DataFrame) -> DataFrame:
         """Rows of buckets that hold nodes of several components."""
-        several = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+        several = rows.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.expr(met).alias("met")).where("low != high AND met").select("key")
         return stored(rows.join(stored(several, "mixed-buckets"), "key"), "mixed-rows")
 
     links = star_links(pairs)
-    members = mixed_rows(keys_of(with_labels(sets, labelled(links)), "label", "n", "x1", "x2"))
+    members = mixed_rows(with_labels(members, labelled(links)))
     for seed in MORE_ROUNDS:
         chosen = F.xxhash64(F.lit(seed), F.col("node"))
         hubs = stored(members.groupBy("key").agg(F.min_by("node", chosen).alias("b"), F.min_by("label", chosen).alias("label_b")), "hubs")
         again = members.join(hubs, "key").where("label != label_b").select(F.col("node").alias("a"), "b").distinct()
         links = links.unionByName(star_links(again))
         members = mixed_rows(with_labels(members.drop("label"), labelled(links)))
+    members = stored(members.join(sets.select("node", "n", "x2"), "node"), "rows-across")
     right = members.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), F.col("x1").alias("y1"), F.col("x2").alias("y2"))
     across = (
         members.select("key", F.col("node").alias("a"), "label", "n", "x1", "x2").join(right, "key")
