@@ -12,8 +12,9 @@ Work on Spark:
 2. Each bucket proposes its smallest and its largest node to the others. Of these candidates, filtered by size and
    signature, each node verifies the most similar on full sets; verified links make components by distributed
    min-label contraction. Buckets that still hold several components propose another hub in one more round.
-3. Buckets that then hold nodes of several components list all their pairs across components, which are filtered and
-   all verified. Pairs inside a component change nothing and are never listed, so no link between components is lost.
+3. Buckets that then hold nodes of several components list all their pairs across components, which are filtered by
+   size and signature extracts and all verified, in cells of bounded size so that sets aren't sent once per pair.
+   Pairs inside a component change nothing and are never listed, so no link between components is lost.
 
 Keys of one node alone end in a first count, which is all that is shuffled for them; the buckets are made of the rest.
 Hot buckets are pre-aggregated; tables between steps are written to the shared folder, so that later joins deal both
@@ -22,6 +23,7 @@ sides anew, adaptive execution can split hot keys, and lost executors cost a tas
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -127,6 +129,9 @@ MOST_BITS = 34
 MOST_BITS_OF_ONE = 20
 #: Candidates that a node verifies in a round of stars, and the rounds after the first, each with other hubs.
 VERIFY = 3
+#: Bytes of sets that make a block, and pairs that make a cell, where full sets are compared.
+BLOCK_BYTES = 1 << 22
+PAIRS_OF_CELL = 2048
 MORE_ROUNDS = (17,)
 
 
@@ -197,18 +202,45 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, per
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("node", "text")
     full = stored(texts.mapInArrow(make, "node long, members binary").dropDuplicates(["node"]), "shingle-sets")
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for left, right in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (left, right))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            keep = pa.array(good, pa.bool_())
-            yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-    side = lambda s: full.select(F.col("node").alias(s), F.col("members").alias(f"m_{s}"))
-    return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "m_a", "m_b").mapInArrow(compare, "a long, b long")
+    # Pairs are dealt into cells (block of a, block of b), and a set travels once to each cell that needs it.
+    # A cell holds two blocks of sets or, where pairs are few, about PAIRS_OF_CELL of them.
+    n_bytes = full.agg(F.sum(F.length("members"))).first()[0] or 0
+    blocks = max(1, min(-(-n_bytes // BLOCK_BYTES), math.isqrt(pairs.count() // PAIRS_OF_CELL)))
+    block = lambda node: F.pmod(F.xxhash64(node), F.lit(blocks))
+    placed = pairs.select("a", "b", block("a").alias("block_a"), block("b").alias("block_b"))
+    needed = pairs.select(block("a").alias("of_a"), block("b").alias("of_b"), F.explode(F.array("a", "b")).alias("node")).distinct().join(full, "node")
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        good = linked(
+            np.asarray(left["a"]), np.asarray(left["b"]), np.asarray(right["node"]), *bytes_of(right["members"].combine_chunks()), percent
+        )
+        return left.select(["a", "b"]).filter(pa.array(good))
+
+    return placed.groupBy("block_a", "block_b").cogroup(needed.groupBy("of_a", "of_b")).applyInArrow(compare, "a long, b long")
+
+
+def linked(a: np.ndarray, b: np.ndarray, node: np.ndarray, data: np.ndarray, offsets: np.ndarray, percent: int) -> np.ndarray:
+    """For pairs of nodes, whether their sets (in order of ``node``, one after the other) are alike enough."""
+    ids = np.unique(np.frombuffer(data, np.uint64), return_inverse=True)[1]
+    begins, sizes = offsets[:-1] // 8, np.diff(offsets) // 8
+    order = np.argsort(node)
+    at = lambda x: order[np.searchsorted(node[order], x)]
+    left, right = at(a), at(b)
+    by_left = np.argsort(left, kind="stable")
+    good = np.zeros(len(a), bool)
+    inside = np.zeros(len(ids) and int(ids.max()) + 1, bool)
+    cuts = np.flatnonzero(np.diff(left[by_left])) + 1
+    for mine in np.split(by_left, cuts):
+        own = ids[begins[left[mine[0]]] :][: sizes[left[mine[0]]]]
+        inside[own] = True
+        for some in np.split(mine, np.flatnonzero(np.diff(np.cumsum(sizes[right[mine]]) >> 20)) + 1):
+            count = sizes[right[some]]
+            first = np.cumsum(count) - count
+            where = np.arange(int(count.sum())) + np.repeat(begins[right[some]] - first, count)
+            both = np.add.reduceat(inside[ids[where]], first, dtype=np.int64)
+            good[some] = 100 * both >= percent * (len(own) + count - both)
+        inside[own] = False
+    return good
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -261,7 +293,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         near = stored(alike(pairs, sets, percent), "near-pairs")
         order = Window.partitionBy("a").orderBy(F.col("same").desc(), "b")  # at most a hub or two per key
         best = near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= VERIFY)
-        return stored(verified(best, sets, docs, words, percent), "star-links")
+        return stored(verified(stored(best.select("a", "b"), "star-pairs"), sets, docs, words, percent), "star-links")
 
     def labelled(links: DataFrame) -> DataFrame:
         return stored(components(links), "labels")
@@ -288,7 +320,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         members.select("key", F.col("node").alias("a"), "label", "n", "x1", "x2").join(right, "key")
         .where(f"label < label_b AND bit_count(x1 ^ y1) + bit_count(x2 ^ y2) <= {MOST_BITS} AND 100 * least(n, n_b) >= {percent} * greatest(n, n_b)").select("a", "b").distinct()
     )
-    more = verified(stored(alike(across, sets, percent), "across-pairs").select("a", "b"), sets, docs, words, percent)
+    more = verified(stored(across, "across-pairs"), sets, docs, words, percent)
     final = components(links.unionByName(more))
 
     named = sets.select("node", "check", "rep").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
