@@ -187,7 +187,9 @@ def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Of (a, b), those with ``100 |A and B| >= percent |A or B|`` on full sets, made again from whole texts."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", F.col("rep").alias("doc_id")), "node")
+    # Stored, so that Spark knows its size: texts are only shuffled where it is too large to be sent to them.
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = stored(wanted.join(sets.select("node", F.col("rep").alias("doc_id")), "node"), "wanted")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
