@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import plan_of
-from tillweave.operators import dashboard as da
+from tillweave.operators import categories, dashboard as da, vectors
 from tillweave.sources import documents as src, history, tables as tb
 from tillweave.streaming import ingest
 
@@ -160,3 +160,22 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     plan = plan_of(registered.queries()["v5_predicates"](spark, sf_dir))
     assert "PushedFilters: [In(l_returnflag" in plan or "PushedFilters: [" in plan and "GreaterThanOrEqual(l_quantity,10" in plan
     assert "l_extendedprice" not in plan
+
+
+def test_questions_find_stored_texts(spark):
+    rows = [(1, "milk bread and butter", "a"), (2, "laptop charger cable", "a"), (3, "butter croissant", "b"), (4, None, "a"), (5, "", "a")]
+    texts = spark.createDataFrame(rows, "chunk_id long, text string, kind string").fillna({"text": ""})
+    model = vectors.fit_text(texts, "text", 4096)
+    made = vectors.text_vectors(model, texts)
+    asked = spark.createDataFrame([(7, "Which charger?"), (8, "butter"), (9, "zebra"), (10, "")], "question_id long, text string")
+    found = vectors.search_text(model, made, asked, "chunk_id", "question_id", k=1).collect()
+    assert {(r.question_id, r.chunk_id) for r in found if r.score > 0} == {(7, 2), (8, 3)}
+    only_a = vectors.search_text(model, made, asked, "chunk_id", "question_id", F.col("kind") == "a", k=1).collect()
+    assert {(r.question_id, r.chunk_id) for r in only_a if r.score > 0} == {(7, 2), (8, 1)}
+
+
+def test_rule_tables_know_letters_of_any_script(spark):
+    rules = spark.createDataFrame([("bakery", "éclair"), ("coffee_shop", "café crème")], "category string, keyword string")
+    names = spark.createDataFrame([("Fresh Éclair",), ("Café  Crème large",), ("clair",)], "name string")
+    got = {r.name: r.categories for r in categories.categorise_by_table(names, "name", rules).collect()}
+    assert got == {"Fresh Éclair": ["bakery"], "Café  Crème large": ["coffee_shop"], "clair": ["other"]}

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tillweave.functions import fixed, text as tx
 
 Rules = list[tuple[str, list[str]]]
+_BETWEEN_WORDS = r"[^\p{L}\p{N}&]+"
 
 
 def categories(
@@ -66,17 +67,17 @@ def categorise_by_table(
 ) -> DataFrame:
     """Labels from a rule table ``(category, keyword)`` too large for one expression.
 
-    Whole-word rules: a keyword meets the distinct names that hold its first word by a hash join and
-    is then verified in full, so unrelated rows never pair up.
+    Whole-word rules, in letters of any script: a keyword meets the distinct names that hold its first word
+    by a hash join and is then verified in full, so unrelated rows never pair up.
     """
     distinct = names.select(F.col(name).alias("_name")).distinct()
-    words = distinct.withColumn("_word", F.explode(F.array_distinct(F.split(F.lower("_name"), r"[^a-z0-9&]+"))))
+    words = distinct.withColumn("_word", F.explode(F.array_distinct(F.split(F.lower("_name"), _BETWEEN_WORDS))))
     keyed = rules.select(
-        "category", F.lower("keyword").alias("_kw"), F.get(F.split(F.lower("keyword"), r"[^a-z0-9&]+"), F.lit(0)).alias("_word")
+        "category", F.lower("keyword").alias("_kw"), F.get(F.split(F.lower("keyword"), _BETWEEN_WORDS), F.lit(0)).alias("_word")
     )
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower("_name"), r"[^a-z0-9&]+", " "), F.lit(" "))
+    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower("_name"), _BETWEEN_WORDS, " "), F.lit(" "))
     hits = words.join(keyed, "_word").filter(
-        padded.contains(F.concat(F.lit(" "), F.regexp_replace("_kw", r"[^a-z0-9&]+", " "), F.lit(" ")))
+        padded.contains(F.concat(F.lit(" "), F.regexp_replace("_kw", _BETWEEN_WORDS, " "), F.lit(" ")))
     )
     labelled = hits.groupBy("_name").agg(F.array_sort(F.collect_set("category")).alias("categories"))
     joined = names.join(labelled, names[name] == labelled["_name"], "left").drop("_name")

@@ -10,24 +10,51 @@ from tillweave.functions import fixed
 QUERY_BLOCK = 512
 
 
-def embed_text(df: DataFrame, text: str, out: str = "embedding", dimension: int = 1536) -> DataFrame:
-    """TF-IDF features hashed to a fixed dimension and scaled to unit length."""
+def fit_text(df: DataFrame, text: str, dimension: int = 1536):
+    """TF-IDF features hashed to a fixed dimension and scaled to unit length, fitted on ``df``.
+
+    The fitted model holds one weight per dimension; its ``write()`` and ``PipelineModel.load`` store and read it.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
 
-    stages = Pipeline(
+    return Pipeline(
         stages=[
             RegexTokenizer(inputCol=text, outputCol="_tokens", pattern=r"[^\p{L}\p{N}]+", toLowercase=True),
             HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=dimension),
             IDF(inputCol="_tf", outputCol="_tfidf"),
             Normalizer(inputCol="_tfidf", outputCol="_unit", p=2.0),
         ]
-    )
-    made = stages.fit(df).transform(df)
+    ).fit(df)
+
+
+def text_vectors(model, df: DataFrame, out: str = "embedding") -> DataFrame:
+    """Adds the vectors of a fitted model. Rows need the text column that it was fitted on."""
+    from pyspark.ml.functions import vector_to_array
+
+    made = model.transform(df)
     return made.withColumn(out, vector_to_array("_unit", "float32")).drop("_tokens", "_tf", "_tfidf", "_unit")
 
 
+def embed_text(df: DataFrame, text: str, out: str = "embedding", dimension: int = 1536) -> DataFrame:
+    """The vectors of a model fitted on the same rows."""
+    return text_vectors(fit_text(df, text, dimension), df, out)
+
+
+def search_text(
+    model, vectors: DataFrame, questions: DataFrame, vector_id: str, question_id: str,
+    predicate: Column | None = None, k: int = fixed.TOP_K,
+) -> DataFrame:
+    """The k stored texts nearest to every question, ``(question_id, vector_id, score, rank)``.
+
+    Questions get vectors from the model that made ``vectors``; the predicate filters before anything is scored.
+    A question without any known word has no direction and finds nothing.
+    """
+    rows = vectors if predicate is None else vectors.filter(predicate)
+    asked = text_vectors(model, questions).filter(norm(F.col("embedding")) > 0)
+    return top_k_many(rows, asked, vector_id, question_id, k=k)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(
         F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v
