@@ -245,6 +245,13 @@ def linked(a: np.ndarray, b: np.ndarray, node: np.ndarray, data: np.ndarray, off
     return good
 
 
+def stars(edges: DataFrame) -> bool:
+    """Whether every node of ``edges`` (u, v) has either one edge, to a node without any of its own, or none."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("own")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("own")))
+    ends = ends.groupBy("node").agg(F.sum("own").alias("edges"), F.min("own").alias("least"))
+    return ends.where("edges > 1 OR edges = 1 AND least = 0").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each node of ``links`` (a, b) reaches.
 
@@ -254,17 +261,14 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges = stored(edges, "links")
-    while True:
+    while not stars(edges):
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stored(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        new = stored(small.where("u != v").distinct(), "small-star")
-        if edges.exceptAll(new).isEmpty() and new.exceptAll(edges).isEmpty():
-            break
-        edges = new
+        edges = stored(small.where("u != v").distinct(), "small-star")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
