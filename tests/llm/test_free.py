@@ -198,6 +198,23 @@ def test_toxicity_finds_planted_words(spark):
     assert {r.score for r in toxicity.score_documents(docs, none).collect()} == {0.0}
 
 
+def test_rare_toxic_words_have_neighbours(spark):
+    rng = random.Random(19)
+    rows = [(i + 100, prose(rng, 40) + (f" zqx{'abcdefghij'[i // 10 % 10]}{'klmno'[i // 100]}w" if i % 5 == 0 else "")) for i in range(500)]
+    model = toxicity.fit(odd(spark, rows), spark.createDataFrame([(i + 100, int(i % 5 == 0)) for i in range(500)], "doc_id long, toxic int"))
+    mark = next(t.rsplit(" ", 1)[1] for i, t in rows if not (i % 5 or langid_held_out(spark, i)))
+    asked = spark.createDataFrame([(1, f"nothing but {mark} here")], "doc_id long, text string")
+    near = toxicity.score_documents(asked, model).first().evidence
+    texts = dict(rows)
+    assert near and near[0].toxic == 1 and near[0].similarity > 0.1 and mark in texts[near[0].doc_id]
+    plain_word = next(w for i, t in rows if i % 5 and not langid_held_out(spark, i) for w in t.split() if len(w) > 3)
+    assert plain_word in model.terms and model.weights.min() > 0
+
+
+def langid_held_out(spark, i):
+    return spark.range(i, i + 1).select(langid.held_out(F.col("id"))).first()[0]
+
+
 def test_nearest_examples_are_exact():
     rng = random.Random(6)
     vectors = [(i, i % 2, {rng.randrange(30): rng.randint(1, 4) for _ in range(rng.randint(0, 6))}) for i in range(500)]

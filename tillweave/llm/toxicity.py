@@ -1,17 +1,17 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted indexes.
 
 Examples are a bounded sample of labelled documents, ``PER_LABEL`` of each label. Terms are words and their proper
-beginnings; those that the labels single out (by a likelihood-ratio test, at most ``TERMS``) span the TF-IDF space, so
-that a few telling words in a long text decide who is near it. The examples' inverted index keeps, for each term and
-block of examples, the largest weight; a text's bound for a block is the sum over its terms, blocks are read in the
-order of their bounds, and reading stops when no bound exceeds the kth cosine: the neighbours are exact. Their votes,
-weighted by squared cosine and by how the sample represents its label, are calibrated by isotonic regression on
-leave-one-out votes of the examples. Neighbours are returned as evidence.
+beginnings; all terms of the examples span the TF-IDF space. A term's weight also grows with how much the labels single
+it out (1 plus its likelihood-ratio test where toxic examples hold it more often), so that a few telling words in a long
+text decide who is near it, and no term is left out for being rare or untelling. The examples' inverted index keeps, for
+each term and each block of examples that holds it, the largest weight; a text's bound for a block is the sum over its
+terms, blocks are read in the order of their bounds, and reading stops when no bound exceeds the kth cosine: the
+neighbours are exact. Their votes, weighted by squared cosine and by how the sample represents its label, are calibrated
+by isotonic regression on leave-one-out votes of the examples. Neighbours are returned as evidence.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -19,15 +19,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tillweave.llm.common import slices_of, stored
 from tillweave.llm.langid import held_out
 
-#: Bounds of the labelled sample and of what is learnt from it.
+#: Bound of the labelled sample.
 PER_LABEL = 1500
-TERMS = 1024
-LEAST_TEST = 24.0
 NEIGHBOURS = 25
 BLOCK = 64
 THRESHOLD = 0.3
@@ -49,29 +49,40 @@ def document_terms(text: str) -> set[str]:
     return out
 
 
+def ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The indices of all ranges of ``n`` from ``first``, one after the other."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 class Model(NamedTuple):
     terms: dict[str, int]
-    idf: np.ndarray
+    weights: np.ndarray  # of the terms: inverse document frequency times what the labels tell
     ids: np.ndarray  # of the examples
     toxic: np.ndarray
     weight: np.ndarray  # documents that an example stands for
-    pointer: np.ndarray  # term, block -> first posting
+    pointer: np.ndarray  # term -> first entry
+    block: np.ndarray  # entries, one per term and block that holds it: the block,
+    most: np.ndarray  # its largest weight
+    start: np.ndarray  # and its first posting
     owner: np.ndarray  # postings: example and weight
     value: np.ndarray
-    most: np.ndarray  # term, block -> largest weight
     steps: np.ndarray  # isotonic calibration: votes and probabilities
     level: np.ndarray
     base: float  # probability of a text without any term
 
     def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
         """Terms and weights, of length 1."""
-        t = np.array(sorted(counts), np.int64)
-        w = (1 + np.log(np.array([counts[i] for i in t.tolist()], float))) * self.idf[t]
-        return t, w / max(float(np.sqrt((w * w).sum())), 1e-12)
+        t, n = np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), float, len(counts))
+        order = np.argsort(t)
+        w = (1 + np.log(n[order])) * self.weights[t[order]]
+        return t[order], w / max(float(np.sqrt((w * w).sum())), 1e-12)
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest positive cosine, ties to the earlier one, and the cosines."""
-        bound = w @ self.most[t]
+        n = self.pointer[t + 1] - self.pointer[t]
+        at, w = ranges(self.pointer[t], n), np.repeat(w, n)
+        block = self.block[at]
+        bound = np.bincount(block, self.most[at] * w, -(-len(self.ids) // BLOCK))
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         found, score = np.zeros(0, np.int64), np.zeros(0)
@@ -79,18 +90,23 @@ class Model(NamedTuple):
         while done < len(order):
             if len(score) >= k and bound[order[done]] < score[k - 1] - 1e-12:
                 break
-            blocks = order[done : done + step]
+            read = np.zeros(len(bound), bool)
+            read[order[done : done + step]] = True
             done, step = done + step, 2 * step
-            first, end = self.pointer[t][:, blocks], self.pointer[t][:, blocks + 1]
-            n = (end - first).ravel()
-            at = np.repeat(first.ravel() - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            own = self.owner[at]
-            add = self.value[at] * np.repeat(np.repeat(w, len(blocks)), n)
-            new, inverse = np.unique(own, return_inverse=True)
-            total = np.bincount(inverse, add, len(new))
-            keep = new != without
-            found, score = np.concatenate([found, new[keep]]), np.concatenate([score, total[keep]])
-            best = np.lexsort((found, -np.round(score, 12)))[:k]
+            these = read[block]
+            entry = at[these]
+            n = self.start[entry + 1] - self.start[entry]
+            posting = ranges(self.start[entry], n)
+            total = np.bincount(self.owner[posting], self.value[posting] * np.repeat(w[these], n), len(self.ids))
+            if without >= 0:
+                total[without] = 0
+            new = np.flatnonzero(total)
+            found, score = np.concatenate([found, new]), np.concatenate([score, total[new]])
+            rounded = np.round(score, 12)
+            if len(score) > k:
+                keep = rounded >= np.partition(rounded, len(score) - k)[len(score) - k]
+                found, score, rounded = found[keep], score[keep], rounded[keep]
+            best = np.lexsort((found, -rounded))[:k]
             found, score = found[best], score[best]
         return found, score
 
@@ -135,31 +151,28 @@ def sample(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> tu
     return stored(texts, "toxic-sample"), totals
 
 
-def telling_terms(examples: DataFrame, n1: int, n0: int, terms: int = TERMS, least: float = LEAST_TEST) -> list[str]:
-    """Terms that toxic examples hold more often than others do, by the likelihood-ratio test."""
+def vocabulary(examples: DataFrame) -> list[str]:
+    """All terms of the examples, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, stop in slices_of(batch.column(0), 1 << 21):
-                seen: tuple[Counter, Counter] = (Counter(), Counter())
-                part = batch.slice(begin, stop - begin)
-                for text, toxic in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    seen[toxic].update(document_terms(text))
-                names = list(seen[0].keys() | seen[1].keys())
-                yield pa.record_batch(
-                    [pa.array(names, pa.string()), pa.array([seen[1][t] for t in names], pa.int64()), pa.array([seen[0][t] for t in names], pa.int64())],
-                    names=["term", "a", "b"],
-                )
+                seen = set().union(*map(document_terms, batch.column(0).slice(begin, stop - begin).to_pylist()))
+                yield pa.record_batch([pa.array(list(seen), pa.string())], names=["term"])
 
-    counted = examples.select("text", "toxic").mapInArrow(run, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    part = lambda n, of: f"IF({n} > 0, {n} * ln({n} / ({of})), 0)"
-    all_ = n1 + n0
-    test = F.expr(
-        f"2 * ({part('a', f'(a + b) * {n1} / {all_}')} + {part('b', f'(a + b) * {n0} / {all_}')}"
-        f" + {part(f'({n1} - a)', f'({all_} - a - b) * {n1} / {all_}')} + {part(f'({n0} - b)', f'({all_} - a - b) * {n0} / {all_}')})"
-    )
-    good = counted.where(f"a * {n0} > b * {n1} AND a + b >= 3").withColumn("test", test).where(F.col("test") >= least)
-    return [r.term for r in good.orderBy(F.col("test").desc(), "term").limit(terms).collect()]
+    return sorted(examples.select("text").mapInArrow(run, "term string").distinct().toArrow().column(0).to_pylist())
+
+
+def telling(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """The likelihood-ratio test of terms in ``a`` of ``n1`` toxic and ``b`` of ``n0`` other examples; 0 where toxic
+    examples don't hold them more often."""
+
+    def part(n: np.ndarray, of: np.ndarray) -> np.ndarray:
+        return np.where(n > 0, n * np.log(np.maximum(n, 1e-12) / np.maximum(of, 1e-12)), 0)
+
+    both, rest, of = a + b, n1 + n0 - a - b, max(1, n1 + n0)
+    test = part(a, both * n1 / of) + part(b, both * n0 / of) + part(n1 - a, rest * n1 / of) + part(n0 - b, rest * n0 / of)
+    return np.where(a * n0 > b * n1, np.maximum(2 * test, 0), 0)
 
 
 class Reader:
@@ -183,39 +196,49 @@ class Reader:
 
 def build(vectors: list[tuple[int, int, dict[int, int]]], terms: list[str], totals: dict[int, int]) -> Model:
     """The index and its calibration from (doc_id, toxic, term counts) of all examples."""
-    n, blocks = len(vectors), max(1, -(-len(vectors) // BLOCK))
-    ids = np.array([v[0] for v in vectors], np.int64)
-    toxic = np.array([v[1] for v in vectors], float)
-    per = [max(1, int((toxic == y).sum())) for y in (0, 1)]
-    weight = np.where(toxic == 1, totals.get(1, 0) / per[1], totals.get(0, 0) / per[0])
-    df = Counter(t for v in vectors for t in v[2])
-    idf = np.array([math.log((n + 1) / (df[t] + 1)) + 1 for t in range(len(terms))])
-    model = Model(dict(zip(terms, range(len(terms)))), idf, ids, toxic, weight, *[np.zeros(0)] * 6, 0.0)
-    rows = [model.vector(v[2]) for v in vectors]
-    t = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.int64)
-    w = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0)
-    own = np.repeat(np.arange(n), [len(r[0]) for r in rows]) if rows else np.zeros(0, np.int64)
+    flat = [x for v in vectors for x in v[2].items()]
+    t, counts = (np.array([x[i] for x in flat], np.int64) for i in (0, 1))
+    sizes = np.array([len(v[2]) for v in vectors], np.int64)
+    return indexed(np.array([v[0] for v in vectors], np.int64), np.array([v[1] for v in vectors], float), sizes, t, counts, terms, totals)
+
+
+def indexed(ids: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, t: np.ndarray, counts: np.ndarray, terms: list[str], totals: dict[int, int]) -> Model:
+    """``build`` from arrays: the terms and counts of all examples, ``sizes`` of them for each."""
+    n, blocks = len(ids), max(1, -(-len(ids) // BLOCK))
+    n1, n0 = int((toxic == 1).sum()), int((toxic == 0).sum())
+    weight = np.where(toxic == 1, totals.get(1, 0) / max(1, n1), totals.get(0, 0) / max(1, n0))
+    own = np.repeat(np.arange(n), sizes)
+    a, b = (np.bincount(t[toxic[own] == y], minlength=len(terms)).astype(float) for y in (1, 0))
+    weights = (np.log((n + 1) / (a + b + 1)) + 1) * (1 + telling(a, b, n1, n0))
+    w = (1 + np.log(np.maximum(counts, 1))) * weights[t]
+    w /= np.maximum(np.sqrt(np.bincount(own, w * w, n)), 1e-12)[own]
     order = np.lexsort((own, t))
-    t, w, own = t[order].astype(np.int64), w[order], own[order]
-    pointer = np.searchsorted(t * (blocks + 1) + own // BLOCK, (np.arange(len(terms)) * (blocks + 1))[:, None] + np.arange(blocks + 1))
-    most = np.zeros((len(terms), blocks))
-    np.maximum.at(most, (t, own // BLOCK), w)
-    empty = np.array([not v[2] for v in vectors], bool)
+    t, w, own = t[order], w[order], own[order]
+    start = np.flatnonzero(np.diff(t * blocks + own // BLOCK, prepend=-1))
+    most = np.maximum.reduceat(w, start) if len(start) else np.zeros(0)
+    pointer = np.searchsorted(t[start], np.arange(len(terms) + 1))
+    empty = sizes == 0
     base = float((weight * toxic)[empty].sum() / weight[empty].sum()) if empty.any() else float((weight * toxic).sum() / max(weight.sum(), 1e-9))
-    model = model._replace(pointer=pointer, owner=own, value=w, most=most, base=base)
+    model = Model(
+        dict(zip(terms, range(len(terms)))), weights, ids, toxic, weight, pointer, (own[start] // BLOCK).astype(np.int32), most,
+        np.append(start, len(t)), own.astype(np.int32), w, np.zeros(0), np.zeros(0), base,
+    )
     some = np.flatnonzero(~empty)
-    memo: dict[tuple, float] = {}
-    votes = np.array([model.vote(*model.nearest(*rows[i], without=i)) for i in some])
+    by_example, ends = np.argsort(own, kind="stable"), np.cumsum(sizes)
+    votes = np.zeros(len(some))
+    for k, i in enumerate(some.tolist()):
+        at = by_example[ends[i] - sizes[i] : ends[i]]
+        votes[k] = model.vote(*model.nearest(t[at], w[at], without=i))
     steps, level = isotonic(votes, toxic[some], weight[some]) if len(some) else (np.zeros(0), np.zeros(0))
     return model._replace(steps=steps, level=level)
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
-    """The model from labelled documents that aren't held out: doc_id, text; doc_id, toxic."""
+    """The model from labelled documents that aren't held out: doc_id, text; doc_id, toxic. With one label only, or
+    none, nothing tells texts apart, and the model has no terms."""
     examples, totals = sample(docs, labels, per_label)
     sizes = {r.toxic: r.n for r in examples.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    terms = telling_terms(examples, n1, n0) if n1 and n0 else []
+    terms = vocabulary(examples) if sizes.get(1) and sizes.get(0) else []
     shared = examples.sparkSession.sparkContext.broadcast(dict(zip(terms, range(len(terms)))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,9 +250,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
                 names=["doc_id", "toxic", "t", "n"],
             )
 
-    rows = examples.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic").mapInArrow(run, "doc_id long, toxic int, t array<int>, n array<int>")
-    vectors = sorted(((r.doc_id, r.toxic, dict(zip(r.t, r.n))) for r in rows.collect()), key=lambda v: (hash((v[0] * 2654435761) % 2**32), v[0]))
-    return build(vectors, terms, totals)
+    rows = examples.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic").mapInArrow(run, "doc_id long, toxic int, t array<int>, n array<int>").toArrow()
+    order = [i for _, _, i in sorted(((v * 2654435761) % 2**32, v, i) for i, v in enumerate(rows.column(0).to_pylist()))]
+    rows = rows.take(pa.array(order, pa.int64())).combine_chunks()
+    ids, toxic = rows.column(0).to_numpy(), rows.column(1).to_numpy().astype(float)
+    t, n = (pc.list_flatten(rows.column(i)).to_numpy().astype(np.int64) for i in (2, 3))
+    return indexed(ids, toxic, pc.list_value_length(rows.column(2)).to_numpy().astype(np.int64), t, n, terms, totals)
 
 
 SCORED = "score double, predicted int, evidence array<struct<doc_id: long, similarity: double, toxic: int>>"
@@ -251,10 +277,10 @@ def score_documents(docs: DataFrame, model: Model, k: int = NEIGHBOURS, threshol
                 part = batch.slice(begin, stop - begin)
                 out = []
                 for text in part.column(1).to_pylist():
-                    counts = reader.counts(text or "")
-                    key = tuple(sorted(counts.items()))
+                    key = xxhash.xxh3_128_digest((text or "").encode())
                     got = memo.get(key)
                     if got is None:
+                        counts = reader.counts(text or "")
                         if not counts:
                             got = (model.base, [])
                         else:
