@@ -257,6 +257,13 @@ def test_texts_on_every_page_are_template(spark):
     assert {r.text for r in pages.main_text(spark.createDataFrame(copies, "page_id long, url string, html string")).collect()} == {"The same story"}
 
 
+def test_pages_stored_twice_hide_no_single_page(spark):
+    html = "<body><div><p>Subscribe to our daily letter</p><p>Story number %d %s</p></div></body>"
+    rows = [(i, f"http://h.example/{i}", html % (i, "tells more " * 9)) for i in [*range(1, 10), *range(1, 10), 10]]
+    got = pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 19 and all(r.text == f"Story number {r.page_id} {'tells more ' * 9}".strip() for r in got)
+
+
 # Near duplicates
 
 def brute_components(rows, words):
