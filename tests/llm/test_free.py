@@ -264,6 +264,14 @@ def test_pages_stored_twice_hide_no_single_page(spark):
     assert len(got) == 19 and all(r.text == f"Story number {r.page_id} {'tells more ' * 9}".strip() for r in got)
 
 
+def test_pages_without_texts_leave_the_template(spark):
+    html = "<body><div><p>Share this</p><p>Story number %d %s</p></div></body>"
+    rows = [(i, f"http://h.example/{i}", html % (i, "tells more " * 9)) for i in range(6)]
+    rows += [(6, "http://h.example/6", None), (7, "http://h.example/7", ""), (8, "http://h.example/8", "<html><body><div></div></body></html>")]
+    got = pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Story number {i} {'tells more ' * 9}".strip() if i < 6 else "" for i in range(9)}
+
+
 # Near duplicates
 
 def brute_components(rows, words):
