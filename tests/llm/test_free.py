@@ -265,13 +265,20 @@ def test_pages_stored_twice_hide_no_single_page(spark):
 
 
 def test_pages_without_texts_leave_the_template(spark):
-    html = "<body><div><p>Share this</p><p>Story number %d %s</p></div></body>"
+    html = "<body><div><p>Share this</p><p>Story number %d %s</p><p>Share this</p></div></body>"
     rows = [(i, f"http://h.example/{i}", html % (i, "tells more " * 9)) for i in range(6)]
     rows += [(6, "http://h.example/6", None), (7, "http://h.example/7", ""), (8, "http://h.example/8", "<html><body><div></div></body></html>")]
     got = pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text for r in got} == {i: f"Story number {i} {'tells more ' * 9}".strip() if i < 6 else "" for i in range(9)}
 
 
+@pytest.mark.parametrize("name", ["post has-sidebar", "comments-open"])
+def test_names_alone_empty_no_page(spark, name):
+    body = f"<body><nav>Menu</nav><div class='{name}'><h1>Head</h1><p>A whole story of some length</p><div class=ad>Buy</div></div></body>"
+    got = pages.main_text(spark.createDataFrame([(1, "http://n.example/1", body)], "page_id long, url string, html string")).collect()
+    assert [r.text for r in got] == ["Head\n\nA whole story of some length"]
+
+
 # Near duplicates
 
 def brute_components(rows, words):
