@@ -159,6 +159,22 @@ def test_license_scan(spark):
     assert all(any(a in b" " + r.keyword or a.decode().strip() in r.pattern.pattern.decode() for a in licenses._ANY) for r in licenses.rules())
 
 
+@pytest.mark.parametrize("text, labels", [
+    ('Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software', "mit"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice", "isc"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that: 1. Redistributions of source code", "bsd-2-clause"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted. Neither the name of the holder nor the names", "bsd-3-clause"),
+    ("under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "gpl-3"),
+    ("GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License", "lgpl-2.1"),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", "apache-2,mit"),
+    ("SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0 AND ISC)", "gpl-2,isc"),
+    ("this is GPL-2.0 code", "gpl-2"), ("Apache-2.0", "apache-2"), ("MPL-2.0 only", "mpl-2"), ("the GPL version 2", "gpl-2"), ("a BSD license", "bsd"),
+    ("Python 2.0 and Apache 2.0.52 run", ""),
+])
+def test_license_texts_notices_and_identifiers(text, labels):
+    assert licenses.scan(text)[5] == labels
+
+
 def test_contained_detections_are_suppressed():
     f = licenses.Found
     strong, weak, twin, apart = f("a", 3, 1.0, 0, 6), f("b", 2, 1.0, 2, 5), f("a", 2, 1.0, 0, 6), f("c", 1, 1.0, 5, 8)

@@ -85,13 +85,45 @@ LICENSES: dict[str, tuple[str, list[str], list[str]]] = {
     "cc-by-nc-sa": ("c", [r"cc by nc sa(?: [1-4] [05])?", r"creative commons attribution non ?commercial share ?alike"], ["cc by nc sa 3 0", "cc by nc sa 4 0"]),
     "cc-by-nc-nd": ("c", [r"cc by nc nd(?: [1-4] [05])?", r"creative commons attribution non ?commercial no ?derivat\w+"], ["cc by nc nd 3 0", "cc by nc nd 4 0"]),
     "public-domain": ("public domain", [r"(?:released|placed|dedicated) (?:in)?to the public domain", r"in the public domain"], []),
+    "bsd": ("bsd", [], []),
     "proprietary": ("all rights reserved", [r"all rights reserved"], []),
 }
 
+_OPENING = r"permission is hereby granted free of charge to any person"
+_REDISTRIBUTION = r"redistribution and use in source and binary forms"
+_FSF = r"general public licen[cs]e as published by the free software foundation (?:either )?version"
+#: License texts and standard notices: (label, keyword, pattern).
+BODIES: list[tuple[str, str, str]] = [
+    ("mit", "hereby granted", rf"{_OPENING} obtaining a copy(?! of (?:the unicode|(?:[^ ]+ )?data))(?: of this software and associated documentation files)?"),
+    ("ncsa", "hereby granted", rf"{_OPENING} obtaining a copy of this software and associated documentation files the software to deal with the software"),
+    ("boost-1", "hereby granted", rf"{_OPENING} or organization obtaining a copy"),
+    ("unicode", "hereby granted", rf"{_OPENING} obtaining a copy of (?:the unicode |(?:[^ ]+ )?data)(?:[^ ]+ )?files"),
+    ("isc", "hereby granted", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided that the above"),
+    ("0bsd", "hereby granted", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted(?! provided)"),
+    ("bsd-4-clause", "source and binary", rf"{_REDISTRIBUTION}(?=(?: [^ ]+){{0,250}}? all advertising materials mentioning )"),
+    ("bsd-3-clause", "source and binary", rf"{_REDISTRIBUTION}(?=(?: [^ ]+){{0,250}}? neither the names? of )(?!(?: [^ ]+){{0,250}}? all advertising materials mentioning )"),
+    ("bsd-2-clause", "source and binary", rf"{_REDISTRIBUTION}(?!(?: [^ ]+){{0,250}}? (?:neither the names? of|all advertising materials mentioning) )"),
+    ("gpl-1", "free software foundation", rf"gnu {_FSF} 1"),
+    ("gpl-2", "free software foundation", rf"gnu {_FSF} 2"),
+    ("gpl-3", "free software foundation", rf"gnu {_FSF} 3"),
+    ("lgpl-2.1", "free software foundation", rf"gnu (?:lesser|library) {_FSF} 2(?: 1)?"),
+    ("lgpl-3", "free software foundation", rf"gnu lesser {_FSF} 3"),
+    ("gpl-1", "gpl version", r"gpl version 1"),
+    ("gpl-2", "gpl version", r"gpl version 2"),
+    ("gpl-3", "gpl version", r"gpl version 3"),
+    ("lgpl-2.1", "lgpl version", r"lgpl version 2(?: 1)?"),
+    ("lgpl-3", "lgpl version", r"lgpl version 3"),
+    ("bsd", "bsd licen", r"bsd licen[cs]e"),
+]
+#: Identifiers that other things than a license bear too, versions of programs for example.
+NOT_BARE = frozenset("python psf php unicode libpng cc cc0".split())
+
 #: Forms of a rule: (priority, weight, pattern around a name or an identifier).
 NOTICE = (3, 0.95, r"(?:licen[cs]ed|released|distributed|published|provided|covered|(?:made )?available) (?:\w+ ){{0,3}}under (?:the )?(?:terms of )?(?:the )?(?:{0})(?: licen[cs]e)?")
 NAMED = (2, 0.8, r"(?:{0})(?: licen[cs]e)?")
 TAGGED = (4, 1.0, r"spdx licen[cs]e identifier (?:{0})")
+BARE = (2, 0.8, r"(?:{0})(?! [0-9])")
+BODY = (3, 0.95, "{0}")
 LINKED = (1, 0.7, r"opensource org licenses (?:{0})")
 BASE_PRIORITY, BASE_WEIGHT = 5, 0.9
 
@@ -111,6 +143,8 @@ def rules() -> list[Rule]:
     for label, (keyword, names, tags) in LICENSES.items():
         forms = [(NOTICE, n, keyword) for n in names] + [(NAMED, n, keyword) for n in names]
         forms += [(form, t, word) for t in tags for form, word in ((TAGGED, "spdx"), (LINKED, "opensource org"))]
+        forms += [(BARE, t, t.split(" ")[0]) for t in tags if re.search(r"\d", t) and t.split(" ")[0] not in NOT_BARE]
+        forms += [(BODY, body, word) for of, word, body in BODIES if of == label]
         for (priority, weight, form), name, word in forms:
             out.append(Rule(label, priority, weight, word.encode(), re.compile(rf"(?<= ){form.format(name)}(?= )".encode())))
     return sorted(out, key=lambda r: -r.priority)
@@ -128,6 +162,12 @@ def gates() -> list[tuple[bytes, list[Rule]]]:
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 #: Every name, tag and phrase of the table holds one of these.
 _ANY = [b"licen", b" gpl", b" lgpl", b" agpl", b"affero gpl", b"gnu gpl", b" cc", b"creative commons", b"bsd", b"mulan", b"public domain", b"all rights reserved"]
+_ANY += sorted({word.encode() for _, word, _ in BODIES} | {b" " + t.split(" ")[0].encode() + b" " for _, _, tags in LICENSES.values() for t in tags if re.search(r"\d", t)})
+_IDS = {t.encode(): label for label, (_, _, tags) in LICENSES.items() for t in tags}
+_ID = b"(?:" + b"|".join(sorted(_IDS, key=len, reverse=True)) + b")(?= )"
+_OPERAND = _ID + rb"(?: with (?:[^ ]+ ){1,5}?exception(?: [0-9]+){0,2}(?= ))?"
+_EXPRESSION = re.compile(rb"(?<= )spdx licen[cs]e identifier " + _OPERAND + rb"(?: (?:and|or) " + _OPERAND + rb")+")
+_OPERANDS = re.compile(rb"(?<= )" + _ID)
 
 
 class Found(NamedTuple):
@@ -167,6 +207,11 @@ def detections(norm: bytes) -> list[Found]:
                 for m in rule.pattern.finditer(norm):
                     start = norm.count(b" ", 0, m.start()) - 1
                     out.append(Found(rule.label, rule.priority, rule.weight, start, start + m.group().count(b" ") + 1))
+    if b" spdx " in norm:
+        for whole in _EXPRESSION.finditer(norm):
+            for m in _OPERANDS.finditer(norm, whole.start(), whole.end() + 1):
+                start = norm.count(b" ", 0, m.start()) - 1
+                out.append(Found(_IDS[m.group()], *TAGGED[:2], start, start + m.group().count(b" ") + 1))
     return out
 
 
