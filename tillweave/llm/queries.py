@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillweave.llm import decontaminate, langid, licenses, lines, mixing, neardup, pages, tokens, toxicity, vafile
+from tillweave.llm import audit, decontaminate, langid, licenses, lines, mixing, neardup, pages, tokens, toxicity, vafile
 from tillweave.llm.common import LOWER, SHARED_SQL_SPACES, UPPER, table
 
 
@@ -59,6 +59,11 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_files(docs, tokens.public_tokenizer())
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return audit.audit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
+
+
 OP2_SQL = f"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS key,
@@ -112,6 +117,29 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+OP13_SQL = """
+WITH RECURSIVE base AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+              regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+failing AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+            (len(words) < 50)::INT + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::INT
+            + 4 * (100 * len(regexp_extract_all(text, '[A-Z]')) > 5 * length(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT
+            + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false)::INT AS fails FROM base LEFT JOIN marks USING (doc_id)),
+cell AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM failing GROUP BY ALL),
+walk AS (SELECT '' AS filter_order, 0 AS step, 0 AS before, -1 AS number, 0 AS gone
+         UNION ALL SELECT filter_order || chr(65 + k::INT), step + 1, gone, k::INT, gone | (1 << k::INT) FROM walk, range(5) r(k) WHERE gone & (1 << k::INT) = 0),
+steps AS (SELECT o.filter_order, w.step, w.before, w.number, w.gone FROM walk o JOIN walk w ON o.step = 5 AND w.step > 0 AND starts_with(o.filter_order, w.filter_order)),
+found AS (SELECT part, filter_order, step, any_value(number) AS number,
+          sum(n) FILTER (WHERE fails & gone = 0) AS kept, sum(n) FILTER (WHERE fails & before = 0 AND fails & (1 << number) > 0) AS removed,
+          sum(n) FILTER (WHERE fails & before > 0 AND fails & (1 << number) > 0) AS redundant, sum(n) FILTER (WHERE fails = 1 << number) AS unique_fails,
+          sum(good) FILTER (WHERE fails & before = 0 AND fails & (1 << number) > 0) AS good_lost,
+          sum(toxic) FILTER (WHERE fails & before = 0 AND fails & (1 << number) > 0) AS toxic_lost
+          FROM cell CROSS JOIN steps GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+       coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, number), 0)::BIGINT AS shapley FROM found
+"""
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_mixing": op2_mixing,
@@ -123,5 +151,6 @@ QUERIES = {
     "op8_top_k": op8_top_k,
     "op9_html_extraction": op9_html_extraction,
     "op10_token_output": op10_token_output,
+    "op13_filter_audit": op13_filter_audit,
 }
-ORACLES = {"op2_mixing": OP2_SQL, "op7_line_dedup": OP7_SQL, "op8_top_k": OP8_SQL}
+ORACLES = {"op2_mixing": OP2_SQL, "op7_line_dedup": OP7_SQL, "op8_top_k": OP8_SQL, "op13_filter_audit": OP13_SQL}
