@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tillweave.llm import audit, decontaminate, langid, licenses, lines, mixing, neardup, pages, tokens, toxicity, vafile
+from tillweave.llm import audit, decontaminate, fingerprints, langid, licenses, lines, mixing, neardup, pages, resample, tokens, toxicity, vafile
 from tillweave.llm.common import LOWER, SHARED_SQL_SPACES, UPPER, table
 
 
@@ -59,6 +59,16 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_files(docs, tokens.public_tokenizer())
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = resample.draw(docs, table(spark, sf_dir, "benchmark").select("text"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return audit.audit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"))
@@ -117,6 +127,27 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+OP12_SQL = f"""
+WITH codes AS (SELECT list(list_reduce([n] || [0 FOR _ IN range(8)], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) AS crc
+               FROM (SELECT unnest(range(256)) AS n)),
+doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+aim AS (SELECT regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM benchmark),
+vocabulary AS (SELECT DISTINCT unnest(words) AS word FROM (SELECT words FROM doc UNION ALL SELECT words FROM aim)),
+bucket AS (SELECT word, xor(4294967295, list_reduce([4294967295] || [('0x' || substr(hex(word), 2 * i - 1, 2))::BIGINT FOR i IN range(1, length(hex(word)) // 2 + 1)],
+           lambda a, b: xor(crc[(xor(a, b) & 255) + 1], a >> 8))) % {resample.BUCKETS} AS bucket FROM vocabulary, codes),
+used AS (SELECT doc_id, bucket FROM (SELECT doc_id, unnest(words) AS word FROM doc) JOIN bucket USING (word)),
+s AS (SELECT bucket, count(*) AS s FROM used GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM (SELECT unnest(words) AS word FROM aim) JOIN bucket USING (word) GROUP BY bucket),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (coalesce((SELECT sum(s) FROM s), 0) + {resample.BUCKETS})
+         / ((s + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM t), 0) + {resample.BUCKETS}))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+weight AS (SELECT doc_id, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM used JOIN gain USING (bucket) GROUP BY doc_id),
+scored AS (SELECT doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(
+           (('0x' || substr(sha256('{resample.SEED}:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM doc LEFT JOIN weight USING (doc_id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= {resample.MIN_WORDS} ORDER BY score DESC, doc_id) AS place,
+           count(*) OVER (PARTITION BY n_features >= {resample.MIN_WORDS}) * {resample.PERCENT} // 100 AS most FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= {resample.MIN_WORDS} AND place <= most THEN place END AS rank FROM ranked
+"""
+
 OP13_SQL = """
 WITH RECURSIVE base AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
               regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
@@ -151,6 +182,8 @@ QUERIES = {
     "op8_top_k": op8_top_k,
     "op9_html_extraction": op9_html_extraction,
     "op10_token_output": op10_token_output,
+    "op11_fingerprints": op11_fingerprints,
+    "op12_resampling": op12_resampling,
     "op13_filter_audit": op13_filter_audit,
 }
-ORACLES = {"op2_mixing": OP2_SQL, "op7_line_dedup": OP7_SQL, "op8_top_k": OP8_SQL, "op13_filter_audit": OP13_SQL}
+ORACLES = {"op2_mixing": OP2_SQL, "op7_line_dedup": OP7_SQL, "op8_top_k": OP8_SQL, "op12_resampling": OP12_SQL, "op13_filter_audit": OP13_SQL}
