@@ -77,6 +77,63 @@ def test_fuzzy_names(spark):
     assert got == {1: ["Starbucks"], 2: ["Whole Foods Market"], 3: [], 4: ["Target"]}
 
 
+@pytest.mark.parametrize("measure", ["edit", "blocks"])
+def test_index_loses_no_pair(spark, measure):
+    """All pairs of odd, short, long and repetitive names at the threshold against the candidates of the index."""
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(5)
+    names = {"".join(rng.choices("ab c1", k=rng.randint(3, 14))).strip() for _ in range(150)} | {"aaa", "aaaa", "abab" * 6, "x" * 30, "starbucks"}
+    names |= {"".join(rng.choices("abcdefghij klmnop", k=rng.randint(8, 30))).strip() for _ in range(40)}
+    typed = {"starbux", "aab", "aaaaa"}
+    for n in sorted(names):
+        t = list(n)
+        for _ in range(rng.randint(1, max(1, len(n) // 3))):
+            at = rng.randrange(len(t))
+            t[at : at + rng.randint(0, 1)] = rng.choices("abcx ", k=rng.randint(0, 2))
+        typed |= {"".join(t)} if len(t) >= 3 else set()
+    name_df = spark.createDataFrame([(n,) for n in names if len(n) >= 3], "name_norm string")
+    typed_df = spark.createDataFrame([(t,) for t in typed], "token_norm string")
+    got = {(r.token_norm, r.name_norm) for r in me.candidates(typed_df, name_df, measure).collect()}
+
+    def similarity(a, b):
+        if measure == "blocks":
+            return SequenceMatcher(None, a, b).ratio()
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return 1 - row[-1] / max(len(a), len(b))
+
+    wanted = {(t, n) for t in typed for n in names if len(n) >= 3 and similarity(t, n) >= 0.75}
+    assert len(wanted) > 100 and wanted <= got
+    with pytest.raises(ValueError):
+        me.candidates(typed_df, name_df, measure, 0.6)
+
+
+@pytest.mark.parametrize("measure", ["edit", "blocks"])
+def test_few_names_are_scored(spark, measure):
+    """Of 30,000 generated names, a misspelt one is scored against less than one in a hundred."""
+    import random
+
+    rng = random.Random(11)
+    syllables = "star buck mar ket tar get whole food bur ger pan da ex press home de pot cost co tra der joe sub way che vron shell val ero pub lix kro ger wal greens".split()
+    kinds = "cafe grill foods fuel pharmacy books toys garden bakery".split()
+    names = set()
+    while len(names) < 30_000:
+        names.add(" ".join(["".join(rng.choices(syllables, k=rng.randint(2, 3))), *rng.choices(kinds, k=rng.randint(0, 1)), *([str(rng.randint(1, 99))] if rng.random() < 0.3 else [])]))
+    names = sorted(names)
+    typed = {n[:i] + n[i + 1 :] for n in rng.sample(names, 200) for i in [rng.randrange(len(n))]} | {"starbux"}
+    found = me.candidates(
+        spark.createDataFrame([(t,) for t in typed], "token_norm string"),
+        spark.createDataFrame([(n,) for n in [*names, "starbucks"]], "name_norm string"), measure,
+    )
+    n_scored = {r.token_norm: r.n for r in found.groupBy("token_norm").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert len(n_scored) >= 200 and sum(n_scored.values()) < 0.01 * len(names) * len(typed)
+
+
 def test_short_names_resolve_to_known_ones(spark):
     corpus = me.known_names(spark.createDataFrame([("Walmart Supercenter",), ("Target",)], "merchant_name string"))
     df = spark.createDataFrame([(1, ["Walmart"]), (2, ["target store", "Elsewhere"]), (3, [])], "question_id bigint, merchants array<string>")

@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tillweave.functions import fixed, text as tx
 from tillweave.operators.merchants import normalise
 
-# Facts under questions without any selective filter are dealt over this many join keys.
-OPEN_SALTS = 32
+# Days since 1970 are shifted so that all of them are positive. A block of level l holds BLOCK_DAYS ** l days.
+DAY_SHIFT, LAST_DAY, BLOCK_DAYS, LEVELS = 1 << 22, 1 << 23, 8, 8
 
 FLAGS = ["has_warranty", "is_return", "has_discounts", "has_delivery_fee", "has_tip"]
 
@@ -22,12 +22,55 @@ FILTER_COLUMNS = [
 # --- matching --------------------------------------------------------------------------------
 
 
-def _months(start: Column, end: Column, month_of_year: Column) -> Column:
-    """First days of the months a half-open range touches."""
+def day_number(ts: Column) -> Column:
+    return F.unix_date(ts.cast("date")).cast("bigint") + DAY_SHIFT
+
+
+def _last_day(end: Column) -> Column:
+    """The day of the last moment before ``end``."""
+    return day_number(end - F.expr("INTERVAL '0.000001' SECOND"))
+
+
+def day_blocks(first: Column, beyond: Column) -> Column:
+    """Keys of the aligned blocks that make up the days from ``first`` to before ``beyond``.
+
+    Level by level, the numbers up to the next multiple of the block size are taken from either end; what lies between
+    goes on as blocks of the next level. So a range has at most 14 keys a level, and a day is in one block of each level.
+    """
+    days = lambda low, high: F.when(low < high, F.sequence(low, high - 1)).otherwise(F.array().cast("array<bigint>"))
+    whole = lambda x: x.cast("bigint")
+
+    def step(state: Column, level: Column) -> Column:
+        low, high, top = state["low"], state["high"], level == LEVELS - 1
+        up = F.when(top, high).otherwise(F.least(high, whole(F.ceil(low / BLOCK_DAYS)) * BLOCK_DAYS))
+        down = F.greatest(up, whole(F.floor(high / BLOCK_DAYS)) * BLOCK_DAYS)
+        keys = F.transform(F.concat(days(low, up), days(down, high)), lambda x: F.concat(F.lit("d"), level.cast("string"), F.lit(":"), x.cast("string")))
+        below = lambda x: whole(F.floor(x / BLOCK_DAYS))
+        return F.struct(below(up).alias("low"), below(down).alias("high"), F.concat(state["keys"], keys).alias("keys"))
+
+    none = F.array().cast("array<string>")
+    start = F.struct(whole(first).alias("low"), whole(F.greatest(first, beyond)).alias("high"), none.alias("keys"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), start, step, lambda state: state["keys"])
+
+
+def _months(first: Column, last: Column, month_of_year: Column) -> Column:
+    """First days of the months from one date to another that are the month of the year, if one is given."""
+    days = F.sequence(F.trunc(first, "month"), F.trunc(last, "month"), F.expr("INTERVAL 1 MONTH"))
+    return F.filter(days, lambda d: month_of_year.isNull() | (F.month(d) == month_of_year))
+
+
+def _time_keys(start: Column, end: Column, month_of_year: Column) -> Column:
+    """Block keys of a range, which may be open at one end; with a month of the year, of that month in each year."""
+    first, beyond = F.coalesce(day_number(start), F.lit(0)), F.coalesce(_last_day(end) + 1, F.lit(LAST_DAY))
     last = (end - F.expr("INTERVAL '0.000001' SECOND")).cast("date")
-    days = F.sequence(F.trunc(start.cast("date"), "month"), F.trunc(last, "month"), F.expr("INTERVAL 1 MONTH"))
-    spanned = F.when(start < end, days)
-    return F.filter(spanned, lambda d: month_of_year.isNull() | (F.month(d) == month_of_year))
+    by_month = F.flatten(
+        F.transform(
+            _months(start.cast("date"), last, month_of_year),
+            lambda m: day_blocks(F.greatest(first, day_number(m)), F.least(beyond, day_number(F.add_months(m, 1)))),
+        )
+    )
+    keys = F.when(month_of_year.isNull(), day_blocks(first, beyond)).otherwise(by_month)
+    return F.when(F.coalesce(start < end, F.lit(True)), keys)
 
 
 def with_filter_id(params: DataFrame) -> DataFrame:
@@ -45,52 +88,120 @@ def unique_questions(params: DataFrame) -> DataFrame:
     return with_filter_id(params).groupBy("filter_id").agg(F.min("question_id").alias("question_id"), *first)
 
 
-def question_keys(params: DataFrame) -> DataFrame:
-    """One row per question and join key.
+def _tagged(values: Column, tag: str) -> Column:
+    return F.transform(values, lambda v: F.concat(F.lit(f"{tag}:"), v.cast("string")))
 
-    A question uses its most selective filter: merchants, else the months of its date range, else
-    its month of the year, else its categories, else its payment method, else salts that cover all
-    facts. Names are compared in their normal form.
+
+def names_within(params: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(asked, name_norm): every asked name with all known names that hold its words side by side.
+
+    ``corpus`` has name_norm. They meet on the asked name's rarest word among the known names.
     """
-    named = F.array_distinct(F.transform("merchants", normalise))
-    months = _months(F.col("start_ts"), F.col("end_ts"), F.col("month_of_year"))
+    asked = params.select(F.explode(F.array_distinct(F.transform("merchants", normalise))).alias("asked")).filter("asked != ''").distinct()
+    words = corpus.select("name_norm").distinct().select("name_norm", F.explode(F.array_distinct(F.split("name_norm", " "))).alias("word"))
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    rarest = (
+        asked.select("asked", F.explode(F.split("asked", " ")).alias("word"))
+        .join(counts, "word", "left")
+        .groupBy("asked")
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("r"))
+        .select("asked", F.col("r.word").alias("word"))
+    )
+    spaced = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    return rarest.join(words, "word").filter(spaced("name_norm").contains(spaced("asked"))).select("asked", "name_norm")
+
 
-    def tagged(values: Column, tag: str) -> Column:
-        return F.transform(values, lambda v: F.concat(F.lit(f"{tag}:"), v.cast("string")))
+def _merchant_keys(params: DataFrame, names: DataFrame | None) -> DataFrame:
+    """One row per question that names merchants and normal form of a name it means."""
+    rows = params.filter(F.size("merchants") > 0).withColumn("_name", F.explode(F.array_distinct(F.transform("merchants", normalise))))
+    if names is not None:
+        meant = names.select(F.col("asked").alias("_name"), F.col("name_norm").alias("_meant"))
+        rows = rows.join(meant, "_name", "left").withColumn("_name", F.coalesce("_meant", "_name")).drop("_meant")
+        rows = rows.dropDuplicates(["question_id", "_name"])
+    return rows.withColumn("_key", F.concat(F.lit("m:"), "_name")).drop("_name")
 
-    salts = F.sequence(F.lit(0), F.lit(OPEN_SALTS - 1))
+
+def question_keys(params: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """One row per question and join key.
+
+    A question uses its most selective filter: merchants, else the blocks of its date range, else
+    its month of the year, else its categories, else its payment method, else salts that cover all
+    facts, as many as shuffles have partitions. Names are compared in their normal form; with ``names`` (see
+    ``names_within``) a name means all known names that hold it.
+    """
+    starts, ends = F.col("start_ts").isNotNull(), F.col("end_ts").isNotNull()
+    ranged = (starts & ends) | ((starts | ends) & F.col("month_of_year").isNull())
+    salts = F.sequence(F.lit(0), F.lit(_salts(params) - 1))
     keys = (
-        F.when(F.size("merchants") > 0, tagged(named, "m"))
-        .when(F.col("start_ts").isNotNull(), tagged(months, "d"))
+        F.when(ranged, _time_keys(F.col("start_ts"), F.col("end_ts"), F.col("month_of_year")))
         .when(F.col("month_of_year").isNotNull(), F.array(F.concat(F.lit("y:"), F.col("month_of_year").cast("string"))))
-        .when(F.size("categories") > 0, tagged(F.col("categories"), "c"))
+        .when(F.size("categories") > 0, _tagged(F.col("categories"), "c"))
         .when(F.col("payment_method").isNotNull(), F.array(F.concat(F.lit("p:"), "payment_method")))
-        .otherwise(tagged(salts, "a"))
+        .otherwise(_tagged(salts, "a"))
     )
-    return params.withColumn("_merchant_keys", named).withColumn("_key", F.explode(keys))
+    others = params.filter(F.coalesce(F.size("merchants"), F.lit(0)) <= 0).withColumn("_key", F.explode(keys))
+    return _merchant_keys(params, names).unionByName(others)
+
+
+def _salts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _kinds(keys: DataFrame) -> Column:
+    """The kinds of key in use, as one value."""
+    return keys.agg(F.collect_set(F.substring_index("_key", ":", 1))).scalar()
+
 
+def amount_bucket(amount: Column) -> Column:
+    """A number that grows with the amount: its cents below one, else its digits and the first two of them."""
+    cents = F.floor(F.abs(amount) * 100).cast("bigint")
+    digits = F.length(cents.cast("string"))
+    size = F.when(cents < 100, cents).otherwise(digits * 100 + F.left(cents.cast("string"), F.lit(2)).cast("bigint"))
+    return F.when(amount < 0, -size - 1).otherwise(size)
 
-def fact_keys(facts: DataFrame, fact_id: str, kinds: Column) -> DataFrame:
+
+def fact_keys(facts: DataFrame, fact_id: str, kinds: Column, amount: str = "total_amount") -> DataFrame:
     """One row per fact and join key, for the kinds of key in the array ``kinds`` that the questions use."""
-    salt = F.pmod(F.xxhash64(fact_id), F.lit(OPEN_SALTS))
-    month = F.trunc(F.col("transaction_date").cast("date"), "month")
+    salt = F.pmod(F.xxhash64(fact_id), F.lit(_salts(facts)))
+    day = day_number(F.col("transaction_date"))
     single = {
-        "m": F.concat(F.lit("m:"), "merchant_name_norm"),
-        "d": F.concat(F.lit("d:"), month.cast("string")),
-        "y": F.concat(F.lit("y:"), F.month("transaction_date").cast("string")),
-        "p": F.concat(F.lit("p:"), "payment_method"),
-        "a": F.concat(F.lit("a:"), salt.cast("string")),
+        "m": F.col("merchant_name_norm"),
+        **{f"d{level}": F.shiftright(day, 3 * level) for level in range(LEVELS)},
+        "y": F.month("transaction_date"),
+        "p": F.col("payment_method"),
+        "v": amount_bucket(F.col(amount)),
+        "a": salt,
     }
     used = lambda kind: F.array_contains("_kinds", kind)
-    keys = F.array(*[F.when(used(kind), key) for kind, key in single.items()])
+    keys = F.array(*[F.when(used(kind), F.concat(F.lit(f"{kind}:"), key.cast("string"))) for kind, key in single.items()])
     labels = F.when(used("c"), F.transform("categories", lambda c: F.concat(F.lit("c:"), c)))
     keys = F.concat(keys, F.coalesce(labels, F.array().cast("array<string>")))
     return facts.withColumn("_kinds", kinds).withColumn("_key", F.explode(F.array_compact(keys))).drop("_kinds")
 
 
+def _optional(cond: Column, given: Column) -> Column:
+    return F.when(given, F.coalesce(cond, F.lit(False))).otherwise(F.lit(True))
+
+
+def _same_kind() -> Column:
+    """Payment, network, category and flags of a question ``q`` against a fact or cell ``f``."""
+    shared = F.array_intersect(F.col("f.categories"), F.col("q.categories"))
+    any_asked, any_held = F.lit(False), F.lit(False)
+    for name in FLAGS:
+        flag = F.coalesce(F.col(f"q.{name}"), F.lit(False))
+        any_asked = any_asked | flag
+        any_held = any_held | (flag & F.coalesce(F.col(f"f.{name}"), F.lit(False)))
+    return (
+        _optional(F.size(shared) > 0, F.size("q.categories") > 0)
+        & _optional(F.col("f.payment_method") == F.col("q.payment_method"), F.col("q.payment_method").isNotNull())
+        & _optional(F.col("f.card_network") == F.col("q.card_network"), F.col("q.card_network").isNotNull())
+        & (~any_asked | any_held)
+    )
+
+
 def match(
     params: DataFrame, facts: DataFrame, fact_id: str, amount: str, columns: list[str],
-    question_columns: tuple[str, ...] = (),
+    question_columns: tuple[str, ...] = (), names: DataFrame | None = None,
 ) -> DataFrame:
     """Every (question, fact) pair that satisfies all the question's filters, each pair once.
 
@@ -98,36 +209,29 @@ def match(
     One equi-join on the keys above finds the candidates; the full predicate is checked on each.
     Nothing runs while the plan is built: the kinds of key in use are a scalar subquery, and Spark chooses by the size
     of the question keys whether they are broadcast or both sides are shuffled and hot keys split at run time.
-    ``params`` should be a stored table. A range of months or a list of names meets a fact once; of
+    ``params`` should be a stored table. The blocks of a range or a list of names meet a fact once; of
     several shared categories only the first produces the pair.
     """
-    keys = question_keys(params)
+    return _join(question_keys(params, names), facts, fact_id, amount, columns, question_columns)
+
+
+def _join(
+    keys: DataFrame, facts: DataFrame, fact_id: str, amount: str, columns: list[str], question_columns: tuple[str, ...]
+) -> DataFrame:
     q = keys.alias("q")
-    f = fact_keys(facts, fact_id, keys.agg(F.collect_set(F.left("_key", F.lit(1)))).scalar()).alias("f")
+    f = fact_keys(facts, fact_id, _kinds(keys), amount).alias("f")
     ts = F.col("f.transaction_date")
     shared = F.array_intersect(F.col("f.categories"), F.col("q.categories"))
     first_shared = F.concat(F.lit("c:"), F.get(shared, F.lit(0)))
-
-    def optional(cond: Column, given: Column) -> Column:
-        return F.when(given, F.coalesce(cond, F.lit(False))).otherwise(F.lit(True))
-
-    asked = [F.col(f"q.{x}") for x in FLAGS]
-    any_asked, any_held = F.lit(False), F.lit(False)
-    for name, flag in zip(FLAGS, asked):
-        any_asked = any_asked | F.coalesce(flag, F.lit(False))
-        any_held = any_held | (F.coalesce(flag, F.lit(False)) & F.coalesce(F.col(f"f.{name}"), F.lit(False)))
     cond = (
         (F.col("q._key") == F.col("f._key"))
-        & optional(ts >= F.col("q.start_ts"), F.col("q.start_ts").isNotNull())
-        & optional(ts < F.col("q.end_ts"), F.col("q.end_ts").isNotNull())
-        & optional(F.month(ts) == F.col("q.month_of_year"), F.col("q.month_of_year").isNotNull())
-        & optional(F.size(shared) > 0, F.size("q.categories") > 0)
+        & _optional(ts >= F.col("q.start_ts"), F.col("q.start_ts").isNotNull())
+        & _optional(ts < F.col("q.end_ts"), F.col("q.end_ts").isNotNull())
+        & _optional(F.month(ts) == F.col("q.month_of_year"), F.col("q.month_of_year").isNotNull())
         & (~F.col("q._key").startswith("c:") | (F.col("q._key") == first_shared))
-        & optional(F.col("f.payment_method") == F.col("q.payment_method"), F.col("q.payment_method").isNotNull())
-        & optional(F.col("f.card_network") == F.col("q.card_network"), F.col("q.card_network").isNotNull())
-        & optional(F.col(f"f.{amount}") > F.col("q.min_amount"), F.col("q.min_amount").isNotNull())
-        & optional(F.col(f"f.{amount}") < F.col("q.max_amount"), F.col("q.max_amount").isNotNull())
-        & (~any_asked | any_held)
+        & _optional(F.col(f"f.{amount}") > F.col("q.min_amount"), F.col("q.min_amount").isNotNull())
+        & _optional(F.col(f"f.{amount}") < F.col("q.max_amount"), F.col("q.max_amount").isNotNull())
+        & _same_kind()
     )
     return f.join(q, cond).select(
         "q.question_id", *[F.col(f"q.{c}") for c in question_columns], *[F.col(f"f.{c}") for c in columns]
@@ -158,7 +262,7 @@ def _answer_value(kind: Column) -> Column:
     )
 
 
-def audit(params: DataFrame, receipts: DataFrame, items: DataFrame) -> DataFrame:
+def audit(params: DataFrame, receipts: DataFrame, items: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Exact sum, average or count per question over all its matches.
 
     Questions on a receipt basis read the metric column of receipts, those on an item basis the item
@@ -166,7 +270,7 @@ def audit(params: DataFrame, receipts: DataFrame, items: DataFrame) -> DataFrame
     against one fact table only, and values are summed per task before the shuffle.
     """
     asked = with_filter_id(params.filter(F.col("aggregation").isNotNull()))
-    sums = filter_sums(asked, receipts, items).withColumnRenamed("question_id", "filter_id")
+    sums = filter_sums(asked, receipts, items, names).withColumnRenamed("question_id", "filter_id")
     joined = asked.select("question_id", "filter_id", "aggregation").join(sums, "filter_id", "left")
     return joined.select(
         "question_id",
@@ -176,25 +280,156 @@ def audit(params: DataFrame, receipts: DataFrame, items: DataFrame) -> DataFrame
     )
 
 
-def filter_sums(params: DataFrame, receipts: DataFrame, items: DataFrame) -> DataFrame:
-    """Sum and count of the asked values, and the number of matches, per distinct filter."""
+def filter_sums(params: DataFrame, receipts: DataFrame, items: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Sum and count of the asked values, and the number of matches, per distinct filter.
+
+    Questions that name merchants meet facts. All others meet summary cells, and facts only where a day or an amount is
+    cut by a bound of theirs.
+    """
     unique = unique_questions(params).withColumn("question_id", F.col("filter_id"))
-    by_receipt = match(
+    by_receipt = _sums(
         unique.filter(F.col("sum_basis") == "receipts"), receipts, "receipt_id", "total_amount",
-        ["total_amount", "tax_amount", "tip_amount"], ("metric",),
+        ["total_amount", "tax_amount", "tip_amount"], names,
     )
-    by_item = match(unique.filter(F.col("sum_basis") == "items"), items, "item_id", "item_price", ["item_price"])
-    value = (
-        F.when(F.col("metric") == "tax_amount", F.col("tax_amount"))
-        .when(F.col("metric") == "tip_amount", F.col("tip_amount"))
-        .otherwise(F.col("total_amount"))
+    by_item = _sums(unique.filter(F.col("sum_basis") == "items"), items, "item_id", "item_price", ["item_price"], names)
+    return by_receipt.unionByName(by_item)
+
+
+def _sums(
+    questions: DataFrame, facts: DataFrame, fact_id: str, amount: str, measures: list[str], names: DataFrame | None
+) -> DataFrame:
+    """question_id, agg_sum, agg_count and n_matches of the measure that each question asks for; the first unless named."""
+    pieces = question_pieces(questions)
+    fact_side = pieces.filter(~F.col("_cell")).drop("_cell").unionByName(_merchant_keys(questions, names))
+    facts_met = _join(fact_side, facts, fact_id, amount, measures, ("metric",))
+    value = _asked_measure(measures, {m: F.col(m).cast(tx.MONEY) for m in measures})
+    from_facts = facts_met.select("question_id", value.alias("_value")).groupBy("question_id").agg(
+        F.sum("_value").alias("agg_sum"), F.count("_value").alias("agg_count"), F.count(F.lit(1)).alias("n_matches")
     )
-    values = by_receipt.select("question_id", value.cast(tx.MONEY).alias("_value")).unionByName(
-        by_item.select("question_id", F.col("item_price").cast(tx.MONEY).alias("_value"))
+    cell_side = pieces.filter("_cell").drop("_cell")
+    asks_amounts = cell_side.agg(F.coalesce(F.bool_or(F.col("min_amount").isNotNull() | F.col("max_amount").isNotNull()), F.lit(False))).scalar()
+    cells = keyed_cells(summary_cells(facts, amount, measures, asks_amounts), _kinds(cell_side))
+    cells_met = _join_cells(cell_side, cells, measures)
+    from_cells = cells_met.select(
+        "question_id",
+        _asked_measure(measures, {m: F.col(f"sum_{m}") for m in measures}).alias("agg_sum"),
+        _asked_measure(measures, {m: F.col(f"n_{m}") for m in measures}).alias("agg_count"),
+        "n_matches",
     )
-    return values.groupBy("question_id").agg(
-        F.sum("_value").alias("agg_sum"), F.count("_value").alias("agg_count"), F.count(F.lit(1)).alias("n_matches")
+    sums = [F.sum(c).alias(c) for c in ("agg_sum", "agg_count", "n_matches")]
+    total = F.col("agg_sum").cast("decimal(22,2)")
+    both = from_facts.withColumn("agg_sum", total).unionByName(from_cells.withColumn("agg_sum", total))
+    return both.groupBy("question_id").agg(*sums).withColumn("agg_sum", total)
+
+
+def _asked_measure(measures: list[str], values: dict[str, Column]) -> Column:
+    out = values[measures[0]]
+    for name in measures[1:]:
+        out = F.when(F.col("metric") == name, values[name]).otherwise(out)
+    return out
+
+
+def question_pieces(params: DataFrame) -> DataFrame:
+    """Questions without merchants in pieces that cover what they ask for once: rows with ``_key`` and ``_cell``.
+
+    Whole days, or whole months of a month of the year, with amounts whose bucket lies within the bounds, are cells.
+    Days that a bound cuts are met as facts, with all their amounts, and so are the buckets of the amount bounds, on whole days.
+    """
+    start, end, month = F.col("start_ts"), F.col("end_ts"), F.col("month_of_year")
+    midnight = lambda ts: ts == ts.cast("date").cast(ts_type)
+    ts_type = params.schema["start_ts"].dataType
+    as_ts = lambda day: day.cast(ts_type)
+    start_day, end_day = start.cast("date"), end.cast("date")
+    # Whole days, and whole months where a month of the year is asked for.
+    first_day = F.when(midnight(start), start_day).otherwise(F.date_add(start_day, 1))
+    next_month = F.add_months(F.trunc(F.date_sub(first_day, 1), "month"), 1)
+    whole_start = F.when(month.isNull(), first_day).otherwise(next_month)
+    whole_end = F.when(month.isNull(), end_day).otherwise(F.trunc(end_day, "month"))
+    none = F.array().cast("array<string>")
+    one_day = lambda ts: F.when(ts.isNotNull() & ~midnight(ts), F.concat(F.lit("d0:"), day_number(ts).cast("string")))
+    cut_days = F.array_distinct(F.array_compact(F.array(one_day(start), one_day(end))))
+    before = F.when(F.month(start) == month, day_blocks(day_number(start), day_number(whole_start)))
+    after = F.when(F.month(whole_end) == month, day_blocks(day_number(whole_end), _last_day(end) + 1))
+    within = F.when(F.month(start) == month, day_blocks(day_number(start), _last_day(end) + 1))
+    cut_months = F.when(F.coalesce(whole_start > whole_end, F.lit(False)), F.coalesce(within, none)).otherwise(
+        F.concat(F.coalesce(before, none), F.coalesce(after, none))
+    )
+    some = F.coalesce(whole_start < whole_end, F.lit(True))
+    blocks = day_blocks(F.coalesce(day_number(whole_start), F.lit(0)), F.coalesce(day_number(whole_end), F.lit(LAST_DAY)))
+    whole = (
+        F.when(~some, none)
+        .when(month.isNotNull(), F.array(F.concat(F.lit("y:"), month.cast("string"))))
+        .when(start.isNotNull() | end.isNotNull(), blocks)
+        .otherwise(F.array(F.lit("a:")))
+    )
+    bounds = F.array_distinct(F.array_compact(F.array(amount_bucket(F.col("min_amount")), amount_bucket(F.col("max_amount")))))
+    piece = lambda keys, cell, low, high: F.transform(
+        keys, lambda k: F.struct(k.alias("_key"), F.lit(cell).alias("_cell"), low.alias("start_ts"), high.alias("end_ts"))
+    )
+    pieces = F.concat(
+        piece(whole, True, as_ts(whole_start), as_ts(whole_end)),
+        piece(F.when(month.isNull(), cut_days).otherwise(cut_months), False, start, end),
+        piece(F.when(some, _tagged(bounds, "v")).otherwise(none), False, as_ts(whole_start), as_ts(whole_end)),
+    )
+    asked = params.filter((F.coalesce(F.size("merchants"), F.lit(0)) <= 0) & F.coalesce(start < end, F.lit(True)))
+    rest = [c for c in params.columns if c not in ("start_ts", "end_ts")]
+    return asked.select(*rest, F.explode(pieces).alias("_piece")).select(*rest, "_piece.*").select(*params.columns, "_key", "_cell")
+
+
+_KIND_OF_FACT = ["payment_method", "card_network", "categories", *FLAGS]
+
+
+def summary_cells(facts: DataFrame, amount: str, measures: list[str], by_amount: Column | bool = False) -> DataFrame:
+    """Facts summed by day, payment, network, categories and flags, and by amount bucket if ``by_amount``.
+
+    Counts and sums only, so cells of several loads are merged by adding them up (see ``merged_cells``).
+    """
+    by_amount = F.lit(by_amount) if isinstance(by_amount, bool) else by_amount
+    rows = facts.select(
+        F.col("transaction_date").cast("date").alias("day"),
+        *[F.col(c) for c in _KIND_OF_FACT if c != "categories"],
+        F.sort_array(F.array_distinct("categories")).alias("categories"),
+        F.when(by_amount, amount_bucket(F.col(amount))).alias("bucket"),
+        *[F.col(m).cast(tx.MONEY).alias(m) for m in measures],
+    )
+    sums = [f(m).alias(f"{tag}_{m}") for m in measures for tag, f in (("sum", F.sum), ("n", F.count))]
+    return rows.groupBy("day", *_KIND_OF_FACT, "bucket").agg(*sums, F.count(F.lit(1)).alias("n_matches"))
+
+
+def merged_cells(cells: DataFrame, *by: str) -> DataFrame:
+    """Cells that are alike in day (or the columns ``by``), kind and bucket added up."""
+    keys = [*(by or ("day",)), *_KIND_OF_FACT, "bucket"]
+    return cells.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in cells.columns if c.startswith(("sum_", "n_"))])
+
+
+def keyed_cells(cells: DataFrame, kinds: Column) -> DataFrame:
+    """Cells merged to the grains in use: blocks of days of some levels, months of the year by month, and all days."""
+    day = day_number(F.col("day"))
+    used = lambda kind: F.array_contains("_kinds", kind)
+    grain = lambda key, month: F.struct(key.alias("_key"), month.alias("month"))
+    no_month = F.lit(None).cast("date")
+    grains = [F.when(used("a"), grain(F.lit("a:"), no_month))]
+    grains += [F.when(used("y") & F.col("day").isNotNull(), grain(F.concat(F.lit("y:"), F.month("day").cast("string")), F.trunc("day", "month")))]
+    for level in range(LEVELS):
+        key = F.concat(F.lit(f"d{level}:"), F.shiftright(day, 3 * level).cast("string"))
+        grains.append(F.when(used(f"d{level}") & F.col("day").isNotNull(), grain(key, no_month)))
+    keyed = cells.withColumn("_kinds", kinds).withColumn("_grain", F.explode(F.array_compact(F.array(*grains)))).select("*", "_grain.*")
+    return merged_cells(keyed, "_key", "month")
+
+
+def _join_cells(keys: DataFrame, cells: DataFrame, measures: list[str]) -> DataFrame:
+    q, f = keys.alias("q"), cells.alias("f")
+    month = F.col("f.month")
+    cond = (
+        (F.col("q._key") == F.col("f._key"))
+        & _optional(month >= F.col("q.start_ts").cast("date"), month.isNotNull() & F.col("q.start_ts").isNotNull())
+        & _optional(month < F.col("q.end_ts").cast("date"), month.isNotNull() & F.col("q.end_ts").isNotNull())
+        & _optional(F.col("f.bucket") > amount_bucket(F.col("q.min_amount")), F.col("q.min_amount").isNotNull())
+        & _optional(F.col("f.bucket") < amount_bucket(F.col("q.max_amount")), F.col("q.max_amount").isNotNull())
+        & _same_kind()
     )
+    sums = [f"f.{tag}_{m}" for m in measures for tag in ("sum", "n")]
+    return f.join(q, cond).select("q.question_id", "q.metric", "f.n_matches", *sums)
 
 
 # --- evidence --------------------------------------------------------------------------------
@@ -250,14 +485,14 @@ def evidence(hits: DataFrame, question: str, content: str, rank: str = "rank") -
 # --- result records --------------------------------------------------------------------------
 
 
-def results(params: DataFrame, receipts: DataFrame, items: DataFrame) -> DataFrame:
+def results(params: DataFrame, receipts: DataFrame, items: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """One record per question, also for questions without a match.
 
     A result counts as verified when an audit ran over all its matches. Facts are read once: the
     same sums give the audit and the number of matches.
     """
     keyed = with_filter_id(params)
-    sums = filter_sums(keyed, receipts, items).withColumnRenamed("question_id", "filter_id")
+    sums = filter_sums(keyed, receipts, items, names).withColumnRenamed("question_id", "filter_id")
     joined = keyed.select("question_id", "filter_id", "query_type", "aggregation").join(sums, "filter_id", "left")
     joined = joined.withColumn(
         "agg_value", F.when(F.col("agg_count") > 0, _answer_value(F.col("aggregation"))).cast("decimal(18,2)")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
 from tillweave.functions import fixed, text as tx
@@ -117,40 +117,104 @@ def _grams(column: Column) -> Column:
     )
 
 
-def _segment_keys(names: DataFrame, slack: float) -> DataFrame:
-    """A name of length n is cut into floor(n * slack) + 1 segments; each is a key with its place."""
-    size = F.length("name_norm")
-    parts = F.floor(size * slack).cast("int") + 1
+# --- q-gram index ----------------------------------------------------------------------------
+#
+# Two measures, each with a necessary condition on shared q-grams. Names are padded, so that ends count:
+#
+# edit    1 - edits / max(len) >= t: at most d = (1 - t) * max(len) edits, each of which spoils q grams at most.
+#         q = 3, two pads at either end: len + 2 grams, of which max(len) + 2 - 3 d are shared.
+# blocks  2 * matched / (len a + len b) >= t: at most D = (1 - t) * (len a + len b) letters are unmatched, which
+#         leave the matched ones in at most D + 1 runs. q = 2, one pad at either end: the matched letters and both
+#         pads share (len a + len b - D) / 2 + 1 - D grams.
+#
+# Shared grams keep within d or D places of each other. A name's grams are sorted by frequency, rarest first; of two
+# names that share T grams the rarest shared one is not among the last T - 1 of either, so it suffices to
+# look up all but those (the prefix), and pairs whose shared gram stands later than that are not candidates.
+
+_QGRAM = {"edit": 3, "blocks": 2}
+
+
+def _positional_grams(names: DataFrame, name: str, measure: str) -> DataFrame:
+    """(name, len, letters, gram, pos): padded q-grams, and a bit for each letter and how often it occurred."""
+    q = _QGRAM[measure]
+    padded = F.concat(F.lit("\x01" * (q - 1)), F.col(name), F.lit("\x02" * (q - 1)))
+    at = F.sequence(F.lit(1), F.length(name) + (q - 1))
+    grams = F.transform(at, lambda i: F.struct(F.substring(padded, i, F.lit(q)).alias("gram"), i.alias("pos")))
+    return names.select(
+        name, F.length(name).alias("len"), _letter_bits(F.col(name)).alias("letters"), F.inline(grams)
+    )
+
 
-    def key(s: Column) -> Column:
-        start = F.floor(size * s / parts).cast("int")
-        width = F.floor(size * (s + 1) / parts).cast("int") - start
-        return F.concat_ws("|", size, s, F.substring(F.col("name_norm"), start + 1, width))
+def _letter_bits(name: Column) -> Column:
+    """64 bits that stand for letters with their counts: the k-th occurrence of a letter sets one of them.
 
-    return names.withColumn("_key", F.explode(F.transform(F.sequence(F.lit(0), parts - 1), key)))
+    A letter that another name lacks, or has less often, sets a bit that the other doesn't set, or the same bit as
+    another one; so the bits of one alone never outnumber the letters of one alone.
+    """
+    letters = F.array_sort(F.split(name, ""))
+    place = lambda c, i: F.pmod(F.hash(c, i - F.array_position(letters, c)), F.lit(64)).cast("int")
+    bit = F.transform(letters, lambda c, i: F.call_function("shiftleft", F.lit(1).cast("long"), place(c, i)))
+    return F.aggregate(bit, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 
-def _window_keys(toks: DataFrame, slack: float, pair_slack: Column, shortest: float) -> DataFrame:
-    """For each name length within reach of a token, the substrings a shared segment could be."""
-    size = F.length("token_norm")
-    reach = toks.withColumn(
-        "_len",
-        F.explode(F.sequence(F.ceil(size * shortest).cast("int"), F.floor(size / shortest).cast("int"))),
-    )
-    reach = reach.withColumns(
-        {"_parts": F.floor(F.col("_len") * slack).cast("int") + 1, "_max": F.floor(pair_slack).cast("int")}
+def _least_shared(measure: str, a: Column, b: Column, threshold: float) -> tuple[Column, Column]:
+    """How many grams two names of these lengths share at least, and how far apart shared grams are at most."""
+    miss = 1.0 - threshold
+    if measure == "edit":
+        longest = F.greatest(a, b)
+        edits = F.floor(longest * miss + 1e-9)
+        return longest + 2 - 3 * edits, edits
+    unmatched = F.floor((a + b) * miss + 1e-9)
+    return F.ceil((a + b - unmatched) / 2) + 1 - unmatched, unmatched
+
+
+def gram_index(names: DataFrame, name: str, rarity: DataFrame, measure: str) -> DataFrame:
+    """Grams of every name with ``rank``, their place from the rarest on, and ``n``, how many the name has."""
+    own = Window.partitionBy(name)
+    grams = _positional_grams(names, name, measure).join(rarity, "gram", "left")
+    order = own.orderBy(F.coalesce("freq", F.lit(0)), "gram", "pos")
+    return grams.withColumns({"rank": F.row_number().over(order), "n": F.col("len") + (_QGRAM[measure] - 1)}).drop("freq")
+
+
+def candidates(toks: DataFrame, names: DataFrame, measure: str, threshold: float = fixed.MIN_SIMILARITY) -> DataFrame:
+    """Pairs (token_norm, name_norm) that can reach the threshold; no pair that does is missing.
+
+    They meet on a gram of both prefixes, at places and lengths that allow the similarity; the letters and then
+    the edit distance bound it from above. The threshold must be above 2/3: below, pairs need share no gram.
+    """
+    if threshold <= 2 / 3:
+        raise ValueError("similar names need not share grams at thresholds up to 2/3")
+    rarity = _positional_grams(names.select("name_norm"), "name_norm", measure).groupBy("gram").agg(F.count(F.lit(1)).alias("freq"))
+    shortest = threshold if measure == "edit" else threshold / (2.0 - threshold)
+
+    def prefix(rows: DataFrame, name: str, tag: str) -> DataFrame:
+        index = gram_index(rows.select(name), name, rarity, measure)
+        # Without rounding, shared grams grow with the partner's length, so the shortest partner has the least.
+        per_letter = 1.0 - 3 * (1.0 - threshold)
+        least = F.col("len") * per_letter + 2 if measure == "edit" else F.col("len") * (1 + shortest) * per_letter / 2 + 1
+        kept = index.filter(F.col("rank") <= F.col("n") - F.floor(least - 1e-9) + 1)
+        return kept.select(name, "gram", *[F.col(c).alias(f"{c}_{tag}") for c in ("len", "letters", "pos", "rank", "n")])
+
+    t, c = prefix(toks, "token_norm", "t"), prefix(names, "name_norm", "c")
+    a, b = F.col("len_t"), F.col("len_c")
+    shared, apart = _least_shared(measure, a, b, threshold)
+    shared = F.greatest(shared, F.lit(1))
+    most = F.least(
+        a - F.bit_count(F.col("letters_t").bitwiseAND(F.bitwise_not("letters_c"))), b - F.bit_count(F.col("letters_c").bitwiseAND(F.bitwise_not("letters_t")))
     )
-    reach = reach.withColumn("_seg", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    start = F.floor(F.col("_len") * F.col("_seg") / F.col("_parts")).cast("int")
-    width = F.floor(F.col("_len") * (F.col("_seg") + 1) / F.col("_parts")).cast("int") - start
-    reach = reach.withColumns({"_start": start, "_width": width})
-    low = F.greatest(F.col("_start") - F.col("_max"), F.lit(0))
-    high = F.least(F.col("_start") + F.col("_max"), size - F.col("_width"))
-    texts = F.transform(
-        F.sequence(low, F.greatest(low, high)),
-        lambda p: F.concat_ws("|", "_len", "_seg", F.substring(F.col("token_norm"), p + 1, F.col("_width"))),
+    enough = most >= F.greatest(a, b) * threshold - 1e-9 if measure == "edit" else 2 * most >= (a + b) * threshold - 1e-9
+    near = (
+        (F.least(a, b) >= F.greatest(a, b) * shortest - 1e-9)
+        & (F.abs(F.col("pos_t") - F.col("pos_c")) <= apart)
+        & (F.col("rank_t") <= F.col("n_t") - shared + 1)
+        & (F.col("rank_c") <= F.col("n_c") - shared + 1)
+        & enough
     )
-    return reach.filter(low <= high).select("token_norm", F.explode(F.array_distinct(texts)).alias("_key"))
+    pairs = t.join(c, "gram").filter(near).select("token_norm", "name_norm").distinct()
+    x, y = F.col("token_norm"), F.col("name_norm")
+    # Letters outside of the matching blocks turn one string into the other, so edits never outnumber them.
+    room = F.greatest(F.length(x), F.length(y)) if measure == "edit" else F.length(x) + F.length(y)
+    return pairs.filter(F.levenshtein(x, y) <= room * (1.0 - threshold) + 1e-9)
 
 
 def _contained(inner: DataFrame, inner_text: str, outer: DataFrame, outer_text: str) -> DataFrame:
@@ -173,26 +237,15 @@ def _contained(inner: DataFrame, inner_text: str, outer: DataFrame, outer_text:
 
 
 def best_matches(
-    toks: DataFrame, corpus: DataFrame, token: str = "token", measure: str = "edit",
+    toks: DataFrame, corpus: DataFrame, token: str = "token", measure: str = "blocks",
     threshold: float = fixed.MIN_SIMILARITY,
 ) -> DataFrame:
     """Best known name of every distinct token: ``(token_norm, name, score)``.
 
-    A token and a name score their similarity, raised to 0.9 when one contains the other. Only pairs
-    sharing a key are scored. The keys lose no pair above the threshold: strings within ``d`` edits
-    share one of ``d + 1`` segments of the name within ``d`` places, and contained strings share
-    every 3-gram of the shorter one. ``measure`` is ``edit`` (JVM only) or
-    ``blocks`` (matching blocks, Arrow batches over the candidate pairs alone).
+    A token and a name score their similarity, raised to 0.9 when one contains the other. ``measure`` is ``blocks``
+    (matching blocks, Arrow batches over the pairs that pass every bound) or ``edit`` (JVM only). Only candidates
+    of the q-gram index and contained names are scored, which loses no pair above the threshold.
     """
-    miss = 1.0 - threshold
-    size, length = F.length("token_norm"), F.col("_len")
-    if measure == "edit":
-        shortest = threshold
-        slack, pair = miss / threshold, F.greatest(size, length) * miss
-    else:
-        # ratio >= t means at most (1 - t) * (len a + len b) inserted or deleted characters.
-        shortest = threshold / (2.0 - threshold)
-        slack, pair = miss * (1.0 + 1.0 / shortest), (size + length) * miss
     typed = (
         toks.filter(F.length(token) >= fixed.MIN_TOKEN_LENGTH)
         .select(normalise(F.col(token)).alias("token_norm"))
@@ -206,11 +259,8 @@ def best_matches(
     same = F.col("token_norm") == F.col("name_norm")
     equal = typed.join(names, same).select("token_norm", "name", F.lit(1.0).alias("score"))
     typed = typed.join(names.select("name_norm"), same, "left_anti")
-    near = _window_keys(typed, slack + 1e-9, pair + 1e-9, shortest - 1e-9).join(
-        _segment_keys(names.select("name_norm"), slack + 1e-9), "_key"
-    )
     pairs = (
-        near.select("token_norm", "name_norm")
+        candidates(typed, names, measure, threshold)
         .unionByName(_contained(typed, "token_norm", names, "name_norm"))
         .unionByName(_contained(names, "name_norm", typed, "token_norm"))
         .distinct()
@@ -238,7 +288,7 @@ def with_prepositions(questions: DataFrame, text: str = "text") -> DataFrame:
 
 def extract_merchants(
     questions: DataFrame, corpus: DataFrame | None = None, question_id: str = "question_id",
-    text: str = "text", measure: str = "edit",
+    text: str = "text", measure: str = "blocks",
 ) -> DataFrame:
     """Adds ``merchants``: names after prepositions, else fuzzy matches against the corpus."""
     direct = with_prepositions(questions, text)
@@ -263,7 +313,7 @@ def extract_merchants(
 
 
 def resolve_names(
-    params: DataFrame, corpus: DataFrame, question_id: str = "question_id", measure: str = "edit"
+    params: DataFrame, corpus: DataFrame, question_id: str = "question_id", measure: str = "blocks"
 ) -> DataFrame:
     """Replaces merchants that equal no known name by their best known match.
 

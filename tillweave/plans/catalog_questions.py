@@ -277,6 +277,31 @@ b AS (SELECT typed, name, score, row_number() OVER (PARTITION BY typed ORDER BY
 SELECT p_partkey, b.name AS matched, round(CAST(b.score AS DOUBLE), 6) AS score FROM t LEFT JOIN b ON t.typed = b.typed AND r = 1""")
 
 
+def me4_block_match(spark, sf_dir):
+    """The same with the matching-block ratio."""
+    typed = typed_names(spark, sf_dir)
+    best = me.best_matches(typed, me.known_names(table(spark, sf_dir, "part"), "p_name"), "typed", "blocks")
+    joined = typed.withColumn("token_norm", me.normalise(F.col("typed"))).join(best, "token_norm", "left")
+    return joined.select("p_partkey", F.col("name").alias("matched"), F.round("score", 6).alias("score"))
+
+
+# The longest common part of two strings, the first one in a and then in b; then the same left and right of it.
+# Pairs with more edits than a quarter of their letters are out of reach.
+_BLOCK = """list_max(flatten([[{'l': list_max([l FOR l IN range(0, least(length(a) - i, length(b) - j) + 2) IF substr(a, i, l) = substr(b, j, l)]),
+  'i': -i, 'j': -j} FOR j IN range(1, length(b) + 1)] FOR i IN range(1, length(a) + 1)]))"""
+register("me4_block_match", me4_block_match, rf"""
+WITH RECURSIVE t AS (SELECT p_partkey, trim(regexp_replace(substr(p_name, 1, p_partkey % length(p_name)) || substr(p_name, p_partkey % length(p_name) + 2), '\s+', ' ', 'g')) AS typed FROM part),
+n AS (SELECT DISTINCT p_name AS name FROM part),
+p AS (SELECT typed, name FROM (SELECT DISTINCT typed FROM t), n WHERE levenshtein(typed, name) <= (length(typed) + length(name)) / 4.0 OR contains(name, typed) OR contains(typed, name)),
+m AS (SELECT typed, name, 0 AS depth, 0::BIGINT AS l, typed AS a, name AS b FROM p
+  UNION ALL SELECT typed, name, depth + 1, k.l, piece.a, piece.b FROM (SELECT *, {_BLOCK} AS k FROM m WHERE length(a) > 0 AND length(b) > 0) x,
+    LATERAL (SELECT unnest([{{'a': substr(a, 1, (-k.i - 1)::INT), 'b': substr(b, 1, (-k.j - 1)::INT), 'first': true}}, {{'a': substr(a, (-k.i + k.l)::INT), 'b': substr(b, (-k.j + k.l)::INT), 'first': false}}]) AS piece) WHERE k.l > 0),
+r AS (SELECT typed, name, sum(l) FILTER (WHERE depth > 0) / 2.0 AS matched FROM m GROUP BY 1, 2),
+s AS (SELECT typed, name, greatest(CASE WHEN contains(name, typed) OR contains(typed, name) THEN 0.9::DOUBLE ELSE 0 END, 2 * matched::DOUBLE / (length(typed) + length(name))) AS score FROM r),
+b AS (SELECT typed, name, score, row_number() OVER (PARTITION BY typed ORDER BY score DESC, name) AS r FROM s WHERE score >= 0.75 - 1e-12)
+SELECT p_partkey, b.name AS matched, round(CAST(b.score AS DOUBLE), 6) AS score FROM t LEFT JOIN b ON t.typed = b.typed AND r = 1""")
+
+
 def me5_known_names(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_name").alias("merchant_name"))
     s = table(spark, sf_dir, "supplier").select(F.col("s_name").alias("merchant_name"))
@@ -296,13 +321,20 @@ def me6_strategy_order(spark, sf_dir):
     asked_ = part.select(F.col("p_partkey").alias("question_id"), text.alias("text"))
     corpus = me.known_names(part, "p_name")
     found = me.extract_merchants(asked_, corpus, measure="edit")
-    direct = F.col("question_id") % 2 == 0
-    return found.select("question_id", (F.size("merchants") > 0).alias("found"),
-                        F.when(direct, F.size("merchants")).alias("direct_names"))
+    return found.select("question_id", F.array_join("merchants", "|").alias("names"))
 
 
-register("me6_strategy_order", me6_strategy_order, """
-SELECT p_partkey AS question_id, true AS found, CAST(CASE WHEN p_partkey % 2 = 0 THEN 1 END AS INTEGER) AS direct_names FROM part""")
+_SHOWN = "array_to_string([upper(w[1]) || lower(w[2:]) FOR w IN string_split(typed, ' ')], ' ')"
+register("me6_strategy_order", me6_strategy_order, rf"""
+WITH t AS (SELECT p_partkey, substr(p_name, 1, p_partkey % length(p_name)) || substr(p_name, p_partkey % length(p_name) + 2) AS typed FROM part),
+n AS (SELECT DISTINCT p_name AS name FROM part),
+k AS (SELECT DISTINCT typed, unnest(list_distinct([trim(typed)] || [w FOR w IN string_split(typed, ' ') IF length(w) >= 3])) AS tok FROM t),
+s AS (SELECT tok, name, CASE WHEN contains(name, tok) OR contains(tok, name) THEN greatest(0.9, 1.0 - levenshtein(tok, name) / greatest(length(tok), length(name)))
+        ELSE 1.0 - levenshtein(tok, name) / greatest(length(tok), length(name)) END AS score FROM (SELECT DISTINCT tok FROM k), n),
+b AS (SELECT tok, name, row_number() OVER (PARTITION BY tok ORDER BY score DESC, name) AS r FROM s WHERE score >= 0.75 - 1e-12),
+f AS (SELECT typed, name, min(CASE WHEN tok = trim(typed) THEN 0 ELSE instr(' ' || typed || ' ', ' ' || tok || ' ') END) AS pos FROM k JOIN b USING (tok) WHERE r = 1 GROUP BY 1, 2)
+SELECT p_partkey AS question_id, CASE WHEN p_partkey % 2 = 0 THEN trim({_SHOWN}) || ' and at ' || trim({_SHOWN})
+  ELSE coalesce((SELECT string_agg(name, '|' ORDER BY pos) FROM f WHERE f.typed = t.typed), '') END AS names FROM t""")
 
 
 def me7_kept_names(spark, sf_dir):
