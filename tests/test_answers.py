@@ -103,7 +103,7 @@ def asked_and_facts(spark):
 def test_day_blocks_cover_a_range_once(spark):
     rng = random.Random(4)
     ranges = [(a, a + rng.choice([0, 1, 5, 8, 63, 64, 700, 20_000])) for a in (rng.randrange(1 << 22, (1 << 22) + 30_000) for _ in range(200))] + [(0, 1 << 23), (5, 5), (9, 3)]
-    df = spark.createDataFrame(ranges, "low long, high long").select("low", "high", qa.day_blocks(F.col("low"), F.col("high")).alias("keys"))
+    df = spark.createDataFrame(ranges, "low long, high long").select("low", "high", qa.day_blocks("low", "high").alias("keys"))
     for r in df.collect():
         days = []
         for key in r["keys"]:

@@ -114,10 +114,9 @@ def day_of(year: Column, month: Column, day: Column) -> Column:
     ).cast("date")
 
 
+_MONTH_NUMBERS = ", ".join(f"'{word}', {n}" for n, spellings in enumerate(fixed.MONTH_WORDS, 1) for word in spellings.split("|"))
+
+
 def month_number(word: Column) -> Column:
     """Month number of an English month word in any case, null otherwise."""
-    low = F.lower(word)
-    out = F.lit(None).cast("int")
-    for number, spellings in enumerate(fixed.MONTH_WORDS, 1):
-        out = F.when(low.isin(spellings.split("|")), number).otherwise(out)
-    return out
+    return F.try_element_at(F.expr(f"map({_MONTH_NUMBERS})"), F.lower(word))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillweave.functions import fixed, text as tx
 from tillweave.operators.merchants import normalise
+from tillweave.session import stored
 
 # Days since 1970 are shifted so that all of them are positive. A block of level l holds BLOCK_DAYS ** l days.
 DAY_SHIFT, LAST_DAY, BLOCK_DAYS, LEVELS = 1 << 22, 1 << 23, 8, 8
@@ -31,46 +34,52 @@ def _last_day(end: Column) -> Column:
     return day_number(end - F.expr("INTERVAL '0.000001' SECOND"))
 
 
-def day_blocks(first: Column, beyond: Column) -> Column:
-    """Keys of the aligned blocks that make up the days from ``first`` to before ``beyond``.
+_UP = "least(s.high, shiftright(s.low + 7, 3) * 8)"
+_DOWN = f"greatest({_UP}, shiftright(s.high, 3) * 8)"
+_DAYS = "if({0} < {1}, sequence({0}, {1} - 1), CAST(array() AS array<bigint>))"
+
+
+def day_blocks(low: str, high: str) -> Column:
+    """Keys of the aligned blocks that make up the days from column ``low`` to before column ``high``.
 
     Level by level, the numbers up to the next multiple of the block size are taken from either end; what lies between
     goes on as blocks of the next level. So a range has at most 14 keys a level, and a day is in one block of each level.
     """
-    days = lambda low, high: F.when(low < high, F.sequence(low, high - 1)).otherwise(F.array().cast("array<bigint>"))
-    whole = lambda x: x.cast("bigint")
-
-    def step(state: Column, level: Column) -> Column:
-        low, high, top = state["low"], state["high"], level == LEVELS - 1
-        up = F.when(top, high).otherwise(F.least(high, whole(F.ceil(low / BLOCK_DAYS)) * BLOCK_DAYS))
-        down = F.greatest(up, whole(F.floor(high / BLOCK_DAYS)) * BLOCK_DAYS)
-        keys = F.transform(F.concat(days(low, up), days(down, high)), lambda x: F.concat(F.lit("d"), level.cast("string"), F.lit(":"), x.cast("string")))
-        below = lambda x: whole(F.floor(x / BLOCK_DAYS))
-        return F.struct(below(up).alias("low"), below(down).alias("high"), F.concat(state["keys"], keys).alias("keys"))
-
-    none = F.array().cast("array<string>")
-    start = F.struct(whole(first).alias("low"), whole(F.greatest(first, beyond)).alias("high"), none.alias("keys"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), start, step, lambda state: state["keys"])
+    return F.expr(
+        f"""aggregate(sequence(0, {LEVELS - 1}),
+            named_struct('low', {low}, 'high', greatest({low}, {high}), 'keys', CAST(array() AS array<string>)),
+            (s, l) -> named_struct('low', shiftright({_UP}, 3), 'high', shiftright({_DOWN}, 3), 'keys', concat(s.keys,
+                transform(concat({_DAYS.format('s.low', _UP)}, {_DAYS.format(_DOWN, 's.high')}), x -> concat('d', l, ':', x)))),
+            s -> s.keys)"""
+    )
 
 
-def _months(first: Column, last: Column, month_of_year: Column) -> Column:
-    """First days of the months from one date to another that are the month of the year, if one is given."""
-    days = F.sequence(F.trunc(first, "month"), F.trunc(last, "month"), F.expr("INTERVAL 1 MONTH"))
-    return F.filter(days, lambda d: month_of_year.isNull() | (F.month(d) == month_of_year))
+def _with_block_keys(ranges: DataFrame) -> DataFrame:
+    """Rows with ``_key``, or with the days from ``_low`` to before ``_high``, as one row per key."""
+    keys = F.when(F.col("_key").isNotNull(), F.array("_key")).otherwise(day_blocks("_low", "_high"))
+    return ranges.withColumn("_key", F.explode(keys)).drop("_low", "_high")
 
 
-def _time_keys(start: Column, end: Column, month_of_year: Column) -> Column:
-    """Block keys of a range, which may be open at one end; with a month of the year, of that month in each year."""
+def _ranges_of(start: Column, end: Column, month_of_year: Column) -> Column:
+    """(low, high) day ranges, one unless a month of the year is asked for: then one for that month of each year."""
     first, beyond = F.coalesce(day_number(start), F.lit(0)), F.coalesce(_last_day(end) + 1, F.lit(LAST_DAY))
     last = (end - F.expr("INTERVAL '0.000001' SECOND")).cast("date")
-    by_month = F.flatten(
-        F.transform(
-            _months(start.cast("date"), last, month_of_year),
-            lambda m: day_blocks(F.greatest(first, day_number(m)), F.least(beyond, day_number(F.add_months(m, 1)))),
-        )
+    months = F.sequence(F.trunc(start.cast("date"), "month"), F.trunc(last, "month"), F.expr("INTERVAL 1 MONTH"))
+    by_month = F.transform(
+        F.filter(months, lambda m: F.month(m) == month_of_year),
+        lambda m: _range(F.greatest(first, day_number(m)), F.least(beyond, day_number(F.add_months(m, 1)))),
     )
-    keys = F.when(month_of_year.isNull(), day_blocks(first, beyond)).otherwise(by_month)
-    return F.when(F.coalesce(start < end, F.lit(True)), keys)
+    ranges = F.when(month_of_year.isNull(), F.array(_range(first, beyond))).otherwise(by_month)
+    return F.when(F.coalesce(start < end, F.lit(True)), ranges)
+
+
+def _range(low: Column, high: Column) -> Column:
+    return F.struct(F.lit(None).cast("string").alias("_key"), low.cast("bigint").alias("_low"), high.cast("bigint").alias("_high"))
+
+
+def _keyed(keys: Column) -> Column:
+    nothing = F.lit(None).cast("bigint")
+    return F.transform(keys, lambda k: F.struct(k.alias("_key"), nothing.alias("_low"), nothing.alias("_high")))
 
 
 def with_filter_id(params: DataFrame) -> DataFrame:
@@ -133,14 +142,14 @@ def question_keys(params: DataFrame, names: DataFrame | None = None) -> DataFram
     ranged = (starts & ends) | ((starts | ends) & F.col("month_of_year").isNull())
     salts = F.sequence(F.lit(0), F.lit(_salts(params) - 1))
     keys = (
-        F.when(ranged, _time_keys(F.col("start_ts"), F.col("end_ts"), F.col("month_of_year")))
-        .when(F.col("month_of_year").isNotNull(), F.array(F.concat(F.lit("y:"), F.col("month_of_year").cast("string"))))
-        .when(F.size("categories") > 0, _tagged(F.col("categories"), "c"))
-        .when(F.col("payment_method").isNotNull(), F.array(F.concat(F.lit("p:"), "payment_method")))
-        .otherwise(_tagged(salts, "a"))
+        F.when(ranged, _ranges_of(F.col("start_ts"), F.col("end_ts"), F.col("month_of_year")))
+        .when(F.col("month_of_year").isNotNull(), _keyed(F.array(F.concat(F.lit("y:"), F.col("month_of_year").cast("string")))))
+        .when(F.size("categories") > 0, _keyed(_tagged(F.col("categories"), "c")))
+        .when(F.col("payment_method").isNotNull(), _keyed(F.array(F.concat(F.lit("p:"), "payment_method"))))
+        .otherwise(_keyed(_tagged(salts, "a")))
     )
-    others = params.filter(F.coalesce(F.size("merchants"), F.lit(0)) <= 0).withColumn("_key", F.explode(keys))
-    return _merchant_keys(params, names).unionByName(others)
+    others = params.filter(F.coalesce(F.size("merchants"), F.lit(0)) <= 0).select("*", F.inline(keys))
+    return _merchant_keys(params, names).unionByName(_with_block_keys(others))
 
 
 def _salts(df: DataFrame) -> int:
@@ -160,9 +169,8 @@ def amount_bucket(amount: Column) -> Column:
     return F.when(amount < 0, -size - 1).otherwise(size)
 
 
-def fact_keys(facts: DataFrame, fact_id: str, kinds: Column, amount: str = "total_amount") -> DataFrame:
-    """One row per fact and join key, for the kinds of key in the array ``kinds`` that the questions use."""
-    salt = F.pmod(F.xxhash64(fact_id), F.lit(_salts(facts)))
+def fact_keys(facts: DataFrame, fact_id: str, kinds: Column | list[str], amount: str = "total_amount") -> DataFrame:
+    """One row per fact and join key, for the kinds of key that the questions use: a list, or an array column."""
     day = day_number(F.col("transaction_date"))
     single = {
         "m": F.col("merchant_name_norm"),
@@ -170,13 +178,19 @@ def fact_keys(facts: DataFrame, fact_id: str, kinds: Column, amount: str = "tota
         "y": F.month("transaction_date"),
         "p": F.col("payment_method"),
         "v": amount_bucket(F.col(amount)),
-        "a": salt,
+        "a": F.pmod(F.xxhash64(fact_id), F.lit(_salts(facts))),
     }
-    used = lambda kind: F.array_contains("_kinds", kind)
-    keys = F.array(*[F.when(used(kind), F.concat(F.lit(f"{kind}:"), key.cast("string"))) for kind, key in single.items()])
-    labels = F.when(used("c"), F.transform("categories", lambda c: F.concat(F.lit("c:"), c)))
-    keys = F.concat(keys, F.coalesce(labels, F.array().cast("array<string>")))
-    return facts.withColumn("_kinds", kinds).withColumn("_key", F.explode(F.array_compact(keys))).drop("_kinds")
+    if isinstance(kinds, list):
+        used = lambda kind, key: key
+        single, labelled = {kind: key for kind, key in single.items() if kind in kinds}, "c" in kinds
+    else:
+        facts = facts.withColumn("_kinds", kinds)
+        used, labelled = lambda kind, key: F.when(F.array_contains("_kinds", kind), key), True
+    keys = F.array(*[used(kind, F.concat(F.lit(f"{kind}:"), key.cast("string"))) for kind, key in single.items()])
+    if labelled:
+        labels = used("c", F.transform("categories", lambda c: F.concat(F.lit("c:"), c)))
+        keys = F.concat(keys, F.coalesce(labels, F.array().cast("array<string>")))
+    return facts.withColumn("_key", F.explode(F.array_compact(keys))).drop("_kinds")
 
 
 def _optional(cond: Column, given: Column) -> Column:
@@ -212,14 +226,15 @@ def match(
     ``params`` should be a stored table. The blocks of a range or a list of names meet a fact once; of
     several shared categories only the first produces the pair.
     """
-    return _join(question_keys(params, names), facts, fact_id, amount, columns, question_columns)
+    keys = question_keys(params, names)
+    return _join(keys, _kinds(keys), facts, fact_id, amount, columns, question_columns)
 
 
 def _join(
-    keys: DataFrame, facts: DataFrame, fact_id: str, amount: str, columns: list[str], question_columns: tuple[str, ...]
+    keys: DataFrame, kinds: Column | list[str], facts: DataFrame, fact_id: str, amount: str, columns: list[str], question_columns: tuple[str, ...]
 ) -> DataFrame:
     q = keys.alias("q")
-    f = fact_keys(facts, fact_id, _kinds(keys), amount).alias("f")
+    f = fact_keys(facts, fact_id, kinds, amount).alias("f")
     ts = F.col("f.transaction_date")
     shared = F.array_intersect(F.col("f.categories"), F.col("q.categories"))
     first_shared = F.concat(F.lit("c:"), F.get(shared, F.lit(0)))
@@ -284,42 +299,38 @@ def filter_sums(params: DataFrame, receipts: DataFrame, items: DataFrame, names:
     """Sum and count of the asked values, and the number of matches, per distinct filter.
 
     Questions that name merchants meet facts. All others meet summary cells, and facts only where a day or an amount is
-    cut by a bound of theirs.
+    cut by a bound of theirs. What questions come to is stored first; the kinds of key in use, a dozen at most, decide
+    which keys facts and cells get.
     """
     unique = unique_questions(params).withColumn("question_id", F.col("filter_id"))
-    by_receipt = _sums(
-        unique.filter(F.col("sum_basis") == "receipts"), receipts, "receipt_id", "total_amount",
-        ["total_amount", "tax_amount", "tip_amount"], names,
+    named = _merchant_keys(unique, names).withColumn("_cell", F.lit(False))
+    pieces = stored(question_pieces(unique).unionByName(named), "question-pieces")
+    kind = F.substring_index("_key", ":", 1)
+    bounded = F.col("min_amount").isNotNull() | F.col("max_amount").isNotNull()
+    used = pieces.groupBy("sum_basis", "_cell").agg(F.collect_set(kind).alias("kinds"), F.bool_or(bounded).alias("bounded")).collect()
+    parts = []
+    for row in used:
+        asked = pieces.filter((F.col("sum_basis") == row.sum_basis) & (F.col("_cell") == F.lit(row["_cell"]))).drop("_cell")
+        by_item = row.sum_basis == "items"
+        facts, fact_id, amount = (items, "item_id", "item_price") if by_item else (receipts, "receipt_id", "total_amount")
+        measures = ["item_price"] if by_item else ["total_amount", "tax_amount", "tip_amount"]
+        if row["_cell"]:
+            cells = keyed_cells(summary_cells(facts, amount, measures, row.bounded), row.kinds)
+            met = _join_cells(asked, cells, measures)
+            sums, counts = ({m: F.col(f"{tag}_{m}") for m in measures} for tag in ("sum", "n"))
+        else:
+            met = _join(asked, row.kinds, facts, fact_id, amount, measures, ("metric",)).withColumn("n_matches", F.lit(1).cast("bigint"))
+            sums = {m: F.col(m).cast(tx.MONEY) for m in measures}
+            counts = {m: F.col(m).isNotNull().cast("bigint") for m in measures}
+        value = _asked_measure(measures, sums).cast("decimal(22,2)")
+        parts.append(met.select("question_id", value.alias("agg_sum"), _asked_measure(measures, counts).alias("agg_count"), "n_matches"))
+    if not parts:
+        nothing = "question_id string, agg_sum decimal(22,2), agg_count bigint, n_matches bigint"
+        return params.sparkSession.createDataFrame([], nothing)
+    met = reduce(DataFrame.unionByName, parts)
+    return met.groupBy("question_id").agg(
+        F.sum("agg_sum").cast("decimal(22,2)").alias("agg_sum"), F.sum("agg_count").alias("agg_count"), F.sum("n_matches").alias("n_matches")
     )
-    by_item = _sums(unique.filter(F.col("sum_basis") == "items"), items, "item_id", "item_price", ["item_price"], names)
-    return by_receipt.unionByName(by_item)
-
-
-def _sums(
-    questions: DataFrame, facts: DataFrame, fact_id: str, amount: str, measures: list[str], names: DataFrame | None
-) -> DataFrame:
-    """question_id, agg_sum, agg_count and n_matches of the measure that each question asks for; the first unless named."""
-    pieces = question_pieces(questions)
-    fact_side = pieces.filter(~F.col("_cell")).drop("_cell").unionByName(_merchant_keys(questions, names))
-    facts_met = _join(fact_side, facts, fact_id, amount, measures, ("metric",))
-    value = _asked_measure(measures, {m: F.col(m).cast(tx.MONEY) for m in measures})
-    from_facts = facts_met.select("question_id", value.alias("_value")).groupBy("question_id").agg(
-        F.sum("_value").alias("agg_sum"), F.count("_value").alias("agg_count"), F.count(F.lit(1)).alias("n_matches")
-    )
-    cell_side = pieces.filter("_cell").drop("_cell")
-    asks_amounts = cell_side.agg(F.coalesce(F.bool_or(F.col("min_amount").isNotNull() | F.col("max_amount").isNotNull()), F.lit(False))).scalar()
-    cells = keyed_cells(summary_cells(facts, amount, measures, asks_amounts), _kinds(cell_side))
-    cells_met = _join_cells(cell_side, cells, measures)
-    from_cells = cells_met.select(
-        "question_id",
-        _asked_measure(measures, {m: F.col(f"sum_{m}") for m in measures}).alias("agg_sum"),
-        _asked_measure(measures, {m: F.col(f"n_{m}") for m in measures}).alias("agg_count"),
-        "n_matches",
-    )
-    sums = [F.sum(c).alias(c) for c in ("agg_sum", "agg_count", "n_matches")]
-    total = F.col("agg_sum").cast("decimal(22,2)")
-    both = from_facts.withColumn("agg_sum", total).unionByName(from_cells.withColumn("agg_sum", total))
-    return both.groupBy("question_id").agg(*sums).withColumn("agg_sum", total)
 
 
 def _asked_measure(measures: list[str], values: dict[str, Column]) -> Column:
@@ -336,60 +347,64 @@ def question_pieces(params: DataFrame) -> DataFrame:
     Days that a bound cuts are met as facts, with all their amounts, and so are the buckets of the amount bounds, on whole days.
     """
     start, end, month = F.col("start_ts"), F.col("end_ts"), F.col("month_of_year")
-    midnight = lambda ts: ts == ts.cast("date").cast(ts_type)
     ts_type = params.schema["start_ts"].dataType
-    as_ts = lambda day: day.cast(ts_type)
-    start_day, end_day = start.cast("date"), end.cast("date")
+    midnight = lambda ts: ts == ts.cast("date").cast(ts_type)
+    asked = params.filter((F.coalesce(F.size("merchants"), F.lit(0)) <= 0) & F.coalesce(start < end, F.lit(True)))
     # Whole days, and whole months where a month of the year is asked for.
-    first_day = F.when(midnight(start), start_day).otherwise(F.date_add(start_day, 1))
-    next_month = F.add_months(F.trunc(F.date_sub(first_day, 1), "month"), 1)
-    whole_start = F.when(month.isNull(), first_day).otherwise(next_month)
-    whole_end = F.when(month.isNull(), end_day).otherwise(F.trunc(end_day, "month"))
-    none = F.array().cast("array<string>")
-    one_day = lambda ts: F.when(ts.isNotNull() & ~midnight(ts), F.concat(F.lit("d0:"), day_number(ts).cast("string")))
-    cut_days = F.array_distinct(F.array_compact(F.array(one_day(start), one_day(end))))
-    before = F.when(F.month(start) == month, day_blocks(day_number(start), day_number(whole_start)))
-    after = F.when(F.month(whole_end) == month, day_blocks(day_number(whole_end), _last_day(end) + 1))
-    within = F.when(F.month(start) == month, day_blocks(day_number(start), _last_day(end) + 1))
-    cut_months = F.when(F.coalesce(whole_start > whole_end, F.lit(False)), F.coalesce(within, none)).otherwise(
-        F.concat(F.coalesce(before, none), F.coalesce(after, none))
+    asked = asked.withColumn("_first", F.when(midnight(start), start.cast("date")).otherwise(F.date_add(start.cast("date"), 1)))
+    next_month = F.add_months(F.trunc(F.date_sub("_first", 1), "month"), 1)
+    asked = asked.withColumns(
+        {
+            "_from": F.when(month.isNull(), F.col("_first")).otherwise(next_month),
+            "_to": F.when(month.isNull(), end.cast("date")).otherwise(F.trunc(end.cast("date"), "month")),
+        }
     )
-    some = F.coalesce(whole_start < whole_end, F.lit(True))
-    blocks = day_blocks(F.coalesce(day_number(whole_start), F.lit(0)), F.coalesce(day_number(whole_end), F.lit(LAST_DAY)))
+    low, high = F.col("_from"), F.col("_to")
+    asked = asked.withColumn("_some", F.coalesce(low < high, F.lit(True)))
+    none = F.array().cast("array<struct<_key:string,_low:bigint,_high:bigint>>")
+    only = lambda condition, range_: F.when(condition, F.array(range_)).otherwise(none)
     whole = (
-        F.when(~some, none)
-        .when(month.isNotNull(), F.array(F.concat(F.lit("y:"), month.cast("string"))))
-        .when(start.isNotNull() | end.isNotNull(), blocks)
-        .otherwise(F.array(F.lit("a:")))
+        F.when(~F.col("_some"), none)
+        .when(month.isNotNull(), _keyed(F.array(F.concat(F.lit("y:"), month.cast("string")))))
+        .when(start.isNotNull() | end.isNotNull(), F.array(_range(F.coalesce(day_number(low), F.lit(0)), F.coalesce(day_number(high), F.lit(LAST_DAY)))))
+        .otherwise(_keyed(F.array(F.lit("a:"))))
+    )
+    # Without whole days or months between them, what both bounds cut is one range. Empty ranges have no keys.
+    one = F.coalesce(low > high, F.lit(False))
+    mine = lambda day: month.isNull() | (F.month(day) == month)
+    from_start, to_end = day_number(start), _last_day(end) + 1
+    cut = F.concat(
+        only(one & mine(start), _range(from_start, to_end)),
+        only(~one & start.isNotNull() & mine(start), _range(from_start, day_number(low))),
+        only(~one & end.isNotNull() & mine(high), _range(day_number(high), to_end)),
     )
     bounds = F.array_distinct(F.array_compact(F.array(amount_bucket(F.col("min_amount")), amount_bucket(F.col("max_amount")))))
     piece = lambda keys, cell, low, high: F.transform(
-        keys, lambda k: F.struct(k.alias("_key"), F.lit(cell).alias("_cell"), low.alias("start_ts"), high.alias("end_ts"))
+        keys, lambda k: F.struct(k["_key"].alias("_key"), k["_low"].alias("_low"), k["_high"].alias("_high"), F.lit(cell).alias("_cell"), low.alias("start_ts"), high.alias("end_ts"))
     )
+    of_day = lambda day: day.cast(ts_type)
     pieces = F.concat(
-        piece(whole, True, as_ts(whole_start), as_ts(whole_end)),
-        piece(F.when(month.isNull(), cut_days).otherwise(cut_months), False, start, end),
-        piece(F.when(some, _tagged(bounds, "v")).otherwise(none), False, as_ts(whole_start), as_ts(whole_end)),
+        piece(whole, True, of_day(low), of_day(high)),
+        piece(cut, False, start, end),
+        piece(F.when(F.col("_some"), _keyed(_tagged(bounds, "v"))).otherwise(none), False, of_day(low), of_day(high)),
     )
-    asked = params.filter((F.coalesce(F.size("merchants"), F.lit(0)) <= 0) & F.coalesce(start < end, F.lit(True)))
     rest = [c for c in params.columns if c not in ("start_ts", "end_ts")]
-    return asked.select(*rest, F.explode(pieces).alias("_piece")).select(*rest, "_piece.*").select(*params.columns, "_key", "_cell")
+    return _with_block_keys(asked.select(*rest, F.inline(pieces))).select(*params.columns, "_key", "_cell")
 
 
 _KIND_OF_FACT = ["payment_method", "card_network", "categories", *FLAGS]
 
 
-def summary_cells(facts: DataFrame, amount: str, measures: list[str], by_amount: Column | bool = False) -> DataFrame:
+def summary_cells(facts: DataFrame, amount: str, measures: list[str], by_amount: bool = False) -> DataFrame:
     """Facts summed by day, payment, network, categories and flags, and by amount bucket if ``by_amount``.
 
     Counts and sums only, so cells of several loads are merged by adding them up (see ``merged_cells``).
     """
-    by_amount = F.lit(by_amount) if isinstance(by_amount, bool) else by_amount
     rows = facts.select(
         F.col("transaction_date").cast("date").alias("day"),
         *[F.col(c) for c in _KIND_OF_FACT if c != "categories"],
         F.sort_array(F.array_distinct("categories")).alias("categories"),
-        F.when(by_amount, amount_bucket(F.col(amount))).alias("bucket"),
+        (amount_bucket(F.col(amount)) if by_amount else F.lit(None).cast("bigint")).alias("bucket"),
         *[F.col(m).cast(tx.MONEY).alias(m) for m in measures],
     )
     sums = [f(m).alias(f"{tag}_{m}") for m in measures for tag, f in (("sum", F.sum), ("n", F.count))]
@@ -402,19 +417,19 @@ def merged_cells(cells: DataFrame, *by: str) -> DataFrame:
     return cells.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in cells.columns if c.startswith(("sum_", "n_"))])
 
 
-def keyed_cells(cells: DataFrame, kinds: Column) -> DataFrame:
+def keyed_cells(cells: DataFrame, kinds: list[str]) -> DataFrame:
     """Cells merged to the grains in use: blocks of days of some levels, months of the year by month, and all days."""
-    day = day_number(F.col("day"))
-    used = lambda kind: F.array_contains("_kinds", kind)
-    grain = lambda key, month: F.struct(key.alias("_key"), month.alias("month"))
-    no_month = F.lit(None).cast("date")
-    grains = [F.when(used("a"), grain(F.lit("a:"), no_month))]
-    grains += [F.when(used("y") & F.col("day").isNotNull(), grain(F.concat(F.lit("y:"), F.month("day").cast("string")), F.trunc("day", "month")))]
+    grain = lambda key, month: F.struct(key.cast("string").alias("_key"), month.cast("date").alias("month"))
+    known = F.col("day").isNotNull()
+    grains = {
+        "a": grain(F.lit("a:"), F.lit(None)),
+        "y": F.when(known, grain(F.concat(F.lit("y:"), F.month("day").cast("string")), F.trunc("day", "month"))),
+    }
     for level in range(LEVELS):
-        key = F.concat(F.lit(f"d{level}:"), F.shiftright(day, 3 * level).cast("string"))
-        grains.append(F.when(used(f"d{level}") & F.col("day").isNotNull(), grain(key, no_month)))
-    keyed = cells.withColumn("_kinds", kinds).withColumn("_grain", F.explode(F.array_compact(F.array(*grains)))).select("*", "_grain.*")
-    return merged_cells(keyed, "_key", "month")
+        number = F.shiftright(day_number(F.col("day")), 3 * level).cast("string")
+        grains[f"d{level}"] = F.when(known, grain(F.concat(F.lit(f"d{level}:"), number), F.lit(None)))
+    some = F.array_compact(F.array(*[grains[k] for k in sorted(kinds)]))
+    return merged_cells(cells.select("*", F.inline(some)), "_key", "month")
 
 
 def _join_cells(keys: DataFrame, cells: DataFrame, measures: list[str]) -> DataFrame:
