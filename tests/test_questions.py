@@ -234,14 +234,40 @@ def test_matching_against_all_pairs(spark, request, limit):
     assert got == sorted(wanted)
 
 
-def test_top_k_in_blocks_equals_one_block(spark, sf_dir, monkeypatch):
-    from tillweave.operators import vectors as ve
-
-    vecs = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    queries = ve.mean_vectors(vecs, "embedding", "label").withColumnRenamed("label", "q")
-    one = sorted(map(tuple, ve.top_k_many(vecs, queries, "vec_id", "q", k=4).collect()))
-    monkeypatch.setattr(ve, "QUERY_BLOCK", 3)
-    assert sorted(map(tuple, ve.top_k_many(vecs, queries, "vec_id", "q", k=4).collect())) == one
+def test_cells_find_what_all_pairs_find(spark, monkeypatch):
+    """Clusters, copies, vectors without a direction and string ids; cells in parts and queries in blocks."""
+    import numpy as np
+
+    from tillweave.operators import nearest, vectors as ve
+
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(8, 16))
+    vecs = [centres[i % 8] + 0.2 * rng.normal(size=16) for i in range(600)]
+    vecs += [vecs[3]] * 300 + [2 * vecs[3]] * 5  # a hot cell of copies; length plays no part
+    rows = [(f"v{i:04d}", [float(np.float32(x)) for x in v]) for i, v in enumerate(vecs)]
+    odd = [("n0", None), ("n1", [0.0] * 16), ("n2", [None] + [1.0] * 15), ("n3", [float("nan")] * 16), ("n4", [float("inf")] + [1.0] * 15), ("n5", [1.0, 2.0])]
+    asked = [(i, rows[i * 7][1]) for i in range(60)] + [(100, [float(x) for x in rng.normal(size=16)]), (101, None), (102, [0.0] * 16), (103, [1.0])]
+    units = np.array([v for _, v in rows], np.float64)
+    units /= np.sqrt((units * units).sum(1))[:, None]
+    want = set()
+    for q, v in asked[:61]:
+        v = np.array(v) / np.linalg.norm(v)
+        scores = (units * v).sum(1)
+        order = sorted(range(len(rows)), key=lambda i: (-scores[i], rows[i][0]))[:7]
+        want |= {(q, rows[i][0], rank) for rank, i in enumerate(order, 1)}
+    vectors = spark.createDataFrame(rows + odd, "vec string, embedding array<float>").repartition(5)
+    queries = spark.createDataFrame(asked, "q long, embedding array<float>")
+    for part, block in ((1 << 25, 1 << 23), (16 * 8 * 40, 16 * 8 * 9)):
+        monkeypatch.setattr(nearest, "PART_BYTES", part)
+        monkeypatch.setattr(nearest, "BLOCK_BYTES", block)
+        got = ve.top_k_many(vectors, queries, "vec", "q", k=7).collect()
+        assert len(got) == len(want) and {(r.q, r.vec, r["rank"]) for r in got} == want
+    cells = nearest.build_cells(vectors, "vec")
+    scored = nearest.search(cells, queries, "q", k=7).agg(F.sum("scored")).first()[0]
+    assert scored < 0.5 * 61 * len(rows)  # of all pairs, most are out of reach
+    assert ve.top_k_many(vectors, queries, "vec", "q", k=7, cells=cells).count() == len(want)
+    assert ve.top_k_many(vectors.filter("vec like 'n%'"), queries, "vec", "q").collect() == []
+    assert ve.top_k_many(vectors, queries.limit(0), "vec", "q").collect() == []
 
 
 def test_cosine_of_a_zero_vector_is_null(spark):

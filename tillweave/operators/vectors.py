@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillweave.functions import fixed
-
-# Query vectors scored in one pass; larger query sets are split into blocks of this size.
-QUERY_BLOCK = 512
+from tillweave.operators import nearest
 
 
 def fit_text(df: DataFrame, text: str, dimension: int = 1536):
@@ -99,38 +97,22 @@ def top_k(
 
 def top_k_many(
     vectors: DataFrame, queries: DataFrame, vector_id: str, query_id: str, embedding: str = "embedding",
-    k: int = fixed.TOP_K,
+    k: int = fixed.TOP_K, cells: nearest.Cells | None = None,
 ) -> DataFrame:
-    """The k best rows for every query vector: ``(query_id, vector_id, score, rank)``, exact.
+    """The k best rows for every query vector: ``(query_id, vector_id, score, rank)``, exact, ties to smaller ids.
 
-    Rows are ranked on the full score, which is rounded for output only. The number of queries is checked first. Up to QUERY_BLOCK of them ride along as one scalar
-    subquery value and the vectors are scanned once without a shuffle. More are dealt into blocks
-    that meet the vectors by an equi-join on (block, salt), so neither side is held whole anywhere.
-    Each task keeps its own best k per query before the last ranking.
+    Vectors are searched by inverted cells (see ``nearest``), which ``cells`` may hold ready from an earlier search.
+    Rows are ranked on the full score, which is rounded for output only. Queries have distinct ids. Vectors without
+    a direction (null, zero, or with null or non-finite components) and those of another dimension take no part.
     """
-    packed = queries.select(F.struct(F.col(query_id).alias("q"), unit(F.col(embedding)).alias("u")).alias("p"))
-    n_blocks = -(-queries.count() // QUERY_BLOCK)
-    base = vectors.select(vector_id, unit(F.col(embedding)).alias("_u"))
-    if n_blocks <= 1:
-        block = packed.agg(F.collect_list("p")).scalar()
-        paired = base.withColumn("_p", F.explode(block))
-    else:
-        salts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        blocks = (
-            packed.withColumn("_b", F.pmod(F.xxhash64("p.q"), F.lit(n_blocks)))
-            .groupBy("_b")
-            .agg(F.collect_list("p").alias("_ps"))
-            .withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        )
-        dealt = base.withColumn("_s", F.pmod(F.xxhash64(vector_id), F.lit(salts)).cast("int")).withColumn(
-            "_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint")))
-        )
-        paired = dealt.join(blocks, ["_b", "_s"]).withColumn("_p", F.explode("_ps"))
-    scored = paired.select(
-        F.col("_p.q").alias(query_id), vector_id, dot(F.col("_u"), F.col("_p.u")).alias("score")
-    ).filter(F.col("score").isNotNull())
+    cells = cells or nearest.build_cells(vectors, vector_id, embedding)
+    if cells is None:
+        nothing = f"`{query_id}` {dict(queries.dtypes)[query_id]}, `{vector_id}` {dict(vectors.dtypes)[vector_id]}, score double, rank int"
+        return vectors.sparkSession.createDataFrame([], nothing)
+    found = nearest.search(cells, queries, query_id, embedding, k).filter("id IS NOT NULL")
+    found = found.select(F.col("query").alias(query_id), F.col("id").alias(vector_id), "score")
     order = Window.partitionBy(query_id).orderBy(F.desc("score"), F.asc(vector_id))
-    ranked = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.withColumn("score", F.round("score", 6))
 
 
