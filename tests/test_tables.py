@@ -41,6 +41,57 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     assert run() == ["receipt_001.txt", "receipt_002.txt", "receipt_003.txt"]
 
 
+def test_stream_ends_in_chunks(spark, tmp_path):
+    """Files to receipts to five views: copies aren't taken, rewritten files are, a repeated batch adds nothing."""
+    inbox, root, mark = tmp_path / "in", str(tmp_path / "loaded"), str(tmp_path / "mark")
+    inbox.mkdir()
+
+    def run():
+        ingest.stream_chunks(ingest.stream_text_files(spark, str(inbox)), root, mark).awaitTermination()
+        return loaded()
+
+    def loaded():
+        receipts = spark.read.parquet(f"{root}/receipts").select("filename", "merchant_name").collect()
+        chunks = spark.read.parquet(f"{root}/chunks")
+        assert chunks.count() == chunks.select("chunk_id").distinct().count()
+        views = {r.chunk_type for r in chunks.select("chunk_type").distinct().collect()}
+        assert views == {"receipt_summary", "item_detail", "merchant_info", "payment_method"}  # one item makes no group
+        return sorted(map(tuple, receipts))
+
+    one, two = ("receipt_001.txt", "Shop 1"), ("receipt_002.txt", "Shop 2")
+    _drop(inbox, 1)
+    _drop(inbox, 2)
+    (inbox / "receipt_007.txt").write_text(TEXT.format(n=1), encoding="utf-8")  # a copy in the same batch
+    assert run() == [one, two] and run() == [one, two]
+    (inbox / "receipt_008.txt").write_text(TEXT.format(n=2), encoding="utf-8")  # a copy in a later batch
+    _drop(inbox, 3)
+    three = ("receipt_003.txt", "Shop 3")
+    assert run() == [one, two, three]
+    ingest.store_batch(src.scan_text_files(spark, str(inbox)), "s1", root)  # the second batch again, with more in it
+    assert loaded() == [one, two, three]
+    (inbox / "receipt_001.txt").write_text(TEXT.format(n=4), encoding="utf-8")
+    assert run() == [one, two, three]
+    for sweep in "ab":
+        ingest.sweep_rewritten(spark, str(inbox), root, "2001-01-01T00:00:00", sweep)
+        assert loaded() == sorted([one, two, three, ("receipt_001.txt", "Shop 4")])
+
+
+def test_merge_rewrites_the_buckets_of_its_keys(spark, tmp_path):
+    path = tmp_path / "keyed"
+    rows = spark.createDataFrame([(i, f"v{i}", 1, {"k": i}) for i in range(200)], "id bigint, v string, version int, m map<string,int>")
+    tb.create_keyed(rows, str(path), ["id"], "version", buckets=8)
+    files = lambda: {p.parent.name: sorted(x.name for x in p.parent.glob("*.parquet")) for p in path.glob("*/*.parquet")}
+    before = files()
+    batch = spark.createDataFrame([(3, "new", 2, None), (3, "old", 0, None), (500, "more", 1, None)], rows.schema)
+    for _ in range(2):
+        touched = tb.merge_keyed(batch, str(path), ["id"], "version")
+        after = files()
+        assert {f"bucket_of_8={b}" for b in touched} >= {k for k in after if after[k] != before.get(k)} and len(touched) <= 2 < len(after)
+        got = {r.id: (r.v, r.version) for r in tb.read_keyed(spark, str(path)).collect()}
+        assert got == {i: (f"v{i}", 1) for i in range(200)} | {3: ("new", 2), 500: ("more", 1)}
+    assert tb.merge_keyed(batch.limit(0), str(path), ["id"], "version") == [] and files() == after
+
+
 def test_store_returns_the_rows_stored(spark, tmp_path):
     old = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "id bigint, v string, version int")
     new = spark.createDataFrame([(2, "c", 2), (2, "d", 3), (5, "e", 1)], "id bigint, v string, version int")

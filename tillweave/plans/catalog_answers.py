@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillweave.functions import fixed, text as tx
 from tillweave.operators import answers as qa, dashboard as da, headers, questions as qp, vectors as ve
-from tillweave.plans.catalog_text import receipts
+from tillweave.plans.catalog_text import ORACLES as TEXT_ORACLES, RULES, receipts
 from tillweave.plans.tables import customer_questions, item_facts, receipt_facts, table
 from tillweave.plans.base_sql import documents as documents_sql
+from tillweave.plans.render import rendered
 from tillweave.session import work_path
 from tillweave.sources import documents as src, history, tables as tb
 from tillweave.streaming import ingest
@@ -436,6 +437,23 @@ SELECT event_id, event_type, round(value + CASE WHEN event_type <> 'purchase' TH
   CASE WHEN event_type <> 'purchase' THEN 1 WHEN value > 20 THEN 3 ELSE 2 END AS version FROM events""")
 
 
+def s4_keyed_merge(spark, sf_dir):
+    """The same batch merged into a table kept by key, twice; then a batch of one user's events."""
+    path = work_path(spark, "keyed")
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", F.lit(1).alias("version"))
+    tb.create_keyed(events, path, ["event_id"], "version", buckets=16)
+    bought = events.filter(F.col("event_type") == "purchase").withColumns({"value": F.col("value") + 1, "version": F.lit(2)})
+    late = events.filter(F.col("event_type") != "purchase").withColumns({"value": F.col("value") - 7, "version": F.lit(0)})
+    for batch in (bought.unionByName(late), bought, events.filter("user_id % 50 = 7").withColumns({"value": F.lit(0.0), "version": F.lit(3)})):
+        tb.merge_keyed(batch, path, ["event_id"], "version")
+    return tb.read_keyed(spark, path).withColumn("value", F.round("value", 2))
+
+
+register("s4_keyed_merge", s4_keyed_merge, """
+SELECT event_id, user_id, event_type, CASE WHEN user_id % 50 = 7 THEN 0 ELSE round(value + (event_type = 'purchase')::INT, 2) END AS value,
+  CASE WHEN user_id % 50 = 7 THEN 3 WHEN event_type = 'purchase' THEN 2 ELSE 1 END AS version FROM events""")
+
+
 def s5_delete(spark, sf_dir):
     gone = table(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "F").select("o_orderkey")
     kept = tb.delete_keys(table(spark, sf_dir, "lineitem"), gone, "l_orderkey", "o_orderkey")
@@ -526,3 +544,21 @@ register("st1_incremental_load", st1_incremental_load, r"""
 WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS lines FROM documents),
 h AS (SELECT doc_id, list_transform(lines[1:5], lambda x: regexp_replace(x, '(?i)\s+(STORE|SHOP|MARKET|PHARMACY|CAFE|RESTAURANT)$', '')) AS head, lines FROM l)
 SELECT doc_id, coalesce(list_filter(head, lambda x: length(x) > 2)[1], nullif(lines[1], ''), 'Unknown Merchant') AS merchant_name FROM h""")
+
+
+def st1_chunk_stream(spark, sf_dir):
+    """Rendered receipts as a stream of files to receipts and five views; a second run and a repeated batch add nothing."""
+    inbox, root, checkpoint = (work_path(spark, n) for n in ("inbox", "loaded", "checkpoint"))
+    raw = rendered(spark, sf_dir).select("filename", "raw_text", F.col("filename").alias("path"), F.sha2("raw_text", 256).alias("content_sha256"))
+    raw.write.parquet(inbox)
+    for _ in range(2):
+        files = spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 4).parquet(inbox)
+        ingest.stream_chunks(files, root, checkpoint, **RULES).awaitTermination()
+    return spark.read.parquet(f"{root}/chunks").select("chunk_type", F.md5("content").alias("digest"), F.length("chunk_id").alias("id_length"))
+
+
+# Receipts whose text was lost are all alike: one of them is taken.
+register("st1_chunk_stream", st1_chunk_stream, f"""
+WITH gone AS ({documents_sql("SELECT filename FROM base WHERE dmg = 2")})
+SELECT chunk_type, digest, id_length FROM ({TEXT_ORACLES['ch8_all_views']})
+WHERE filename NOT IN (FROM gone) OR filename = (SELECT min(filename) FROM gone)""")

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 FILE_GLOB = "receipt_*.txt"
 
 
-def scan_text_files(spark: SparkSession, directory: str, glob: str = FILE_GLOB) -> DataFrame:
-    """One row per UTF-8 file: ``(filename, raw_text, path, content_sha256)``."""
-    return with_identity(spark.read.text(directory, wholetext=True, pathGlobFilter=glob))
+def scan_text_files(spark: SparkSession, directory: str, glob: str = FILE_GLOB, modified_after: str | None = None) -> DataFrame:
+    """One row per UTF-8 file, or per file changed since a time: ``(filename, raw_text, path, content_sha256)``."""
+    return with_identity(spark.read.text(directory, wholetext=True, pathGlobFilter=glob, modifiedAfter=modified_after))
 
 
 def with_identity(files: DataFrame) -> DataFrame:
