@@ -225,6 +225,55 @@ def test_questions_find_stored_texts(spark):
     assert {(r.question_id, r.chunk_id) for r in only_a if r.score > 0} == {(7, 2), (8, 1)}
 
 
+def test_rule_tables_mean_what_expressions_mean(spark):
+    """Random rules of one letter on, overlapping and in any case, over random names."""
+    import random
+
+    rng = random.Random(3)
+    word = lambda low, high: "".join(rng.choices("abAcé ", k=rng.randint(low, high))).strip()
+    names = [(i, w) for i, w in enumerate({word(0, 12) for _ in range(200)} | {None, "", "x"})]
+    listed = [(f"c{i}", [w for w in {word(1, 5) for _ in range(4)} if w]) for i in range(12)]
+    df = spark.createDataFrame(names, "id long, name string").withColumn("name", F.regexp_replace("name", r"\s+", " "))
+    rules = spark.createDataFrame([(c, w, 11 - i) for i, (c, ws) in enumerate(listed) for w in ws], "category string, keyword string, rank int")
+    rules = rules.withColumn("keyword", F.regexp_replace("keyword", r"\s+", " "))
+    got = {r.id: r.categories for r in categories.categorise_by_table(df, "name", rules).collect()}
+    lower = [(c, [" ".join(w.lower().split()) for w in ws]) for c, ws in reversed(listed)]
+    want = {}
+    for r in df.collect():
+        found = [c for c, ws in lower if r.name is not None and any(w in r.name.lower() for w in ws)]
+        want[r.id] = found or ["other"]
+    assert got == want and sum(v != ["other"] for v in want.values()) > 100
+
+
+def test_labels_merge_as_bits_and_as_sets(spark):
+    rows = [(1, ["b", "a"]), (1, ["c"]), (1, ["b"]), (2, ["other"]), (3, [])]
+    df = spark.createDataFrame(rows, "r long, labels array<string>")
+    by_name = {1: (3, ["a", "b", "c"]), 2: (1, ["other"]), 3: (1, [])}
+    got = lambda order: {r.r: (r.item_count, r.categories) for r in categories.categories_per_receipt(df, "r", "labels", order).collect()}
+    assert got(None) == by_name
+    assert got(["c", "b", "a", "other"]) == {1: (3, ["c", "b", "a"]), 2: (1, ["other"]), 3: (1, [])}
+    plan = plan_of(categories.categories_per_receipt(df, "r", "labels", ["a", "b", "c", "other"]))
+    assert plan.count("Exchange") == 1
+
+
+def test_percentiles_are_exact(spark):
+    """Against numpy: few rows, many rows, ties, one hot value, nulls, and all rows as one group."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    groups = {"few": rng.normal(size=21), "one": [3.0], "many": rng.exponential(size=30_000), "ties": rng.integers(0, 4, 5000), "hot": [1.0] * 900 + list(range(100)), None: rng.normal(size=40)}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("few", None), ("void", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(6)
+    for p in (0.95, 0.5, 0.0, 1.0, 0.999):
+        for accuracy in (100, 10_000):
+            got = {r.g: r.percentile for r in da.exact_percentile(df, "v", p, "g", accuracy=accuracy).collect()}
+            assert got.keys() == {*groups, "void"} and got["void"] is None
+            for g, vs in groups.items():
+                assert got[g] == pytest.approx(float(np.quantile(np.array(vs, float), p)), abs=1e-12), (g, p, accuracy)
+    whole = np.concatenate([np.array(v, float) for v in groups.values()])
+    assert da.exact_percentile(df, "v", 0.95).first().percentile == pytest.approx(float(np.quantile(whole, 0.95)), abs=1e-12)
+
+
 def test_rule_tables_know_letters_of_any_script(spark):
     rules = spark.createDataFrame([("bakery", "éclair"), ("coffee_shop", "café crème")], "category string, keyword string")
     names = spark.createDataFrame([("Fresh Éclair",), ("Café  Crème large",), ("clair",)], "name string")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillweave.functions import fixed, text as tx
 
@@ -114,8 +114,56 @@ def above(receipts: DataFrame, threshold: float, total: str = "total_amount") ->
     return receipts.filter(F.col(total) > threshold)
 
 
+def exact_percentile(df: DataFrame, value: str, p: float, *by: str, accuracy: int = 10_000) -> DataFrame:
+    """The exact percentile of each group, with linear interpolation: the groups and ``percentile``.
+
+    A sketch of fixed size brackets the two values looked for; then rows are counted below the bracket and by value inside
+    it, and the values selected by their positions. So state grows with the bracket, a few ten-thousandths of the
+    rows, and not with the distinct values. Nulls are ignored; a group without values has none.
+    """
+    # Groups by names of their own, so that a null group meets itself in joins; all rows together are a group, too.
+    names = [f"_g{i}" for i in range(len(by))] or ["_g0"]
+    groups = [F.col(c).alias(n) for c, n in zip(by, names)] or [F.lit(0).alias("_g0")]
+    rows = df.select(*groups, F.col(value).cast("double").alias("_v"))
+    reach = 3.0 / accuracy
+    ends = F.percentile_approx("_v", [max(0.0, p - reach), min(1.0, p + reach)], accuracy)
+    stats = rows.groupBy(*names).agg(F.count("_v").alias("_n"), ends.alias("_ends"))
+    stats = stats.select(*[F.col(n).alias(f"{n}s") for n in names], "_n", F.get("_ends", F.lit(0)).alias("_low"), F.get("_ends", F.lit(1)).alias("_high"))
+    same = [F.col(n).eqNullSafe(F.col(f"{n}s")) for n in names]
+    met = rows.filter("_v IS NOT NULL").join(stats, same)
+    # Below and above the bracket a count and the value next to it suffice.
+    place = F.when(F.col("_v") < F.col("_low"), -1).when(F.col("_v") > F.col("_high"), 1).otherwise(0)
+    cell = F.when(place == 0, F.col("_v"))
+    counted = met.groupBy(*names, "_n", place.alias("_place"), cell.alias("_cell")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_least"), F.max("_v").alias("_most")
+    )
+    order = Window.partitionBy(*names).orderBy("_place", "_cell")
+    upto = counted.withColumn("_upto", F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    at = F.lit(p) * (F.col("_n") - 1)
+    holds = lambda position: (F.col("_upto") > position) & (F.col("_upto") - F.col("_c") <= position)
+    # The first position may be the last row below the bracket, the second one the first row above it.
+    here = lambda position: F.max(F.when(holds(position), F.when(F.col("_place") < 0, F.col("_most")).otherwise(F.col("_least"))))
+    outside = lambda position: holds(position) & (
+        ((F.col("_place") < 0) & (F.col("_upto") - 1 > position)) | ((F.col("_place") > 0) & (F.col("_upto") - F.col("_c") < position))
+    )
+    missed = F.raise_error(F.lit("the sketch missed its bracket"))
+    found = upto.groupBy(*names).agg(
+        here(F.floor(at)).alias("_a"), here(F.ceil(at)).alias("_b"), F.max(at - F.floor(at)).alias("_part"),
+        F.bool_or(outside(F.floor(at)) | outside(F.ceil(at))).alias("_missed"),
+    )
+    inside = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part")
+    exact = found.select(*names, F.when(F.col("_missed"), missed.cast("double")).otherwise(inside).alias("percentile"))
+    out = stats.join(exact, same, "left")
+    return out.select(*[F.col(f"{n}s").alias(c) for c, n in zip(by, names)], "percentile")
+
+
 def latency_summary(df: DataFrame, value: str, *by: str, exact: bool = True) -> DataFrame:
-    """Mean and 95th percentile. The exact percentile keeps one counter per distinct value; the
-    approximate one has a fixed-size sketch and is the choice for continuous values at scale."""
-    p95 = F.percentile(value, 0.95) if exact else F.percentile_approx(value, 0.95, 10000)
-    return df.groupBy(*by).agg(F.avg(value).alias("mean"), p95.alias("p95"))
+    """Mean and 95th percentile of each group; the percentile is exact unless a sketch of fixed size is asked for."""
+    if not exact:
+        return df.groupBy(*by).agg(F.avg(value).alias("mean"), F.percentile_approx(value, 0.95, 10000).alias("p95"))
+    keyed = df.select(*by, value, F.lit(0).alias("_all"))
+    high = exact_percentile(keyed, value, 0.95, *by, "_all")
+    high = high.select(*[F.col(c).alias(f"_h_{c}") for c in (*by, "_all")], F.col("percentile").alias("p95"))
+    means = keyed.groupBy(*by, "_all").agg(F.avg(value).alias("mean"))
+    same = [F.col(c).eqNullSafe(F.col(f"_h_{c}")) for c in (*by, "_all")]
+    return means.join(high, same).select(*by, "mean", "p95")

@@ -234,6 +234,25 @@ SELECT p_partkey, coalesce(nullif(array_to_string(([
 FROM part""")
 
 
+def k1_rule_table(spark, sf_dir):
+    """A rule table with substrings and a declared order means what the expression means."""
+    part = table(spark, sf_dir, "part")
+    ranked = [(c, w, PART_ORDER.index(c)) for c, ws in PART_RULES for w in ws] + [("round", "o", 5), ("round", "ri", 5), ("none", "zzz", 6)]
+    rules = part.sparkSession.createDataFrame(ranked, "category string, keyword string, rank int")
+    return cat.categorise_by_table(part.select("p_partkey", "p_name"), "p_name", rules).select(
+        "p_partkey", F.array_join("categories", ",").alias("labels")
+    )
+
+
+register("k1_rule_table", k1_rule_table, """
+SELECT p_partkey, coalesce(nullif(array_to_string(([
+  CASE WHEN p_name LIKE '%ring%' OR p_name LIKE '%bolt%' THEN 'hardware' END,
+  CASE WHEN p_name LIKE '%widget%' OR p_name LIKE '%gizmo%' THEN 'gadget' END,
+  CASE WHEN p_name LIKE '%anvil%' OR p_name LIKE '%ring%' THEN 'metal' END,
+  CASE WHEN p_name LIKE '%o%' OR p_name LIKE '%ri%' THEN 'round' END]), ','), ''), 'other') AS labels
+FROM part""")
+
+
 def k2_merchant_labels(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     parents = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -268,7 +287,7 @@ SELECT p_partkey, CASE WHEN p_name LIKE '%anvil%' OR p_name LIKE '%ring%' THEN '
 def k4_receipt_labels(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     labelled = lines.select("l_orderkey", cat.categories(F.col("p_name"), None, PART_RULES, [], PART_ORDER).alias("labels"))
-    return cat.categories_per_receipt(labelled, "l_orderkey", "labels").select(
+    return cat.categories_per_receipt(labelled, "l_orderkey", "labels", sorted(PART_ORDER) + ["other"]).select(
         "l_orderkey", "item_count", F.array_join("categories", ",").alias("categories")
     )
 
