@@ -225,6 +225,24 @@ def test_questions_find_stored_texts(spark):
     assert {(r.question_id, r.chunk_id) for r in only_a if r.score > 0} == {(7, 2), (8, 1)}
 
 
+def test_terms_find_stored_texts(spark):
+    from tillweave.operators import terms
+
+    rows = [(1, "Milk bread, and BUTTER", "a"), (2, "laptop charger cable", "a"), (3, "butter croissant", "b"), (4, None, "a"), (5, "", "a"), (6, "日本語 ÉCLAIR", "a"), (7, "butter croissant", "a")]
+    texts = spark.createDataFrame(rows, "chunk_id long, text string, kind string")
+    model = terms.fit_terms(texts, "text", 4096)
+    made = terms.term_vectors(model, texts)
+    assert made.columns == ["chunk_id", "text", "kind", "embedding"]
+    norms = {r.chunk_id: sum(x * x for x in r.embedding) for r in made.collect()}
+    assert all(norms[i] == pytest.approx(0.0 if i in (4, 5) else 1.0) for i in norms)
+    asked = spark.createDataFrame([(7, "Which charger?"), (8, "croissant"), (9, "zebra"), (10, None), (11, "éclair 日本語")], "question_id long, text string")
+    found = vectors.search_text(model, made, asked, "chunk_id", "question_id", k=1).collect()
+    assert {(r.question_id, r.chunk_id) for r in found if r.score > 0} == {(7, 2), (8, 3), (11, 6)}
+    only_a = vectors.search_text(model, made, asked, "chunk_id", "question_id", F.col("kind") == "a", k=1).collect()
+    assert {(r.question_id, r.chunk_id) for r in only_a if r.score > 0} == {(7, 2), (8, 7), (11, 6)}
+    assert terms.fit_terms(texts.limit(0), "text", 8).weights.tolist() == [0.0] * 8
+
+
 def test_rule_tables_mean_what_expressions_mean(spark):
     """Random rules of one letter on, overlapping and in any case, over random names."""
     import random

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillweave.functions import fixed
-from tillweave.operators import nearest
+from tillweave.operators import nearest, terms
 
 
 def fit_text(df: DataFrame, text: str, dimension: int = 1536):
@@ -49,7 +49,8 @@ def search_text(
     A question without any known word has no direction and finds nothing.
     """
     rows = vectors if predicate is None else vectors.filter(predicate)
-    asked = text_vectors(model, questions).filter(norm(F.col("embedding")) > 0)
+    make = terms.term_vectors if isinstance(model, terms.TermModel) else text_vectors
+    asked = make(model, questions).filter(norm(F.col("embedding")) > 0)
     return top_k_many(rows, asked, vector_id, question_id, k=k)
 
 

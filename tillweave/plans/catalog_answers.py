@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillweave.functions import fixed, text as tx
-from tillweave.operators import answers as qa, dashboard as da, headers, questions as qp, vectors as ve
+from tillweave.operators import answers as qa, dashboard as da, headers, questions as qp, terms, vectors as ve
 from tillweave.plans.catalog_text import ORACLES as TEXT_ORACLES, RULES, receipts
 from tillweave.plans.tables import customer_questions, item_facts, receipt_facts, table
 from tillweave.plans.base_sql import documents as documents_sql
@@ -312,6 +312,43 @@ def v1_text_features(spark, sf_dir):
 register("v1_text_features", v1_text_features)
 
 
+def v1_term_features(spark, sf_dir):
+    """Every bucket of every document's term vector that isn't zero."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    made = terms.term_vectors(terms.fit_terms(docs, "text", 512), docs)
+    parts = made.select("doc_id", F.posexplode("embedding").alias("bucket", "weight"))
+    return parts.filter("weight > 1e-9").withColumn("weight", F.round("weight", 5))
+
+
+_TERMS_SQL = """
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\pL\\pN]+')) AS term FROM documents),
+b AS (SELECT doc_id, (('0x' || substr(md5(term), 1, 8))::BIGINT % {dimension})::INT AS bucket, count(*) AS n FROM t GROUP BY 1, 2),
+idf AS (SELECT bucket, ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (count(*) + 1)) AS idf FROM b GROUP BY 1),
+w AS (SELECT doc_id, bucket, n * idf AS w FROM b JOIN idf USING (bucket)),
+v AS (SELECT doc_id, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM w WHERE w > 0)
+"""
+register("v1_term_features", v1_term_features, _TERMS_SQL.format(dimension=512) + "SELECT doc_id, bucket, round(weight, 5) AS weight FROM v WHERE weight > 1e-9")
+
+
+def v1_search_text(spark, sf_dir):
+    """The three stored documents nearest to every benchmark text, by rank; ids of equal scores are left to the tests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = terms.fit_terms(docs, "text", 256)
+    asked = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    found = ve.search_text(model, terms.term_vectors(model, docs.select("doc_id", "text")), asked, "doc_id", "item_id", k=3)
+    return found.select("item_id", "rank", "score")
+
+
+register("v1_search_text", v1_search_text, _TERMS_SQL.format(dimension=256) + """
+, qt AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\pL\\pN]+')) AS term FROM benchmark),
+qb AS (SELECT item_id, (('0x' || substr(md5(term), 1, 8))::BIGINT % 256)::INT AS bucket, count(*) AS n FROM qt GROUP BY 1, 2),
+qw AS (SELECT item_id, bucket, n * coalesce(idf, ln((SELECT count(*) FROM documents) + 1)) AS w FROM qb LEFT JOIN idf USING (bucket)),
+qv AS (SELECT item_id, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS weight FROM qw WHERE w > 0),
+s AS (SELECT item_id, doc_id, sum(qv.weight * v.weight) AS score FROM qv JOIN v USING (bucket) GROUP BY 1, 2),
+r AS (SELECT item_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC)::INT AS rank FROM s)
+SELECT item_id, rank, round(score, 6) AS score FROM r WHERE rank <= 3""")
+
+
 def _centroids(spark, sf_dir) -> DataFrame:
     """Mean vector of every label; as many queries as there are labels."""
     return ve.mean_vectors(table(spark, sf_dir, "embeddings"), "embedding", "label")
