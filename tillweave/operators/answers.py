@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tillweave.functions import fixed, text as tx
+from tillweave.operators import terms
 from tillweave.operators.merchants import normalise
 from tillweave.session import stored
 
@@ -534,5 +535,68 @@ def results(params: DataFrame, receipts: DataFrame, items: DataFrame, names: Dat
     )
 
 
+RECEIPT_LIST = ["receipt_id", "merchant_name", "total_amount", "transaction_date", "filename"]
+ITEM_LIST = ["name", "price", "category", "merchant", "filename"]
+
+
+def hit_score(question_terms: Column, text: Column) -> Column:
+    """The share of a question's distinct terms that a hit's text holds."""
+    shared = F.size(F.array_intersect(question_terms, terms.terms(text)))
+    return F.coalesce(F.try_divide(shared, F.size(question_terms)), F.lit(0.0))
+
+
+def result_lists(
+    params: DataFrame, receipts: DataFrame, items: DataFrame, k: int = fixed.TOP_K, names: DataFrame | None = None
+) -> DataFrame:
+    """question_id with ``receipts`` and ``items``: the k best hits of every question in order of rank, with their score.
+
+    Hits are ordered by score, then from the newest on, then by receipt and what they show. Questions about items
+    list items; the others, and those that match none, list a stand-in per receipt. Each task prunes to k hits per
+    question before the shuffle, and a question asked by many in the same words is matched once.
+    """
+    asked = with_filter_id(params).withColumn("_terms", F.array_sort(F.array_distinct(terms.terms(F.col("original_query")))))
+    asked = asked.withColumn("list_id", F.sha2(F.concat_ws("|", "filter_id", F.array_join("_terms", " ")), 256))
+    first = [F.any_value(c).alias(c) for c in (*FILTER_COLUMNS, "_terms")]
+    unique = asked.groupBy("list_id").agg(*first).withColumnRenamed("list_id", "question_id")
+    unique = stored(unique, "asked-lists")
+    kind = F.concat_ws(" ", "merchant_name", "payment_method", F.array_join("categories", " "))
+    met = match(unique, receipts.withColumn("_text", kind), "receipt_id", "total_amount", [*RECEIPT_LIST, "_text"], ("_terms",), names)
+    order = [F.desc("score"), F.desc_nulls_last("transaction_date"), F.asc("receipt_id")]
+    met = best_hits(met.withColumn("score", hit_score(F.col("_terms"), F.col("_text"))), "question_id", order, k)
+    of_items = items.withColumn("_text", F.concat_ws(" ", "item_name", "item_category", "merchant_name"))
+    columns = ["receipt_id", "item_name", "item_price", "item_category", "merchant_name", "transaction_date", "filename", "_text"]
+    bought = match(unique.filter(F.col("sum_basis") == "items"), of_items, "item_id", "item_price", columns, ("_terms",), names)
+    bought = bought.withColumn("score", hit_score(F.col("_terms"), F.col("_text")))
+    bought = best_hits(bought, "question_id", [*order, F.asc("item_name"), F.asc("item_price")], k).select(
+        "question_id", "rank", "score", F.col("item_name").alias("name"), F.col("item_price").alias("price"),
+        F.col("item_category").alias("category"), F.col("merchant_name").alias("merchant"), "filename",
+    )
+
+    def listed(rows: DataFrame, columns: list[str], out: str) -> DataFrame:
+        entry = F.struct("rank", *columns, "score")  # k entries at most
+        return rows.groupBy("question_id").agg(F.array_sort(F.collect_list(entry)).alias(out))
+
+    lists = listed(met, RECEIPT_LIST, "receipts").join(listed(bought, ITEM_LIST, "items"), "question_id", "full")
+    merchant = lambda r: F.coalesce(r["merchant_name"], F.lit("Unknown"))
+    standing_in = F.transform(
+        "receipts",
+        lambda r: F.struct(
+            r["rank"].alias("rank"), F.concat(F.lit("Receipt from "), merchant(r)).alias("name"), r["total_amount"].alias("price"),
+            F.lit("Receipt").alias("category"), merchant(r).alias("merchant"), r["filename"].alias("filename"), r["score"].alias("score"),
+        ),
+    )
+    lists = lists.select(F.col("question_id").alias("list_id"), "receipts", F.coalesce("items", standing_in).alias("items"))
+    joined = asked.select("question_id", "list_id").join(lists, "list_id", "left")
+    no = lambda name: F.from_json(F.lit("[]"), lists.schema[name].dataType)
+    return joined.select("question_id", *[F.coalesce(name, no(name)).alias(name) for name in ("receipts", "items")])
+
+
+def full_results(
+    params: DataFrame, receipts: DataFrame, items: DataFrame, k: int = fixed.TOP_K, names: DataFrame | None = None
+) -> DataFrame:
+    """Result records with the ranked lists of receipts and items."""
+    return results(params, receipts, items, names).join(result_lists(params, receipts, items, k, names), "question_id")
+
+
 def match_counts(matches: DataFrame) -> DataFrame:
     return matches.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_matches"))

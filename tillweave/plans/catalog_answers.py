@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tillweave.functions import fixed, text as tx
-from tillweave.operators import answers as qa, dashboard as da, headers, questions as qp, terms, vectors as ve
+from tillweave.operators import answers as qa, dashboard as da, headers, merchants as me, questions as qp, terms, vectors as ve
 from tillweave.plans.catalog_text import ORACLES as TEXT_ORACLES, RULES, receipts
 from tillweave.plans.tables import customer_questions, item_facts, receipt_facts, table
 from tillweave.plans.base_sql import documents as documents_sql
 from tillweave.plans.render import rendered
-from tillweave.session import work_path
+from tillweave.session import stored, work_path
 from tillweave.sources import documents as src, history, tables as tb
 from tillweave.streaming import ingest
 
@@ -90,6 +90,28 @@ def qa1_filters(spark, sf_dir):
 register("qa1_filters", qa1_filters, _ASKED + "SELECT qid AS question_id, receipt_id FROM hit WHERE NOT by_item")
 
 
+def qa1_partial_names(spark, sf_dir):
+    """Spending by country: every country's name means all merchants whose names hold it, one per kind of customer."""
+    customer = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    shown = F.initcap(F.translate("n_name", "#_", "  "))
+    named = customer.select("c_custkey", F.concat(shown, F.lit(" "), F.initcap("c_mktsegment")).alias("merchant_name"))
+    facts = receipt_facts(spark, sf_dir).drop("merchant_name", "merchant_name_norm").join(named, "c_custkey")
+    facts = facts.withColumn("merchant_name_norm", me.normalise(F.col("merchant_name")))
+    asked = table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").cast("long").alias("question_id"), F.concat(F.lit("How much have I spent at "), shown, F.lit("?")).alias("text"),
+        F.lit("2001-01-01").cast("timestamp_ntz").alias("reference_ts"),
+    )
+    p = stored(qp.parse_questions(asked), "country-questions")
+    names = qa.names_within(p, me.known_names(named))
+    sums = qa.audit(p, facts, item_facts(spark, sf_dir), names)
+    return sums.select("question_id", "agg_count", F.col("agg_value").cast("double").alias("agg_value"))
+
+
+register("qa1_partial_names", qa1_partial_names, """
+SELECT n_nationkey::BIGINT AS question_id, count(o_orderkey) AS agg_count, CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DOUBLE) AS agg_value
+FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""")
+
+
 def qa2_any_flag(spark, sf_dir):
     facts = item_facts(spark, sf_dir).filter(
         qa.flag_filter(["is_return", "has_discounts"]) & F.col("item_category").isin("groceries", "pharmacy")
@@ -546,6 +568,43 @@ SELECT final.qid AS question_id, answer, CAST(confidence AS DOUBLE) AS confidenc
   coalesce((SELECT string_agg(receipt_id, ',' ORDER BY r) FROM k WHERE k.qid = (SELECT rep FROM reps WHERE reps.qid = final.qid) AND r <= 5), '') AS receipts FROM final""")
 
 
+def s8_history_lists(spark, sf_dir):
+    """Result records with their ranked receipts and items, saved to the history and read back."""
+    p = params(spark, sf_dir)
+    made = qa.full_results(p, receipt_facts(spark, sf_dir), item_facts(spark, sf_dir))
+    entries = made.join(customer_questions(spark, sf_dir), "question_id").select(
+        "question_id", F.col("text").alias("question"), F.col("reference_ts").alias("asked_at"), "answer", "confidence",
+        F.transform("receipts", lambda r: r["receipt_id"].cast("string")).alias("receipts"), F.transform("items", lambda i: i["name"]).alias("items"),
+    )
+    path = work_path(spark, "history")
+    history.save_history(entries, path)
+    kept = history.load_history(spark, path)
+    return kept.select("question_id", "answer", F.array_join("receipts", ",").alias("receipts"), F.array_join("items", ",").alias("items"))
+
+
+_WORDS = "list_distinct(regexp_extract_all(lower({}), '[\\pL\\pN]+'))"
+_QUESTION = f"""CASE kind WHEN 0 THEN 'How much did I spend at ' || {_WHO} || ' in ' || strftime(d0, '%B') || ' 2000?'
+  WHEN 1 THEN 'How many receipts from ' || {_WHO} || ' last year?' WHEN 2 THEN 'What is the average amount at ' || {_WHO} || '?'
+  WHEN 3 THEN 'What is my total in ' || strftime(d0, '%B') || ' 2000?' WHEN 4 THEN 'How much have I spent on groceries at ' || {_WHO} || '?'
+  WHEN 5 THEN 'Total of receipts over $200,000 from ' || {_WHO} || '?'
+  WHEN 6 THEN 'Count returned items between ' || strftime(d0, '%Y-%m-%d') || ' and ' || strftime(d1 - 1, '%Y-%m-%d') || ' at ' || {_WHO}
+  ELSE 'What did I buy yesterday?' END"""
+_PRIORITY = """CASE o_orderpriority WHEN '1-URGENT' THEN 'pharmacy' WHEN '2-HIGH' THEN 'electronics' WHEN '3-MEDIUM' THEN 'groceries'
+  WHEN '4-NOT SPECIFIED' THEN 'restaurant' WHEN '5-LOW' THEN 'coffee_shop' ELSE '' END"""
+register("s8_history_lists", s8_history_lists, _RESULT + f"""
+, qw AS (SELECT qid, {_WORDS.format(_QUESTION)} AS q FROM ask JOIN customer ON c_custkey = qid),
+rh AS (SELECT hit.qid, hit.receipt_id, d, {_WHO} AS who, len(list_intersect(q, {_WORDS.format(f"{_WHO} || ' ' || {_PAYMENT} || ' ' || {_PRIORITY}")})) AS s
+  FROM hit JOIN qw USING (qid) JOIN orders ON o_orderkey = hit.receipt_id JOIN customer ON c_custkey = o_custkey JOIN rec ON rec.receipt_id = hit.receipt_id WHERE NOT by_item),
+rr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, d DESC, receipt_id) AS r FROM rh),
+rl AS (SELECT qid, string_agg(receipt_id, ',' ORDER BY r) AS receipts, string_agg('Receipt from ' || who, ',' ORDER BY r) AS standing FROM rr WHERE r <= 5 GROUP BY 1),
+ih AS (SELECT hit.qid, hit.receipt_id, d, p_name, hit.amount, len(list_intersect(q, {_WORDS.format(f"p_name || ' ' || {_ITEM_CATEGORY} || ' ' || {_WHO}")})) AS s
+  FROM hit JOIN ask ON ask.qid = hit.qid AND ask.by_item JOIN qw ON qw.qid = hit.qid JOIN rec ON rec.receipt_id = hit.receipt_id JOIN customer ON c_custkey = rec.cust JOIN part ON p_partkey = hit.pk WHERE hit.by_item),
+ir AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, d DESC, receipt_id, p_name, amount) AS r FROM ih),
+il AS (SELECT qid, string_agg(p_name, ',' ORDER BY r) AS items FROM ir WHERE r <= 5 GROUP BY 1)
+SELECT final.qid AS question_id, answer, coalesce(receipts, '') AS receipts, coalesce(items, standing, '') AS items
+FROM final JOIN reps USING (qid) LEFT JOIN rl ON rl.qid = rep LEFT JOIN il ON il.qid = rep""")
+
+
 def s9_score_batch(spark, sf_dir):
     """Questions that ask for no figure may stay empty; all others must match something."""
     p = params(spark, sf_dir)
