@@ -257,6 +257,7 @@ def test_cells_find_what_all_pairs_find(spark, monkeypatch):
         want |= {(q, rows[i][0], rank) for rank, i in enumerate(order, 1)}
     vectors = spark.createDataFrame(rows + odd, "vec string, embedding array<float>").repartition(5)
     queries = spark.createDataFrame(asked, "q long, embedding array<float>")
+    monkeypatch.setattr(nearest, "CELL_ROWS", 30)
     for part, block in ((1 << 25, 1 << 23), (16 * 8 * 40, 16 * 8 * 9)):
         monkeypatch.setattr(nearest, "PART_BYTES", part)
         monkeypatch.setattr(nearest, "BLOCK_BYTES", block)

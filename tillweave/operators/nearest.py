@@ -24,6 +24,8 @@ from tillweave.session import stored
 
 #: Pivots together, vectors of one part of a cell, and queries of one block hold at most so many bytes.
 PIVOT_BYTES, PART_BYTES, BLOCK_BYTES = 1 << 25, 1 << 25, 1 << 23
+#: Vectors that a cell should hold at least on average: fewer aren't worth a cell.
+CELL_ROWS = 1024
 #: What distances of rounded numbers may be off by.
 SLACK = 1e-6
 
@@ -63,7 +65,7 @@ def build_cells(vectors: DataFrame, vector_id: str, embedding: str = "embedding"
     if most is None:
         return None
     dimension, n = most["size"], most.n
-    many = min(max(1, math.isqrt(n)), max(1, PIVOT_BYTES // (8 * dimension)))
+    many = max(1, min(math.isqrt(n), n // CELL_ROWS, PIVOT_BYTES // (8 * dimension)))
     rows = rows.filter(F.size("vector") == dimension)
     chosen = rows.orderBy(F.xxhash64("id"), "id").limit(many).select("vector").toArrow()
     pivots = _matrix(chosen["vector"])
