@@ -23,14 +23,13 @@ sides anew, adaptive execution can split hot keys, and lost executors cost a tas
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tillweave.llm.common import bytes_of, slices_of, small_batches, stored
+from tillweave.llm.common import bytes_of, discard, slices_of, small_batches, stored
 
 CHUNKS = 12
 CHUNK = 6
@@ -120,18 +119,20 @@ def signatures(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-SKETCH = "doc_id long, n long, node long, check long, signature binary, x1 long, x2 long"
-#: Equal symbols that a candidate must show (0.8 falls short with a probability of 2e-5), and bits in which its two
-#: 64-bit extracts may differ together (each differing symbol flips a bit half of the time; 0.8 does so in 13 +- 4).
+#: Four bits of each symbol, 16 symbols to a number: enough to tell how many symbols differ, but for one in 16.
+NIBBLES = [f"y{i}" for i in range(-(-SYMBOLS // 16))]
+SKETCH = "doc_id long, n long, node long, check long, signature binary, x1 long, " + ", ".join(f"{y} long" for y in NIBBLES)
+#: Equal symbols that a candidate must show (0.8 falls short with a probability of 2e-5).
 LEAST_SAME = 44
-MOST_BITS = 34
-#: The same for one extract (0.8 has 6 +- 2 and more than this with a probability below 1e-6; chance has 32 +- 4).
+#: Bits in which 64-bit extracts, a bit of a symbol each, may differ (each differing symbol flips its bit half of the
+#: time; 0.8 does so in 6 +- 2 and more than this with a probability below 1e-6; chance has 32 +- 4).
 MOST_BITS_OF_ONE = 20
 #: Candidates that a node verifies in a round of stars, and the rounds after the first, each with other hubs.
 VERIFY = 3
-#: Bytes of sets that make a block, and pairs that make a cell, where full sets are compared.
-BLOCK_BYTES = 1 << 22
-PAIRS_OF_CELL = 2048
+#: Bytes of sets that make a block, where full sets are compared.
+BLOCK_BYTES = 1 << 24
+#: Wanted documents (two numbers each) that are sent to the texts instead of shuffling these.
+SENT_ROWS = 1 << 21
 MORE_ROUNDS = (17,)
 
 
@@ -148,10 +149,13 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 check = reduced(np.bitwise_xor, mixed(values * _M3 + _M1), ends, 0)
                 rows = signatures(values, ends)
                 columns = [part.column(0), pa.array(n, pa.int64()), pa.array(node.view(np.int64)), pa.array(check.view(np.int64)), pa.array([r.tobytes() for r in rows], pa.binary())]
-                for low, bit in ((0, 0), (SYMBOLS - 64, 1)):
-                    packed = np.packbits(((rows[:, low : low + 64] >> bit) & 1).astype(bool), axis=1)
-                    columns.append(pa.array(np.ascontiguousarray(packed).view(np.int64).reshape(-1)))
-                yield pa.record_batch(columns, names=["doc_id", "n", "node", "check", "signature", "x1", "x2"])
+                packed = np.packbits((rows[:, :64] & 1).astype(bool), axis=1)
+                columns.append(pa.array(np.ascontiguousarray(packed).view(np.int64).reshape(-1)))
+                quarter = np.zeros((len(rows), 16 * len(NIBBLES)), np.uint8)
+                quarter[:, :SYMBOLS] = (rows >> 1) & 15
+                pairs = np.ascontiguousarray(quarter[:, ::2] << 4 | quarter[:, 1::2])
+                columns += [pa.array(np.ascontiguousarray(pairs[:, 8 * i : 8 * i + 8]).view(np.int64).reshape(-1)) for i in range(len(NIBBLES))]
+                yield pa.record_batch(columns, names=[c.split()[0] for c in SKETCH.split(", ")])
 
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH)
 
@@ -187,9 +191,10 @@ def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Of (a, b), those with ``100 |A and B| >= percent |A or B|`` on full sets, made again from whole texts."""
-    # Stored, so that Spark knows its size: texts are only shuffled where it is too large to be sent to them.
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # Each side's nodes once; texts are only shuffled where the list of wanted ones is too long to be sent to them.
+    wanted = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()).distinct()
     wanted = stored(wanted.join(sets.select("node", F.col("rep").alias("doc_id")), "node"), "wanted")
+    listed = F.broadcast(wanted) if wanted.count() <= SENT_ROWS else wanted
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,16 +206,16 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, per
                 mine = np.flatnonzero(node == np.asarray(part.column(0), np.int64))
                 yield pa.record_batch([pa.array(node[mine]), pa.array([values[begins[i] : ends[i]].tobytes() for i in mine], pa.binary())], names=["node", "members"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id").select("node", "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(listed, "doc_id").select("node", "text")
     full = stored(texts.mapInArrow(make, "node long, members binary").dropDuplicates(["node"]), "shingle-sets")
 
-    # Pairs are dealt into cells (block of a, block of b), and a set travels once to each cell that needs it.
-    # A cell holds two blocks of sets or, where pairs are few, about PAIRS_OF_CELL of them.
-    n_bytes = full.agg(F.sum(F.length("members"))).first()[0] or 0
-    blocks = max(1, min(-(-n_bytes // BLOCK_BYTES), math.isqrt(pairs.count() // PAIRS_OF_CELL)))
+    # Pairs are dealt into cells (block of a, block of b), and a set travels once to each cell that needs it, so a cell
+    # holds two blocks of sets at most.
+    blocks = max(1, -(-(full.agg(F.sum(F.length("members"))).first()[0] or 0) // BLOCK_BYTES))
     block = lambda node: F.pmod(F.xxhash64(node), F.lit(blocks))
     placed = pairs.select("a", "b", block("a").alias("block_a"), block("b").alias("block_b"))
-    needed = pairs.select(block("a").alias("of_a"), block("b").alias("of_b"), F.explode(F.array("a", "b")).alias("node")).distinct().join(full, "node")
+    cells = pairs.select(block("a").alias("of_a"), block("b").alias("of_b"), "a", "b")
+    needed = cells.select("of_a", "of_b", F.col("a").alias("node")).distinct().union(cells.select("of_a", "of_b", "b").distinct()).distinct().join(full, "node")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         good = linked(
@@ -218,7 +223,9 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, per
         )
         return left.select(["a", "b"]).filter(pa.array(good))
 
-    return placed.groupBy("block_a", "block_b").cogroup(needed.groupBy("of_a", "of_b")).applyInArrow(compare, "a long, b long")
+    links = stored(placed.groupBy("block_a", "block_b").cogroup(needed.groupBy("of_a", "of_b")).applyInArrow(compare, "a long, b long"), "links")
+    discard(wanted, full)
+    return links
 
 
 def linked(a: np.ndarray, b: np.ndarray, node: np.ndarray, data: np.ndarray, offsets: np.ndarray, percent: int) -> np.ndarray:
@@ -266,9 +273,11 @@ def components(links: DataFrame) -> DataFrame:
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stored(large, "large-star")
+        discard(edges)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = stored(small.where("u != v").distinct(), "small-star")
+        discard(large)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
@@ -281,12 +290,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """
     base = stored(sketches(docs, words), "sketches")
     sets = base.where("n > 0").groupBy("node", "check", "n").agg(
-        F.min("doc_id").alias("rep"), F.max("x1").alias("x1"), F.max("x2").alias("x2"), F.max("signature").alias("signature")
+        F.min("doc_id").alias("rep"), F.max("x1").alias("x1"), F.max("signature").alias("signature"), *[F.max(y).alias(y) for y in NIBBLES]
     )
     sets = stored(sets.where("rep IS NOT NULL"), "sets")
     # Most keys belong to one node alone. A first pass sends keys and counts only; all later ones see the shared keys.
     shared = stored(keys_of(sets).groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key"), "shared-keys")
     members = stored(keys_of(sets, "x1").join(shared, "key").select("key", "node", "x1"), "members")
+    discard(shared)
     # In a bucket of two, the xor of the extracts is the pair's own; chance meetings end here.
     met = f"NOT (count(1) = 2 AND bit_count(bit_xor(x1)) > {MOST_BITS_OF_ONE})"
     found = members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("other"), F.count(F.lit(1)).alias("rows"), F.expr(met).alias("met"))
@@ -299,7 +309,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         near = stored(alike(pairs, sets, percent), "near-pairs")
         order = Window.partitionBy("a").orderBy(F.col("same").desc(), "b")  # at most a hub or two per key
         best = near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= VERIFY)
-        return stored(verified(stored(best.select("a", "b"), "star-pairs"), sets, docs, words, percent), "star-links")
+        best = stored(best.select("a", "b"), "star-pairs")
+        links = verified(best, sets, docs, words, percent)
+        discard(near, best)
+        return links
 
     def labelled(links: DataFrame) -> DataFrame:
         return stored(components(links), "labels")
@@ -313,26 +326,35 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         return stored(rows.join(stored(several, "mixed-buckets"), "key"), "mixed-rows")
 
     links = star_links(pairs)
-    members = mixed_rows(with_labels(members, labelled(links)))
+    before, members = members, mixed_rows(with_labels(members, labelled(links)))
+    discard(before, found)
     for seed in MORE_ROUNDS:
         chosen = F.xxhash64(F.lit(seed), F.col("node"))
         hubs = stored(members.groupBy("key").agg(F.min_by("node", chosen).alias("b"), F.min_by("label", chosen).alias("label_b")), "hubs")
         again = members.join(hubs, "key").where("label != label_b").select(F.col("node").alias("a"), "b").distinct()
         links = links.unionByName(star_links(again))
-        members = mixed_rows(with_labels(members.drop("label"), labelled(links)))
-    members = stored(members.join(sets.select("node", "n", "x2"), "node"), "rows-across")
-    right = members.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), F.col("x1").alias("y1"), F.col("x2").alias("y2"))
+        before, members = members, mixed_rows(with_labels(members.drop("label"), labelled(links)))
+        discard(before, hubs)
+    members = stored(members.join(sets.select("node", "n", *NIBBLES), "node"), "rows-across")
+    right = members.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), *[F.col(y).alias(f"{y}_b") for y in NIBBLES])
+    mask = 0x1111111111111111
+    unequal = " + ".join(
+        f"bit_count(({d} | shiftrightunsigned({d}, 1) | shiftrightunsigned({d}, 2) | shiftrightunsigned({d}, 3)) & {mask}L)" for d in (f"({y} ^ {y}_b)" for y in NIBBLES)
+    )
     across = (
-        members.select("key", F.col("node").alias("a"), "label", "n", "x1", "x2").join(right, "key")
-        .where(f"label < label_b AND bit_count(x1 ^ y1) + bit_count(x2 ^ y2) <= {MOST_BITS} AND 100 * least(n, n_b) >= {percent} * greatest(n, n_b)").select("a", "b").distinct()
+        members.select("key", F.col("node").alias("a"), "label", "n", *NIBBLES).join(right, "key")
+        .where(f"label < label_b AND 100 * least(n, n_b) >= {percent} * greatest(n, n_b) AND {unequal} <= {SYMBOLS - LEAST_SAME}").select("a", "b").distinct()
     )
-    more = verified(stored(across, "across-pairs"), sets, docs, words, percent)
+    across = alike(stored(across, "across-pairs"), sets, percent).select("a", "b")
+    more = verified(stored(across, "alike-across"), sets, docs, words, percent)
+    discard(members)
     final = components(links.unionByName(more))
 
     named = sets.select("node", "check", "rep").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = stored(named, "labelled-sets")
     ids = named.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_node = stored(named.join(ids, "label").select("node", "check", "component_id"), "component-ids")
+    discard(named, sets)
     return base.join(of_node, ["node", "check"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
