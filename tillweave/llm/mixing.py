@@ -10,13 +10,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tillweave.llm.common import SPACE_CLASS
+from tillweave.llm.common import SPACE_CLASS, stored
 
 #: Hex digits of the seeded hash that name the fine shard, and the words that a shard should hold at least.
 SHARD_DIGITS = 3
 SHARD_WORDS = 16_384
 #: Words in a block. Shares are met to half a block; the cost doesn't depend on it.
 BLOCK_WORDS = 8
+#: Rows of cuts that are sent to the texts.
+SENT_ROWS = 1 << 20
 SHARE = 1.5
 REPEATS = 2
 WEIGHTS = (3, 1, 2)
@@ -79,26 +81,18 @@ def apportion(parties: DataFrame, by: list[str], party: str, weight: str, seats:
     return ranked.groupBy(*keys, "_low").agg(won.alias("_won")).select(*keys, (F.col("_low") + F.col("_won")).alias("quota"))
 
 
-def mix_plan(
-    docs: DataFrame, share: float = SHARE, repeats: int = REPEATS, weights: tuple = WEIGHTS,
-    block_words: int = BLOCK_WORDS, seed: int = SEED,
-) -> DataFrame:
-    """What the mix takes of each document.
-
-    In: ``doc_id``, ``source``, ``text`` and any other columns, which are kept unless they bear a name that is added.
-    Adds size, source_size, target, taken (words, repeats counted). A null source is a source of its own and comes
-    last; null and empty texts have size 0 and nothing of them is taken; rows with equal ids are taken in the order
-    of their sizes, and equal rows are interchangeable; an empty table gives no rows. Reruns agree, since the order
-    is a hash of seed and id.
-    """
-    added = ("size", "source_size", "target", "taken")
-    kept = [c for c in docs.columns if c.lower() not in added]
-    sized = docs.select(
+def _sized(docs: DataFrame, kept: list[str], seed: int) -> DataFrame:
+    """The columns ``kept`` as a row, with the source's key, the size, the seeded hash of the id and the finest shard."""
+    return docs.select(
         F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"),
         F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("key"),
         word_count(F.col("text")).alias("size"),
         F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")).cast("binary")).alias("hash"),
     ).withColumn("fine", F.conv(F.substring("hash", 1, SHARD_DIGITS), 16, 10).cast("int"))
+
+
+def _takes(sized: DataFrame, share: float, repeats: int, weights: tuple, block_words: int) -> DataFrame:
+    """(key, shards, shard) with source_size, target, shard_size and the words to take of the shard."""
     fine = sized.groupBy("key", "fine").agg(F.sum("size").alias("size"))
     sources = fine.groupBy("key").agg(F.sum("size").alias("source_size"))
     aims = targets(sources, share, repeats, weights)
@@ -111,30 +105,80 @@ def mix_plan(
         .groupBy("key", "source_size", "target", "shards", "seats", (F.col("fine") % F.col("shards")).alias("shard"))
         .agg(F.sum("size").alias("shard_size"))
     )
-    takes = apportion(shards, ["key", "source_size", "target", "shards", "seats"], "shard", "shard_size", "seats").select(
-        "key", "shard", "source_size", "target", "shard_size",
+    return apportion(shards, ["key", "source_size", "target", "shards", "seats"], "shard", "shard_size", "seats").select(
+        "key", "shards", "shard", "source_size", "target", "shard_size",
         F.least(F.col("quota") * block_words, repeats * F.col("shard_size")).alias("take"),
     )
-    placed = sized.join(quotas.select("key", "shards"), "key").withColumn("shard", F.col("fine") % F.col("shards")).join(takes, ["key", "shard"])
+
+
+_PASSES = "IF(shard_size > 0, take DIV shard_size, 0)"
+_REST = "IF(shard_size > 0, take % shard_size, 0)"
+
+
+def mix_plan(
+    docs: DataFrame, share: float = SHARE, repeats: int = REPEATS, weights: tuple = WEIGHTS,
+    block_words: int = BLOCK_WORDS, seed: int = SEED,
+) -> DataFrame:
+    """What the mix takes of each document.
+
+    In: ``doc_id``, ``source``, ``text`` and any other columns, which are kept unless they bear a name that is added.
+    Adds size, source_size, target, taken (words, repeats counted). A null source is a source of its own and comes
+    last; null and empty texts have size 0 and nothing of them is taken; rows with equal ids are taken in the order
+    of their sizes, and equal rows are interchangeable; an empty table gives no rows. Reruns agree, since the order
+    is a hash of seed and id.
+    """
+    added = ("size", "source_size", "target", "taken")
+    sized = _sized(docs, [c for c in docs.columns if c.lower() not in added], seed)
+    takes = _takes(sized, share, repeats, weights, block_words)
+    shards = takes.groupBy("key").agg(F.max("shards").alias("shards"))
+    placed = sized.join(shards, "key").withColumn("shard", F.col("fine") % F.col("shards")).join(takes.drop("shards"), ["key", "shard"])
     order = Window.partitionBy("key", "shard").orderBy("hash", F.col("row.doc_id"), "size")
     end = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    passes = F.expr("IF(shard_size > 0, take DIV shard_size, 0)")
-    rest = F.expr("IF(shard_size > 0, take % shard_size, 0)")
-    taken = F.col("size") * passes + F.greatest(F.lit(0), F.least(F.col("end"), rest) - F.col("end") + F.col("size"))
+    rest = F.expr(_REST)
+    taken = F.col("size") * F.expr(_PASSES) + F.greatest(F.lit(0), F.least(F.col("end"), rest) - F.col("end") + F.col("size"))
     return placed.withColumn("end", end).select(
         "row.*", "size", "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken")
     )
 
 
-def mix_documents(docs: DataFrame, **how) -> DataFrame:
+def mix_documents(
+    docs: DataFrame, share: float = SHARE, repeats: int = REPEATS, weights: tuple = WEIGHTS,
+    block_words: int = BLOCK_WORDS, seed: int = SEED,
+) -> DataFrame:
     """The mixed corpus with the columns of ``docs``: a row for each whole pass over a document, and one with its
-    first words, joined by single spaces, where the last block cuts it. ``n_chars``, if present, follows the text."""
-    plan = mix_plan(docs, **how).withColumns(
-        {"_whole": F.expr("IF(size > 0, taken DIV size, 0)"), "_part": F.expr("IF(size > 0, taken % size, 0)")}
+    first words, joined by single spaces, where the last block cuts it. ``n_chars``, if present, follows the text.
+
+    The same mix as ``mix_plan``, but texts aren't shuffled: narrow rows tell where each shard is cut, one row a shard, and
+    each document is compared with its shard's cut where it lies. Rows equal in id and size at a cut share its words
+    evenly, rounded down. Columns of any other name are kept as they are.
+    """
+    narrow = stored(_sized(docs, ["doc_id"], seed).select("key", "size", "hash", "fine"), "sizes")
+    takes = stored(_takes(narrow, share, repeats, weights, block_words), "takes")
+    shards = takes.groupBy("key").agg(F.max("shards").alias("shards"))
+    alike = narrow.groupBy("key", "fine", "hash", "size").agg(F.count(F.lit(1)).alias("n")).join(shards, "key")
+    alike = alike.withColumn("shard", F.col("fine") % F.col("shards")).join(takes.drop("shards"), ["key", "shard"])
+    order = Window.partitionBy("key", "shard").orderBy("hash", "size").rowsBetween(Window.unboundedPreceding, 0)
+    alike = alike.withColumn("end", F.sum(F.col("size") * F.col("n")).over(order)).withColumn("begin", F.col("end") - F.col("size") * F.col("n"))
+    cut = alike.where(f"begin < {_REST} AND {_REST} <= end").select(
+        "key", "shard", F.col("hash").alias("cut_hash"), F.col("size").alias("cut_size"), F.expr(f"({_REST} - begin) DIV n").alias("cut_words")
     )
-    times = F.expr("concat(array_repeat(-1L, CAST(_whole AS INT)), IF(_part > 0, array(_part), array()))")
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"[^{SPACE_CLASS}]+"), F.lit(0)), 1, F.col("_words").cast("int")), " ")
-    out = plan.withColumn("_words", F.explode(times)).withColumn("text", F.when(F.col("_words") < 0, F.col("text")).otherwise(cut))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_words") < 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    cuts = takes.join(cut, ["key", "shard"], "left").select("key", "shards", "shard", F.expr(_PASSES).alias("passes"), "cut_hash", "cut_size", "cut_words")
+    cuts = stored(cuts, "cuts")
+    # A row per shard, at most 16 ** SHARD_DIGITS a source: sent to the texts unless sources are very many.
+    sent = F.broadcast if cuts.count() <= SENT_ROWS else lambda df: df
+    rows = _sized(docs, docs.columns, seed).join(sent(cuts.groupBy("key").agg(F.max("shards").alias("shards"))), "key")
+    rows = rows.withColumn("shard", F.col("fine") % F.col("shards")).join(sent(cuts.drop("shards")), ["key", "shard"])
+    before = "hash < cut_hash OR hash = cut_hash AND size < cut_size"
+    part = F.expr(f"CASE WHEN {before} THEN size WHEN hash = cut_hash AND size = cut_size THEN cut_words ELSE 0 END")
+    # Whole passes and a part that is the whole text again are rows of the text as it is, marked by -1.
+    whole = F.expr("IF(size > 0, passes + IF(part = size, 1, 0), 0)").cast("int")
+    times = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole), F.when((F.col("part") > 0) & (F.col("part") < F.col("size")), F.array("part")).otherwise(F.array().cast("array<bigint>")))
+    rows = rows.withColumn("part", part.cast("long")).select("row", F.explode(times).alias("words"))
+    text = F.col("row.text")
+    cut_text = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"[^{SPACE_CLASS}]+"), F.lit(0)), 1, F.col("words").cast("int")), " ")
+    text = F.when(F.col("words") < 0, text).otherwise(cut_text)
+    column = {f.name: F.col(f"row.`{f.name}`") for f in docs.schema}
+    column["text"] = text
+    if "n_chars" in column:
+        column["n_chars"] = F.when(F.col("words") < 0, column["n_chars"]).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[c.alias(name) for name, c in column.items()])
