@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -183,21 +185,35 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_WORDS).split()
 
 
-def base_places(norm: bytes) -> list[tuple[int, int, str]]:
+class Words:
+    """Numbers of words in ``" w w ... "``, from the places of its blanks, which are looked up once a text."""
+
+    def __init__(self, norm: bytes):
+        self.norm, self.blanks = norm, None
+
+    def before(self, at: int) -> int:
+        """Blanks before a place."""
+        if self.blanks is None:
+            self.blanks = np.flatnonzero(np.frombuffer(self.norm, np.uint8) == 32)
+        return int(np.searchsorted(self.blanks, at))
+
+
+def base_places(norm: bytes, words: Words | None = None) -> list[tuple[int, int, str]]:
     """(first word, end, label) of every place of a base phrase in ``" w w ... "``."""
-    out = []
+    out, words = [], words or Words(norm)
     for phrase, label in BASE.items():
         needle = b" " + phrase.encode() + b" "
         at = norm.find(needle)
         while at >= 0:
-            start = norm.count(b" ", 0, at)
+            start = words.before(at)
             out.append((start, start + phrase.count(" ") + 1, label))
             at = norm.find(needle, at + 1)
     return sorted(out)
 
 
-def detections(norm: bytes) -> list[Found]:
+def detections(norm: bytes, words: Words | None = None) -> list[Found]:
     """What the rules find, in word positions."""
+    words = words or Words(norm)
     if not any(x in norm for x in _ANY):
         return []
     out = []
@@ -205,22 +221,33 @@ def detections(norm: bytes) -> list[Found]:
         if keyword in norm:
             for rule in group:
                 for m in rule.pattern.finditer(norm):
-                    start = norm.count(b" ", 0, m.start()) - 1
+                    start = words.before(m.start()) - 1
                     out.append(Found(rule.label, rule.priority, rule.weight, start, start + m.group().count(b" ") + 1))
     if b" spdx " in norm:
         for whole in _EXPRESSION.finditer(norm):
             for m in _OPERANDS.finditer(norm, whole.start(), whole.end() + 1):
-                start = norm.count(b" ", 0, m.start()) - 1
+                start = words.before(m.start()) - 1
                 out.append(Found(_IDS[m.group()], *TAGGED[:2], start, start + m.group().count(b" ") + 1))
     return out
 
 
 def resolve(found: list[Found]) -> list[Found]:
-    """Without detections that lie within a stronger one: of higher priority, or as high and longer, or an earlier rule's twin."""
+    """Without detections that lie within a stronger one: of higher priority, or as high and longer, or an earlier rule's twin.
+
+    Of what is kept, the starts of growing ends are remembered: among intervals that start no later, the last end is
+    the largest, so one look tells whether any of them holds the next.
+    """
     kept: list[Found] = []
+    starts: list[int] = []
+    ends: list[int] = []
     for f in sorted(found, key=lambda f: (-f.priority, f.start - f.end, f.start, f.label)):
-        if not any(k.start <= f.start and f.end <= k.end for k in kept):
-            kept.append(f)
+        at = bisect_right(starts, f.start)
+        if at and ends[at - 1] >= f.end:
+            continue
+        kept.append(f)
+        at -= at > 0 and starts[at - 1] == f.start  # a longer one takes the place of one with the same start
+        stop = bisect_right(ends, f.end, at)
+        starts[at:stop], ends[at:stop] = [f.start], [f.end]
     return kept
 
 
@@ -228,13 +255,17 @@ def scan(text: str | None) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score, spans of the kept detections."""
     words = words_of(text or "")
     norm = b" " + b" ".join(words) + b" "
-    base = base_places(norm)
-    kept = resolve([Found(label, BASE_PRIORITY, BASE_WEIGHT, a, b) for a, b, label in base] + detections(norm))
+    place = Words(norm)
+    base = base_places(norm, place)
+    kept = resolve([Found(label, BASE_PRIORITY, BASE_WEIGHT, a, b) for a, b, label in base] + detections(norm, place))
     own = {label for _, _, label in base}
-    labels = own | {f.label for f in kept}
+    weights: dict[str, float] = {}
+    for f in kept:
+        weights[f.label] = max(f.weight, weights.get(f.label, 0.0))
+    labels = own | weights.keys()
     miss = 1.0
-    for label in labels:
-        miss *= 1 - max([f.weight for f in kept if f.label == label], default=BASE_WEIGHT)
+    for label in sorted(labels):
+        miss *= 1 - weights.get(label, BASE_WEIGHT)
     return (
         len(words), len(base), base[0][0] if base else None, max(b[0] for b in base) if base else None,
         ",".join(sorted(own)), ",".join(sorted(labels)), 1 - miss,
