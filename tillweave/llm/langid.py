@@ -7,12 +7,12 @@ mean of its windows' log probabilities, weighted by their letters.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tillweave.llm.common import bytes_of, slices_of, small_batches
@@ -27,7 +27,7 @@ EMBEDDING = 6
 EPOCHS = 5
 UNKNOWN = "und"
 _REACH = max(WIDTHS)
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256)], np.uint8)
 
 
