@@ -1,6 +1,6 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
-Every item is cut into overlapping windows of ``WINDOW`` normalised characters. A document is contaminated by an item
+Every item is cut into overlapping windows of ``WINDOW`` normalised characters, ``STEP`` apart. A document is contaminated by an item
 if one of its windows aligns with some stretch of the document within the window's edit budget (one edit for each
 ``CHARS_PER_EDIT`` characters). A window of L characters within e edits of a stretch shares at least
 ``L + 1 - q (e + 1)`` q-grams with it, all on diagonals that lie at most e apart on either side; so shared q-grams are
@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame, functions as F
 from tillweave.llm.common import slices_of
 
 Q = 12
-WINDOW = 96
-STEP = 32
+#: An excerpt of at least WINDOW + STEP - 1 normalised characters, from wherever in an item, holds a whole window.
+WINDOW = 52
+STEP = 8
 CHARS_PER_EDIT = 16
 #: Characters of items in one broadcast index (about 30 bytes each); more items make more blocks.
 BLOCK_CHARS = 4_000_000
