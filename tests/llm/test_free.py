@@ -72,6 +72,17 @@ def test_leaks_equal_brute_force(spark):
     assert sorted(map(str, (r.doc_id for r in clean.collect()))) == sorted(str(i) for i, _ in ODD + rows if i not in {d for d, _ in want})
 
 
+def test_excerpts_are_found_wherever_they_start(spark):
+    """Exact excerpts of the stated length from every offset of an item, in the midst of other words."""
+    rng = random.Random(9)
+    item, size = plain(prose(rng, 45)), decontaminate.WINDOW + decontaminate.STEP - 1
+    bench = spark.createDataFrame([(1, item), (2, prose(rng, 30))], "item_id long, text string")
+    rows = [(s, f"{prose(rng, 20)}. {item[s : s + size].upper()}! {prose(rng, 20)}") for s in range(len(item) - size + 1)]
+    rows += [(10_000 + i, prose(rng, 60)) for i in range(30)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(s, 1) for s in range(len(item) - size + 1)} and len(got) > 100
+
+
 def test_leak_places_and_empty_tables(spark):
     item = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     docs = spark.createDataFrame([(1, f"Before. {item}! After."), (2, "nothing")], "doc_id long, text string")
@@ -263,6 +274,40 @@ def test_main_text(spark, body):
     table = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, host string")
     got = sorted((r.page_id, r.text) for r in pages.main_text(table).collect())
     assert got == [(1, want), (1, want), (2, want.replace("Four", "Five")), (3, ""), (4, "")] and pages.main_text(table.limit(0)).collect() == []
+    clash = pages.main_text(table.selectExpr("*", "1 AS article", "'f' AS fixed", "'old' AS text"))
+    assert clash.columns == [*table.columns, "article", "fixed", "text"]
+    assert {(r.host, r.article, r.fixed) for r in clash.collect()} == {("x", 1, "f")} and sorted((r.page_id, r.text) for r in clash.collect()) == got
+
+
+@pytest.mark.parametrize(
+    "inner, want",
+    [
+        ("<p>x</p><button>Buy now</button><p>y</p>", "x\n\ny"),
+        ("<p>one <span hidden>secret</span>two</p>", "one two"),
+        ("<p>one <a class='share' href=#>Share</a> two <span class=\"ad\">Buy</span></p><p>three</p>", "one two\n\nthree"),
+        ("<p>one <svg><text>drawn</text></svg> two</p>", "one two"),
+        ("<p>one</p><select><option>A<option>B</select><p>two</p>", "one\n\ntwo"),
+        ("<p>one <span class=ad>Buy</p><p>two</p>", "one\n\ntwo"),
+        ("<p>one <i aria-hidden=true>icon <b>and</b> more</i> two <em>three</em></p>", "one two three"),
+        ("lead <span class='has sidebar'><p>one</p><p>two</p></span> tail", "lead\n\ntail"),
+        ("<p title='a > b'>one</p><p title=\"it's\">two<br/>three", "one\n\ntwo three"),
+        ("<ul><li>one<li>two <ul><li>deep</ul><li>three</ul>", "one\n\ntwo\n\ndeep\n\nthree"),
+    ],
+)
+def test_marked_phrases_are_left_out(inner, want):
+    assert pages.extract(f"<body><article>{inner}</article></body>", None, set()) == want
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    shapes = ["<a b" * 60_000 + '"', "<div>" * 60_000 + "x", "<div>x" * 30_000 + "</span>" * 30_000, "<span hidden>" * 60_000 + "x", "<a class=ad><p>x" * 20_000,
+              "<!--" * 60_000, "<a b='" * 40_000, '<p x="' * 40_001, "<li>x" * 40_000, "<table><tr><td>x" * 20_000, "<" * 200_000, "<a =" * 60_000, "<b>" * 60_000 + "</i>" * 60_000]
+    for shape in shapes:
+        begin = time.perf_counter()
+        pages.extract(shape, None, set())
+        pages.tokens(shape)
+        assert time.perf_counter() - begin < 10, shape[:20]
 
 
 def test_texts_on_every_page_are_template(spark):
@@ -340,3 +385,46 @@ def test_components_follow_long_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.node: r.label for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 90: 90, 95: 90, 100: 90}
+
+
+def test_license_detections_resolve_as_a_plain_loop():
+    rng = random.Random(7)
+    for n in (0, 1, 5, 60, 300):
+        found = []
+        for _ in range(n):
+            start = rng.randrange(40)
+            found.append(licenses.Found(rng.choice("abcd"), rng.randrange(4), 0.5, start, start + rng.randint(1, 12)))
+        kept = []
+        for f in sorted(found, key=lambda f: (-f.priority, f.start - f.end, f.start, f.label)):
+            if not any(k.start <= f.start and f.end <= k.end for k in kept):
+                kept.append(f)
+        assert licenses.resolve(found) == kept
+
+
+def test_license_scan_of_repeated_phrases_is_linear():
+    import time
+
+    text = "cc by nc under the mit license gpl version 2 all rights reserved " * 16_000  # about a megabyte
+    begin = time.perf_counter()
+    row = licenses.scan(text)
+    took = time.perf_counter() - begin
+    assert row[1] == 32_000 and row[2] == 0 and row[4] == "cc-by-nc,mit" and took < 8
+    small = licenses.scan(text[: len(text) // 100])
+    assert small[1] == 320 and small[5] == row[5]
+
+
+def test_fractions_and_powers_are_no_letters(spark):
+    rows = [(i, f"plain words number {i} in a row", "en") for i in range(40)] + [(i + 100, f"puros vocablos num {i} en fila", "es") for i in range(40)]
+    net = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    odd_ones = spark.createDataFrame([(1, "½ ² ③ 12"), (2, "½ é"), (3, "日本")], "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(odd_ones, net).collect()}
+    assert got[1] == "und" and got[2] in ("en", "es") and got[3] in ("en", "es")
+
+
+def test_language_stage_keeps_clashing_columns(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"plain words number {i} in a row", "en", 7.5, "mine") for i in range(40)] + [(99, "½", "en", 7.5, "mine")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string")
+    out = corpus_pipeline.language_id(spark, docs, "")
+    assert out.columns == docs.columns and {(r.score, r.lang_pred) for r in out.collect()} == {(7.5, "mine")} and out.count() == 40
