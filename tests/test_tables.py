@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,6 +43,20 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     assert run() == ["receipt_001.txt", "receipt_002.txt", "receipt_003.txt"]
 
 
+def test_incremental_load_reads_a_folder_of_files(spark, tmp_path):
+    """The documents table as one file and as a folder of several; the latter was read as empty."""
+    from tillweave.plans import catalog
+
+    docs = spark.createDataFrame([(n, f"Shop {n}\nMilk $4.50", "en", "web", 17) for n in range(6)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    docs.repartition(3).write.parquet(str(tmp_path / "many" / "documents.parquet"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "part"))
+    (tmp_path / "one").mkdir()
+    shutil.copy(next((tmp_path / "part").glob("*.parquet")), tmp_path / "one" / "documents.parquet")
+    for layout in ("many", "one"):
+        rows = catalog.QUERIES["st1_incremental_load"](spark, str(tmp_path / layout)).collect()
+        assert sorted(map(tuple, rows)) == [(n, f"Shop {n}") for n in range(6)]
+
+
 def test_stream_ends_in_chunks(spark, tmp_path):
     """Files to receipts to five views: copies aren't taken, rewritten files are, a repeated batch adds nothing."""
     inbox, root, mark = tmp_path / "in", str(tmp_path / "loaded"), str(tmp_path / "mark")
