@@ -263,3 +263,20 @@ def test_wrapped_items_against_a_plain_loop(extract, spark, shapes):
     for r in items_from_line_rows(lines, "filename", "n", "line").orderBy("filename", "n").collect():
         flat.setdefault(r.filename, []).append((r.name, r.total_price))
     assert {k: flat.get(k, []) for k in docs} == wanted
+
+
+def test_items_of_relevant_lines_are_those_of_all_lines(spark):
+    """Lines that can't matter are left out by one scan; odd line ends, signs behind prices and wrapped items included."""
+    from tillweave.operators import items as it
+    from tillweave.operators.receipts import with_lines
+
+    texts = [
+        "Shop\nMilk $4.50\n2 x Eggs  $3.00\nTOTAL $7.50", "Shop\nMilk\n  SKU: 1\n  $ 4.50\nBread $2.00", "Cheese\n$\n5.00\nHam 1.00 $ 2.00",
+        "Tea\rCup $ 1.25\nA\u2028B $2.50\nPie\u00851.25$\n4.00", "Soap $0.00\nOil $\nfree $1", "", "12.50", "Jam @ $2.00\nRice 1.50$ or $ 3.10\n---\n0.00\n7.25",
+    ]
+    df = with_lines(spark.createDataFrame([(t,) for t in texts], "raw_text string"))
+    df = df.withColumn("_rows", it.item_rows(F.col("body"), F.col("rows")))
+    few, every = it.with_items(df, rows="_rows", out="few"), it.with_items(df, out="every")
+    left, right = ([r[0] for r in d.select(c).collect()] for d, c in ((few, "few"), (every, "every")))
+    assert left == right and sum(map(len, left)) > 8
+    assert [len(r[0]) for r in few.select("_rows").collect()][0] == 3  # the shop's line isn't looked at

@@ -43,6 +43,19 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     assert run() == ["receipt_001.txt", "receipt_002.txt", "receipt_003.txt"]
 
 
+def test_rendered_text_is_shuffled_by_order_alone(spark, sf_dir):
+    """Narrow rows join first: the texts of lines were shuffled again by customer."""
+    from tillweave.plans.render import rendered
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(rendered(spark, sf_dir))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    last = next(line for line in plan.splitlines() if "Join" in line)
+    assert "l_orderkey" in last and "o_custkey" not in last
+
+
 def test_incremental_load_reads_a_folder_of_files(spark, tmp_path):
     """The documents table as one file and as a folder of several; the latter was read as empty."""
     from tillweave.plans import catalog
