@@ -43,6 +43,21 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     assert run() == ["receipt_001.txt", "receipt_002.txt", "receipt_003.txt"]
 
 
+def test_a_small_batch_keeps_all_cores(spark, tmp_path, monkeypatch):
+    """The documents of a batch were coalesced by their bytes and extracted by one task; known ones meet before extraction."""
+    seen = []
+    extract = ingest.extract_receipts
+    monkeypatch.setattr(ingest, "extract_receipts", lambda own, **kw: seen.append(own) or extract(own, **kw))
+    files = spark.createDataFrame([(f"r{n}", TEXT.format(n=n), f"p{n}", str(n)) for n in range(9)], "filename string, raw_text string, path string, content_sha256 string")
+    root = str(tmp_path / "loaded")
+    ingest.store_batch(files, "b", root)
+    assert len(seen) == 1 and seen[0].rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    known = spark.read.parquet(f"{root}/receipts")
+    again = src.only_new(extract(files, keep=ingest.IDENTITY), known, ("content_sha256",))
+    plan = again._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("LeftAnti") > plan.index("merchant_name") and again.count() == 0
+
+
 def test_rendered_text_is_shuffled_by_order_alone(spark, sf_dir):
     """Narrow rows join first: the texts of lines were shuffled again by customer."""
     from tillweave.plans.render import rendered
