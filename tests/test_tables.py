@@ -342,3 +342,15 @@ def test_rule_tables_know_letters_of_any_script(spark):
     names = spark.createDataFrame([("Fresh Éclair",), ("Café  Crème large",), ("clair",)], "name string")
     got = {r.name: r.categories for r in categories.categorise_by_table(names, "name", rules).collect()}
     assert got == {"Fresh Éclair": ["bakery"], "Café  Crème large": ["coffee_shop"], "clair": ["other"]}
+
+
+def test_terms_are_counted_in_bounded_pieces(monkeypatch):
+    """A batch of long texts was counted as a whole; its pieces hold the same rows in order."""
+    import pyarrow as pa
+    from tillweave.operators import terms
+
+    monkeypatch.setattr(terms, "TERMS_AT_ONCE", 4)
+    lists = [["a"] * n for n in (3, 0, 2, 9, 1)] + [None, ["b"]]
+    batch = pa.record_batch([pa.array(range(7)), pa.array(lists, pa.list_(pa.string()))], names=["id", "t"])
+    pieces = list(terms._pieces(iter([batch, batch.slice(0, 0)])))
+    assert [r for p in pieces for r in p.to_pylist()] == batch.to_pylist() and len(pieces) == 3
