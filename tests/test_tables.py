@@ -354,3 +354,19 @@ def test_terms_are_counted_in_bounded_pieces(monkeypatch):
     batch = pa.record_batch([pa.array(range(7)), pa.array(lists, pa.list_(pa.string()))], names=["id", "t"])
     pieces = list(terms._pieces(iter([batch, batch.slice(0, 0)])))
     assert [r for p in pieces for r in p.to_pylist()] == batch.to_pylist() and len(pieces) == 3
+
+
+def test_spread_deals_rows_of_few_row_groups(spark, tmp_path):
+    """A file of many splits whose rows all stand in one row group."""
+    from tillweave.session import spread
+
+    path = str(tmp_path / "one_group")
+    spark.range(40_000).coalesce(1).write.parquet(path)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16KB")
+    try:
+        scan = spark.read.parquet(path)
+        assert scan.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        rows = spread(scan).groupBy(F.spark_partition_id()).count().agg(F.max("count"), F.sum("count")).first()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert rows[1] == 40_000 and rows[0] < 40_000 / spark.sparkContext.defaultParallelism
