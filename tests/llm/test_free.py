@@ -340,6 +340,86 @@ def test_names_alone_empty_no_page(spark, name):
     assert [r.text for r in got] == ["Head\n\nA whole story of some length"]
 
 
+def texts_of(spark, bodies):
+    rows = [(i, f"http://l.example/{i}", body) for i, body in enumerate(bodies)]
+    return {r.page_id: r.text for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_one_odd_page_keeps_no_template_from_being_found(spark):
+    html = "<html><body><div><p>Subscribe to our daily letter</p><p>Story number %d %s</p><p>All rights are ours</p></div></body></html>"
+    got = texts_of(spark, [html % (i, "tells more " * 9) for i in range(8)] + ["<p>Nothing was found here</p>"])
+    assert got == {i: f"Story number {i} {'tells more ' * 9}".strip() for i in range(8)} | {8: "Nothing was found here"}
+
+
+def test_each_layout_has_its_own_template(spark):
+    one = "<html><body><div class=one><p>Read our letter</p><h1>Head %d</h1><p>%s</p></div><div class=x>Far below</div></body></html>"
+    two = "<html><body><table><tr><td>Shop and save</td></tr></table><dl><dt>Item %d</dt><dd>%s</dd><dd>Ask the seller</dd></dl></body></html>"
+    story = lambda i: f"number {i} " + f"tells {i} more " * 9
+    got = texts_of(spark, [(one if i % 2 else two) % (i, story(i)) for i in range(16)])
+    assert got == {i: f"{'Head' if i % 2 else 'Item'} {i}\n\n{story(i).strip()}" for i in range(16)}
+
+
+def brute_classes(bodies):
+    """Classes by whole vectors: path and text of their tokens that keep their place on all pages."""
+    found = [pages.tokens(b) for b in sorted(set(bodies))]
+    vectors = {}
+    for t in {t for f in found for t in f}:
+        vectors.setdefault(tuple(len(f[t][2]) if t in f else 0 for f in found), []).append(t)
+    out = {}
+    for vector, members in vectors.items():
+        on = [f for f, n in zip(found, vector) if n]
+        if len(on) < pages.LEAST_PAGES or len(on) * pages.SHARE < len(found) or len(members) < pages.LEAST_TOKENS:
+            continue
+        places = {t: set() for t in members}
+        for f in on:
+            for i, (_, t) in enumerate(sorted((at, t) for t in members for at in f[t][2])):
+                places[t].add(i % len(members))
+        steady = {t for t in members if len(places[t]) == 1}
+        if len(steady) >= pages.LEAST_TOKENS:
+            out[vector] = (steady, [[sorted(at for t in steady for at in f[t][2]) if n else [] for f, n in zip(found, vector)]][0])
+    kept = set()
+    for vector, (steady, places) in out.items():
+        good = True
+        for outer, (_, marks) in out.items():
+            if outer != vector and max(outer) == 1 and all(o >= (n > 0) for o, n in zip(outer, vector)):
+                slots = set()
+                for f, n, at, m in zip(found, vector, places, marks):
+                    if n:
+                        rounds = {}
+                        order = sorted((x, t) for t in vectors[vector] for x in f[t][2])
+                        for i, (x, t) in enumerate(order):
+                            if t in steady:
+                                rounds.setdefault(i // len(vectors[vector]), []).append(x)
+                        ends = [(sum(y < min(r) for y in m), sum(y < max(r) for y in m)) for r in rounds.values()]
+                        good &= all(a == b for a, b in ends)
+                        slots.add(tuple(sorted({a for a, _ in ends})))
+                good &= len(slots) == 1
+        if good:
+            kept.add(frozenset(steady))
+    return kept
+
+
+def test_classes_are_those_of_whole_vectors(spark):
+    import random
+
+    rng, bodies = random.Random(5), []
+    for i in range(40):
+        menu = ["<li>Home</li>", "<li>News</li>", "<li>Shop</li>"]
+        rng.shuffle(menu)
+        notice = "<table><tr><td>Sale</td><td>Ends soon</td></tr></table>" if rng.random() < 0.5 else ""
+        cards = "<section><h2>Card</h2><blockquote>Rate it</blockquote></section>" * rng.randrange(3)
+        stray = "<dl><dt>a</dt>%s<dd>b</dd></dl>" % ("<h3>s</h3>" if i % 2 else "")
+        note = "<ol><li>Note</li><li>More</li></ol>" if rng.random() < 0.4 else ""
+        around = ["<h1>Site</h1>", stray, notice] if i % 3 else [notice, "<h1>Site</h1>", stray]
+        bodies.append(f"<html><body><ul>{''.join(menu)}</ul>{''.join(around)}<article><p>Story {i}</p>{cards}</article>{note}<footer>End</footer></body></html>")
+    rows = pages.page_tokens(spark.createDataFrame([(f"http://q.example/{i}", b) for i, b in enumerate(bodies + bodies[:9])], "url string, html string")).cache()
+    got = {}
+    for r in pages.template_classes(rows, pages.token_statistics(rows)).collect():
+        got.setdefault(r.vector, set()).add((r.path, r.text))
+    want = brute_classes(bodies)
+    assert {frozenset(c) for c in got.values()} == want and len(want) > 2
+
+
 # Near duplicates
 
 def brute_components(rows, words):

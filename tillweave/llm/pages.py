@@ -1,17 +1,23 @@
 """HTML extraction by deducing each host's template from token equivalence classes.
 
-This is a simple form of that method: only the root's class, and texts equally often on every page, are told apart. Other
-classes are neither grouped nor nested, and layouts of one host aren't separated; what elements say they are decides more.
-
 A token is an element's path of tags with its class and role (``html/body/div.ad``) or a text block under such a path.
-Its occurrence vector says how often it stands on each page of the host; tokens that share a vector form a class. The
-class of the page's root, once on every page, is the outermost template. Text blocks
-equally often on every page belong to the template too; what is left between its tokens are slots. The slot that holds the article is chosen once per
-host: by what its element says it is, then by how much text the host's pages hold there.
-
-On Spark, vectors are never built: each (host, token) keeps mergeable numbers, the pages it is on and its fewest and most
-occurrences on one of them, which tell whether it stands equally often on every page, however often a page is stored.
-Only one small row per host joins the pages again.
+Its occurrence vector says how often it stands on each distinct page of the host; tokens that share a vector form a
+class. Classes of enough tokens and pages are kept and validated:
+
+* ordered: on every page a class's tokens stand in the same order, round after round if they repeat. Tokens whose place
+  in the round changes leave the class.
+* nested: each round of a class lies between the same two tokens of every class that stands once on all of its pages.
+  A class that straddles another is dropped.
+
+The class of the page's root, once on every page, is the outermost template; other classes nest in its slots, among them
+those of further layouts and of optional parts. Their texts are the template's, as are texts equally often on every
+page. Slots of a class compete for the article once per class: by what their element says it is, then by how much text
+the pages hold there. A page takes the best slot that it has.
+
+On Spark, a page is one row of tokens with their places. Vectors are never built: the xor of a hash of (page, count) over
+distinct pages tells them apart. Classes are groups by that, places are numbered by a window that holds one class of one
+page, and the rest are counts, minima and maxima. Only one row per host joins the pages again; it is as large as a few
+pages, since a class must be on a fifth of them.
 """
 
 from __future__ import annotations
@@ -19,17 +25,21 @@ from __future__ import annotations
 import html as entities
 import re
 from bisect import bisect_left
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tillweave.llm.common import slices_of, stored
 
-#: Pages a host must have before a text on all of them counts as its template's.
+#: Distinct pages that a class must be on, and that a host must have before a text on all of them counts as its template's.
 LEAST_PAGES = 4
+#: A class must be on one in so many of its host's distinct pages, and have so many tokens.
+SHARE = 5
+LEAST_TOKENS = 3
 
 # Elements by what they are.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -73,6 +83,7 @@ class Block(NamedTuple):
     path: str
     holder: int  # index of the innermost element that holds it
     side: bool
+    after: int  # index of the last element that began before its end
 
 
 #: Longer paths go on from a hash of themselves, so that deep nesting costs no more than its elements.
@@ -128,7 +139,7 @@ class Page:
             self.text.clear()
             holder = self.stack[-1 if at is None else at]
             if joined and not holder.hidden and not (at is None and self.phrases):
-                self.blocks.append(Block(joined, holder.element.path, holder.element.inside, holder.side))
+                self.blocks.append(Block(joined, holder.element.path, holder.element.inside, holder.side, len(self.elements) - 1))
 
     def pop_to(self, depth: int) -> None:
         while len(self.stack) > depth:
@@ -272,87 +283,179 @@ def text_hash(block: Block) -> int:
     return xxhash.xxh64_intdigest(f"{block.path}\x00{block.text}") >> 1
 
 
-def tokens(source: str) -> dict[tuple[str, int], tuple[int, int, int]]:
-    """(path, hash of text or 0) -> occurrences, characters of article-like text below, rank."""
+def tokens(source: str) -> dict[tuple[str, int], list]:
+    """(path, hash of text or 0) -> characters of article-like text below, rank, places in the order of elements and blocks."""
     elements, blocks = parse(source)
     below = below_each(elements, (b for b in blocks if not b.side))
-    out: dict[tuple[str, int], tuple[int, int, int]] = {}
+    out: dict[tuple[str, int], list] = {}
     for i, e in enumerate(elements):
-        n, size, _ = out.get((e.path, 0), (0, 0, 0))
-        out[e.path, 0] = (n + 1, size + below[i], e.rank)
-    for b in blocks:
-        key = (b.path, text_hash(b))
-        n, size, _ = out.get(key, (0, 0, 0))
-        out[key] = (n + 1, size + len(b.text), 0)
+        row = out.setdefault((e.path, 0), [0, e.rank, []])
+        row[0] += below[i]
+        row[1] = e.rank
+        row[2].append((i, 0))
+    for k, b in enumerate(blocks):
+        row = out.setdefault((b.path, text_hash(b)), [0, 0, []])
+        row[0] += len(b.text)
+        row[2].append((b.after, k + 1))
+    places = {at: place for place, at in enumerate(sorted(at for _, _, found in out.values() for at in found))}
+    for row in out.values():
+        row[2] = [places[at] for at in row[2]]
     return out
 
 
-STATS = "host string, path string, text long, pages long, size long, low long, high long, rank int"
+TOKEN = pa.struct([("path", pa.string()), ("text", pa.int64()), ("size", pa.int64()), ("rank", pa.int32()), ("at", pa.list_(pa.int32()))])
+
 
+def page_tokens(pages: DataFrame) -> DataFrame:
+    """One row per distinct page of a host: host, page (hash of its html), mass (all its characters) and its tokens. Pages without texts say nothing."""
 
-def token_statistics(pages: DataFrame) -> DataFrame:
-    """One row per (host, token), merged per task before the shuffle: pages it is on, characters below it, and
-    its fewest and most occurrences on one of those pages."""
+    def lists(counts: list[int], values: pa.Array) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array([0, *accumulate(counts)], pa.int32()), values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, stop in slices_of(batch.column(1), 1 << 22):
                 part = batch.slice(begin, stop - begin)
-                total: dict[tuple, list[int]] = {}
+                hosts, ids, masses, counts, flat = [], [], [], [], []
                 for url, source in zip(*(c.to_pylist() for c in part.columns)):
-                    host, found = host_of(url), tokens(source or "")
-                    if not any(text for _, text in found):
-                        continue  # a page without texts says nothing of the template
-                    for (path, text), (n, size, rank) in found.items():
-                        row = total.setdefault((host, path, text), [0, 0, n, n, rank])
-                        row[0] += 1
-                        row[1] += size
-                        row[2], row[3] = min(row[2], n), max(row[3], n)
-                columns = list(zip(*((*k, *v) for k, v in total.items()))) or [[]] * 8
-                kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=[x.split(" ")[0] for x in STATS.split(", ")])
-
-    rows = pages.select("url", "html").mapInArrow(run, STATS)
-    return rows.groupBy("host", "path", "text").agg(
-        F.sum("pages").alias("pages"), F.sum("size").alias("size"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("rank").alias("rank")
+                    found = tokens(source or "")
+                    if any(text for _, text in found):
+                        hosts.append(host_of(url))
+                        ids.append(xxhash.xxh64_intdigest(source) >> 1)
+                        masses.append(found["", 0][0])
+                        counts.append(len(found))
+                        flat += [(*key, *row) for key, row in found.items()]
+                path, text, size, rank, at = zip(*flat) if flat else ((),) * 5
+                places = lists([len(x) for x in at], pa.array([x for one in at for x in one], pa.int32()))
+                columns = [pa.array(path, pa.string()), pa.array(text, pa.int64()), pa.array(size, pa.int64()), pa.array(rank, pa.int32()), places]
+                rows = lists(counts, pa.StructArray.from_arrays(columns, fields=list(TOKEN)))
+                of_page = [pa.array(hosts, pa.string()), pa.array(ids, pa.int64()), pa.array(masses, pa.int64())]
+                yield pa.record_batch([*of_page, rows], names=["host", "page", "mass", "tokens"])
+
+    found = "host string, page long, mass long, tokens array<struct<path: string, text: long, size: long, rank: int, at: array<int>>>"
+    return pages.select("url", "html").mapInArrow(run, found).dropDuplicates(["host", "page"])
+
+
+def occurrences(rows: DataFrame) -> DataFrame:
+    """One row per page and token of it."""
+    return rows.select("host", "page", "mass", F.explode("tokens").alias("t")).select("host", "page", "mass", "t.*")
+
+
+def token_statistics(rows: DataFrame) -> DataFrame:
+    """One row per (host, token): the pages it is on, its occurrence vector (by a hash), its fewest and most occurrences
+    on one of these pages, characters below it, and all characters of these pages."""
+    return occurrences(rows).groupBy("host", "path", "text").agg(
+        F.count(F.lit(1)).alias("pages"), F.bit_xor(F.xxhash64("page", F.size("at"))).alias("vector"), F.min(F.size("at")).alias("low"),
+        F.max(F.size("at")).alias("high"), F.sum("size").alias("size"), F.max("rank").alias("rank"), F.sum("mass").alias("mass"),
     )
 
 
+def candidate_classes(stats: DataFrame) -> DataFrame:
+    """The tokens of all classes of enough tokens and pages: host, vector, pages, high, members (of the class), path, text."""
+    of_host = stats.where("path = '' AND text = 0").select("host", F.col("pages").alias("all"))
+    frequent = stats.where(f"pages >= {LEAST_PAGES}").join(of_host, "host").where(f"pages * {SHARE} >= all").drop("all")
+    by = ["host", "vector", "pages"]
+    large = frequent.groupBy(*by).agg(F.count(F.lit(1)).alias("members")).where(f"members >= {LEAST_TOKENS}")
+    return frequent.join(large, by).select(*by, "high", "members", "path", "text")
+
+
+def ordered_classes(rows: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tokens of candidates that keep their place in the round on every page, and where they stand on pages."""
+    wanted = candidates.select("host", "path", "text", "vector", "members", F.xxhash64("path", "text").alias("token"))
+    found = occurrences(rows).join(wanted, ["host", "path", "text"]).select("host", "page", "vector", "members", "token", F.explode("at").alias("at"))
+    number = F.row_number().over(Window.partitionBy("host", "page", "vector").orderBy("at")) - 1
+    placed = found.withColumn("number", number).select(
+        "host", "page", "vector", "token", "at", (F.col("number") % F.col("members")).alias("place"), F.expr("number DIV members").alias("round")
+    )
+    placed = stored(placed, "page-places")
+    steady = placed.groupBy("host", "vector", "token").agg(F.min("place").alias("place"), F.max("place").alias("last")).where("place = last").drop("last")
+    left = steady.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("members")).where(f"members >= {LEAST_TOKENS}")
+    steady = stored(steady.join(left, ["host", "vector"]), "page-classes")
+    return steady, placed.join(steady.select("host", "vector", "token"), ["host", "vector", "token"])
+
+
+def nested_classes(classes: DataFrame, placed: DataFrame) -> DataFrame:
+    """Of classes (host, vector, pages, high), those that straddle no other, with the innermost class that they nest in
+    (parent, null for the root's) and the slot there, the number of the parent's tokens before them. Classes of one page
+    meet each other; they have three tokens or more, so there are at most a third as many as the page has."""
+    rounds = placed.groupBy("host", "page", "vector", "round").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    inner = rounds.groupBy("host", "page", "vector").agg(F.collect_list(F.struct("first", "last")).alias("rounds")).join(classes.drop("high"), ["host", "vector"])
+    once = classes.where("high = 1").select("host", F.col("vector").alias("parent"), F.col("pages").alias("parent_pages"))
+    outer = placed.select("host", "page", F.col("vector").alias("parent"), "at").join(once, ["host", "parent"])
+    outer = outer.groupBy("host", "page", "parent", "parent_pages").agg(F.collect_list("at").alias("marks"))
+    pairs = inner.join(outer, ["host", "page"]).where("vector != parent AND parent_pages >= pages")
+    before = "size(filter(marks, m -> m < r.{}))".format
+    pairs = pairs.select(
+        "host", "vector", "pages", "parent", "parent_pages", F.expr(f"forall(rounds, r -> {before('first')} = {before('last')})").alias("inside"),
+        F.expr(f"array_sort(array_distinct(transform(rounds, r -> {before('first')})))").alias("slots"),
+    )
+    met = pairs.groupBy("host", "vector", "pages", "parent", "parent_pages").agg(
+        F.count(F.lit(1)).alias("together"), F.bool_and("inside").alias("inside"), F.min("slots").alias("slots"), F.max("slots").alias("most")
+    )
+    met = stored(met.where("together = pages"), "page-nesting")
+    straddling = met.where("NOT inside OR slots != most").select("host", "vector").distinct()
+    # The innermost of those around a class is on the fewest pages; of equal ones, that with most tokens before it.
+    tightest = F.struct((-F.col("parent_pages")).alias("p"), "slots", "parent")
+    parents = met.where("inside AND slots = most AND slots[0] > 0").groupBy("host", "vector").agg(F.max(tightest).alias("t"))
+    parents = parents.select("host", "vector", F.col("t.parent").alias("parent"), F.col("t.slots").alias("slots"))
+    return classes.join(straddling, ["host", "vector"], "left_anti").join(parents, ["host", "vector"], "left")
+
+
+def template_classes(rows: DataFrame, stats: DataFrame) -> DataFrame:
+    """The tokens of all valid classes: host, path, text, vector, pages, high, place (in the round), parent and slots."""
+    candidates = stored(candidate_classes(stats), "page-candidates")
+    steady, placed = ordered_classes(rows, candidates)
+    classes = candidates.join(steady.select("host", "vector").distinct(), ["host", "vector"]).groupBy("host", "vector", "pages").agg(F.max("high").alias("high"))
+    valid = nested_classes(stored(classes, "page-class-list"), placed)
+    members = candidates.select("host", "path", "text", "vector", F.xxhash64("path", "text").alias("token"))
+    members = members.join(steady.select("host", "vector", "token", "place"), ["host", "vector", "token"])
+    return members.join(valid, ["host", "vector"]).drop("token")
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, article, fixed): the path of the article's slot and the hashes of texts that stand on every page.
+    """(host, articles, fixed): paths of the article's slots, best first, and the hashes of the template's texts.
 
-    Pages without texts don't count. The root's class holds the tokens that stand once on every page; texts that stand
-    equally often on every page, whether once or more, are the template's. Slots among them, or once on most pages if none of them
-    is an article, compete by rank, then by text, then by depth; the winner is a maximum, so no host is gathered. Texts
-    on every page are at most as many as one page has.
+    Pages without texts don't count. Slots in classes count twice by what they say they are; one per class is kept, if
+    it holds half of its pages' text, and the best of all in any case. A class's texts are the template's unless they are
+    half of the text on their pages: then the pages are copies, and nothing tells template from article.
     """
-    stats = stored(token_statistics(pages), "page-tokens")
-    root = stats.where("path = '' AND text = 0").select("host", F.col("pages").alias("all"), F.col("size").alias("mass"))
-    token = stats.join(root, "host")
-    once = F.expr("pages = all AND high = 1")  # the root's vector
-    slots = token.where("text = 0 AND rank >= 0 AND size > 0")
+    rows = stored(page_tokens(pages), "pages-as-tokens")
+    stats = stored(token_statistics(rows), "page-tokens")
+    classes = stored(template_classes(rows, stats), "page-template")
+    root = stats.where("path = '' AND text = 0").select("host", F.col("pages").alias("all"), F.col("mass").alias("whole_mass"))
+    member = classes.select("host", "path", "text", F.lit(True).alias("member"))
+    token = stats.join(root, "host").join(member, ["host", "path", "text"], "left")
+
+    once = F.expr("high = 1 AND (pages = all OR member IS NOT NULL)")
+    half = F.expr("2 * size >= IF(high = 1 AND member, mass, whole_mass)")
     order = F.struct(
-        once.cast("int") * F.col("rank") + F.col("rank"),
-        (2 * F.col("size") >= F.col("mass")).cast("int"), F.when(2 * F.col("size") >= F.col("mass"), F.length("path")).otherwise(0), "size", "path",
-    )
-    article = slots.groupBy("host").agg(F.max_by("path", order).alias("article"))
-    fixed = (
-        token.where(f"text != 0 AND pages = all AND low = high AND all >= {LEAST_PAGES}")
-        .groupBy("host").agg(F.collect_set("text").alias("fixed"), F.sum("size").alias("_fixed"))
+        (once.cast("int") * F.col("rank") + F.col("rank")).alias("o_rank"), half.cast("int").alias("half"),
+        F.when(half, F.length("path")).otherwise(0).alias("o_depth"), F.col("size").alias("o_size"), F.col("path").alias("path"),
     )
+    slots = token.where("text = 0 AND rank >= 0 AND size > 0").withColumn("o", order)
+    best = slots.groupBy("host").agg(F.max("o").alias("o"))
+    layouts = slots.where("member AND high = 1 AND o.half = 1").groupBy("host", "vector").agg(F.max("o").alias("o")).select("host", "o")
+    articles = best.unionByName(layouts).groupBy("host").agg(F.sort_array(F.collect_set("o"), asc=False).alias("o")).select("host", F.expr("o.path").alias("articles"))
+
+    texts = token.where("text != 0")
+    whole = texts.where(f"pages = all AND low = high AND all >= {LEAST_PAGES}").groupBy("host").agg(F.collect_set("text").alias("whole"), F.sum("size").alias("_whole"))
+    partly = texts.where("member").groupBy("host", "vector").agg(F.collect_set("text").alias("part"), F.sum("size").alias("_part"), F.max("mass").alias("mass"))
+    partly = partly.where("2 * _part < mass").groupBy("host").agg(F.array_distinct(F.flatten(F.collect_list("part"))).alias("part"))
+    none = F.expr("CAST(array() AS array<long>)")
     return (
-        root.select("host", "mass").join(article, "host", "left").join(fixed, "host", "left")
-        # Where every text is on every page, the pages are copies, and nothing tells template from article.
-        .select("host", "article", F.when(2 * F.col("_fixed") < F.col("mass"), F.col("fixed")).alias("fixed"))
+        root.select("host", "whole_mass").join(articles, "host", "left").join(whole, "host", "left").join(partly, "host", "left")
+        .select("host", "articles", F.concat(F.when(2 * F.col("_whole") < F.col("whole_mass"), F.col("whole")).otherwise(none), F.coalesce("part", none)).alias("fixed"))
     )
 
 
-def extract(source: str, article: str | None, fixed: set[int]) -> str:
-    """The blocks of the article's slot, without what isn't the article. A page that lacks the slot falls back to its
+def extract(source: str, articles: Sequence[str] | None, fixed: set[int]) -> str:
+    """The blocks of the first of the article's slots that the page has, without what isn't the article. A page that lacks them falls back to its
     own element of the highest rank, then to everything that isn't marked as something else, and where all texts are
     marked, to the element that holds most of those marked by a class or id only."""
     elements, blocks = parse(source)
-    roots = {e.inside for e in elements if article and e.path == article}
+    paths = {e.path for e in elements}
+    article = next((a for a in articles or () if a in paths), None)
+    roots = {e.inside for e in elements if article is not None and e.path == article}
     if not roots or max((e.rank for e in elements), default=0) > max(elements[i].rank for i in roots):
         best = max((e.rank for e in elements), default=0)
         own = {e.inside for e in elements if best > 0 and e.rank == best}
@@ -381,7 +484,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     model = stored(templates(pages), "page-templates").withColumnRenamed("host", "of_host")
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/@?#]*@)?([^/?#:]*)", 1))
     rows = pages.select(*(F.col(f"`{f.name}`").alias(n) for f, n in zip(kept, names)), host.alias("of_host"))
-    rows = rows.join(model, "of_host", "left").select(*names, "article", "fixed")
+    rows = rows.join(model, "of_host", "left").select(*names, "articles", "fixed")
     place = [f.name.lower() for f in kept].index("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,10 +492,10 @@ def main_text(pages: DataFrame) -> DataFrame:
             for begin, stop in slices_of(batch.column(place), 1 << 22):
                 part = batch.slice(begin, stop - begin)
                 texts = [
-                    extract(source or "", article, set(fixed or ()))
-                    for source, article, fixed in zip(*(part.column(i).to_pylist() for i in (place, len(names), len(names) + 1)))
+                    extract(source or "", articles, set(fixed or ()))
+                    for source, articles, fixed in zip(*(part.column(i).to_pylist() for i in (place, len(names), len(names) + 1)))
                 ]
                 yield pa.record_batch([*part.columns[: len(names)], pa.array(texts, pa.string())], names=[*names, "text"])
 
-    made = rows.mapInArrow(run, rows.drop("article", "fixed").withColumn("text", F.lit("")).schema)
+    made = rows.mapInArrow(run, rows.drop("articles", "fixed").withColumn("text", F.lit("")).schema)
     return made.select(*(F.col(n).alias(f.name) for f, n in zip(kept, names)), "text")
