@@ -113,6 +113,28 @@ def test_token_files_round_trip(spark):
     assert len(got) == len(ODD) + len(rows) and tokens.token_files(odd(spark).limit(0), path).collect() == []
 
 
+def test_words_are_looked_up_once(monkeypatch):
+    import random
+
+    encoder = tokens.WordEncoder(tokens.public_tokenizer())
+    monkeypatch.setattr(tokens, "MEMO_WORDS", 300)  # forgotten now and then
+    rng, asked = random.Random(3), []
+    pieces = [*"ab. ,\n\t \r!1\u00e9'\u00df\u65e5A-_", "  ", " \n", "don't", "..."]
+    texts = ["".join(rng.choices(pieces, k=rng.randrange(30))) for _ in range(2000)]
+
+    class Counted(type(encoder.numbers)):
+        def __getitem__(self, part):
+            asked.append(part)
+            return super().__getitem__(part)
+
+    for begin in range(0, len(texts), 100):
+        some = texts[begin : begin + 100]
+        encoder.numbers, before = Counted(encoder.numbers.default_factory, encoder.numbers), len(asked)
+        got = [np.frombuffer(b, "<u2").tolist() for b in encoder.encode(some)]
+        assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+        assert len(asked) - before <= sum(len(t.replace("\n", " \n").split(" ")) - 1 for t in some)
+
+
 def test_code_lengths_are_limited_and_optimal():
     rng = np.random.default_rng(1)
     import heapq

@@ -21,9 +21,8 @@ from __future__ import annotations
 import functools
 import itertools
 import os
-import sys
 import zlib
-from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +47,9 @@ class WordEncoder:
     character follows, and between a letter and a full stop or comma. A text is cut at such places only, so the ids of
     its parts stand in a row; each distinct part is encoded once by the library. Texts with white space before a blank
     or line feed are encoded whole.
+
+    A part's number is its place in ``numbers``, which counts up by itself, so a part is looked up once; the ids of all
+    parts lie behind each other in one array, and those of a batch are gathered by number.
     """
 
     def __init__(self, path: str):
@@ -56,65 +58,107 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.letter = "I" if self.wide else "H"
-        self.memo: dict[str, bytes] = {}
-        self.uncut: set[str] = set()  # parts that white space ends
+        self.kind = np.dtype("<u4" if self.wide else "<u2")
+        self.forget()
         self.marks = dict(zip(".,", self.looked_up([".", ","])))
-
-    def looked_up(self, parts: list[str]) -> list[bytes]:
+        feed = self.looked_up(["\n"])[0]
+        self.feed = int(feed[0]) if len(feed) == 1 else -1
+
+    def forget(self) -> None:
+        """Drops all parts, which bounds memory."""
+        self.numbers: defaultdict[str, int] = defaultdict(itertools.count().__next__)
+        self.ids = np.zeros(1 << 16, self.kind)
+        self.ends = np.zeros(1 << 16, np.int64)  # where the ids of each part end
+        self.known = 0  # parts whose ids are there
+        self.uncut: set[int] = set()  # parts that white space ends
+
+    def looked_up(self, parts: list[str]) -> list[np.ndarray]:
         out = []
         for begin in range(0, len(parts), 20_000):
-            for got in self.tokenizer.encode_batch_fast(parts[begin : begin + 20_000], add_special_tokens=False):
-                ids = array(self.letter, got.ids)
-                if sys.byteorder == "big":
-                    ids.byteswap()
-                out.append(ids.tobytes())
-        return out
-
-    def looked_up_words(self, words: list[str], at_once: int = 1000) -> list[bytes]:
-        """Words of letters only, a blank before each: many to a call, as each is one pre-token."""
-        out = []
-        for begin in range(0, len(words), at_once):
-            some = words[begin : begin + at_once]
-            got = self.tokenizer.encode_batch([" " + " ".join(some)], add_special_tokens=False)[0]
-            owner = np.array(got.word_ids)
-            ends = np.flatnonzero(np.diff(owner, append=owner[-1] + 1)) + 1
-            if len(ends) != len(some):  # a letter that the library takes for something else
-                out += self.looked_up([" " + w for w in some])
-                continue
-            size = 4 if self.wide else 2
-            blob = np.array(got.ids, "<u4" if self.wide else "<u2").tobytes()
-            ends = (ends * size).tolist()
-            out += [blob[a:b] for a, b in zip([0, *ends], ends)]
+            out += [np.array(got.ids, self.kind) for got in self.tokenizer.encode_batch_fast(parts[begin : begin + 20_000], add_special_tokens=False)]
         return out
 
-    def learn(self, parts: set[str]) -> None:
-        """Remembers parts. One that doesn't begin with a line feed stands for a blank and itself."""
-        memo, marks = self.memo, self.marks
-        marked = [p for p in parts if p[-1:] in marks and p[-2:-1].isalpha()]
-        stems = (parts.difference(marked) | {p[:-1] for p in marked}).difference(memo)
-        plain = [p for p in stems if p.isalpha()]
-        other = list(stems.difference(plain))
-        memo.update(zip(plain, self.looked_up_words(plain)))
-        memo.update(zip(other, self.looked_up([p if p[:1] == "\n" else " " + p for p in other])))
-        for p in marked:
-            memo[p] = memo[p[:-1]] + marks[p[-1]]
+    def looked_up_words(self, words: list[str], at_once: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words without white space, a blank before each, and their numbers: many to a call, with line feeds, which are cut off, between."""
+        ids, sizes = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)]
+        groups = [words[begin : begin + at_once] for begin in range(0, len(words), at_once)]
+        joined = ["".join(f" {w}\n" for w in some) for some in groups]
+        for some, got in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            found = np.array(got.ids, self.kind)
+            ends = np.flatnonzero(found == self.feed)
+            if self.feed >= 0 and len(ends) == len(some):
+                ids.append(np.delete(found, ends))
+                sizes.append(np.diff(ends, prepend=-1) - 1)
+            else:  # something that the library doesn't cut off
+                each = self.looked_up([" " + w for w in some])
+                ids += each
+                sizes.append(np.array([len(x) for x in each], np.int64))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def learn(self) -> None:
+        """Finds the ids of the parts that have a number only. One that doesn't begin with a line feed stands for a blank and itself."""
+        fresh = list(itertools.islice(reversed(self.numbers), len(self.numbers) - self.known))[::-1]
+        if not fresh:
+            return
+        self.uncut.update(self.known + i for i, p in enumerate(fresh) if p == "" or p[-1].isspace())
+        mark = [self.marks[p[-1]] if p[-1:] in self.marks and p[-2:-1].isalpha() else None for p in fresh]
+        stems = [p if m is None else p[:-1] for p, m in zip(fresh, mark)]
+        plain = np.fromiter((p.isalpha() or len(p.split()) == 1 and p == p.strip() for p in stems), bool, len(stems))
+        at = np.flatnonzero(~plain)
+        other = self.looked_up([stems[i] if stems[i][:1] == "\n" else " " + stems[i] for i in at.tolist()])
+        words, counts = self.looked_up_words([stems[i] for i in np.flatnonzero(plain).tolist()])
+        ids = np.concatenate([words, *other, *(self.marks[m] for m in ".,")])
+        # Where each stem's ids lie in ``ids``, and how many they are.
+        size = np.zeros(len(stems), np.int64)
+        size[plain], size[at] = counts, [len(x) for x in other]
+        begin = np.zeros(len(stems), np.int64)
+        begin[plain] = np.cumsum(counts) - counts
+        begin[at] = len(words) + np.cumsum(size[at]) - size[at]
+        marks_at = len(ids) - sum(len(self.marks[m]) for m in ".,")
+        where = {".": marks_at, ",": marks_at + len(self.marks["."])}
+        ending = np.array([where[p[-1]] if m is not None else 0 for p, m in zip(fresh, mark)], np.int64)
+        more = np.array([0 if m is None else len(m) for m in mark], np.int64)
+        made = ids[runs(np.stack([begin, ending], 1).reshape(-1), np.stack([size, more], 1).reshape(-1))]
+        before = int(self.ends[self.known - 1]) if self.known else 0
+        self.ids = grown(self.ids, before, made)
+        self.ends = grown(self.ends, self.known, before + np.cumsum(size + more))
+        self.known = len(self.numbers)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {}
-        memo = self.memo
+        if self.known > MEMO_WORDS:
+            self.forget()
         cut = [t.replace("\n", " \n").split(" ") for t in texts]
         heads = [parts.pop(0) for parts in cut]
-        fresh = set(itertools.filterfalse(memo.__contains__, itertools.chain.from_iterable(cut)))
-        self.uncut.update(p for p in fresh if p == "" or p[-1].isspace())
-        whole = [i for i, (a, parts) in enumerate(zip(heads, cut)) if a[-1:].isspace() or self.uncut and not self.uncut.isdisjoint(parts)]
-        for i in whole:
-            heads[i], cut[i] = texts[i], []
-        self.learn(fresh)
-        get = memo.__getitem__
-        return [a + b"".join(map(get, parts)) if parts else a for a, parts in zip(self.looked_up(heads), cut)]
+        sizes = np.array([len(parts) for parts in cut], np.int64)
+        number = np.fromiter(map(self.numbers.__getitem__, itertools.chain.from_iterable(cut)), np.int64, int(sizes.sum()))
+        self.learn()
+        owner = np.repeat(np.arange(len(cut)), sizes)
+        whole = np.array([a[-1:].isspace() for a in heads], bool)
+        if self.uncut:
+            whole[owner[np.isin(number, list(self.uncut))]] = True
+        if whole.any():
+            number, owner = number[~whole[owner]], owner[~whole[owner]]
+            heads = [t if w else a for t, a, w in zip(texts, heads, whole.tolist())]
+        begin = np.where(number > 0, self.ends[number - 1], 0)
+        count = self.ends[number] - begin
+        blob = self.ids[runs(begin, count)].tobytes()
+        ends = (np.cumsum(np.bincount(owner, count, len(cut))).astype(np.int64) * self.kind.itemsize).tolist()
+        return [a.tobytes() + blob[x:y] for a, x, y in zip(self.looked_up(heads), [0, *ends], ends)]
+
+
+def runs(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers begin, begin + 1, ... of every run, ``count`` of them, one run after the other."""
+    ends = np.cumsum(count)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - ends + count, count)
+
+
+def grown(held: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``held`` with ``more`` behind its first ``used`` values; doubled when full."""
+    if used + len(more) > len(held):
+        held = np.concatenate([held[:used], np.zeros(max(len(held), len(more)), held.dtype)])
+    held[used : used + len(more)] = more
+    return held
 
 
 @functools.lru_cache(maxsize=1)
