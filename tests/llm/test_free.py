@@ -483,6 +483,16 @@ def test_near_duplicates_equal_brute_force(spark, words):
     assert sorted(kept, key=repr) == sorted({r[0] for r in got if r[3]}, key=repr)
 
 
+def test_a_large_group_of_near_copies_compares_few_signatures(spark, monkeypatch):
+    words = [f"w{i}" for i in range(150)]
+    rows = [(i, " ".join([*words[: i % 150], f"own{i}", *words[i % 150 + 1 :]])) for i in range(400)]
+    compared, alike = [], neardup.alike
+    monkeypatch.setattr(neardup, "alike", lambda pairs, *rest: (compared.append(pairs.count()), alike(pairs, *rest))[1])
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert len(got) == 400 and {r.component_id for r in got} == {0}
+    assert 0 < compared[0] <= 4 * len(rows)
+
+
 def test_components_follow_long_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.node: r.label for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -9,8 +9,8 @@ exceeds the guarantee in every chunk with a probability below 3e-6, falling stee
 Work on Spark:
 
 1. Equal sets are one node from the start (their fingerprint), so copies never meet as pairs.
-2. Each bucket proposes its smallest and its largest node to the others. Of these candidates, filtered by size and
-   signature, each node verifies the most similar on full sets; verified links make components by distributed
+2. Each bucket proposes its smallest and its largest node to the others. Of the candidates that it shares most keys
+   with, a few whatever the size of its buckets, filtered by size and signature, each node verifies the most similar on full sets; verified links make components by distributed
    min-label contraction. Buckets that still hold several components propose another hub in one more round.
 3. Buckets that then hold nodes of several components list all their pairs across components, which are filtered by
    size and signature extracts and all verified, in cells of bounded size so that sets aren't sent once per pair.
@@ -129,6 +129,8 @@ LEAST_SAME = 44
 MOST_BITS_OF_ONE = 20
 #: Candidates that a node verifies in a round of stars, and the rounds after the first, each with other hubs.
 VERIFY = 3
+#: Hubs whose signatures a node is compared with in a round of stars, those it shares most keys with.
+COMPARED = 4
 #: Bytes of sets that make a block, where full sets are compared.
 BLOCK_BYTES = 1 << 24
 #: Wanted documents (two numbers each) that are sent to the texts instead of shuffling these.
@@ -303,10 +305,12 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     found = stored(found.where("met").select("key", "hub", "other", "rows"), "buckets")
     meet = members.select("key", "node").join(found.where("rows > 2").select("key", "hub", "other"), "key")
     meet = meet.select(F.col("node").alias("a"), F.explode(F.array("hub", "other")).alias("b")).where("a != b")
-    pairs = found.where("rows = 2").select(F.col("other").alias("a"), F.col("hub").alias("b")).unionByName(meet).distinct()
+    pairs = found.where("rows = 2").select(F.col("other").alias("a"), F.col("hub").alias("b")).unionByName(meet)
 
     def star_links(pairs: DataFrame) -> DataFrame:
-        near = stored(alike(pairs, sets, percent), "near-pairs")
+        most = Window.partitionBy("a").orderBy(F.col("keys").desc(), "b")
+        listed = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("keys")).withColumn("_rank", F.row_number().over(most))
+        near = stored(alike(listed.where(F.col("_rank") <= COMPARED).select("a", "b"), sets, percent), "near-pairs")
         order = Window.partitionBy("a").orderBy(F.col("same").desc(), "b")  # at most a hub or two per key
         best = near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= VERIFY)
         best = stored(best.select("a", "b"), "star-pairs")
@@ -331,7 +335,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     for seed in MORE_ROUNDS:
         chosen = F.xxhash64(F.lit(seed), F.col("node"))
         hubs = stored(members.groupBy("key").agg(F.min_by("node", chosen).alias("b"), F.min_by("label", chosen).alias("label_b")), "hubs")
-        again = members.join(hubs, "key").where("label != label_b").select(F.col("node").alias("a"), "b").distinct()
+        again = members.join(hubs, "key").where("label != label_b").select(F.col("node").alias("a"), "b")
         links = links.unionByName(star_links(again))
         before, members = members, mixed_rows(with_labels(members.drop("label"), labelled(links)))
         discard(before, hubs)
