@@ -264,6 +264,39 @@ def langid_held_out(spark, i):
     return spark.range(i, i + 1).select(langid.held_out(F.col("id"))).first()[0]
 
 
+def test_many_texts_are_searched_at_once():
+    rng = random.Random(8)
+    word = lambda: f"w{'abcdefgh'[min(7, int(rng.expovariate(0.5)))]}" + rng.choice(["", "", "x", "yz", rng.choice("klmnopq") + "rstuvw"])
+    texts = [" ".join(word() for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    names = sorted(set().union(*map(toxicity.document_terms, texts[:300])))
+    reader = toxicity.Reader(dict(zip(names, range(len(names)))))
+    sizes, t, n = reader.rows(texts)
+    begins = np.cumsum(sizes) - sizes
+    rows = [dict(zip(t[b : b + s].tolist(), n[b : b + s].tolist())) for b, s in zip(begins, sizes)]
+    for text, row in zip(texts, rows):
+        plain = {}
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            for term in toxicity.terms_of(w):
+                if term in reader.terms:
+                    plain[reader.terms[term]] = plain.get(reader.terms[term], 0) + 1
+        assert plain == row
+    model = toxicity.build([(i, i % 2, rows[i]) for i in range(300)], names, {0: 150, 1: 150})
+    dense = np.zeros((400, len(names)))
+    for k, row in enumerate(rows):
+        if row:
+            at, w = model.vector(row)
+            dense[k, at] = w
+    search = toxicity.Search(model)
+    assert 0 < search.whole.shape[1] < len(names)  # both common and rare terms
+    w = model.weighed(sizes, t, n)
+    without = np.array([*range(300), *[-1] * 100])
+    for k, (found, score) in enumerate(search.nearest(sizes, t, w, 7, without)):
+        cosine = dense[:300] @ dense[k]
+        cosine[without[k] if k < 300 else []] = 0
+        best = [i for i in sorted(range(300), key=lambda i: (-round(cosine[i], 12), i)) if cosine[i] > 0][:7]
+        assert found.tolist() == best and np.allclose(score, cosine[best])
+
+
 def test_nearest_examples_are_exact():
     rng = random.Random(6)
     vectors = [(i, i % 2, {rng.randrange(30): rng.randint(1, 4) for _ in range(rng.randint(0, 6))}) for i in range(500)]

@@ -12,8 +12,9 @@ by isotonic regression on leave-one-out votes of the examples. Neighbours are re
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -25,11 +26,19 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tillweave.llm.common import slices_of, stored
 from tillweave.llm.langid import held_out
+from tillweave.llm.tokens import grown
 
 #: Bound of the labelled sample.
 PER_LABEL = 1500
 NEIGHBOURS = 25
 BLOCK = 64
+#: Terms that one example in so many holds are columns of the blocks' matrices.
+COMMON = 16
+#: Blocks that every text reads, those of its highest bounds; of the others it reads those that its bounds don't rule out.
+FIRST_BLOCKS = 8
+#: Texts that are searched at a time, and postings of rare terms that they meet.
+AT_ONCE = 128
+MOST_POSTINGS = 1 << 20
 THRESHOLD = 0.3
 PREFIXES = range(4, 11)
 #: Words whose terms a worker remembers before it starts anew.
@@ -74,41 +83,16 @@ class Model(NamedTuple):
         """Terms and weights, of length 1."""
         t, n = np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), float, len(counts))
         order = np.argsort(t)
-        w = (1 + np.log(n[order])) * self.weights[t[order]]
-        return t[order], w / max(float(np.sqrt((w * w).sum())), 1e-12)
+        return t[order], self.weighed(np.array([len(t)]), t[order], n[order])
+
+    def weighed(self, sizes: np.ndarray, t: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Weights of the terms of several texts, each text's of length 1."""
+        w, of = (1 + np.log(n)) * self.weights[t], np.repeat(np.arange(len(sizes)), sizes)
+        return w / np.maximum(np.sqrt(np.bincount(of, w * w, len(sizes))), 1e-12)[of]
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest positive cosine, ties to the earlier one, and the cosines."""
-        n = self.pointer[t + 1] - self.pointer[t]
-        at, w = ranges(self.pointer[t], n), np.repeat(w, n)
-        block = self.block[at]
-        bound = np.bincount(block, self.most[at] * w, -(-len(self.ids) // BLOCK))
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        found, score = np.zeros(0, np.int64), np.zeros(0)
-        done, step = 0, 8
-        while done < len(order):
-            if len(score) >= k and bound[order[done]] < score[k - 1] - 1e-12:
-                break
-            read = np.zeros(len(bound), bool)
-            read[order[done : done + step]] = True
-            done, step = done + step, 2 * step
-            these = read[block]
-            entry = at[these]
-            n = self.start[entry + 1] - self.start[entry]
-            posting = ranges(self.start[entry], n)
-            total = np.bincount(self.owner[posting], self.value[posting] * np.repeat(w[these], n), len(self.ids))
-            if without >= 0:
-                total[without] = 0
-            new = np.flatnonzero(total)
-            found, score = np.concatenate([found, new]), np.concatenate([score, total[new]])
-            rounded = np.round(score, 12)
-            if len(score) > k:
-                keep = rounded >= np.partition(rounded, len(score) - k)[len(score) - k]
-                found, score, rounded = found[keep], score[keep], rounded[keep]
-            best = np.lexsort((found, -rounded))[:k]
-            found, score = found[best], score[best]
-        return found, score
+        return Search(self).nearest(np.array([len(t)]), t, w, k, np.array([without]))[0]
 
     def vote(self, found: np.ndarray, score: np.ndarray) -> float:
         w = score**2 * self.weight[found]
@@ -118,6 +102,87 @@ class Model(NamedTuple):
         return float(np.interp(vote, self.steps, self.level)) if len(self.steps) else self.base
 
 
+class Search:
+    """Nearest examples of several texts at a time.
+
+    Postings of terms that few examples hold are summed first. Those of all others lie in a matrix for each block, so
+    that a block is read for all texts that need it by one product. A block's bound is the product of the index's
+    largest weights, and the best of the sums: never below a cosine.
+    """
+
+    def __init__(self, model: Model):
+        self.model, self.blocks = model, max(1, -(-len(model.ids) // BLOCK))
+        self.first = model.start[model.pointer[:-1]]
+        self.held = model.start[model.pointer[1:]] - self.first
+        common = np.flatnonzero(self.held * COMMON >= max(COMMON, len(model.ids)))
+        self.column = np.full(len(self.held), -1, np.int64)
+        self.column[common] = np.arange(len(common))
+        whole = np.zeros((self.blocks, len(common), BLOCK))
+        at, column = ranges(self.first[common], self.held[common]), np.repeat(np.arange(len(common)), self.held[common])
+        whole[model.owner[at] // BLOCK, column, model.owner[at] % BLOCK] = model.value[at]
+        n = model.pointer[common + 1] - model.pointer[common]
+        at = ranges(model.pointer[common], n)
+        self.whole, self.most = whole, np.zeros((len(common), self.blocks))
+        self.most[np.repeat(np.arange(len(common)), n), model.block[at]] = model.most[at]
+
+    def nearest(self, sizes: np.ndarray, t: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text, of ``sizes`` terms ``t`` with weights ``w``, the k examples of highest positive cosine, ties
+        to the earlier one, and the cosines; ``without`` names an example, or -1, that a text doesn't count."""
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        ends, begin = np.cumsum(sizes), 0
+        few = np.cumsum(np.concatenate([[0], np.where(self.column[t] < 0, self.held[t], 0)]))
+        while begin < len(sizes):
+            low = ends[begin] - sizes[begin]
+            stop = begin + int(np.searchsorted(few[ends[begin : begin + AT_ONCE]], few[low] + MOST_POSTINGS, "right"))
+            stop = max(begin + 1, stop)
+            these = slice(low, ends[stop - 1])
+            out += self.nearest_of(sizes[begin:stop], t[these], w[these], k, None if without is None else without[begin:stop])
+            begin = stop
+        return out
+
+    def nearest_of(self, sizes: np.ndarray, t: np.ndarray, w: np.ndarray, k: int, without: np.ndarray | None) -> list[tuple[np.ndarray, np.ndarray]]:
+        m, rows, width, of = self.model, len(sizes), self.blocks * BLOCK, np.repeat(np.arange(len(sizes)), sizes)
+        column = self.column[t]
+        common = column >= 0
+        x = np.zeros((rows, self.whole.shape[1]))
+        x[of[common], column[common]] = w[common]
+        n = self.held[t[~common]]
+        at = ranges(self.first[t[~common]], n)
+        score = np.bincount(np.repeat(of[~common] * width, n) + m.owner[at], m.value[at] * np.repeat(w[~common], n), rows * width).astype(float).reshape(rows, width)
+        bound = x @ self.most + score.reshape(rows, self.blocks, BLOCK).max(2)
+
+        def known() -> np.ndarray:
+            cosines = np.where(np.repeat(read, BLOCK, 1), score, 0)
+            if without is not None:
+                cosines[without >= 0, without[without >= 0]] = 0
+            return cosines
+
+        def kth(cosines: np.ndarray) -> np.ndarray:
+            return np.partition(cosines, width - k, 1)[:, width - k, None] if k <= width else np.zeros((rows, 1))
+
+        read = np.zeros(bound.shape, bool)
+        best = np.argpartition(-bound, min(FIRST_BLOCKS, self.blocks) - 1, 1)[:, :FIRST_BLOCKS]
+        np.put_along_axis(read, best, True, 1)
+        read &= bound > 0
+        need = read
+        for last in (False, True):
+            for block in np.flatnonzero(need.any(0)).tolist():
+                mine = np.flatnonzero(need[:, block])
+                score[mine, block * BLOCK : (block + 1) * BLOCK] += x[mine] @ self.whole[block]
+            if not last:
+                need = ~read & (bound > 0) & (bound >= kth(known()) - 1e-12)
+                read = read | need
+        cosines = known()
+        rounded = np.round(cosines, 12)
+        near = (cosines > 0) & (rounded >= kth(rounded))
+        out = []
+        for i in range(rows):
+            found = np.flatnonzero(near[i])
+            found = found[np.lexsort((found, -rounded[i, found]))[:k]]
+            out.append((found, cosines[i, found]))
+        return out
+
+
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Votes and non-decreasing means by pooling adjacent violators."""
     groups: list[list[float]] = []
@@ -176,22 +241,51 @@ def telling(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
 
 
 class Reader:
-    """Counts of a model's terms in texts, word by word from memory."""
+    """Counts of a model's terms in texts; a word's terms are looked up once."""
 
     def __init__(self, terms: dict[str, int]):
-        self.terms, self.memo = terms, {}
-
-    def counts(self, text: str) -> dict[int, int]:
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {}
-        memo, out = self.memo, {}
-        for word, n in Counter(_WORD.findall(text.lower())).items():
-            got = memo.get(word)
-            if got is None:
-                got = memo[word] = tuple(self.terms[t] for t in terms_of(word) if t in self.terms)
-            for t in got:
-                out[t] = out.get(t, 0) + n
-        return out
+        self.terms = terms
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops all words, which bounds memory."""
+        self.numbers: defaultdict[str, int] = defaultdict(itertools.count().__next__)
+        self.found = np.zeros(1 << 16, np.int64)  # the terms of all words, one word after the other
+        self.ends = np.zeros(1 << 16, np.int64)
+        self.known = 0
+
+    def learn(self) -> None:
+        """Finds the terms of the words that have a number only."""
+        fresh = list(itertools.islice(reversed(self.numbers), len(self.numbers) - self.known))[::-1]
+        if not fresh:
+            return
+        got = [[self.terms[t] for t in terms_of(word) if t in self.terms] for word in fresh]
+        before = int(self.ends[self.known - 1]) if self.known else 0
+        self.found = grown(self.found, before, np.fromiter(itertools.chain.from_iterable(got), np.int64))
+        self.ends = grown(self.ends, self.known, before + np.cumsum(np.fromiter(map(len, got), np.int64, len(got))))
+        self.known = len(self.numbers)
+
+    def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many terms each text has, these, ascending, and how often each occurs."""
+        if self.known > MEMO_WORDS:
+            self.forget()
+        words = [_WORD.findall(text.lower()) for text in texts]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        number = np.fromiter(map(self.numbers.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(sizes.sum()))
+        self.learn()
+        held = np.repeat(np.arange(len(words)), sizes) * max(1, self.known) + number
+        held.sort()
+        first = np.flatnonzero(np.diff(held, prepend=-1))
+        owner, number, times = *np.divmod(held[first], max(1, self.known)), np.diff(first, append=len(held))
+        begin = np.where(number > 0, self.ends[number - 1], 0)
+        n, width = self.ends[number] - begin, max(1, len(self.terms))
+        held = np.repeat(owner, n) * width + self.found[ranges(begin, n)]
+        order = np.argsort(held)
+        held = held[order]
+        first = np.flatnonzero(np.diff(held, prepend=-1))
+        owner, t = np.divmod(held[first], width)
+        times = np.add.reduceat(np.repeat(times, n)[order], first) if len(first) else first
+        return np.bincount(owner, minlength=len(words)), t, times
 
 
 def build(vectors: list[tuple[int, int, dict[int, int]]], terms: list[str], totals: dict[int, int]) -> Model:
@@ -224,11 +318,9 @@ def indexed(ids: np.ndarray, toxic: np.ndarray, sizes: np.ndarray, t: np.ndarray
         np.append(start, len(t)), own.astype(np.int32), w, np.zeros(0), np.zeros(0), base,
     )
     some = np.flatnonzero(~empty)
-    by_example, ends = np.argsort(own, kind="stable"), np.cumsum(sizes)
-    votes = np.zeros(len(some))
-    for k, i in enumerate(some.tolist()):
-        at = by_example[ends[i] - sizes[i] : ends[i]]
-        votes[k] = model.vote(*model.nearest(t[at], w[at], without=i))
+    by_example = np.argsort(own, kind="stable")
+    found = Search(model).nearest(sizes[some], t[by_example], w[by_example], without=some)
+    votes = np.array([model.vote(*f) for f in found])
     steps, level = isotonic(votes, toxic[some], weight[some]) if len(some) else (np.zeros(0), np.zeros(0))
     return model._replace(steps=steps, level=level)
 
@@ -244,11 +336,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(shared.value)
         for batch in batches:
-            counts = [reader.counts(t) for t in batch.column(1).to_pylist()]
-            yield pa.record_batch(
-                [batch.column(0), batch.column(2), pa.array([list(c) for c in counts], pa.list_(pa.int32())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32()))],
-                names=["doc_id", "toxic", "t", "n"],
-            )
+            for begin, stop in slices_of(batch.column(1)):
+                part = batch.slice(begin, stop - begin)
+                sizes, t, n = reader.rows(part.column(1).to_pylist())
+                ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (t, n)]
+                yield pa.record_batch([part.column(0), part.column(2), *lists], names=["doc_id", "toxic", "t", "n"])
 
     rows = examples.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic").mapInArrow(run, "doc_id long, toxic int, t array<int>, n array<int>").toArrow()
     order = [i for _, _, i in sorted(((v * 2654435761) % 2**32, v, i) for i, v in enumerate(rows.column(0).to_pylist()))]
@@ -271,26 +364,20 @@ def score_documents(docs: DataFrame, model: Model, k: int = NEIGHBOURS, threshol
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        reader, memo = Reader(model.terms), {}
+        reader, search, memo = Reader(model.terms), Search(model), {}
         for batch in batches:
             for begin, stop in slices_of(batch.column(1)):
                 part = batch.slice(begin, stop - begin)
-                out = []
-                for text in part.column(1).to_pylist():
-                    key = xxhash.xxh3_128_digest((text or "").encode())
-                    got = memo.get(key)
-                    if got is None:
-                        counts = reader.counts(text or "")
-                        if not counts:
-                            got = (model.base, [])
-                        else:
-                            found, cosine = model.nearest(*model.vector(counts), k)
-                            near = [{"doc_id": int(model.ids[f]), "similarity": float(c), "toxic": int(model.toxic[f])} for f, c in zip(found[:shown], cosine)]
-                            got = (model.calibrated(model.vote(found, cosine)), near)
-                        if len(memo) > 100_000:
-                            memo = {}
-                        memo[key] = got
-                    out.append(got)
+                texts = part.column(1).to_pylist()
+                keys = [xxhash.xxh3_128_digest((text or "").encode()) for text in texts]
+                if len(memo) > 100_000:
+                    memo = {}
+                fresh = {key: text or "" for key, text in zip(keys, texts) if key not in memo}
+                sizes, t, n = reader.rows(list(fresh.values()))
+                for key, size, (found, cosine) in zip(fresh, sizes.tolist(), search.nearest(sizes, t, model.weighed(sizes, t, n), k)):
+                    near = [{"doc_id": int(model.ids[f]), "similarity": float(c), "toxic": int(model.toxic[f])} for f, c in zip(found[:shown], cosine)]
+                    memo[key] = (model.calibrated(model.vote(found, cosine)), near) if size else (model.base, [])
+                out = [memo[key] for key in keys]
                 scores = [min(1.0, max(0.0, s)) for s, _ in out]
                 kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("similarity", pa.float64()), ("toxic", pa.int32())]))
                 yield pa.record_batch(
