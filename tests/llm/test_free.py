@@ -526,6 +526,17 @@ def test_a_large_group_of_near_copies_compares_few_signatures(spark, monkeypatch
     assert 0 < compared[0] <= 4 * len(rows)
 
 
+def test_texts_that_share_a_passage_are_not_all_compared(spark, monkeypatch):
+    passage = [f"w{i}" for i in range(85)]
+    rows = [(i, " ".join([*passage, *[f"own{i}x{k}" for k in range(15)]])) for i in range(150)]
+    rows += [(200 + i, " ".join([t, "more"])) for i, t in rows[:5]]
+    compared, verified = [], neardup.verified
+    monkeypatch.setattr(neardup, "verified", lambda pairs, *rest: (compared.append(pairs.count()), verified(pairs, *rest))[1])
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - 200 if i >= 200 else i for i, _ in rows}
+    assert sum(compared) <= 8 * len(rows)  # of 12,000 pairs
+
+
 def test_components_follow_long_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.node: r.label for r in neardup.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -11,9 +11,12 @@ Work on Spark:
 1. Equal sets are one node from the start (their fingerprint), so copies never meet as pairs.
 2. Each bucket proposes its smallest and its largest node to the others. Of the candidates that it shares most keys
    with, a few whatever the size of its buckets, filtered by size and signature, each node verifies the most similar on full sets; verified links make components by distributed
-   min-label contraction. Buckets that still hold several components propose another hub in one more round.
-3. Buckets that then hold nodes of several components list all their pairs across components, which are filtered by
-   size and signature extracts and all verified, in cells of bounded size so that sets aren't sent once per pair.
+   min-label contraction. Buckets that still hold several components propose the
+   node that shares most keys with others in one more round.
+3. Nodes of buckets that then hold several components meet across components by whole sets: a pair is listed where both
+   hold the first shingle that they share, in an order from rare to frequent, if as much is left of both sets as a link
+   needs (prefix and positional filter, exact). All are verified, in cells of bounded size so that sets aren't sent once
+   per pair. Texts that share a passage, but less than a link needs, have no such place but by chance.
    Pairs inside a component change nothing and are never listed, so no link between components is lost.
 
 Keys of one node alone end in a first count, which is all that is shuffled for them; the buckets are made of the rest.
@@ -119,15 +122,13 @@ def signatures(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-#: Four bits of each symbol, 16 symbols to a number: enough to tell how many symbols differ, but for one in 16.
-NIBBLES = [f"y{i}" for i in range(-(-SYMBOLS // 16))]
-SKETCH = "doc_id long, n long, node long, check long, signature binary, x1 long, " + ", ".join(f"{y} long" for y in NIBBLES)
+SKETCH = "doc_id long, n long, node long, check long, signature binary, x1 long"
 #: Equal symbols that a candidate must show (0.8 falls short with a probability of 2e-5).
 LEAST_SAME = 44
 #: Bits in which 64-bit extracts, a bit of a symbol each, may differ (each differing symbol flips its bit half of the
 #: time; 0.8 does so in 6 +- 2 and more than this with a probability below 1e-6; chance has 32 +- 4).
 MOST_BITS_OF_ONE = 20
-#: Candidates that a node verifies in a round of stars, and the rounds after the first, each with other hubs.
+#: Candidates that a node verifies in a round of stars.
 VERIFY = 3
 #: Hubs whose signatures a node is compared with in a round of stars, those it shares most keys with.
 COMPARED = 4
@@ -135,7 +136,8 @@ COMPARED = 4
 BLOCK_BYTES = 1 << 24
 #: Wanted documents (two numbers each) that are sent to the texts instead of shuffling these.
 SENT_ROWS = 1 << 21
-MORE_ROUNDS = (17,)
+#: Frequent shingles whose order is sent to the sets; all others come before them.
+ORDERED = 1 << 19
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
@@ -153,10 +155,6 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 columns = [part.column(0), pa.array(n, pa.int64()), pa.array(node.view(np.int64)), pa.array(check.view(np.int64)), pa.array([r.tobytes() for r in rows], pa.binary())]
                 packed = np.packbits((rows[:, :64] & 1).astype(bool), axis=1)
                 columns.append(pa.array(np.ascontiguousarray(packed).view(np.int64).reshape(-1)))
-                quarter = np.zeros((len(rows), 16 * len(NIBBLES)), np.uint8)
-                quarter[:, :SYMBOLS] = (rows >> 1) & 15
-                pairs = np.ascontiguousarray(quarter[:, ::2] << 4 | quarter[:, 1::2])
-                columns += [pa.array(np.ascontiguousarray(pairs[:, 8 * i : 8 * i + 8]).view(np.int64).reshape(-1)) for i in range(len(NIBBLES))]
                 yield pa.record_batch(columns, names=[c.split()[0] for c in SKETCH.split(", ")])
 
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SKETCH)
@@ -191,11 +189,10 @@ def alike(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long, same int")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of (a, b), those with ``100 |A and B| >= percent |A or B|`` on full sets, made again from whole texts."""
-    # Each side's nodes once; texts are only shuffled where the list of wanted ones is too long to be sent to them.
-    wanted = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()).distinct()
-    wanted = stored(wanted.join(sets.select("node", F.col("rep").alias("doc_id")), "node"), "wanted")
+def full_sets(nodes: DataFrame, sets: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(node, members): the whole set of each node listed, made again from whole texts."""
+    # Texts are only shuffled where the list of wanted ones is too long to be sent to them.
+    wanted = stored(nodes.distinct().join(sets.select("node", F.col("rep").alias("doc_id")), "node"), "wanted")
     listed = F.broadcast(wanted) if wanted.count() <= SENT_ROWS else wanted
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +207,72 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, per
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(listed, "doc_id").select("node", "text")
     full = stored(texts.mapInArrow(make, "node long, members binary").dropDuplicates(["node"]), "shingle-sets")
+    discard(wanted)
+    return full
 
+
+def meetings(full: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different labels, among them all that ``percent`` links: where both hold the first shingle that they
+    share, as many are left in both sets as a link needs.
+
+    Shingles are in one order, the frequent ones last. A set's shingles up to the last one that can come first in a link
+    are its rows. Of a shingle's rows, those of its most frequent label meet only the others.
+    """
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, stop in slices_of(batch.column(1), 1 << 22):
+                data = bytes_of(batch.column(1).slice(begin, stop - begin))[0]
+                yield pa.record_batch([pa.array(np.frombuffer(data, np.int64))], names=["shingle"])
+
+    counts = full.select("node", "members").mapInArrow(opened, "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("sets"))
+    counts = stored(counts.where("sets > 1"), "shingle-counts")
+    least, total = 1, 0
+    for row in sorted(counts.groupBy("sets").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):
+        total += row.n
+        if total > ORDERED:
+            least = row.sets
+            break
+    listed = counts.where(F.col("sets") > least).toArrow()
+    frequent, often = listed.column(0).to_numpy(), listed.column(1).to_numpy()
+    order = np.argsort(frequent)
+    shared = full.sparkSession.sparkContext.broadcast((frequent[order], often[order]))
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, often = shared.value
+        for batch in batches:
+            for begin, stop in slices_of(batch.column(1), 1 << 22):
+                data, offsets = bytes_of(batch.column(1).slice(begin, stop - begin))
+                shingle, sizes = np.frombuffer(data, np.int64), np.diff(offsets) // 8
+                place = np.searchsorted(frequent, shingle)
+                there = place < len(frequent)
+                there[there] = frequent[place[there]] == shingle[there]
+                count = np.zeros(len(shingle), np.int64)
+                count[there] = often[place[there]]
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                shingle = shingle[np.lexsort((shingle, count, owner))]
+                at, n = np.arange(len(shingle)) - (offsets[:-1] // 8)[owner], sizes[owner]
+                kept = 100 * (n - at) >= percent * n
+                nodes = np.asarray(batch.column(0), np.int64)[begin:stop]
+                yield pa.record_batch([pa.array(x[kept]) for x in (shingle, nodes[owner], n, n - at)], names=["shingle", "node", "n", "left"])
+
+    rows = full.select("node", "members").mapInArrow(firsts, "shingle long, node long, n long, left long")
+    rows = stored(rows.join(counts.select("shingle"), "shingle").join(labels, "node"), "first-shingles")
+    mains = rows.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("rows")).groupBy("shingle").agg(
+        F.max_by("label", F.struct("rows", "label")).alias("main"), F.count(F.lit(1)).alias("labels")
+    )
+    before, rows = rows, stored(rows.join(mains.where("labels > 1").select("shingle", "main"), "shingle"), "shingles-across")
+    right = rows.select("shingle", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "left", "label")])
+    met = rows.where("label != main").join(right, "shingle").where(
+        f"label_b != label AND (label_b = main OR label < label_b) AND {100 + percent} * least(`left`, left_b) >= {percent} * (n + n_b)"
+    )
+    met = stored(met.select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct(), "across-pairs")
+    discard(counts, before, rows)
+    return met
+
+
+def verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Of (a, b), those with ``100 |A and B| >= percent |A or B|`` on the full sets of both."""
     # Pairs are dealt into cells (block of a, block of b), and a set travels once to each cell that needs it, so a cell
     # holds two blocks of sets at most.
     blocks = max(1, -(-(full.agg(F.sum(F.length("members"))).first()[0] or 0) // BLOCK_BYTES))
@@ -226,7 +288,6 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, per
         return left.select(["a", "b"]).filter(pa.array(good))
 
     links = stored(placed.groupBy("block_a", "block_b").cogroup(needed.groupBy("of_a", "of_b")).applyInArrow(compare, "a long, b long"), "links")
-    discard(wanted, full)
     return links
 
 
@@ -292,7 +353,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     """
     base = stored(sketches(docs, words), "sketches")
     sets = base.where("n > 0").groupBy("node", "check", "n").agg(
-        F.min("doc_id").alias("rep"), F.max("x1").alias("x1"), F.max("signature").alias("signature"), *[F.max(y).alias(y) for y in NIBBLES]
+        F.min("doc_id").alias("rep"), F.max("x1").alias("x1"), F.max("signature").alias("signature")
     )
     sets = stored(sets.where("rep IS NOT NULL"), "sets")
     # Most keys belong to one node alone. A first pass sends keys and counts only; all later ones see the shared keys.
@@ -314,8 +375,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         order = Window.partitionBy("a").orderBy(F.col("same").desc(), "b")  # at most a hub or two per key
         best = near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= VERIFY)
         best = stored(best.select("a", "b"), "star-pairs")
-        links = verified(best, sets, docs, words, percent)
-        discard(near, best)
+        full = full_sets(best.select(F.col("a").alias("node")).distinct().union(best.select("b").distinct()), sets, docs, words)
+        links = verified(best, full, percent)
+        discard(near, best, full)
         return links
 
     def labelled(links: DataFrame) -> DataFrame:
@@ -332,26 +394,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     links = star_links(pairs)
     before, members = members, mixed_rows(with_labels(members, labelled(links)))
     discard(before, found)
-    for seed in MORE_ROUNDS:
-        chosen = F.xxhash64(F.lit(seed), F.col("node"))
-        hubs = stored(members.groupBy("key").agg(F.min_by("node", chosen).alias("b"), F.min_by("label", chosen).alias("label_b")), "hubs")
-        again = members.join(hubs, "key").where("label != label_b").select(F.col("node").alias("a"), "b")
-        links = links.unionByName(star_links(again))
-        before, members = members, mixed_rows(with_labels(members.drop("label"), labelled(links)))
-        discard(before, hubs)
-    members = stored(members.join(sets.select("node", "n", *NIBBLES), "node"), "rows-across")
-    right = members.select("key", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), *[F.col(y).alias(f"{y}_b") for y in NIBBLES])
-    mask = 0x1111111111111111
-    unequal = " + ".join(
-        f"bit_count(({d} | shiftrightunsigned({d}, 1) | shiftrightunsigned({d}, 2) | shiftrightunsigned({d}, 3)) & {mask}L)" for d in (f"({y} ^ {y}_b)" for y in NIBBLES)
-    )
-    across = (
-        members.select("key", F.col("node").alias("a"), "label", "n", *NIBBLES).join(right, "key")
-        .where(f"label < label_b AND 100 * least(n, n_b) >= {percent} * greatest(n, n_b) AND {unequal} <= {SYMBOLS - LEAST_SAME}").select("a", "b").distinct()
-    )
-    across = alike(stored(across, "across-pairs"), sets, percent).select("a", "b")
-    more = verified(stored(across, "alike-across"), sets, docs, words, percent)
-    discard(members)
+    # The next hub of a bucket is its node that shares most keys with other nodes: of many copies of one text, the one
+    # that most of them are near to.
+    rows = members.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    central = stored(members.join(rows, "key").groupBy("node").agg(F.sum("rows").alias("met")), "centres")
+    hubs = members.join(central, "node").groupBy("key").agg(*[F.max_by(c, F.struct("met", "node")).alias(f"{c}_b") for c in ("node", "label")])
+    hubs = stored(hubs, "hubs")
+    again = members.join(hubs, "key").where("label != label_b").select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+    links = links.unionByName(star_links(again))
+    before, members = members, mixed_rows(with_labels(members.drop("label"), labelled(links)))
+    discard(before, hubs, central)
+    full = full_sets(members.select("node"), sets, docs, words)
+    more = verified(meetings(full, members.select("node", "label").distinct(), percent), full, percent)
+    discard(members, full)
     final = components(links.unionByName(more))
 
     named = sets.select("node", "check", "rep").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
