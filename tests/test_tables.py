@@ -199,6 +199,30 @@ def test_extraction_and_chunking_shuffle_nothing(spark, tmp_path):
     assert "Exchange" not in plan and "Python" not in plan
 
 
+def test_chunks_are_counted_without_their_text(spark, tmp_path):
+    """The texts of all chunks, headers and totals were made where only their kinds are counted."""
+    from tillweave.operators.chunks import chunk_receipts, chunk_statistics
+    from tillweave.operators.receipts import extract_receipts
+
+    spark.createDataFrame([("f", TEXT.format(n=1))], "filename string, raw_text string").write.parquet(str(tmp_path / "raw"))
+    chunks = chunk_receipts(extract_receipts(spark.read.parquet(str(tmp_path / "raw"))))
+    counted = chunk_statistics(chunks)
+    plan = plan_of(counted)
+    assert "Payment: " not in plan and "sha2" not in plan and "subtotal" not in plan
+    assert {r.chunk_type: r.chunks for r in counted.collect()} == {"receipt_summary": 1, "item_detail": 1, "merchant_info": 1, "payment_method": 1}
+
+
+def test_chunks_are_written_by_generated_code(spark, tmp_path):
+    """The texts of items and groups were made inside array lambdas, which Spark interprets."""
+    from tillweave.operators.chunks import chunk_receipts
+    from tillweave.operators.receipts import extract_receipts
+
+    spark.createDataFrame([("f", "x")], "filename string, raw_text string").write.parquet(str(tmp_path / "raw"))
+    plan = plan_of(chunk_receipts(extract_receipts(spark.read.parquet(str(tmp_path / "raw")))))
+    made = next(line for line in plan.splitlines() if "Item: " in line)
+    assert "*(" in made and "lambda" not in made
+
+
 def test_question_parameters_shuffle_nothing(spark):
     from tillweave.operators.questions import parse_questions
 
