@@ -199,6 +199,14 @@ def test_extraction_and_chunking_shuffle_nothing(spark, tmp_path):
     assert "Exchange" not in plan and "Python" not in plan
 
 
+def test_outputs_of_a_load_extract_once(spark, sf_dir):
+    """Readable and damaged documents were extracted each for itself, and dates and totals twice in each."""
+    from tillweave.plans import catalog
+
+    plan = plan_of(catalog.QUERIES["s3_quarantine"](spark, sf_dir))
+    assert "collect_list" not in plan and "parse_errors" in plan
+
+
 def test_chunks_are_counted_without_their_text(spark, tmp_path):
     """The texts of all chunks, headers and totals were made where only their kinds are counted."""
     from tillweave.operators.chunks import chunk_receipts, chunk_statistics
