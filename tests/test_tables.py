@@ -58,6 +58,27 @@ def test_a_small_batch_keeps_all_cores(spark, tmp_path, monkeypatch):
     assert plan.index("LeftAnti") > plan.index("merchant_name") and again.count() == 0
 
 
+def test_stored_hashes_stay_where_they_are(spark, tmp_path, monkeypatch):
+    """Every batch shuffled and sorted the hashes of all documents stored so far; a batch too large to send its own still does."""
+    plans = []
+    known = lambda *a: plans.append(new := src.only_new(*a)) or new
+    monkeypatch.setattr(ingest, "only_new", known)
+    schema = "filename string, raw_text string, path string, content_sha256 string"
+    files = lambda *ns: spark.createDataFrame([(f"r{n}", TEXT.format(n=n), f"p{n}", str(n)) for n in ns], schema)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for sent, exchanges in ((ingest.HASHES_SENT, 1), (0, 2)):
+            monkeypatch.setattr(ingest, "HASHES_SENT", sent)
+            root = str(tmp_path / str(sent))
+            for batch, ns in (("a", (1, 2, 3)), ("b", (3, 4, 1)), ("c", (4, 5))):
+                ingest.store_batch(files(*ns), batch, root)
+            rows = spark.read.parquet(f"{root}/receipts").select("batch", "filename").collect()
+            assert sorted(map(tuple, rows)) == [("a", "r1"), ("a", "r2"), ("a", "r3"), ("b", "r4"), ("c", "r5")]
+            assert plan_of(plans[-1]).count("hashpartitioning(content_sha256") == exchanges
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_rendered_text_is_shuffled_by_order_alone(spark, sf_dir):
     """Narrow rows join first: the texts of lines were shuffled again by customer."""
     from tillweave.plans.render import rendered
