@@ -272,6 +272,22 @@ def test_matching_never_multiplies_blindly(spark, sf_dir):
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan and "SortMergeJoin" in plan
 
 
+def test_only_asked_keys_of_facts_are_shuffled(spark, sf_dir):
+    """Every fact was shuffled with all its columns once per kind of key, whether or not a question had that very day."""
+    from tillweave.operators import answers as qa
+    from tillweave.plans import catalog_answers as ca, tables
+
+    asked = ca.params(spark, sf_dir).filter("sum_basis = 'items'")
+    keys = qa.question_keys(asked).filter(~qa._is_named())
+    facts = tables.item_facts(spark, sf_dir)
+    kept = qa._of_others(facts, keys, qa._kinds(keys), "item_id", "item_price")
+    assert kept.count() < facts.count() / 50
+    plan = ca.item_matches(asked, spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    semi = next(line for line in plan.splitlines() if "Join LeftSemi" in line)
+    assert "_key" in semi and "strategy=broadcast" in semi
+    assert "o_orderdate" in next(line for line in plan.splitlines() if "scalar-subquery" in line and "Filter" in line)  # bounds in time, at the scan
+
+
 @pytest.mark.parametrize("name", ["v4_top_k_many", "qa7_evidence"])
 def test_ranking_prunes_before_the_shuffle(spark, sf_dir, name):
     import __spark_entry__ as registered
